@@ -5,7 +5,7 @@ Everything in this module is a fixed value that results depend on.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 # ---- universe -------------------------------------------------------------
 
