@@ -6,7 +6,7 @@ from importlib import import_module
 
 from volpanel.registry.base import QUERIES, Query
 
-MODULES = ("q_series", )
+MODULES = ("q_series", "q_state")
 
 
 def load() -> dict[str, Query]:

@@ -14,7 +14,6 @@ from volpanel.registry.base import register, step
 from volpanel.sources.views import view
 
 KEY = ["economic_index_id"]
-W = S.by(KEY, "session_date")
 
 
 def panel(spark: SparkSession, folder: str) -> DataFrame:
