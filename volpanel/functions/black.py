@@ -10,7 +10,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -100,47 +100,46 @@ def norm_cdf_text(x: str) -> str:
     return f"(CASE WHEN {x} IS NULL THEN NULL WHEN {x} > 0D THEN 1D - 0.5D * {erfc} ELSE 0.5D * {erfc} END)"
 
 
-def norm_cdf(column_name: str) -> Column:
-    """CDF of an existing column; name it first so the input is computed once."""
-    return F.expr(norm_cdf_text(column_name))
-
-
-def d1(forward: Column, strike: Column, sigma: Column, t: Column) -> Column:
-    usable = (forward > 0) & (strike > 0) & (sigma > 0) & (t > 0)
-    return F.when(usable, (F.ln(forward / strike) + 0.5 * sigma * sigma * t) / (sigma * F.sqrt(t)))
+def d1_text(forward: str, strike: str, sigma: str, t: str) -> str:
+    return (
+        f"(CASE WHEN {forward} > 0 AND {strike} > 0 AND {sigma} > 0 AND {t} > 0 THEN "
+        f"(ln({forward} / {strike}) + 0.5D * {sigma} * {sigma} * {t}) / ({sigma} * sqrt({t})) END)"
+    )
 
 
-def price_bounds(kind: Column, forward: Column, strike: Column, discount: Column) -> tuple[Column, Column]:
-    lower = F.when(kind == "C", discount * F.greatest(forward - strike, F.lit(0.0))).when(
-        kind == "P", discount * F.greatest(strike - forward, F.lit(0.0))
+def price_bounds(kind: str, forward: str, strike: str, discount: str) -> tuple[str, str]:
+    """Lowest and highest price without arbitrage."""
+    lower = (
+        f"(CASE {kind} WHEN 'C' THEN {discount} * greatest({forward} - {strike}, 0D) "
+        f"WHEN 'P' THEN {discount} * greatest({strike} - {forward}, 0D) END)"
     )
-    upper = F.when(kind == "C", discount * forward).when(kind == "P", discount * strike)
+    upper = f"(CASE {kind} WHEN 'C' THEN {discount} * {forward} WHEN 'P' THEN {discount} * {strike} END)"
     return lower, upper
 
 
-def with_black_price(df, out: str = "model_price", *, kind="option_type", forward="forward", strike="strike",
-                     sigma="sigma", t="year_fraction", discount="discount_factor"):
-    """Add the Black price and the forward delta of every row."""
-    f, k, s, y, d = (F.col(c) for c in (forward, strike, sigma, t, discount))
-    staged = df.withColumn("_d1", d1(f, k, s, y)).withColumn("_d2", F.col("_d1") - s * F.sqrt(y))
-    staged = staged.withColumns({"_n1": norm_cdf("_d1"), "_n2": norm_cdf("_d2")})
-    call = d * (f * F.col("_n1") - k * F.col("_n2"))
-    put = d * (k * (1.0 - F.col("_n2")) - f * (1.0 - F.col("_n1")))
-    return staged.withColumns(
-        {
-            out: F.when(F.col(kind) == "C", call).when(F.col(kind) == "P", put),
-            "delta": F.when(F.col(kind) == "C", F.col("_n1")).when(F.col(kind) == "P", F.col("_n1") - 1.0),
-        }
-    ).drop("_d1", "_d2", "_n1", "_n2")
-
-
-def with_forward_delta(df, out: str = "delta", *, kind="option_type", forward="forward", strike="strike",
-                       sigma="sigma", t="year_fraction"):
-    staged = df.withColumn("_d1", d1(*(F.col(c) for c in (forward, strike, sigma, t))))
-    staged = staged.withColumn("_n1", norm_cdf("_d1"))
-    return staged.withColumn(
-        out, F.when(F.col(kind) == "C", F.col("_n1")).when(F.col(kind) == "P", F.col("_n1") - 1.0)
-    ).drop("_d1", "_n1")
+def with_forward_delta(
+    df: DataFrame, out: str = "delta", *, kind="option_type", forward="forward", strike="strike",
+    sigma="sigma", t="year_fraction"
+) -> DataFrame:
+    """Forward delta; d1 gets its own column first so it is computed once."""
+    df = df.withColumn("_d1", F.expr(d1_text(forward, strike, sigma, t)))
+    df = df.withColumn("_n1", F.expr(norm_cdf_text("_d1")))
+    return df.withColumn(out, F.expr(f"CASE {kind} WHEN 'C' THEN _n1 WHEN 'P' THEN _n1 - 1D END")).drop("_d1", "_n1")
+
+
+def with_black_price(
+    df: DataFrame, out: str = "model_price", *, kind="option_type", forward="forward", strike="strike",
+    sigma="sigma", t="year_fraction", discount="discount_factor"
+) -> DataFrame:
+    """Black price of every row."""
+    df = df.withColumn("_d1", F.expr(d1_text(forward, strike, sigma, t)))
+    df = df.withColumn("_d2", F.expr(f"_d1 - {sigma} * sqrt({t})"))
+    df = df.withColumns({"_n1": F.expr(norm_cdf_text("_d1")), "_n2": F.expr(norm_cdf_text("_d2"))})
+    call = f"{discount} * ({forward} * _n1 - {strike} * _n2)"
+    put = f"{discount} * ({strike} * (1D - _n2) - {forward} * (1D - _n1))"
+    return df.withColumn(out, F.expr(f"CASE {kind} WHEN 'C' THEN {call} WHEN 'P' THEN {put} END")).drop(
+        "_d1", "_d2", "_n1", "_n2"
+    )
 
 
 # ---- numpy side: used inside Arrow UDFs ------------------------------------

@@ -1,86 +1,89 @@
-"""Guarded numeric, date and string expressions."""
+"""Guarded numeric, date and string expressions, as SQL text."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Mapping
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def known(value: Column) -> Column:
+def add(df: DataFrame, columns: Mapping[str, str]) -> DataFrame:
+    """withColumns for expression text."""
+    return df.withColumns({name: F.expr(text) for name, text in columns.items()})
+
+
+def known(value: str) -> str:
     """NaN and infinities become NULL (in Spark ``NaN > 1`` is true)."""
-    value = value.cast("double")
-    return F.when(F.abs(value) < float("inf"), value)
+    return f"(CASE WHEN abs(double({value})) < double('Infinity') THEN double({value}) END)"
 
 
 def clean_numbers(df: DataFrame) -> DataFrame:
     """Apply :func:`known` to every floating column, once, right after a scan."""
-    floats = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))]
-    return df.withColumns({name: known(F.col(name)) for name in floats})
+    floats = {f.name for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))}
+    return df.selectExpr(*[f"{known(f'`{c}`')} AS `{c}`" if c in floats else f"`{c}`" for c in df.columns])
 
 
-def ratio(numerator: Column, denominator: Column) -> Column:
-    return F.try_divide(numerator.cast("double"), denominator.cast("double"))
+def ratio(numerator: str, denominator: str) -> str:
+    return f"try_divide(double({numerator}), double({denominator}))"
 
 
-def log_ratio(current: Column, earlier: Column) -> Column:
+def log_ratio(current: str, earlier: str) -> str:
     """ln(current / earlier), NULL unless both are positive."""
-    return F.when((current > 0) & (earlier > 0), F.ln(current / earlier))
+    return f"(CASE WHEN {current} > 0 AND {earlier} > 0 THEN ln({current} / {earlier}) END)"
 
 
-def clip(value: Column, low: float, high: float) -> Column:
-    return F.when(value.isNotNull(), F.least(F.greatest(value, F.lit(low)), F.lit(high)))
+def clip(value: str, low: float, high: float) -> str:
+    return f"(CASE WHEN ({value}) IS NOT NULL THEN least(greatest({value}, {low!r}D), {high!r}D) END)"
 
 
-def sigmoid(value: Column, margin: float = 0.0) -> Column:
-    p = F.lit(1.0) / (F.lit(1.0) + F.exp(-value))
+def sigmoid(value: str, margin: float = 0.0) -> str:
+    p = f"(1D / (1D + exp(-({value}))))"
     return clip(p, margin, 1.0 - margin) if margin else p
 
 
-def same_number(left: Column, right: Column, tolerance: float = 1e-10) -> Column:
+def same_number(left: str, right: str, tolerance: float = 1e-10) -> str:
     """Equal within a relative-or-absolute tolerance; NULL equals only NULL."""
-    scale = F.greatest(F.abs(left), F.abs(right))
-    close = F.abs(left - right) <= F.greatest(F.lit(tolerance) * scale, F.lit(tolerance))
-    return F.coalesce(left.eqNullSafe(right) | close, F.lit(False))
+    bound = f"greatest({tolerance!r}D * greatest(abs({left}), abs({right})), {tolerance!r}D)"
+    return f"coalesce({left} <=> {right} OR abs({left} - {right}) <= {bound}, false)"
 
 
-def forward_variance(iv30: Column, iv90: Column) -> Column:
+def forward_variance(iv30: str, iv90: str) -> str:
     """Variance between day 30 and day 90 implied by two percent vols; NULL if negative."""
-    t30, t90 = 30.0 / 365.0, 90.0 / 365.0
-    raw = (t90 * F.pow(iv90 / 100.0, 2) - t30 * F.pow(iv30 / 100.0, 2)) / (t90 - t30)
-    return F.when((iv30 > 0) & (iv90 > 0) & (raw >= 0), raw)
+    t30, t90 = "(30D / 365D)", "(90D / 365D)"
+    raw = f"({t90} * pow({iv90} / 100D, 2) - {t30} * pow({iv30} / 100D, 2)) / ({t90} - {t30})"
+    return f"(CASE WHEN {iv30} > 0 AND {iv90} > 0 AND {raw} >= 0 THEN {raw} END)"
 
 
-def forward_variance_issue(iv30: Column, iv90: Column) -> Column:
-    usable = F.coalesce((iv30 > 0) & (iv90 > 0), F.lit(False))
-    return F.when(~usable, "UNBRACKETED_TENOR").when(
-        forward_variance(iv30, iv90).isNull(), "NEGATIVE_FORWARD_VARIANCE"
+def forward_variance_issue(iv30: str, iv90: str) -> str:
+    return (
+        f"(CASE WHEN NOT coalesce({iv30} > 0 AND {iv90} > 0, false) THEN 'UNBRACKETED_TENOR' "
+        f"WHEN {forward_variance(iv30, iv90)} IS NULL THEN 'NEGATIVE_FORWARD_VARIANCE' END)"
     )
 
 
-def compact_date(value: Column) -> Column:
+def compact_date(value: str) -> str:
     """yyyyMMdd text or number to DATE, NULL when it does not parse."""
-    return F.try_to_date(value.cast("string"), "yyyyMMdd")
+    return f"to_date(try_to_timestamp(string({value}), 'yyyyMMdd'))"
 
 
-def year_fraction(session: Column, expiry: Column) -> Column:
+def year_fraction(session: str, expiry: str) -> str:
     """ACT/365F from the 14:56 bar of the session to 15:00 on expiry day."""
-    return (F.datediff(expiry, session).cast("double") * 86400.0 + 240.0) / (365.0 * 86400.0)
+    return f"((datediff({expiry}, {session}) * 86400D + 240D) / (365D * 86400D))"
 
 
-def clock(timestamp: Column) -> Column:
-    return F.date_format(timestamp, "HH:mm:ss")
+def open_range(column: str, start: str | None, end: str | None) -> str:
+    """Inclusive date bounds where either end may be open."""
+    parts = [f"{column} >= DATE'{start}'"] if start is not None else []
+    parts += [f"{column} <= DATE'{end}'"] if end is not None else []
+    return " AND ".join(parts) or "true"
 
 
-def distinct_in_order(values: Column) -> Column:
-    return F.array_distinct(F.array_compact(values))
+def weighted(parts) -> str:
+    """Fixed-weight sum of (expression, weight); NULL as soon as one part is."""
+    return "(" + " + ".join(f"{w!r}D * {c}" for c, w in parts) + ")"
 
 
-def open_range(value: Column, start: str | None, end: str | None) -> Column | None:
-    """Inclusive date bounds where either end may be open."""
-    parts = []
-    if start is not None:
-        parts.append(value >= F.to_date(F.lit(start)))
-    if end is not None:
-        parts.append(value <= F.to_date(F.lit(end)))
-    return None if not parts else (parts[0] if len(parts) == 1 else parts[0] & parts[1])
+def issue_count(issues: str) -> str:
+    return f"size(filter(split(coalesce({issues}, ''), '[|]'), x -> x <> ''))"

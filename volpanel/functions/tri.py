@@ -1,88 +1,76 @@
-"""Three-valued logic on nullable boolean columns.
+"""Three-valued logic over nullable booleans, as SQL expression text.
 
 SQL's AND / OR / NOT already follow the Kleene truth table, so a predicate
 stays UNKNOWN (NULL) exactly when its inputs leave it open. What SQL lacks is
 counting under uncertainty and an ordered choice that stops at the first
 UNKNOWN branch.
+
+Expressions are text because one parsed expression costs the driver one call,
+however large it is; the same tree built operator by operator costs one call
+per operator.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
-
-from pyspark.sql import Column, Window
-from pyspark.sql import functions as F
-from pyspark.sql.window import WindowSpec
 
 UNKNOWN = "UNKNOWN"
 
 
-def tri_and(*predicates: Column) -> Column:
-    return reduce(lambda a, b: a & b, predicates)
-
-
-def tri_or(*predicates: Column) -> Column:
-    return reduce(lambda a, b: a | b, predicates)
+def all_of(*predicates: str) -> str:
+    return "(" + " AND ".join(f"({p})" for p in predicates) + ")"
 
 
-def tri_not(predicate: Column) -> Column:
-    return ~predicate
+def any_of(*predicates: str) -> str:
+    return "(" + " OR ".join(f"({p})" for p in predicates) + ")"
 
 
-def _is_true(predicate: Column) -> Column:
-    return F.coalesce(predicate, F.lit(False)).cast("int")
+def negate(predicate: str) -> str:
+    return f"(NOT ({predicate}))"
 
 
-def _is_unknown(predicate: Column) -> Column:
-    return predicate.isNull().cast("int")
+def _decide(trues: str, unknowns: str, k: int) -> str:
+    return f"(CASE WHEN {trues} >= {k} THEN true WHEN {trues} + {unknowns} < {k} THEN false END)"
 
 
-def _decide(true_count: Column, unknown_count: Column, k: int) -> Column:
-    return F.when(true_count >= k, True).when(true_count + unknown_count < k, False)
-
-
-def at_least_k(predicates: Sequence[Column], k: int) -> Column:
+def at_least_k(predicates: Sequence[str], k: int) -> str:
     """True once k are true, False once k is out of reach, else UNKNOWN."""
     if k < 0:
         raise ValueError("k must be non-negative")
-    trues = reduce(lambda a, b: a + b, [_is_true(p) for p in predicates])
-    unknowns = reduce(lambda a, b: a + b, [_is_unknown(p) for p in predicates])
+    trues = "(" + " + ".join(f"int(coalesce({p}, false))" for p in predicates) + ")"
+    unknowns = "(" + " + ".join(f"int(({p}) IS NULL)" for p in predicates) + ")"
     return _decide(trues, unknowns, k)
 
 
-def exactly_one(predicates: Sequence[Column]) -> Column:
-    # NOT(at least two) AND at least one; the first factor's UNKNOWN must win
-    # over a known second factor, which plain AND gives because "at least two
-    # UNKNOWN" implies "at least one" is not False.
-    return tri_and(~at_least_k(predicates, 2), at_least_k(predicates, 1))
+def exactly_one(predicates: Sequence[str]) -> str:
+    return all_of(negate(at_least_k(predicates, 2)), at_least_k(predicates, 1))
 
 
-def count_if_all_known(predicates: Sequence[Column]) -> Column:
+def count_if_all_known(predicates: Sequence[str]) -> str:
     """Number of true predicates, NULL if any is UNKNOWN."""
-    return reduce(lambda a, b: a + b, [p.cast("int") for p in predicates])
+    return "(" + " + ".join(f"int({p})" for p in predicates) + ")"
 
 
-def choose(branches: Sequence[tuple[str, Column]], default: str) -> Column:
+def choose(branches: Sequence[tuple[str, str]], default: str) -> str:
     """First true branch; a branch that is UNKNOWN before that ends the search."""
-    result: Column | None = None
+    text = "CASE"
     for answer, predicate in branches:
-        result = (
-            F.when(predicate, F.lit(answer)) if result is None else result.when(predicate, F.lit(answer))
-        )
-        result = result.when(predicate.isNull(), F.lit(UNKNOWN))
-    assert result is not None
-    return result.otherwise(F.lit(default))
+        text += f" WHEN ({predicate}) THEN '{answer}' WHEN ({predicate}) IS NULL THEN '{UNKNOWN}'"
+    return f"({text} ELSE '{default}' END)"
+
 
+def at_least_k_in_window(predicate: str, over: str, width: int, k: int) -> str:
+    """k of the last ``width`` rows; rows before the series starts are UNKNOWN.
 
-def at_least_k_in_window(predicate: Column, ordered: WindowSpec, width: int, k: int) -> Column:
-    """k of the last ``width`` rows; rows before the series starts are UNKNOWN."""
-    frame = ordered.rowsBetween(-(width - 1), Window.currentRow)
-    trues = F.sum(_is_true(predicate)).over(frame)
-    known_false = F.sum((~F.coalesce(predicate, F.lit(True))).cast("int")).over(frame)
-    return _decide(trues, F.lit(width) - trues - known_false, k)
+    ``over`` is the partition and order clause, e.g. ``PARTITION BY u ORDER BY d``.
+    """
+    frame = f"OVER ({over} ROWS BETWEEN {width - 1} PRECEDING AND CURRENT ROW)"
+    trues = f"count_if({predicate}) {frame}"
+    falses = f"count_if(NOT ({predicate})) {frame}"
+    return _decide(trues, f"({width} - {trues} - {falses})", k)
 
 
-def stressed(pressure: Column, shock: Column, down_tail: Column, persistence: Column) -> Column:
+def stressed(pressure: str, shock: str, down_tail: str, persistence: str) -> str:
     """Elevated pressure confirmed by at least one of three axes."""
-    return tri_and(pressure >= 65, tri_or(shock >= 65, down_tail >= 70, persistence >= 65))
+    confirmed = any_of(f"{shock} >= 65", f"{down_tail} >= 70", f"{persistence} >= 65")
+    return all_of(f"{pressure} >= 65", confirmed)

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from volpanel import params as P
-from volpanel.functions.num import clean_numbers
+from volpanel.functions.num import add, clean_numbers
 from volpanel.operators import series as S
 from volpanel.operators.quality import require_columns, require_unique
 
@@ -26,26 +25,26 @@ def attach_marks(surfaces: DataFrame, marks: DataFrame) -> DataFrame:
     return require_unique(surfaces.drop("etf_mark", "tr_mark"), key).join(right, key, "left")
 
 
+W = S.by(KEYS, ORDER)
+
+
 def add_returns(df: DataFrame) -> DataFrame:
-    w = S.by(KEYS, ORDER)
-    return df.withColumns(
-        {
-            "etf_return_1d": S.log_return(F.col("tr_mark"), w, 1),
-            "etf_return_5d": S.log_return(F.col("tr_mark"), w, 5),
-        }
+    return add(
+        df,
+        {"etf_return_1d": S.log_return("tr_mark", W, 1), "etf_return_5d": S.log_return("tr_mark", W, 5)},
     )
 
 
 def add_iv_changes(df: DataFrame, *, vov_max_span: int = P.VOV_SPAN_SESSIONS) -> DataFrame:
-    w = S.by(KEYS, ORDER)
-    df = df.withColumns(
+    df = add(
+        df,
         {
-            "d1_log_iv30": S.log_return(F.col("iv30_mf"), w, 1),
-            "d5_log_iv30": S.log_return(F.col("iv30_mf"), w, 5),
-            "d5_down_skew25": S.difference(F.col("down_skew25"), w),
-            "d5_up_skew25": S.difference(F.col("up_skew25"), w),
-            "d5_fvol_30_90": S.difference(F.col("fvol_30_90"), w),
-        }
+            "d1_log_iv30": S.log_return("iv30_mf", W, 1),
+            "d5_log_iv30": S.log_return("iv30_mf", W, 5),
+            "d5_down_skew25": S.difference("down_skew25", W),
+            "d5_up_skew25": S.difference("up_skew25", W),
+            "d5_fvol_30_90": S.difference("fvol_30_90", W),
+        },
     )
     df = S.vol_of_vol(
         df,
@@ -56,26 +55,25 @@ def add_iv_changes(df: DataFrame, *, vov_max_span: int = P.VOV_SPAN_SESSIONS) ->
         order=ORDER,
         max_span=vov_max_span,
     )
-    return df.withColumn("d5_iv_vol_of_vol20", S.difference(F.col("iv_vol_of_vol20"), w))
+    return add(df, {"d5_iv_vol_of_vol20": S.difference("iv_vol_of_vol20", W)})
 
 
 def add_variance_premium(df: DataFrame) -> DataFrame:
     df = S.ewma_variance(df, "etf_return_1d", "ewma_variance", keys=KEYS, order=ORDER)
-    forecast = P.SESSIONS_PER_YEAR * F.col("ewma_variance")
-    return df.withColumns(
+    forecast = f"{P.SESSIONS_PER_YEAR}D * ewma_variance"
+    return add(
+        df,
         {
             "rv_forecast30": forecast,
-            "vrp_ewma94": F.when(F.col("iv30_mf") > 0, F.pow(F.col("iv30_mf") / 100.0, 2) - forecast),
-        }
+            "vrp_ewma94": f"CASE WHEN iv30_mf > 0 THEN pow(iv30_mf / 100D, 2) - {forecast} END",
+        },
     )
 
 
-def compensation(percentile: Column) -> Column:
+def compensation(percentile: str) -> str:
     return (
-        F.when(percentile.isNull(), "UNKNOWN")
-        .when(percentile < 0.35, "THIN")
-        .when(percentile >= 0.75, "RICH")
-        .otherwise("NORMAL")
+        f"(CASE WHEN {percentile} IS NULL THEN 'UNKNOWN' WHEN {percentile} < 0.35D THEN 'THIN' "
+        f"WHEN {percentile} >= 0.75D THEN 'RICH' ELSE 'NORMAL' END)"
     )
 
 
@@ -98,10 +96,11 @@ def build_index_feature_history(
         reference=reference_sessions,
         minimum_valid=minimum_valid,
     )
-    return df.withColumns(
+    return add(
+        df,
         {
-            "vrp_percentile": F.col("p_vrp"),
-            "insurance_compensation": compensation(F.col("p_vrp")),
-            "front_event_premium": F.lit(None).cast("double"),
-        }
+            "vrp_percentile": "p_vrp",
+            "insurance_compensation": compensation("p_vrp"),
+            "front_event_premium": "double(NULL)",
+        },
     )

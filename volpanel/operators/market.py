@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from volpanel import params as P
 from volpanel.functions import tri
+from volpanel.functions.num import add, issue_count, weighted
 from volpanel.operators import series as S
 
 UNIVERSE = "universe_id"
@@ -24,32 +22,17 @@ RAW_AGGREGATES = {
 }
 
 
-def weighted(parts: Sequence[tuple[Column, float]]) -> Column:
-    """Fixed-weight sum; NULL as soon as one component is."""
-    return reduce(lambda a, b: a + b, [F.lit(w) * c for c, w in parts])
-
-
-def issue_count(issues: Column) -> Column:
-    return F.size(F.filter(F.split(F.coalesce(issues, F.lit("")), r"\|"), lambda x: x != ""))
-
-
 def score_indices(features: DataFrame) -> DataFrame:
     """Seven axes and a status for every index row."""
-    axes = {name: 100.0 * weighted([(F.col(c), w) for c, w in parts]) for name, parts in P.AXES.items()}
-    df = features.withColumns(axes)
-    df = df.withColumn("index_pressure", weighted([(F.col(c), w) for c, w in P.INDEX_PRESSURE]))
-    complete = tri.tri_and(*[F.col(a).isNotNull() for a in AXIS_NAMES])
-    some = tri.tri_or(*[F.col(a).isNotNull() for a in AXIS_NAMES])
-    surface = F.coalesce(F.col("surface_status"), F.lit("UNKNOWN"))
-    return df.withColumn(
-        "data_status",
-        F.when((surface == "VALID") & complete, "OK").when((surface != "UNKNOWN") | some, "PARTIAL").otherwise("UNKNOWN"),
+    df = add(features, {name: f"100D * {weighted(parts)}" for name, parts in P.AXES.items()})
+    df = add(df, {"index_pressure": weighted(P.INDEX_PRESSURE)})
+    known = [f"{a} IS NOT NULL" for a in AXIS_NAMES]
+    status = (
+        f"CASE WHEN surface_status = 'VALID' AND {tri.all_of(*known)} THEN 'OK' "
+        f"WHEN coalesce(surface_status, 'UNKNOWN') <> 'UNKNOWN' OR {tri.any_of(*known)} THEN 'PARTIAL' "
+        "ELSE 'UNKNOWN' END"
     )
-
-
-def _segment(value: Callable[[str], Column], universe: P.Universe, segment: str) -> Column:
-    members = [m for m in universe.members if m.segment == segment]
-    return weighted([(value(m.index), m.segment_share) for m in members])
+    return add(df, {"data_status": status})
 
 
 def aggregate_sessions(scored: DataFrame, universe: P.Universe = P.DEFAULT_UNIVERSE) -> DataFrame:
@@ -58,113 +41,92 @@ def aggregate_sessions(scored: DataFrame, universe: P.Universe = P.DEFAULT_UNIVE
     The members are gathered by one aggregate (a struct per member), so the
     universe check, the pivot and all market measures share a single shuffle.
     """
-    if UNIVERSE not in scored.columns:
-        scored = scored.withColumn(UNIVERSE, F.lit("DEFAULT"))
-    if "issues" not in scored.columns:
-        scored = scored.withColumn("issues", F.lit(""))
+    extra = {UNIVERSE: "'DEFAULT'", "issues": "''"}
+    scored = add(scored, {c: e for c, e in extra.items() if c not in scored.columns})
     fields = [*AXIS_NAMES, "data_status", "issues", "p_d1_log_iv30", *dict.fromkeys(RAW_AGGREGATES.values())]
-    index = F.col("economic_index_id")
+    slot = {i: f"_m{n}" for n, i in enumerate(universe.indices)}
+    names = ", ".join(f"'{i}'" for i in universe.indices)
+    member = ", ".join(fields)
     gathered = scored.groupBy(UNIVERSE, "session_date").agg(
         *[
-            F.first(F.when(index == i, F.struct(*fields)), ignorenulls=True).alias(f"_m{n}")
-            for n, i in enumerate(universe.indices)
+            F.expr(f"first(CASE WHEN economic_index_id = '{i}' THEN struct({member}) END, true) AS {s}")
+            for i, s in slot.items()
         ],
-        F.max((~F.coalesce(index.isin(*universe.indices), F.lit(False))).cast("int")).alias("_foreign"),
-    )
-    slot = {i: f"_m{n}" for n, i in enumerate(universe.indices)}
-    gathered = gathered.filter(
-        tri.tri_and(F.col("_foreign") == 0, *[F.col(s).isNotNull() for s in slot.values()])
+        F.expr(f"bool_or(coalesce(economic_index_id NOT IN ({names}), true)) AS _foreign"),
     )
+    gathered = gathered.filter(tri.all_of("NOT _foreign", *[f"{s} IS NOT NULL" for s in slot.values()]))
 
-    def pick(name: str) -> Callable[[str], Column]:
-        return lambda i: F.col(slot[i]).getField(name)
+    def across(name: str) -> str:
+        return weighted([(f"{slot[m.index]}.{name}", m.weight) for m in universe.members])
 
-    def across(name: str) -> Column:
-        return weighted([(pick(name)(m.index), m.weight) for m in universe.members])
+    def segment(name: str, s: str) -> str:
+        return weighted(
+            [(f"{slot[m.index]}.{name}", m.segment_share) for m in universe.members if m.segment == s]
+        )
 
     n_members, n_segments = len(universe.members), len(universe.segments)
-    ok = reduce(lambda a, b: a + b, [(pick("data_status")(i) == "OK").cast("int") for i in universe.indices])
-    any_issue = tri.tri_or(*[issue_count(pick("issues")(i)) > 0 for i in universe.indices])
-
-    stressed_axes = ("index_pressure", "shock", "down_tail", "persistence")
-    segment_columns = {}
-    for s in universe.segments:
-        segment_columns[f"{s}_stressed"] = tri.stressed(
-            *[_segment(pick(a), universe, s) for a in stressed_axes]
-        )
-        segment_columns[f"{s}_jump_score"] = _segment(pick("p_d1_log_iv30"), universe, s)
-    index_stressed = {i: tri.stressed(*[pick(a)(i) for a in stressed_axes]) for i in universe.indices}
-    pressures = [pick("index_pressure")(i) for i in universe.indices]
-    all_pressures = tri.tri_and(*[p.isNotNull() for p in pressures])
-    gap = tri.tri_or(
-        *[F.abs(pick("shock")(i) - pick("down_tail")(i)) >= 50 for i in universe.indices]
-    )
-    df = gathered.withColumns(
-        {
-            "data_status": F.when(ok == n_members, "OK").when(ok > 0, "PARTIAL").otherwise("UNKNOWN"),
-            "_degraded": any_issue,
-            **segment_columns,
-            "stressed_index_count": tri.count_if_all_known(list(index_stressed.values())),
-            "index_stressed": F.create_map(
-                *[x for i, p in index_stressed.items() for x in (F.lit(i), p)]
-            ),
-            "axis_gap_any": gap,
-            "cross_section_pressure_dispersion": F.when(
-                all_pressures, F.greatest(*pressures) - F.least(*pressures)
-            ),
-            **{f"_{a}": across(a) for a in MARKET_AXES},
-            **{out: across(src) for out, src in RAW_AGGREGATES.items()},
-            "economic_indices": F.map_from_arrays(
-                F.array(*[F.lit(i) for i in universe.indices]),
-                F.array(
-                    *[
-                        F.struct(
-                            F.lit(m.carrier).alias("source_carrier"),
-                            pick("data_status")(m.index).alias("data_status"),
-                            *[pick(a)(m.index).alias(a) for a in AXIS_NAMES],
-                            F.coalesce(pick("issues")(m.index), F.lit("")).alias("issues"),
-                        )
-                        for m in universe.members
-                    ]
-                ),
-            ),
-        }
-    )
-    stressed = [F.col(f"{s}_stressed") for s in universe.segments]
-    df = df.withColumns(
+    every = list(slot.values())
+    ok = "(" + " + ".join(f"int({s}.data_status = 'OK')" for s in every) + ")"
+    axes4 = ("index_pressure", "shock", "down_tail", "persistence")
+    index_stressed = {i: tri.stressed(*[f"{s}.{a}" for a in axes4]) for i, s in slot.items()}
+    pressures = ", ".join(f"{s}.index_pressure" for s in every)
+    columns = {
+        "data_status": f"CASE WHEN {ok} = {n_members} THEN 'OK' WHEN {ok} > 0 THEN 'PARTIAL' ELSE 'UNKNOWN' END",
+        "_degraded": tri.any_of(*[f"{issue_count(f'{s}.issues')} > 0" for s in every]),
+        "stressed_index_count": tri.count_if_all_known(list(index_stressed.values())),
+        "index_stressed": "map(" + ", ".join(f"'{i}', {p}" for i, p in index_stressed.items()) + ")",
+        "axis_gap_any": tri.any_of(*[f"abs({s}.shock - {s}.down_tail) >= 50" for s in every]),
+        "cross_section_pressure_dispersion": (
+            f"CASE WHEN {tri.all_of(*[f'{s}.index_pressure IS NOT NULL' for s in every])} "
+            f"THEN greatest({pressures}) - least({pressures}) END"
+        ),
+        "economic_indices": "map(" + ", ".join(
+            f"'{m.index}', named_struct('source_carrier', '{m.carrier}', 'data_status', {slot[m.index]}.data_status, "
+            + ", ".join(f"'{a}', {slot[m.index]}.{a}" for a in AXIS_NAMES)
+            + f", 'issues', coalesce({slot[m.index]}.issues, ''))"
+            for m in universe.members
+        ) + ")",
+        **{f"{s}_stressed": tri.stressed(*[segment(a, s) for a in axes4]) for s in universe.segments},
+        **{f"{s}_jump_score": segment("p_d1_log_iv30", s) for s in universe.segments},
+        **{f"_{a}": across(a) for a in MARKET_AXES},
+        **{out: across(source) for out, source in RAW_AGGREGATES.items()},
+    }
+    df = add(gathered, columns)
+    stressed = [f"{s}_stressed" for s in universe.segments]
+    df = add(
+        df,
         {
             "stressed_segment_count": tri.count_if_all_known(stressed),
             "broad_confirmed": tri.at_least_k(stressed, 2),
             "systemic_confirmed": tri.at_least_k(stressed, 3),
-            **{
-                f"{s}_jump": F.col(f"{s}_jump_score") >= P.SEGMENT_JUMP_PERCENTILE for s in universe.segments
-            },
-        }
+            **{f"{s}_jump": f"{s}_jump_score >= {P.SEGMENT_JUMP_PERCENTILE}D" for s in universe.segments},
+        },
     )
-    jumps = [F.col(f"{s}_jump") for s in universe.segments]
-    df = df.withColumns(
+    jumps = [f"{s}_jump" for s in universe.segments]
+    share = weighted([(f"int({s}_stressed)", w) for s, w in universe.segment_weights])
+    df = add(
+        df,
         {
-            "_breadth": 100.0 * F.col("stressed_segment_count") / n_segments,
-            "weighted_breadth_score": F.when(
-                F.col("stressed_segment_count").isNotNull(),
-                100.0 * weighted([(F.col(f"{s}_stressed").cast("int"), w) for s, w in universe.segment_weights]),
-            ),
-            "nominal_index_breadth": F.col("stressed_index_count") / n_members,
+            "_breadth": f"100D * stressed_segment_count / {n_segments}",
+            "weighted_breadth_score": f"100D * {share}",
+            "nominal_index_breadth": f"stressed_index_count / {n_members}",
             "cross_market_iv_jump": tri.at_least_k(jumps, 2),
             "all_segment_iv_jump": tri.at_least_k(jumps, 3),
-        }
+            "evidence_tier": "'RESEARCH_ONLY'",
+            "confidence": (
+                "CASE WHEN data_status = 'OK' THEN if(_degraded, 'DEGRADED', 'FULL') "
+                "WHEN data_status = 'PARTIAL' THEN 'LOW' ELSE 'NONE' END"
+            ),
+        },
     )
-    pressure = weighted([(F.col(f"_{a}"), w) for a, w in P.MARKET_PRESSURE])
-    published = (F.col("data_status") == "OK") & pressure.isNotNull()
-    df = df.withColumns(
+    df = add(df, {"_pressure": weighted([(f"_{a}", w) for a, w in P.MARKET_PRESSURE])})
+    published = "data_status = 'OK' AND _pressure IS NOT NULL"
+    df = add(
+        df,
         {
-            "evidence_tier": F.lit("RESEARCH_ONLY"),
-            "confidence": F.when(
-                F.col("data_status") == "OK", F.when(F.col("_degraded"), "DEGRADED").otherwise("FULL")
-            ).otherwise(F.when(F.col("data_status") == "PARTIAL", "LOW").otherwise("NONE")),
-            "pressure_score": F.when(published, pressure),
-            **{a: F.when(published, F.col(f"_{a}")) for a in [*MARKET_AXES, "breadth"]},
-        }
+            "pressure_score": f"CASE WHEN {published} THEN _pressure END",
+            **{a: f"CASE WHEN {published} THEN _{a} END" for a in [*MARKET_AXES, "breadth"]},
+        },
     )
     return df.drop(*[c for c in df.columns if c.startswith("_")])
 
@@ -177,10 +139,9 @@ def build_market_score_history(
     minimum_valid: int = P.MINIMUM_VALID,
 ) -> DataFrame:
     market = aggregate_sessions(score_indices(features), universe)
-    w = S.by([UNIVERSE], "session_date")
-    market = market.withColumn("d5_pressure_score", S.difference(F.col("pressure_score"), w))
+    change = S.difference("pressure_score", S.by([UNIVERSE], "session_date"))
     return S.midrank_percentiles(
-        market,
+        add(market, {"d5_pressure_score": change}),
         {"aggregate_d5_fvol30_90_percentile": ("aggregate_d5_fvol30_90", 1)},
         keys=[UNIVERSE],
         reference=reference_sessions,

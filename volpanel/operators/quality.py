@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from volpanel import params as P
+from volpanel.functions.num import add
 
 
 def missing_columns(df: DataFrame, required: Sequence[str]) -> list[str]:
@@ -27,10 +28,10 @@ def require_unique(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     The count is a window on the join key, so its shuffle is the one the
     following join on the same key would do anyway.
     """
-    counted = df.withColumn("_copies", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
-    message = F.concat(F.lit("key repeats: "), F.concat_ws(",", *[F.col(k).cast("string") for k in keys]))
-    checked = F.when(F.col("_copies") == 1, True).otherwise(F.raise_error(message).cast("boolean"))
-    return counted.filter(checked).drop("_copies")
+    listed = ", ".join(keys)
+    counted = add(df, {"_copies": f"count(1) OVER (PARTITION BY {listed})"})
+    fail = f"boolean(raise_error(concat('key repeats: ', concat_ws(',', {listed}))))"
+    return counted.filter(f"CASE WHEN _copies = 1 THEN true ELSE {fail} END").drop("_copies")
 
 
 def exclude(df: DataFrame, column: str, forbidden: Sequence[str]) -> DataFrame:

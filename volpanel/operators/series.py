@@ -12,67 +12,66 @@ from collections.abc import Mapping, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import WindowSpec
 
 from volpanel import params as P
-from volpanel.functions.num import known, log_ratio
+from volpanel.functions.num import add, known, log_ratio
 
 
-def by(keys: Sequence[str], order: str | Sequence[str]) -> WindowSpec:
-    orders = [order] if isinstance(order, str) else list(order)
-    return Window.partitionBy(*keys).orderBy(*orders)
+def by(keys: Sequence[str], order: str | Sequence[str]) -> str:
+    """Partition and order clause of a window."""
+    orders = order if isinstance(order, str) else ", ".join(order)
+    return (f"PARTITION BY {', '.join(keys)} " if keys else "") + f"ORDER BY {orders}"
 
 
-def running(ordered: WindowSpec) -> WindowSpec:
-    return ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+def lag(value: str, over: str, rows: int = 1) -> str:
+    return f"lag({value}, {rows}) OVER ({over})"
 
 
 # ---- returns and differences ----------------------------------------------
 
 
-def log_return(value: Column, ordered: WindowSpec, rows: int = 1) -> Column:
-    return log_ratio(value, F.lag(value, rows).over(ordered))
+def log_return(value: str, over: str, rows: int = 1) -> str:
+    return log_ratio(value, lag(value, over, rows))
 
 
-def difference(value: Column, ordered: WindowSpec, rows: int = 5) -> Column:
-    return value - F.lag(value, rows).over(ordered)
+def difference(value: str, over: str, rows: int = 5) -> str:
+    return f"({value} - {lag(value, over, rows)})"
 
 
-def percent_change(value: Column, ordered: WindowSpec, first: Column | float = 0.0) -> Column:
-    first = first if isinstance(first, Column) else F.lit(first)
-    return F.coalesce(F.try_divide(value, F.lag(value).over(ordered)) - 1.0, first)
+def percent_change(value: str, over: str, first: str = "0D") -> str:
+    return f"coalesce(try_divide({value}, {lag(value, over)}) - 1D, {first})"
 
 
-def drawdown(value: Column, ordered: WindowSpec) -> Column:
-    return F.try_divide(value, F.max(value).over(running(ordered))) - 1.0
+def drawdown(value: str, over: str) -> str:
+    peak = f"max({value}) OVER ({over} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    return f"(try_divide({value}, {peak}) - 1D)"
 
 
-def compounded_return(returns: Column, ordered: WindowSpec, rows: int = 20) -> Column:
-    """Compounded return of a full frame of ``rows`` rows, NULL while it fills."""
-    frame = ordered.rowsBetween(-(rows - 1), Window.currentRow)
-    # A factor of zero or below has no logarithm, so signs and zeros are counted apart.
-    factor = 1.0 + returns
-    size = F.count(returns).over(frame)
-    log_sum = F.sum(F.when(factor != 0, F.ln(F.abs(factor))).otherwise(0.0)).over(frame)
-    negatives = F.sum((factor < 0).cast("int")).over(frame)
-    zeros = F.sum((factor == 0).cast("int")).over(frame)
-    sign = F.when(negatives % 2 == 1, -1.0).otherwise(1.0)
-    product = F.when(zeros > 0, 0.0).otherwise(sign * F.exp(log_sum))
-    return F.when(size == rows, product - 1.0)
+def compounded_return(returns: str, over: str, rows: int = 20) -> str:
+    """Compounded return of a full frame of ``rows`` rows, NULL while it fills.
+
+    The product runs through logarithms; zero and negative factors are counted
+    apart because they have none.
+    """
+    frame = f"OVER ({over} ROWS BETWEEN {rows - 1} PRECEDING AND CURRENT ROW)"
+    factor = f"(1D + {returns})"
+    logs = f"sum(CASE WHEN {factor} <> 0 THEN ln(abs({factor})) ELSE 0D END) {frame}"
+    sign = f"(CASE WHEN count_if({factor} < 0) {frame} % 2 = 1 THEN -1D ELSE 1D END)"
+    product = f"(CASE WHEN count_if({factor} = 0) {frame} > 0 THEN 0D ELSE {sign} * exp({logs}) END)"
+    return f"(CASE WHEN count({returns}) {frame} = {rows} THEN {product} - 1D END)"
 
 
-def position(ordered: WindowSpec) -> Column:
-    return (F.row_number().over(ordered) - 1).cast("long")
+def position(over: str) -> str:
+    return f"(row_number() OVER ({over}) - 1L)"
 
 
-def keep_one(df: DataFrame, keys: Sequence[str], *order: Column) -> DataFrame:
+def keep_one(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """First row per key in the given order, as one map-side-combined aggregate."""
-    rest = [c for c in df.columns if c not in keys]
-    ranks = [o.alias(f"_o{i}") for i, o in enumerate(order)]
-    best = F.min_by(F.struct(*rest), F.struct(*ranks)).alias("_row")
+    rest = ", ".join(f"`{c}`" for c in df.columns if c not in keys)
+    best = F.expr(f"min_by(struct({rest}), struct({', '.join(order)}))").alias("_row")
     return df.groupBy(*keys).agg(best).select(*keys, "_row.*")
 
 
@@ -111,11 +110,9 @@ def midrank_percentiles(
     """
     block = max(block, reference)
     keys = list(keys)
-    numbered = df.withColumn("_pos", position(by(keys, order)))
-    home = F.floor(F.col("_pos") / block)
-    spread = numbered.withColumn(
-        "_block", F.explode(F.sequence(home, F.floor((F.col("_pos") + reference) / block)))
-    )
+    numbered = add(df, {"_pos": position(by(keys, order))})
+    blocks = f"explode(sequence(_pos div {block}, (_pos + {reference}) div {block}))"
+    spread = add(numbered, {"_block": blocks})
     schema = T.StructType(
         list(df.schema.fields) + [T.StructField(name, T.DoubleType()) for name in columns]
     )
@@ -157,17 +154,18 @@ def vol_of_vol(
     Valid rows form their own sub-partition, so "the last 20 valid" is a plain
     20-row frame and the span is a difference of row positions.
     """
-    valid = known(F.col(source))
-    staged = df.withColumns({"_pos": position(by(keys, order)), "_x": valid, "_ok": valid.isNotNull()})
-    ordered = by([*keys, "_ok"], order)
-    frame = ordered.rowsBetween(-(count - 1), Window.currentRow)
-    span = F.col("_pos") - F.lag("_pos", count - 1).over(ordered) + 1
-    usable = F.col("_ok") & (span <= max_span)
-    return staged.withColumns(
+    staged = add(df, {"_pos": position(by(keys, order)), "_x": known(source)})
+    staged = add(staged, {"_ok": "_x IS NOT NULL"})
+    over = by([*keys, "_ok"], order)
+    span = f"(_pos - {lag('_pos', over, count - 1)} + 1)"
+    deviation = f"stddev_samp(_x) OVER ({over} ROWS BETWEEN {count - 1} PRECEDING AND CURRENT ROW)"
+    usable = f"_ok AND {span} <= {max_span}"
+    return add(
+        staged,
         {
-            out: F.when(usable, F.stddev_samp("_x").over(frame) * (P.SESSIONS_PER_YEAR**0.5)),
-            span_out: F.when(usable, span),
-        }
+            out: f"CASE WHEN {usable} THEN {deviation} * sqrt({P.SESSIONS_PER_YEAR}D) END",
+            span_out: f"CASE WHEN {usable} THEN {span} END",
+        },
     ).drop("_pos", "_x", "_ok")
 
 

@@ -6,146 +6,135 @@ import hashlib
 import json
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from volpanel import params as P
 from volpanel.functions import tri
+from volpanel.functions.num import add
 from volpanel.operators import series as S
 from volpanel.operators.market import UNIVERSE
 
 ANSWERS = ("level", "shock", "tail", "term", "breadth", "repair")
 
 
-def _c(name: str) -> Column:
-    return F.col(name)
-
-
-def bands(value: Column, cuts: list[tuple[float, str]], top: str) -> Column:
+def bands(value: str, cuts: list[tuple[float, str]], top: str) -> str:
     """Label by ascending upper bounds (exclusive); NULL is UNKNOWN."""
-    result = F.when(value.isNull(), tri.UNKNOWN)
-    for bound, label in cuts:
-        result = result.when(value < bound, label)
-    return result.otherwise(top)
+    steps = " ".join(f"WHEN {value} < {bound} THEN '{label}'" for bound, label in cuts)
+    return f"(CASE WHEN {value} IS NULL THEN '{tri.UNKNOWN}' {steps} ELSE '{top}' END)"
 
 
-def level_answer(value: Column) -> Column:
+def level_answer(value: str) -> str:
     return bands(value, [(35, "CHEAP"), (60, "NORMAL"), (85, "RICH")], "EXTREME")
 
 
-def pressure_level(value: Column) -> Column:
+def pressure_level(value: str) -> str:
     return bands(value, [(35, "LOW"), (55, "WATCH"), (70, "ELEVATED"), (85, "HIGH")], "EXTREME")
 
 
-def direction(change: Column) -> Column:
+def direction(change: str) -> str:
     return (
-        F.when(change.isNull(), tri.UNKNOWN)
-        .when(change >= 7.5, "RISING")
-        .when(change <= -7.5, "FALLING")
-        .otherwise("STABLE")
+        f"(CASE WHEN {change} IS NULL THEN 'UNKNOWN' WHEN {change} >= 7.5D THEN 'RISING' "
+        f"WHEN {change} <= -7.5D THEN 'FALLING' ELSE 'STABLE' END)"
     )
 
 
-def shock_answer(value: Column, hard_acute: Column) -> Column:
-    acute = F.when(hard_acute, "ACUTE").when(~hard_acute, "HIGH").otherwise(tri.UNKNOWN)
-    return F.when(value.isNull(), tri.UNKNOWN).when(value < 40, "CALM").when(value < 65, "BUILDING").otherwise(acute)
+def shock_answer(value: str, hard_acute: str) -> str:
+    return (
+        f"(CASE WHEN {value} IS NULL THEN 'UNKNOWN' WHEN {value} < 40 THEN 'CALM' WHEN {value} < 65 THEN 'BUILDING' "
+        f"WHEN {hard_acute} THEN 'ACUTE' WHEN NOT {hard_acute} THEN 'HIGH' ELSE 'UNKNOWN' END)"
+    )
 
 
-def tail_answer(down: Column, up: Column) -> Column:
+def tail_answer(down: str, up: str) -> str:
     return (
-        F.when(down.isNull() | up.isNull(), tri.UNKNOWN)
-        .when((down < 60) & (up < 60), "NEUTRAL")
-        .when((down >= 75) & (up >= 75) & (F.abs(down - up) < 15), "TWO_SIDED_EVENT")
-        .when((down >= 60) & (down - up >= 15), "DOWNSIDE_PRICED")
-        .when((up >= 60) & (up - down >= 15), "UPSIDE_PRICED")
-        .otherwise("MIXED")
+        f"(CASE WHEN {down} IS NULL OR {up} IS NULL THEN 'UNKNOWN' WHEN {down} < 60 AND {up} < 60 THEN 'NEUTRAL' "
+        f"WHEN {down} >= 75 AND {up} >= 75 AND abs({down} - {up}) < 15 THEN 'TWO_SIDED_EVENT' "
+        f"WHEN {down} >= 60 AND {down} - {up} >= 15 THEN 'DOWNSIDE_PRICED' "
+        f"WHEN {up} >= 60 AND {up} - {down} >= 15 THEN 'UPSIDE_PRICED' ELSE 'MIXED' END)"
     )
 
 
-def term_answer() -> Column:
-    persistence, shock = _c("persistence"), _c("shock")
+def term_answer() -> str:
+    diffusing = tri.all_of(
+        "persistence >= 55", "aggregate_d5_fvol30_90 > 0", "aggregate_d5_fvol30_90_percentile >= 0.7D"
+    )
     ordered = tri.choose(
         [
-            ("PERSISTENT", _c("persistent_now")),
-            (
-                "DIFFUSING",
-                tri.tri_and(
-                    persistence >= 55,
-                    _c("aggregate_d5_fvol30_90") > 0,
-                    _c("aggregate_d5_fvol30_90_percentile") >= 0.70,
-                ),
-            ),
-            ("FRONT_LOCALIZED", (shock >= 65) & (persistence < 50)),
-            ("NORMAL", (persistence < 55) & (shock < 65)),
+            ("PERSISTENT", "persistent_now"),
+            ("DIFFUSING", diffusing),
+            ("FRONT_LOCALIZED", "shock >= 65 AND persistence < 50"),
+            ("NORMAL", "persistence < 55 AND shock < 65"),
         ],
         "MIXED",
     )
-    return F.when(persistence.isNull() | shock.isNull(), tri.UNKNOWN).otherwise(ordered)
+    return f"CASE WHEN persistence IS NULL OR shock IS NULL THEN 'UNKNOWN' ELSE {ordered} END"
+
+
+COUNTED = "stressed_segment_count IS NOT NULL AND stressed_index_count IS NOT NULL"
 
 
-def fragmented() -> Column:
-    not_broad = ~_c("broad_confirmed")
-    counts = (_c("stressed_segment_count") == 0) & (_c("stressed_index_count") >= 2)
-    counts = F.when(_c("stressed_segment_count").isNotNull() & _c("stressed_index_count").isNotNull(), counts)
-    return tri.tri_or(
-        (_c("cross_section_pressure_dispersion") >= 50) & not_broad, _c("axis_gap_any") & not_broad, counts
+def _if_counted(predicate: str) -> str:
+    return f"CASE WHEN {COUNTED} THEN {predicate} END"
+
+
+def fragmented() -> str:
+    return tri.any_of(
+        "cross_section_pressure_dispersion >= 50 AND NOT broad_confirmed",
+        "axis_gap_any AND NOT broad_confirmed",
+        _if_counted("stressed_segment_count = 0 AND stressed_index_count >= 2"),
     )
 
 
-def breadth_answer() -> Column:
-    large, mid, tech = (_c(f"{s}_stressed") for s in ("large", "mid", "tech"))
-    segments, indices = _c("stressed_segment_count"), _c("stressed_index_count")
-    counted = segments.isNotNull() & indices.isNotNull()
-    broad, systemic = _c("broad_confirmed"), _c("systemic_confirmed")
+def breadth_answer() -> str:
+    none = "stressed_index_count = 0 AND stressed_segment_count = 0 AND NOT fragmented_now"
     return tri.choose(
         [
-            ("NONE", F.when(counted, (indices == 0) & (segments == 0) & ~_c("fragmented_now"))),
-            ("ISOLATED", F.when(counted, (indices == 1) & (segments == 0))),
-            ("BLUE_CHIP_LOCALIZED", large & ~mid & ~tech),
-            ("LOCAL_STYLE", ~large & tri.exactly_one([mid, tech])),
-            ("SYSTEMIC", systemic),
-            ("BROAD", broad & ~systemic),
-            ("FRAGMENTED", ~broad & _c("fragmented_now")),
+            ("NONE", _if_counted(none)),
+            ("ISOLATED", _if_counted("stressed_index_count = 1 AND stressed_segment_count = 0")),
+            ("BLUE_CHIP_LOCALIZED", "large_stressed AND NOT mid_stressed AND NOT tech_stressed"),
+            (
+                "LOCAL_STYLE",
+                tri.all_of("NOT large_stressed", tri.exactly_one(["mid_stressed", "tech_stressed"])),
+            ),
+            ("SYSTEMIC", "systemic_confirmed"),
+            ("BROAD", "broad_confirmed AND NOT systemic_confirmed"),
+            ("FRAGMENTED", "NOT broad_confirmed AND fragmented_now"),
         ],
         tri.UNKNOWN,
     )
 
 
-def repair_answer() -> Column:
-    repair, recent, confirmed = _c("repair"), _c("recent_stress"), _c("repair_confirmed")
+def repair_answer() -> str:
     return (
-        F.when(repair.isNull(), tri.UNKNOWN)
-        .when((repair < 60) | F.coalesce(~recent, F.lit(False)), "INACTIVE")
-        .when(recent.isNull(), tri.UNKNOWN)
-        .when(confirmed, "CONFIRMED")
-        .when(~confirmed, "BUILDING")
-        .otherwise(tri.UNKNOWN)
+        "CASE WHEN repair IS NULL THEN 'UNKNOWN' WHEN repair < 60 OR coalesce(NOT recent_stress, false) THEN 'INACTIVE' "
+        "WHEN recent_stress IS NULL THEN 'UNKNOWN' WHEN repair_confirmed THEN 'CONFIRMED' "
+        "WHEN NOT repair_confirmed THEN 'BUILDING' ELSE 'UNKNOWN' END"
     )
 
 
-def raw_phase() -> Column:
-    acute, broad, pressure, shock = _c("hard_acute"), _c("broad_confirmed"), _c("pressure_score"), _c("shock")
-    systemic = tri.tri_and(acute, _c("breadth_answer") == "SYSTEMIC", _c("all_segment_iv_jump"))
-    vrp = _c("aggregate_vrp_value")
-    calm = F.when(vrp.isNull(), False).otherwise(tri.tri_and(pressure < 35, shock < 40, vrp > 0))
+def raw_phase() -> str:
+    """Eleven ordered branches; the first that is true names the phase."""
+    systemic = tri.all_of("hard_acute", "_breadth = 'SYSTEMIC'", "all_segment_iv_jump")
+    calm = (
+        "CASE WHEN aggregate_vrp_value IS NULL THEN false "
+        "ELSE pressure_score < 35 AND shock < 40 AND aggregate_vrp_value > 0 END"
+    )
     return tri.choose(
         [
             ("SYSTEMIC_ACUTE_STRESS", systemic),
-            ("LOCALIZED_ACUTE_STRESS", acute & ~systemic),
-            ("REPAIR_IN_PROGRESS", (_c("repair_answer") == "CONFIRMED") & ~acute),
-            ("BROAD_PERSISTENT_PRESSURE", _c("persistent_now") & broad),
-            ("BROAD_PRESSURE", broad & (pressure >= 65)),
-            ("LOCAL_STYLE_PRESSURE", (_c("breadth_answer") == "LOCAL_STYLE") & (pressure >= 55)),
-            ("BLUE_CHIP_PRESSURE", (_c("breadth_answer") == "BLUE_CHIP_LOCALIZED") & (pressure >= 55)),
-            ("DOWNSIDE_TAIL_RICH", tri.tri_and(_c("down_tail") >= 75, shock < 65, ~broad)),
+            ("LOCALIZED_ACUTE_STRESS", f"hard_acute AND NOT {systemic}"),
+            ("REPAIR_IN_PROGRESS", "_repair = 'CONFIRMED' AND NOT hard_acute"),
+            ("BROAD_PERSISTENT_PRESSURE", "persistent_now AND broad_confirmed"),
+            ("BROAD_PRESSURE", "broad_confirmed AND pressure_score >= 65"),
+            ("LOCAL_STYLE_PRESSURE", "_breadth = 'LOCAL_STYLE' AND pressure_score >= 55"),
+            ("BLUE_CHIP_PRESSURE", "_breadth = 'BLUE_CHIP_LOCALIZED' AND pressure_score >= 55"),
+            ("DOWNSIDE_TAIL_RICH", "down_tail >= 75 AND shock < 65 AND NOT broad_confirmed"),
             (
                 "UPSIDE_CONVEXITY_PRICED",
-                tri.tri_and(
-                    _c("tail_answer") == "UPSIDE_PRICED", _c("up_tail") >= 75, _c("aggregate_etf_return_5d") > 0
-                ),
+                "_tail = 'UPSIDE_PRICED' AND up_tail >= 75 AND aggregate_etf_return_5d > 0",
             ),
-            ("FRAGMENTED_TRANSITION", _c("breadth_answer") == "FRAGMENTED"),
+            ("FRAGMENTED_TRANSITION", "_breadth = 'FRAGMENTED'"),
             ("CALM_POSITIVE_VRP", calm),
         ],
         "BALANCED_MARKET",
@@ -155,62 +144,61 @@ def raw_phase() -> Column:
 def add_predicates(market: DataFrame) -> DataFrame:
     """Three-valued predicates that look back over the session history."""
     w = S.by([UNIVERSE], "session_date")
-    pressure = _c("pressure_score")
-    df = market.withColumns(
+    df = add(
+        market,
         {
-            "persistent_day": (_c("persistence") >= 75) & (pressure >= 65),
-            "hard_acute": tri.tri_and(
-                _c("shock") >= 85,
-                _c("cross_market_iv_jump"),
-                tri.tri_or(_c("down_tail") >= 75, _c("broad_confirmed")),
-            ),
-        }
-    ).withColumn("stress_day", (pressure >= 70) | _c("hard_acute"))
-    df = df.withColumns(
+            "persistent_day": "persistence >= 75 AND pressure_score >= 65",
+            "hard_acute": "shock >= 85 AND cross_market_iv_jump AND (down_tail >= 75 OR broad_confirmed)",
+        },
+    )
+    df = add(df, {"stress_day": "pressure_score >= 70 OR hard_acute"})
+    df = add(
+        df,
         {
-            "persistent_now": tri.at_least_k_in_window(_c("persistent_day"), w, 5, 3),
-            "recent_stress": tri.at_least_k_in_window(_c("stress_day"), w, 10, 1),
-            "_prior_repair": F.lag("repair").over(w),
-            "_prior_pressure": F.lag("pressure_score").over(w),
-            "_prior_breadth": F.lag("breadth").over(w),
-        }
+            "persistent_now": tri.at_least_k_in_window("persistent_day", w, 5, 3),
+            "recent_stress": tri.at_least_k_in_window("stress_day", w, 10, 1),
+            "_repair_before": S.lag("repair", w),
+            "_pressure_before": S.lag("pressure_score", w),
+            "_breadth_before": S.lag("breadth", w),
+        },
     )
-    confirmed = tri.tri_and(
-        _c("recent_stress"),
-        _c("repair") >= 70,
-        _c("_prior_repair") >= 70,
-        pressure < _c("_prior_pressure"),
-        _c("breadth") <= _c("_prior_breadth"),
-        ~_c("hard_acute"),
+    confirmed = tri.all_of(
+        "recent_stress",
+        "repair >= 70",
+        "_repair_before >= 70",
+        "pressure_score < _pressure_before",
+        "breadth <= _breadth_before",
+        "NOT hard_acute",
     )
-    return df.withColumn("repair_confirmed", confirmed).drop("_prior_repair", "_prior_pressure", "_prior_breadth")
+    return add(df, {"repair_confirmed": confirmed}).drop("_repair_before", "_pressure_before", "_breadth_before")
 
 
 def add_state_ontology(market: DataFrame) -> DataFrame:
-    df = add_predicates(market).withColumn("fragmented_now", fragmented())
-    df = df.withColumns(
+    df = add(add_predicates(market), {"fragmented_now": fragmented()})
+    df = add(
+        df,
         {
-            "level_answer": level_answer(_c("insurance_level")),
-            "shock_answer": shock_answer(_c("shock"), _c("hard_acute")),
-            "tail_answer": tail_answer(_c("down_tail"), _c("up_tail")),
-            "term_answer": term_answer(),
-            "breadth_answer": breadth_answer(),
-            "repair_answer": repair_answer(),
-        }
+            "_level": level_answer("insurance_level"),
+            "_shock": shock_answer("shock", "hard_acute"),
+            "_tail": tail_answer("down_tail", "up_tail"),
+            "_term": term_answer(),
+            "_breadth": breadth_answer(),
+            "_repair": repair_answer(),
+        },
     )
-    usable = (_c("data_status") == "OK") & _c("pressure_score").isNotNull()
 
-    def if_usable(value: Column) -> Column:
-        return F.when(usable, value).otherwise(tri.UNKNOWN)
+    def if_usable(value: str) -> str:
+        return f"CASE WHEN data_status = 'OK' AND pressure_score IS NOT NULL THEN {value} ELSE 'UNKNOWN' END"
 
-    return df.withColumns(
+    return add(
+        df,
         {
             "raw_phase": if_usable(raw_phase()),
-            "pressure_level": if_usable(pressure_level(_c("pressure_score"))),
-            "direction": if_usable(direction(_c("d5_pressure_score"))),
-            **{f"{a}_answer": if_usable(_c(f"{a}_answer")) for a in ANSWERS},
-        }
-    )
+            "pressure_level": if_usable(pressure_level("pressure_score")),
+            "direction": if_usable(direction("d5_pressure_score")),
+            **{f"{a}_answer": if_usable(f"_{a}") for a in ANSWERS},
+        },
+    ).drop(*[f"_{a}" for a in ANSWERS])
 
 
 # ---- phase hysteresis ---------------------------------------------------------

@@ -13,7 +13,6 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from volpanel.sources.views import VIEWS, duck_view
 
@@ -49,15 +48,17 @@ def _parse(columns: str) -> list[tuple[str, str, int]]:
 def _spark_projection(df: DataFrame, columns: str) -> DataFrame:
     out = []
     for name, mark, digits in _parse(columns):
-        c = F.col(name)
         if mark == "#":
-            c = c.cast("bigint")
+            out.append(f"bigint({name}) AS {name}")
         elif mark == "~":
-            c = c.cast("double")
-            small = F.abs(c) < 0.5 * 10.0**-digits
-            c = F.when(small, F.lit(0.0)).otherwise(F.round(c * 10.0**digits) / 10.0**digits)
-        out.append(c.alias(name))
-    return df.select(*out)
+            d = f"double({name})"
+            out.append(
+                f"CASE WHEN abs({d}) < 0.5e-{digits} THEN 0D "
+                f"ELSE round({d} * 1e{digits}) / 1e{digits} END AS {name}"
+            )
+        else:
+            out.append(name)
+    return df.selectExpr(*out)
 
 
 def _sql_projection(columns: str) -> str:

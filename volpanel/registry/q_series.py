@@ -3,11 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from volpanel import params as P
-from volpanel.functions.num import forward_variance
-from volpanel.functions.tri import at_least_k_in_window
+from volpanel.functions.num import add, forward_variance
 from volpanel.operators import features as X
 from volpanel.operators import series as S
 from volpanel.registry.base import register, step
@@ -18,15 +16,15 @@ KEY = ["economic_index_id"]
 
 def panel(spark: SparkSession, folder: str) -> DataFrame:
     """Index panel with the term-structure columns a carrier surface carries."""
-    fvar = forward_variance(F.col("iv30_mf"), F.col("iv90_mf"))
-    return view(spark, folder, "panel").withColumns(
+    p = add(view(spark, folder, "panel"), {"fvar_30_90": forward_variance("iv30_mf", "iv90_mf")})
+    return add(
+        p,
         {
-            "fvar_30_90": fvar,
-            "fvol_30_90": 100.0 * F.sqrt(fvar),
-            "term_log_ratio_30_90": F.ln(F.col("iv30_mf") / F.col("iv90_mf")),
-            "iv_25d_put30": F.col("atm_iv30") + F.col("down_skew25"),
-            "iv_25d_call30": F.col("atm_iv30") + F.col("up_skew25"),
-        }
+            "fvol_30_90": "100D * sqrt(fvar_30_90)",
+            "term_log_ratio_30_90": "ln(iv30_mf / iv90_mf)",
+            "iv_25d_put30": "atm_iv30 + down_skew25",
+            "iv_25d_call30": "atm_iv30 + up_skew25",
+        },
     )
 
 

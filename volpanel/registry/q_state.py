@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from volpanel import params as P
 from volpanel.functions import tri
+from volpanel.functions.num import add
 from volpanel.operators import market as M
 from volpanel.operators import series as S
 from volpanel.operators import state as St
@@ -311,10 +311,7 @@ def _(spark, folder):
     "SELECT session_date, economic_index_id, index_pressure >= 65 AND (shock >= 65 OR down_tail >= 70 OR persistence >= 65) AS stressed FROM scored",
 )
 def _(spark, folder):
-    s = scored(spark, folder)
-    return s.withColumn(
-        "stressed", tri.stressed(*[F.col(c) for c in ("index_pressure", "shock", "down_tail", "persistence")])
-    )
+    return add(scored(spark, folder), {"stressed": tri.stressed("index_pressure", "shock", "down_tail", "persistence")})
 
 
 _market_cols = (
