@@ -77,7 +77,7 @@ def main() -> int:
                 print("   only spark", len(sa - sb), "only duck", len(sb - sa))
         except Exception as e:  # noqa: BLE001
             failed.append(name)
-            print("ERROR", name, str(e)[:1500], flush=True)
+            print("ERROR", name, str(e)[:500], flush=True)
     print("failed:", failed)
     return 1 if failed else 0
 

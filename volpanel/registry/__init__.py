@@ -6,7 +6,7 @@ from importlib import import_module
 
 from volpanel.registry.base import QUERIES, Query
 
-MODULES = ("q_series", "q_state")
+MODULES = ("q_series", "q_state", "q_surface")
 
 
 def load() -> dict[str, Query]:

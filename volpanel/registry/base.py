@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from volpanel.session import durable
 from volpanel.sources.views import VIEWS, duck_view
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +28,26 @@ class Query:
 
 
 QUERIES: dict[str, Query] = {}
+_TABLES: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def shared(build: Run) -> Run:
+    """A table that several queries read: built once per session and folder.
+
+    It is materialised by a reliable checkpoint, as the end-to-end job writes
+    its stage tables and reads them back.
+    """
+
+    def get(spark: SparkSession, folder: str) -> DataFrame:
+        key = (spark.sparkContext.applicationId, folder, f"{build.__module__}.{build.__name__}")
+        if key not in _TABLES:
+            _TABLES[key] = durable(build(spark, folder))
+        return _TABLES[key]
+
+    get.direct = build
+    return get
+
+
 STEPS: dict[str, str] = {f"v_{name}": duck_view(name) for name in VIEWS}
 RECURSIVE: set[str] = set()
 

@@ -8,7 +8,7 @@ from volpanel import params as P
 from volpanel.functions.num import add, forward_variance
 from volpanel.operators import features as X
 from volpanel.operators import series as S
-from volpanel.registry.base import register, step
+from volpanel.registry.base import register, shared, step
 from volpanel.sources.views import view
 
 KEY = ["economic_index_id"]
@@ -140,6 +140,7 @@ def _(spark, folder):
     return X.add_variance_premium(X.add_returns(panel(spark, folder)))
 
 
+@shared
 def feature_history(spark: SparkSession, folder: str) -> DataFrame:
     p = panel(spark, folder)
     marks = view(spark, folder, "panel").select("session_date", "carrier_id", "etf_mark", "tr_mark")
@@ -169,4 +170,4 @@ def _(spark, folder):
     "SELECT * FROM features",
 )
 def _(spark, folder):
-    return feature_history(spark, folder)
+    return feature_history.direct(spark, folder)

@@ -10,7 +10,7 @@ from volpanel.functions.num import add
 from volpanel.operators import market as M
 from volpanel.operators import series as S
 from volpanel.operators import state as St
-from volpanel.registry.base import register, step
+from volpanel.registry.base import register, shared, step
 from volpanel.registry.q_series import feature_history
 
 U = P.DEFAULT_UNIVERSE
@@ -252,14 +252,17 @@ step(
 )
 
 
+@shared
 def scored(spark: SparkSession, folder: str) -> DataFrame:
     return M.score_indices(feature_history(spark, folder))
 
 
+@shared
 def market(spark: SparkSession, folder: str) -> DataFrame:
     return M.build_market_score_history(feature_history(spark, folder), minimum_valid=P.RESEARCH_MINIMUM_VALID)
 
 
+@shared
 def state(spark: SparkSession, folder: str) -> DataFrame:
     return St.apply_phase_hysteresis(St.add_state_ontology(market(spark, folder)), config_hash=CONFIG)
 
