@@ -139,8 +139,8 @@ step(
 )
 step(
     "combo_fills",
-    """SELECT f.session_date, f.fill_scenario, f.fee_scenario, f.broker_fee, f.risk_budget, g.leg_issue, g.capacity,
-         CASE WHEN g.leg_issue IS NULL THEN 10000e0 * sum(CASE WHEN f.leg LIKE 'short%' THEN f.fill ELSE -f.fill END) END AS credit
+    """SELECT f.session_date, f.fill_scenario, f.fee_scenario, f.broker_fee, f.risk_budget, any_value(g.leg_issue) AS leg_issue, any_value(g.capacity) AS capacity,
+         CASE WHEN any_value(g.leg_issue) IS NULL THEN 10000e0 * sum(CASE WHEN f.leg LIKE 'short%' THEN f.fill ELSE -f.fill END) END AS credit
        FROM leg_fills f JOIN leg_gate g USING (session_date) GROUP BY ALL""",
 )
 step(
@@ -180,7 +180,7 @@ step(
          (o.entry_credit - o.exit_debit) / greatest(o.width - o.entry_credit, 1e0) AS return_on_max_loss,
          CASE WHEN o.call_side_pnl < o.put_side_pnl THEN 'CALL' ELSE 'PUT' END AS loss_side,
          min((o.entry_credit - p.combo) / greatest(o.width - o.entry_credit, 1e0)) AS max_adverse_excursion, arg_min(p.path_date, (-p.combo, p.o)) FILTER (WHERE p.combo IS NOT NULL) AS mae_date,
-         count(p.combo) / (o.xo - o.o0 + 1) AS path_mark_coverage, min(p.path_spot) AS path_spot_min, max(p.path_spot) AS path_spot_max,
+         count(p.combo) / any_value(o.xo - o.o0 + 1) AS path_mark_coverage, min(p.path_spot) AS path_spot_min, max(p.path_spot) AS path_spot_max,
          coalesce(min(p.path_spot) < any_value(o.short_put_strike), false) AS put_short_breached, coalesce(max(p.path_spot) > any_value(o.short_call_strike), false) AS call_short_breached
        FROM opps0 o JOIN paths p ON p.session_date = o.session_date AND p.o BETWEEN o.o0 AND o.xo WHERE o.entry_credit > 0 AND o.entry_credit < o.width
        GROUP BY ALL""",
