@@ -6,7 +6,7 @@ from importlib import import_module
 
 from volpanel.registry.base import QUERIES, Query
 
-MODULES = ("q_series", "q_state", "q_surface", "q_events", "q_condor", "q_metrics", "q_sources")
+MODULES = ("q_series", "q_state", "q_surface", "q_events", "q_condor", "q_metrics", "q_sources", "q_outputs")
 
 
 def load() -> dict[str, Query]:

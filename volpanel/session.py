@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,19 +24,29 @@ def local_session(cores: int | str = 8, app: str = "volpanel", driver_memory: st
     )
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut lineage through a reliable checkpoint.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names for checkpoints and scratch tables.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. Only a
-    single-machine master without that setting gets a temporary folder.
+    Only a single-machine master without that setting gets a temporary folder.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
-    if context.getCheckpointDir() is None:
+    folder = context.getCheckpointDir()
+    if folder is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None:
             if not context.master.startswith("local"):
                 raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
             folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         context.setCheckpointDir(folder)
+        folder = context.getCheckpointDir()
+    return folder
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Cut lineage through a reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
