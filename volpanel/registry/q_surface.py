@@ -217,9 +217,9 @@ step(
     "totals",
     """SELECT session_date, carrier_id, any_value(economic_index_id) AS economic_index_id, count(*) AS input_contracts, count(*) FILTER (WHERE is_standard) AS standard_contracts,
        count(*) FILTER (WHERE contract_unit > 0) AS eligible_contracts, count(*) FILTER (WHERE NOT is_standard) AS adjusted_contracts,
-       sum(daily_volume) FILTER (WHERE option_type = 'P') / nullif(sum(daily_volume) FILTER (WHERE option_type = 'C'), 0) AS pcr_volume,
-       sum(open_interest) FILTER (WHERE option_type = 'P') / nullif(sum(open_interest) FILTER (WHERE option_type = 'C'), 0) AS pcr_oi,
-       sum(daily_amount) FILTER (WHERE option_type = 'P') / nullif(sum(daily_amount) FILTER (WHERE option_type = 'C'), 0) AS pcr_premium
+       coalesce(sum(daily_volume) FILTER (WHERE option_type = 'P'), 0) / nullif(sum(daily_volume) FILTER (WHERE option_type = 'C'), 0) AS pcr_volume,
+       coalesce(sum(open_interest) FILTER (WHERE option_type = 'P'), 0) / nullif(sum(open_interest) FILTER (WHERE option_type = 'C'), 0) AS pcr_oi,
+       coalesce(sum(daily_amount) FILTER (WHERE option_type = 'P'), 0) / nullif(sum(daily_amount) FILTER (WHERE option_type = 'C'), 0) AS pcr_premium
        FROM v_chain GROUP BY 1, 2""",
 )
 step(
