@@ -388,7 +388,7 @@ def spearman(df: DataFrame, keys: list[str], x: str, y: str, out: str = "rho") -
 
     ranked = rows.join(ranks("x"), [*keys, "x"]).join(ranks("y"), [*keys, "y"])
     stats = ranked.groupBy(*keys).agg(
-        F.expr("count(1) AS n"), F.expr("min(x) < max(x) AND min(y) < max(y) AS _vary"), F.expr("corr(_rank_x, _rank_y) AS _rho")
+        F.expr("count(1) AS n"), F.expr("min(x) < max(x) AND min(y) < max(y) AS _vary"), F.expr("try_divide(covar_pop(_rank_x, _rank_y), stddev_pop(_rank_x) * stddev_pop(_rank_y)) AS _rho")
     )
     return stats.selectExpr(*keys, "n", f"CASE WHEN n >= 3 AND _vary THEN _rho END AS {out}")
 
