@@ -12,7 +12,8 @@ def test_research_job_writes_consistent_tables(spark):
     marks = chain.selectExpr("session_date", "carrier_id", "spot AS etf_mark", "spot * 1.1D AS tr_mark").distinct()
     params = ResearchParams(reference_sessions=40, minimum_valid=10, base_rate_minimum=5)
     paths = build_research(chain, marks, chain.select("session_date"), scratch_path(spark, "research"), params)
-    tables = {n: spark.read.parquet(p) for n, p in paths.items() if n != "daily"}
+    read = "market_state economic_index_state target_ledger daily_market_state carrier_surface".split()
+    tables = {n: spark.read.parquet(paths[n]) for n in read}
     states, daily = tables["market_state"], spark.read.json(paths["daily"])
     assert states.count() == daily.count() > 60
     assert tables["economic_index_state"].count() == 4 * states.count()

@@ -68,13 +68,6 @@ def position(over: str) -> str:
     return f"(row_number() OVER ({over}) - 1L)"
 
 
-def keep_one(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """First row per key in the given order, as one map-side-combined aggregate."""
-    rest = ", ".join(f"`{c}`" for c in df.columns if c not in keys)
-    best = F.expr(f"min_by(struct({rest}), struct({', '.join(order)}))").alias("_row")
-    return df.groupBy(*keys).agg(best).select(*keys, "_row.*")
-
-
 # ---- rolling mid-rank percentile --------------------------------------------
 
 
