@@ -11,7 +11,6 @@ from volpanel.operators import calendar as C
 from volpanel.operators import events as E
 from volpanel.operators import models as Mo
 from volpanel.operators import series as S
-from volpanel.operators.market import UNIVERSE
 from volpanel.registry.base import register, shared, step
 from volpanel.registry.q_state import k_window, state
 from volpanel.sources.views import table

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from volpanel import params as P
 from volpanel.functions.num import add
 from volpanel.operators import metrics as Me
 from volpanel.operators import series as S
@@ -13,7 +12,7 @@ from volpanel.registry.q_condor import exits
 from volpanel.sources.views import view
 
 COMMON = "1998-01-02"
-_RET = "0.0973123e0 * (iv30_mf - 19e0) / 1000e0 - CASE WHEN n % 13 = 0 THEN 0.01e0 ELSE 0e0 END + 1.7e-7 * dayofyear(session_date) * n"
+_RET = "0.09731234567891e0 * (iv30_mf - 19e0) / 1000e0 - CASE WHEN n % 13 = 0 THEN 0.01e0 ELSE 0e0 END + 1.70123456789e-7 * dayofyear(session_date) * n"
 _scenarios = (
     "('SV_STATIC', 'VWAP_2TICK', 2e0, 0.08e0, 1e0), ('SV_DYNAMIC', 'VWAP_2TICK', 2e0, 0.08e0, 0.8e0), "
     "('SV_STATIC', 'VWAP_2TICK', 2e0, 0.05e0, 0.7e0), ('SV_DYNAMIC', 'VWAP_2TICK', 2e0, 0.05e0, 0.6e0), "

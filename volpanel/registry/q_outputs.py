@@ -13,7 +13,7 @@ from volpanel.operators import models as Mo
 from volpanel.operators import narrative as N
 from volpanel.operators.market import AXIS_NAMES
 from volpanel.registry.base import register, shared, step
-from volpanel.registry.q_condor import opportunities, selection
+from volpanel.registry.q_condor import opportunities
 from volpanel.registry.q_events import calendar, ledger
 from volpanel.registry.q_series import feature_history
 from volpanel.registry.q_sources import observations

@@ -8,7 +8,6 @@ from volpanel import params as P
 from volpanel.functions import tri
 from volpanel.functions.num import add
 from volpanel.operators import market as M
-from volpanel.operators import series as S
 from volpanel.operators import state as St
 from volpanel.registry.base import register, shared, step
 from volpanel.registry.q_series import feature_history
