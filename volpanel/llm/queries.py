@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from volpanel.llm.decontamination import decontaminate
+from volpanel.llm.near_duplicates import near_duplicates
 from volpanel.llm.packing import pack
 
 
@@ -37,8 +38,12 @@ def op8_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack(table(spark, folder, "documents"), tokenizer_path())
 
 
+def op9_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates(table(spark, folder, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_decontamination, op8_packing)}
+    return {f.__name__: f for f in (op1_decontamination, op8_packing, op9_near_duplicates)}
 
 
 def oracle_sql() -> dict[str, str]:
