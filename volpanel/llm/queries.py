@@ -10,6 +10,7 @@ from volpanel.llm.decontamination import decontaminate
 from volpanel.llm.licences import scan_licences
 from volpanel.llm.near_duplicates import near_duplicates
 from volpanel.llm.packing import pack
+from volpanel.llm.toxicity import score_toxicity
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -48,13 +49,17 @@ def op4_licences(spark: SparkSession, folder: str) -> DataFrame:
     return scan_licences(table(spark, folder, "documents"))
 
 
+def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return score_toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op7_archives(spark: SparkSession, folder: str) -> DataFrame:
     merged = archive(table(spark, folder, "pages"), time="timestamp_seconds(1700000000L + id)")
     return merged.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_decontamination, op4_licences, op7_archives, op8_packing, op9_near_duplicates)}
+    return {f.__name__: f for f in (op1_decontamination, op4_licences, op6_toxicity, op7_archives, op8_packing, op9_near_duplicates)}
 
 
 def oracle_sql() -> dict[str, str]:
