@@ -23,7 +23,7 @@ KNOWN_MARKS = range(0x2010, 0x2028)
 BASE = 0xC2B2AE3D27D4EB4F
 CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-KEEP = 1 << 20
+KEEP = 1 << 18
 
 
 def class_table() -> np.ndarray:
