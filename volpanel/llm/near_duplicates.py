@@ -6,9 +6,9 @@ text, so two texts share it only if they share these k-mers in the same order: i
 are joined to bands; texts that share a band are candidates, and a banded alignment of their k-mers decides.
 
 Texts with the same words are one node from the start. In a band every node is compared with the smallest one (its
-hub) instead of with all others; nodes that the hub did not take are compared with the rest of their band, unless
-their distances to the hub rule a link out (Jaccard distance is a metric). Bands with many such nodes are split by a
-second band first. Classes are connected components.
+hub) instead of with all others. Only in bands whose nodes are not of one component by then, nodes of different
+components are compared, unless their distances to the hub rule a link out (Jaccard distance is a metric). Classes are
+connected components, so copies of copies are never expanded into pairs.
 """
 
 from __future__ import annotations
@@ -28,9 +28,8 @@ from volpanel.session import scratch_path
 K = 5
 SIMILARITY = 0.8
 KEEP = 2
-BANDS = 16
-ROWS = 2
-SMALL = 40
+BANDS = 20
+ROWS = 3
 PLACE = np.uint64((1 << 28) - 1)
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -161,29 +160,30 @@ def similarity(a: np.ndarray, b: np.ndarray, share: float = SIMILARITY) -> tuple
     return aligned / (len(a) + len(b) - aligned), jaccard
 
 
-def compare(pairs: DataFrame, docs: DataFrame, groups: DataFrame, k: int, share: float) -> DataFrame:
-    """(a, b, jaccard, linked) of node pairs: texts of their first documents, aligned."""
-    nodes = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "node")
-    wanted = groups.join(nodes, "node").select("node", F.col("first_id").alias("id"))
+def stored_kmers(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """(node, kmers) of the texts of (node, id)."""
 
-    def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in blocks(batch, "text"):
                 _, _, _, hashes, first = words_of(block.column("text"))
                 values, at = kmers(hashes, first, k)
+                # of rows with equal ids, those with other words are not meant
                 own = [d == n for d, n in zip(digests(hashes, first), block.column("node").to_pylist())]
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "node": block.column("node"),
-                        "kmers": pa.array([values[i:j].tobytes() for i, j in zip(at[:-1], at[1:])], pa.binary()),
-                        "own": pa.array(own),
-                    }
-                ).filter(pa.array(own))
+                rows = {
+                    "node": block.column("node"),
+                    "kmers": pa.array([values[i:j].tobytes() for i, j in zip(at[:-1], at[1:])], pa.binary()),
+                }
+                yield pa.RecordBatch.from_pydict(rows).filter(pa.array(own, pa.bool_()))
 
-    texts = docs.join(wanted, "id").select("node", "text")
     path = scratch_path(docs.sparkSession, "kmers")
-    texts.mapInArrow(shingle, "node binary, kmers binary, own boolean").drop("own").write.parquet(path)
-    stored = docs.sparkSession.read.parquet(path)
+    texts = docs.join(wanted, "id").select("node", "text")
+    texts.mapInArrow(run, "node binary, kmers binary").write.parquet(path)
+    return docs.sparkSession.read.parquet(path)
+
+
+def compare(pairs: DataFrame, stored: DataFrame, share: float) -> DataFrame:
+    """(a, b, jaccard, linked) of node pairs."""
     left = stored.select(F.col("node").alias("a"), F.col("kmers").alias("ka"))
     right = stored.select(F.col("node").alias("b"), F.col("kmers").alias("kb"))
     # the side where one node meets very many comes first, while the rows are still narrow
@@ -191,23 +191,22 @@ def compare(pairs: DataFrame, docs: DataFrame, groups: DataFrame, k: int, share:
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
-            for x, y in zip(batch.column("ka"), batch.column("kb")):
-                found.append(similarity(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), share))
+            found = [
+                similarity(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), share)
+                for x, y in zip(batch.column("ka"), batch.column("kb"))
+            ]
             yield pa.RecordBatch.from_pydict(
                 {
                     "a": batch.column("a"),
                     "b": batch.column("b"),
-                    "aligned": pa.array([f[0] for f in found], pa.float64()),
                     "jaccard": pa.array([f[1] for f in found], pa.float64()),
+                    "linked": pa.array([max(f) >= share for f in found], pa.bool_()),
                 }
             )
 
-    out = scratch_path(docs.sparkSession, "compared")
-    rows.mapInArrow(align, "a binary, b binary, aligned double, jaccard double").withColumn(
-        "linked", F.expr(f"greatest(aligned, jaccard) >= {share}")
-    ).write.parquet(out)
-    return docs.sparkSession.read.parquet(out)
+    path = scratch_path(stored.sparkSession, "compared")
+    rows.mapInArrow(align, "a binary, b binary, jaccard double, linked boolean").write.parquet(path)
+    return stored.sparkSession.read.parquet(path)
 
 
 def near_duplicates(
@@ -219,7 +218,6 @@ def near_duplicates(
     keep: int = KEEP,
     rows: int = ROWS,
     number: int = BANDS,
-    small: int = SMALL,
 ) -> DataFrame:
     """One row per row of ``docs``: its id, ``class_id`` (the smallest id of its class) and ``class_size`` (rows).
 
@@ -237,46 +235,28 @@ def near_duplicates(
     named.groupBy("node").agg(F.min("id").alias("first_id"), F.count("*").alias("n"), F.any_value("bands").alias("bands")).write.parquet(path)
     groups = spark.read.parquet(path)
 
-    banded = groups.select("node", "bands", F.explode("bands").alias("band"))
-    hubs = banded.groupBy("band").agg(F.min("node").alias("hub"), F.count("*").alias("size")).where("size > 1")
+    banded = groups.select("node", "first_id", F.explode("bands").alias("band"))
+    hubs = banded.groupBy("band").agg(F.min("node").alias("hub"), F.count("*").alias("size")).where("size > 1").drop("size")
     path = scratch_path(spark, "bands")
     banded.join(hubs, "band").write.parquet(path)
     shared = spark.read.parquet(path)
-    links = []
-    level = 0
-    while True:
-        stars = shared.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
-        near = compare(stars, source, groups, k, share)
-        links.append(near.where("linked").select("a", "b"))
-        # nodes that their hub did not take, and whatever of their band could still be linked to them
-        seen = shared.where("node <> hub").join(near.withColumnsRenamed({"a": "node", "b": "hub"}), ["node", "hub"])
-        loose = seen.where("NOT linked").groupBy("band").agg(F.count("*").alias("loose"))
-        path = scratch_path(spark, "loose")
-        seen.join(loose, "band").select("band", "node", "bands", "jaccard", "linked", "size").write.parquet(path)
-        open_ = spark.read.parquet(path)
-        few = open_.where(f"size <= {small}" if level < 3 else "true")
-        one = few.where("NOT linked").select("band", F.col("node").alias("a"), F.col("jaccard").alias("ja"))
-        two = few.select("band", F.col("node").alias("b"), F.col("jaccard").alias("jb"), F.col("linked").alias("lb"))
-        rest = one.join(two, "band").where(f"(lb OR a > b) AND a <> b AND abs(ja - jb) <= {1 - share} + 1e-9")
-        rest = rest.selectExpr("greatest(a, b) AS a", "least(a, b) AS b").distinct()
-        links.append(compare(rest, source, groups, k, share).where("linked").select("a", "b"))
-        if level >= 3:
-            break
-        large = open_.where(f"size > {small}")
-        if large.isEmpty():
-            break
-        # too many for pairs: they must also share a second band
-        level += 1
-        finer = large.select("node", "bands", "band", F.explode("bands").alias("second")).where("second <> band")
-        finer = finer.selectExpr("node", "bands", "xxhash64(band, second) AS band")
-        hubs = finer.groupBy("band").agg(F.min("node").alias("hub"), F.count("*").alias("size")).where("size > 1")
-        path = scratch_path(spark, "bands")
-        finer.join(hubs, "band").write.parquet(path)
-        shared = spark.read.parquet(path)
-    edges = links[0]
-    for more in links[1:]:
-        edges = edges.union(more)
-    roots = components(edges)
+    stored = stored_kmers(source, shared.select("node", F.col("first_id").alias("id")).distinct(), k)
+
+    stars = shared.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
+    near = compare(stars, stored, share)
+    # bands whose nodes are not of one component yet
+    roots = components(near.where("linked").select("a", "b"))
+    rooted = shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rooted = rooted.join(near.select(F.col("a").alias("node"), F.col("b").alias("hub"), "jaccard"), ["node", "hub"], "left")
+    open_ = rooted.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("band")
+    path = scratch_path(spark, "open")
+    rooted.join(open_, "band").where("node <> hub").select("band", "node", "root", "jaccard").write.parquet(path)
+    rest = spark.read.parquet(path)
+    one = rest.selectExpr("band", "node AS a", "root AS ra", "jaccard AS ja")
+    two = rest.selectExpr("band", "node AS b", "root AS rb", "jaccard AS jb")
+    pairs = one.join(two, "band").where(f"a > b AND ra <> rb AND abs(ja - jb) <= {1 - share} + 1e-9").select("a", "b").distinct()
+    more = compare(pairs, stored, share)
+    roots = components(near.where("linked").select("a", "b").union(more.where("linked").select("a", "b")))
     placed = groups.select("node", "first_id", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     classes = placed.groupBy("root").agg(F.min("first_id").alias("class_id"), F.sum("n").alias("class_size")).where("class_size > 1")
     known = placed.join(classes, "root").select("node", "class_id", "class_size")
