@@ -158,10 +158,10 @@ class LoserTree:
             self.tree[0] = best
 
 
-def merge_index(captures: DataFrame, order: tuple[str, ...] = ("url_key", "time", "id"), run_rows: int = RUN_ROWS, range_rows: int = RANGE_ROWS) -> DataFrame:
+def merge_index(captures: DataFrame, order: tuple[str, ...], run_rows: int = RUN_ROWS, range_rows: int = RANGE_ROWS) -> DataFrame:
     """All rows of ``captures`` with (``range``, ``place``): ascending in the order columns over the whole table.
 
-    The order columns must not be null. Ties keep the order of runs.
+    The order columns are strings or integers without nulls. Ties keep the order of runs.
     """
     spark = captures.sparkSession
     names = captures.columns
@@ -259,7 +259,7 @@ def archive(
     write_archives(roles(source.withColumn("time", F.expr(time))), path, token)
     back = read_archives(spark, path, token, kind)
     index = back.selectExpr(
-        f"coalesce({' '.join(URL_KEY.split())}, '') AS url_key", "time", "coalesce(string(id), '') AS id_text", "id",
+        f"coalesce({' '.join(URL_KEY.split())}, '') AS url_key", "time", "coalesce(unix_micros(time), 0L) AS micros", "coalesce(string(id), '') AS id_text", "id",
         "payload_bytes", "digest AS payload_digest", "record_type", "refers_to", "archive",
     )
-    return merge_index(index, ("url_key", "time", "id_text")).drop("id_text").withColumnRenamed("id", id)
+    return merge_index(index, ("url_key", "micros", "id_text")).drop("micros", "id_text").withColumnRenamed("id", id)
