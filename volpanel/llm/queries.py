@@ -10,6 +10,7 @@ from volpanel.llm.decontamination import decontaminate
 from volpanel.llm.licences import scan_licences
 from volpanel.llm.near_duplicates import near_duplicates
 from volpanel.llm.packing import pack
+from volpanel.llm.quality import quality_rules
 from volpanel.llm.toxicity import score_toxicity
 
 
@@ -49,6 +50,10 @@ def op4_licences(spark: SparkSession, folder: str) -> DataFrame:
     return scan_licences(table(spark, folder, "documents"))
 
 
+def op5_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_rules(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return score_toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
@@ -59,7 +64,7 @@ def op7_archives(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_decontamination, op4_licences, op6_toxicity, op7_archives, op8_packing, op9_near_duplicates)}
+    return {f.__name__: f for f in (op1_decontamination, op4_licences, op5_quality, op6_toxicity, op7_archives, op8_packing, op9_near_duplicates)}
 
 
 def oracle_sql() -> dict[str, str]:
