@@ -6,9 +6,10 @@ text, so two texts share it only if they share these k-mers in the same order: i
 are joined to bands; texts that share a band are candidates, and a banded alignment of their k-mers decides.
 
 Texts with the same words are one node from the start. In a band every node is compared with the smallest one (its
-hub) instead of with all others. Only in bands whose nodes are not of one component by then, nodes of different
-components are compared, unless their distances to the hub rule a link out (Jaccard distance is a metric). Classes are
-connected components, so copies of copies are never expanded into pairs.
+hub) instead of with all others. Only bands whose nodes are not of one component by then go on. In a small one, nodes
+of different components are compared unless their distances to the hub rule a link out (Jaccard distance is a metric).
+In a large one all nodes are compared with a few more nodes of other components, drawn anew in each round, until a
+round over all large bands finds no link. The work of a round is in proportion to the nodes, however large a group is.
 """
 
 from __future__ import annotations
@@ -23,13 +24,15 @@ from pyspark.sql import functions as F
 
 from volpanel.llm.graph import components
 from volpanel.llm.words import BLOCK_BYTES, blocks, mix, words_of
-from volpanel.session import scratch_path
+from volpanel.session import durable, scratch_path
 
 K = 5
 SIMILARITY = 0.8
 KEEP = 2
 BANDS = 20
 ROWS = 3
+SMALL = 24
+PIVOTS = 3
 PLACE = np.uint64((1 << 28) - 1)
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -244,19 +247,34 @@ def near_duplicates(
 
     stars = shared.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
     near = compare(stars, stored, share)
-    # bands whose nodes are not of one component yet
-    roots = components(near.where("linked").select("a", "b"))
-    rooted = shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    rooted = rooted.join(near.select(F.col("a").alias("node"), F.col("b").alias("hub"), "jaccard"), ["node", "hub"], "left")
-    open_ = rooted.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("band")
-    path = scratch_path(spark, "open")
-    rooted.join(open_, "band").where("node <> hub").select("band", "node", "root", "jaccard").write.parquet(path)
-    rest = spark.read.parquet(path)
-    one = rest.selectExpr("band", "node AS a", "root AS ra", "jaccard AS ja")
-    two = rest.selectExpr("band", "node AS b", "root AS rb", "jaccard AS jb")
-    pairs = one.join(two, "band").where(f"a > b AND ra <> rb AND abs(ja - jb) <= {1 - share} + 1e-9").select("a", "b").distinct()
-    more = compare(pairs, stored, share)
-    roots = components(near.where("linked").select("a", "b").union(more.where("linked").select("a", "b")))
+    links = near.where("linked").select("a", "b")
+    roots = components(links)
+    known = near.select(F.col("a").alias("node"), F.col("b").alias("hub"), "jaccard")
+    turn = 0
+    while True:
+        # nodes of the bands that are not of one component yet
+        rooted = shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        drawn = [F.expr(f"min_by(struct(node, root), xxhash64(node, {turn}, {i}))").alias(f"p{i}") for i in range(PIVOTS)]
+        open_ = rooted.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size"), *drawn)
+        open_ = open_.where(f"low <> high AND ({turn} = 0 OR size > {SMALL})").drop("low", "high")
+        rest = rooted.select("band", "node", "hub", "root").join(open_, "band")
+        large = rest.where(f"size > {SMALL}").select("node", "root", F.explode(F.array_distinct(F.array(*(f"p{i}" for i in range(PIVOTS))))).alias("p"))
+        pairs = large.where("root <> p.root").selectExpr("greatest(node, p.node) AS a", "least(node, p.node) AS b")
+        if not turn:
+            few = rest.where(f"size <= {SMALL} AND node <> hub").join(known, ["node", "hub"]).select("band", "node", "root", "jaccard")
+            path = scratch_path(spark, "open")
+            few.write.parquet(path)
+            few = spark.read.parquet(path)
+            one = few.selectExpr("band", "node AS a", "root AS ra", "jaccard AS ja")
+            two = few.selectExpr("band", "node AS b", "root AS rb", "jaccard AS jb")
+            near = one.join(two, "band").where(f"a > b AND ra <> rb AND abs(ja - jb) <= {1 - share} + 1e-9")
+            pairs = pairs.union(near.select("a", "b"))
+        found = compare(pairs.distinct(), stored, share).where("linked").select("a", "b")
+        turn += 1
+        if found.isEmpty():
+            break
+        links = durable(links.union(found))
+        roots = components(links)
     placed = groups.select("node", "first_id", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     classes = placed.groupBy("root").agg(F.min("first_id").alias("class_id"), F.sum("n").alias("class_size")).where("class_size > 1")
     known = placed.join(classes, "root").select("node", "class_id", "class_size")
