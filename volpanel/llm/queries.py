@@ -10,6 +10,7 @@ from volpanel.llm.decontamination import decontaminate
 from volpanel.llm.licences import scan_licences
 from volpanel.llm.near_duplicates import near_duplicates
 from volpanel.llm.packing import pack
+from volpanel.llm.personal_data import BASE, find_personal_data, listed
 from volpanel.llm.quality import quality_rules
 from volpanel.llm.toxicity import score_toxicity
 
@@ -63,8 +64,17 @@ def op7_archives(spark: SparkSession, folder: str) -> DataFrame:
     return merged.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op10_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    return find_personal_data(table(spark, folder, "documents")).selectExpr(
+        "doc_id",
+        *[f"bigint(size(filter(base, e -> e.kind = '{kind}'))) AS n_{kind}" for kind in BASE],
+        f"sha2({listed('base')}, 256) AS base_sha256",
+        f"{listed('spans')} AS spans",
+    )
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_decontamination, op4_licences, op5_quality, op6_toxicity, op7_archives, op8_packing, op9_near_duplicates)}
+    return {f.__name__: f for f in (op1_decontamination, op4_licences, op5_quality, op6_toxicity, op7_archives, op8_packing, op9_near_duplicates, op10_personal_data)}
 
 
 def oracle_sql() -> dict[str, str]:
