@@ -1,4 +1,9 @@
-"""A corpus pipeline: stages applied one after the other, each written and reread."""
+"""A corpus pipeline: stages applied one after the other, each written to the shared folder and reread.
+
+toxicity: documents that the classifier calls toxic go. near_duplicates: of each class the document with the smallest
+id stays. decontamination: documents of which a twentieth or more stands in benchmark passages go. personal_data: every
+span is replaced by its kind. packing: what is left is cut and packed into token windows, one row per piece.
+"""
 
 from __future__ import annotations
 
@@ -6,17 +11,52 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from volpanel.llm.decontamination import decontaminate
-from volpanel.llm.queries import table
+from volpanel.llm.near_duplicates import near_duplicates as find_near_duplicates
+from volpanel.llm.packing import pack
+from volpanel.llm.personal_data import find_personal_data, redacted
+from volpanel.llm.queries import table, tokenizer_path
+from volpanel.llm.toxicity import score_toxicity
 from volpanel.session import scratch_path
 
 
+def without(docs: DataFrame, bad: DataFrame) -> DataFrame:
+    """Documents whose id is not in ``bad``, with their columns in order; documents without an id stay."""
+    return docs.join(bad.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    return without(docs, score_toxicity(docs, table(spark, folder, "labels")).where("predicted = 1"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Rows that repeat an id keep it only once for equal texts of one class."""
+    return without(docs, find_near_duplicates(docs).where("class_id <> doc_id"))
+
+
 def decontamination(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Documents of which less than a twentieth stands in benchmark passages."""
-    bad = decontaminate(docs, table(spark, folder, "benchmark")).where("contaminated").select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti")
+    return without(docs, decontaminate(docs, table(spark, folder, "benchmark")).where("contaminated"))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    found = find_personal_data(docs, keep=tuple(docs.columns))
+    masked = found.select("row.*", "spans").withColumn("text", F.expr(redacted("text", "spans")))
+    if "n_chars" in docs.columns:
+        masked = masked.withColumn("n_chars", F.expr("length(text)").cast(docs.schema["n_chars"].dataType))
+    return masked.select(*docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    return pack(docs, tokenizer_path())
 
 
-STAGES = [("decontamination", decontamination)]
+STAGES = [
+    ("toxicity", toxicity),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("personal_data", personal_data),
+    ("packing", packing),
+]
+#: Viterbi decoding, alignment and tokens have no SQL form.
 ORACLE_SQL = None
 
 

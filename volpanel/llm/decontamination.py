@@ -169,10 +169,11 @@ def match_block(terms, counts, positions, w: Windows, misses: int = 0, slack: in
 def search(index: DataFrame, test: Windows, misses: int = 2, slack: int = 3) -> DataFrame:
     """Per document with its hits: merged hit intervals, items matched exactly, and items matched in proximity only."""
     kind = index.schema["ids"].dataType.elementType.simpleString()
-    shared = index.sparkSession.sparkContext.broadcast(test)
+    parts = (test.terms, test.slots, test.lengths, test.item, test.items)
+    shared = index.sparkSession.sparkContext.broadcast(parts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = shared.value
+        w = Windows(*shared.value)
         for batch in batches:
             for r in range(batch.num_rows):
                 get = lambda name, r=r: batch.column(name)[r].values.to_numpy(zero_copy_only=False)

@@ -172,17 +172,18 @@ def classifier(patterns: list[tuple], post: list[float], steps: int = 300, rate:
     return bias, weights
 
 
-def find_personal_data(docs: DataFrame, id: str = "doc_id", text: str = "text", threshold: float = 0.5) -> DataFrame:
+def find_personal_data(docs: DataFrame, id: str = "doc_id", text: str = "text", threshold: float = 0.5, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per row of ``docs``: ``base`` (kind, start, stop) of the fixed patterns and ``spans`` (all, with a probability).
 
     Places are code points, stop exclusive; spans are sorted by kind - the fixed ones first, in their order, then the
-    others by name - and start. A candidate of another kind that overlaps a base span is dropped. Null and empty texts
+    others by name - and start. Columns named in ``keep`` come along as one column ``row``. A candidate of another kind that overlaps a base span is dropped. Null and empty texts
     have no spans; repeated rows are searched one by one.
     """
     spark = docs.sparkSession
-    source = docs.select(F.col(id).alias("id"), F.translate(F.coalesce(F.col(text).cast("string"), F.lit("")), MARK + DOT + BLANK, OTHER * 3).alias("text"))
-    found = source.selectExpr("id", "text", *[f"{spans(k)} AS {k}" for k in PATTERNS])
-    judged = found.selectExpr("id", f"transform(concat({', '.join(PATTERNS)}), e -> {votes()}) AS spans")
+    row = F.struct(*keep) if keep else F.lit(None).cast("int")
+    source = docs.select(row.alias("row"), F.col(id).alias("id"), F.translate(F.coalesce(F.col(text).cast("string"), F.lit("")), MARK + DOT + BLANK, OTHER * 3).alias("text"))
+    found = source.selectExpr("row", "id", "text", *[f"{spans(k)} AS {k}" for k in PATTERNS])
+    judged = found.selectExpr("row", "id", f"transform(concat({', '.join(PATTERNS)}), e -> {votes()}) AS spans")
     path = scratch_path(spark, "candidates")
     judged.write.parquet(path)
     stored = spark.read.parquet(path)
@@ -198,11 +199,13 @@ def find_personal_data(docs: DataFrame, id: str = "doc_id", text: str = "text",
     score = f"1 / (1 + exp(-({reduce(lambda a, b: f'{a} + {b}', terms, f'{bias!r}D')})))"
     own = ", ".join(f"'{k}'" for k in BASE)
     scored = stored.selectExpr(
+        "row",
         "id",
         f"filter(spans, e -> e.kind IN ({own})) AS base",
         f"transform(spans, e -> named_struct('kind', e.kind, 'start', e.start, 'stop', e.stop, 'probability', {score})) AS spans",
     )
     return scored.selectExpr(
+        *["row"] * bool(keep),
         f"id AS {id}",
         "transform(base, e -> named_struct('kind', e.kind, 'start', e.start, 'stop', e.stop)) AS base",
         f"filter(spans, e -> e.kind IN ({own}) OR (e.probability >= {threshold} AND NOT exists(base, o -> o.start < e.stop AND e.start < o.stop))) AS spans",
@@ -212,3 +215,12 @@ def find_personal_data(docs: DataFrame, id: str = "doc_id", text: str = "text",
 def listed(spans: str) -> str:
     """kind:start:stop of all spans, comma-joined."""
     return f"array_join(transform({spans}, e -> concat(e.kind, ':', e.start, ':', e.stop)), ',')"
+
+
+def redacted(text: str, spans: str) -> str:
+    """The text with every span replaced by its kind in angle brackets; overlapping spans are one gap."""
+    return (
+        f"transform(array(coalesce({text}, '')), t -> aggregate(array_sort(transform({spans}, e -> named_struct('start', e.start, 'stop', e.stop, 'kind', e.kind))), "
+        "named_struct('at', 0, 'out', ''), (a, e) -> CASE WHEN e.stop <= a.at THEN a ELSE named_struct('at', e.stop, 'out', "
+        "concat(a.out, substr(t, a.at + 1, greatest(0, e.start - a.at)), '<', e.kind, '>')) END, a -> concat(a.out, substr(t, a.at + 1))))[0]"
+    )

@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from volpanel.llm.archives import archive
+from volpanel.llm.conversations import collapse_snapshots
 from volpanel.llm.decontamination import decontaminate
 from volpanel.llm.licences import scan_licences
+from volpanel.llm.main_text import main_text
 from volpanel.llm.near_duplicates import near_duplicates
 from volpanel.llm.packing import pack
 from volpanel.llm.personal_data import BASE, find_personal_data, listed
@@ -28,7 +30,6 @@ def op1_decontamination(spark: SparkSession, folder: str) -> DataFrame:
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"),
         "contaminated",
-        F.size("near_items").cast("long").alias("n_near_items"),
     )
 
 
@@ -47,6 +48,14 @@ def op9_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "documents"))
 
 
+def op2_conversations(spark: SparkSession, folder: str) -> DataFrame:
+    return collapse_snapshots(table(spark, folder, "conversations"))
+
+
+def op3_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    return main_text(table(spark, folder, "pages"))
+
+
 def op4_licences(spark: SparkSession, folder: str) -> DataFrame:
     return scan_licences(table(spark, folder, "documents"))
 
@@ -74,8 +83,56 @@ def op10_personal_data(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_decontamination, op4_licences, op5_quality, op6_toxicity, op7_archives, op8_packing, op9_near_duplicates, op10_personal_data)}
+    found = (
+        op1_decontamination, op2_conversations, op3_main_text, op4_licences, op5_quality,
+        op6_toxicity, op7_archives, op8_packing, op9_near_duplicates, op10_personal_data,
+    )
+    return {f.__name__: f for f in found}
+
+
+WORDS = """regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"""
+
+OP1_SQL = f"""
+WITH w AS (SELECT doc_id, row_number() OVER () AS rid, coalesce({WORDS}, []) AS ws FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item, {WORDS} AS ws FROM benchmark WHERE text IS NOT NULL AND item_id IS NOT NULL),
+bi AS (SELECT item, ws, least(len(ws), 13) AS size, unnest(range(1, greatest(len(ws) - 12, 1) + 1)) AS i FROM b WHERE len(ws) > 0),
+bw AS (SELECT DISTINCT item, size, array_to_string(ws[i:i + size - 1], ' ') AS win FROM bi),
+sizes AS (SELECT DISTINCT size FROM bw),
+di AS (SELECT rid, ws, size, unnest(range(1, len(ws) - size + 2)) AS i FROM w, sizes WHERE len(ws) >= size),
+dw AS (SELECT rid, i, size, array_to_string(ws[i:i + size - 1], ' ') AS win FROM di),
+hit AS (SELECT rid, i, size, item FROM dw JOIN bw USING (size, win)),
+spot AS (SELECT rid, count(DISTINCT pos) AS n_hit FROM (SELECT rid, unnest(range(i, i + size)) AS pos FROM hit) GROUP BY rid),
+item AS (SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT rid, item FROM hit) GROUP BY rid)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+    sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
+FROM w LEFT JOIN spot USING (rid) LEFT JOIN item USING (rid)
+"""
+
+OP2_SQL = """
+WITH t AS (
+    SELECT conv_id AS id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS place,
+        CASE WHEN role IS NULL THEN '0' ELSE '1' || role END || chr(30) || CASE WHEN text IS NULL THEN '0' ELSE '1' || text END AS x,
+        '<|' || coalesce(role, '') || '|>' || chr(10) || coalesce(text, '') || chr(10) || '<|end|>' AS y
+    FROM conversations WHERE conv_id IS NOT NULL),
+p AS (SELECT id, place, string_agg(x, chr(31)) OVER (PARTITION BY id ORDER BY place) AS prefix, count(*) OVER (PARTITION BY id) AS n FROM t),
+whole AS (SELECT id, n, prefix FROM p WHERE place = n),
+longer AS (SELECT place AS n, prefix, arg_min(id, (-n, id)) AS holder FROM p WHERE place < n GROUP BY place, prefix),
+same AS (SELECT n, prefix, min(id) AS first_id FROM whole GROUP BY n, prefix),
+text AS (SELECT id, string_agg(y, chr(10) ORDER BY place) AS y FROM t GROUP BY id)
+SELECT id AS conv_id, n AS n_turns, holder IS NULL AND id = first_id AS kept,
+    coalesce(holder, CASE WHEN id <> first_id THEN first_id END) AS kept_by, CASE WHEN holder IS NULL AND id = first_id THEN y END AS rendered
+FROM whole JOIN same USING (n, prefix) LEFT JOIN longer USING (n, prefix) JOIN text USING (id)
+"""
+
+OP7_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+s AS (SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, sha256(html) AS payload_digest, min(page_id) OVER (PARTITION BY html) AS first FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+    CASE WHEN payload_bytes >= 100 AND first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+    CASE WHEN payload_bytes >= 100 AND first <> page_id THEN first END AS refers_to
+FROM s
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_decontamination": OP1_SQL, "op2_conversations": OP2_SQL, "op7_archives": OP7_SQL}
