@@ -46,6 +46,9 @@ def test_forward_as_of_and_age(spark):
     rows = spark.createDataFrame([(d, dt.date(2023, 6, 3)) for d in days], "session_date date, listing date")
     ages = {r.session_date: r.listing_age_sessions for r in C.listing_age(rows, cal, "listing").collect()}
     assert ages == {days[0]: None, days[1]: 1, days[2]: 2}
+    rows = spark.createDataFrame([(d, dt.date(2019, 1, 2)) for d in days], "session_date date, listing date")
+    ages = {r.session_date: r.listing_age_sessions for r in C.listing_age(rows, cal, "listing").collect()}
+    assert ages == {days[0]: 1, days[1]: 2, days[2]: 3}  # years before the calendar: its first session counts as the listing
 
 
 def ledger_frame(spark, n=254, every=4, horizon=1, seed=None):

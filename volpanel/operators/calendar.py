@@ -42,20 +42,23 @@ def first_session_from(calendar: DataFrame) -> DataFrame:
     """For every calendar day, the first session on or after it.
 
     Each session owns the days since the previous one, so a forward as-of
-    lookup becomes an equi-join on the day.
+    lookup becomes an equi-join on the day. Days before the calendar have no row.
     """
-    start = "date_add(coalesce(previous_session, date_sub(session_date, 31)), 1)"
+    start = "coalesce(date_add(previous_session, 1), session_date)"
     return calendar.selectExpr(
         f"explode(sequence({start}, session_date)) AS day", "session_date AS first_session", "ordinal AS first_ordinal"
     )
 
 
 def listing_age(df: DataFrame, calendar: DataFrame, listing: str, out: str = "listing_age_sessions") -> DataFrame:
-    """Sessions since listing, counting the listing session as 1; NULL before it."""
+    """Sessions since listing, counting the listing session as 1; NULL before it.
+
+    A listing before the calendar, however long, counts from its first session.
+    """
     own = calendar.selectExpr("session_date", "ordinal AS _own")
     launch = first_session_from(calendar).selectExpr(f"day AS {listing}", "first_ordinal AS _launch")
     joined = df.join(own, "session_date", "left").join(launch, listing, "left")
-    return add(joined, {out: f"CASE WHEN session_date >= {listing} THEN _own - _launch + 1 END"}).drop("_own", "_launch")
+    return add(joined, {out: f"CASE WHEN session_date >= {listing} THEN _own - coalesce(_launch, 0) + 1 END"}).drop("_own", "_launch")
 
 
 def with_year(df: DataFrame) -> DataFrame:

@@ -38,6 +38,21 @@ def exclude(df: DataFrame, column: str, forbidden: Sequence[str]) -> DataFrame:
     return df.filter(~F.coalesce(F.col(column).isin(*forbidden), F.lit(False))) if forbidden else df
 
 
+def require_members(df: DataFrame, member: str, members: Sequence[str], forbidden: Sequence[str] = ()) -> DataFrame:
+    """Fail at run time on a forbidden member, and if one of ``members`` has no rows.
+
+    The counts per member are one map-side-combined row, joined to every row.
+    """
+    listed = lambda names: ", ".join(f"'{n}'" for n in names) or "NULL"
+    seen = df.agg(
+        F.expr(f"coalesce(count_if({member} IN ({listed(forbidden)})), 0) AS _forbidden"),
+        F.expr(f"array_except(array({listed(members)}), collect_set(CASE WHEN {member} IN ({listed(members)}) THEN {member} END)) AS _missing"),
+    )
+    fail = "boolean(raise_error(concat('universe broken: ', _forbidden, ' excluded rows, without ', array_join(_missing, ','))))"
+    checked = seen.filter(f"CASE WHEN _forbidden = 0 AND size(_missing) = 0 THEN true ELSE {fail} END").select(F.lit(1).alias("_whole"))
+    return df.withColumn("_whole", F.lit(1)).join(F.broadcast(checked), "_whole").drop("_whole")
+
+
 def full_universe(df: DataFrame, group: Sequence[str], member: str, members: Sequence[str]) -> DataFrame:
     """Groups whose set of members is exactly the universe."""
     inside = F.col(member).isin(*members)

@@ -202,6 +202,10 @@ def _(spark, folder):
     )
 
 
+_cells = ", ".join(
+    f"coalesce(length({c}) || ':' || {c}, '~')"
+    for c in ("CAST(session_date AS VARCHAR)", "primary_phase", "candidate_phase", "CAST(candidate_streak AS VARCHAR)")
+)
 _chunks = ", ".join(f"sum(CAST(('0x' || substr(h, {1 + 15 * i}, 15)) AS HUGEINT)) AS c{i}" for i in range(4))
 
 
@@ -209,7 +213,7 @@ _chunks = ", ".join(f"sum(CAST(('0x' || substr(h, {1 + 15 * i}, 15)) AS HUGEINT)
     "k07_content_fingerprint",
     "rows# content_hash",
     f"""SELECT rows, 'sha256:' || sha256(concat_ws(':', rows, c0, c1, c2, c3)) AS content_hash FROM (SELECT count(*) AS rows, {_chunks} FROM (
-        SELECT sha256(concat_ws('|', coalesce(CAST(session_date AS VARCHAR), '~'), coalesce(primary_phase, '~'), coalesce(candidate_phase, '~'), coalesce(CAST(candidate_streak AS VARCHAR), '~'))) AS h FROM state) q) r""",
+        SELECT sha256(concat({_cells})) AS h FROM state) q) r""",
 )
 def _(spark, folder):
     return K.fingerprint(state(spark, folder), ["session_date", "primary_phase", "candidate_phase", "candidate_streak"])

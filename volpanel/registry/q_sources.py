@@ -119,13 +119,13 @@ def _(spark, folder):
     return Sc.standard_contracts(view(spark, folder, "contract_rows"), "OP510300.SH")
 
 
-step("last_bar", "SELECT session_date, code, arg_max(close, bar_time) AS etf_mark FROM v_bars GROUP BY 1, 2")
+step("mark_bar", "SELECT session_date, code, close AS etf_mark FROM v_bars WHERE clock = '14:56:00'")
 
 
 @register(
     "s03_underlying_marks",
     "session_date code etf_mark~ adj_factor~ tr_mark~",
-    "SELECT b.*, d.adj_factor, b.etf_mark * d.adj_factor AS tr_mark FROM last_bar b JOIN v_bar_daily d USING (session_date, code)",
+    "SELECT b.*, d.adj_factor, b.etf_mark * d.adj_factor AS tr_mark FROM mark_bar b JOIN v_bar_daily d USING (session_date, code)",
 )
 def _(spark, folder):
     return Sc.underlying_marks(view(spark, folder, "bars"), view(spark, folder, "bar_daily"))
@@ -134,7 +134,7 @@ def _(spark, folder):
 @register(
     "j03_adjustment_join",
     "session_date code adj_factor~",
-    "SELECT b.session_date, b.code, d.adj_factor FROM last_bar b JOIN v_bar_daily d USING (session_date, code)",
+    "SELECT b.session_date, b.code, d.adj_factor FROM mark_bar b JOIN v_bar_daily d USING (session_date, code)",
 )
 def _(spark, folder):
     return Sc.underlying_marks(view(spark, folder, "bars"), view(spark, folder, "bar_daily"))
@@ -143,12 +143,12 @@ def _(spark, folder):
 @register(
     "s04_opening_anchors",
     "code session_date spot_0935~ entry_vwap~ entry_high~ entry_low~",
-    """SELECT code, session_date, max(close) FILTER (WHERE clock LIKE '09:3%') AS spot_0935, sum(amount) FILTER (WHERE clock BETWEEN '09:36:00' AND '11:45:59') / nullif(sum(vol) FILTER (WHERE clock BETWEEN '09:36:00' AND '11:45:59'), 0) AS entry_vwap,
-       max(high) FILTER (WHERE clock BETWEEN '09:36:00' AND '11:45:59') AS entry_high, min(low) FILTER (WHERE clock BETWEEN '09:36:00' AND '11:45:59') AS entry_low FROM v_bars GROUP BY 1, 2""",
+    """SELECT code, session_date, max(close) FILTER (WHERE clock = '09:35:00') AS spot_0935,
+       sum(amount) FILTER (WHERE clock >= '09:36:00' AND clock <= '09:45:00') / nullif(sum(vol) FILTER (WHERE clock >= '09:36:00' AND clock <= '09:45:00'), 0) AS entry_vwap,
+       max(high) FILTER (WHERE clock IN ('09:36:00', '09:40:00', '09:45:00')) AS entry_high, min(low) FILTER (WHERE clock IN ('09:36:00', '09:40:00', '09:45:00')) AS entry_low FROM v_bars GROUP BY 1, 2""",
 )
 def _(spark, folder):
-    # The events table is thin per minute, so the anchor and window are wider here.
-    return Sc.opening_anchors(view(spark, folder, "bars"), anchor="09:3", window=("09:36:00", "11:45:59"))
+    return Sc.opening_anchors(view(spark, folder, "bars"))
 
 
 _win = "CASE WHEN {c} BETWEEN '09:36:00' AND '09:45:00' THEN 'OPEN_AM' WHEN {c} BETWEEN '13:31:00' AND '13:40:00' THEN 'EXIT_PM1' WHEN {c} BETWEEN '14:46:00' AND '14:55:00' THEN 'EXIT_PM2' END"
@@ -199,7 +199,8 @@ def _(spark, folder):
 )
 def _(spark, folder):
     rows = Q.exclude(view(spark, folder, "contract_rows"), "opt_code", U.excluded_option_codes)
-    return rows.filter(f"opt_code IN ({_codes})").groupBy("opt_code").agg(F.expr("count(1) AS rows"))
+    rows = Q.require_members(rows.filter(f"opt_code IN ({_codes})"), "opt_code", [m.option_code for m in U.members], U.excluded_option_codes)
+    return rows.groupBy("opt_code").agg(F.expr("count(1) AS rows"))
 
 
 @register(
@@ -273,12 +274,12 @@ def _(spark, folder):
 @register(
     "j09_anchor_mark_join",
     "session_date code spot_0935~ etf_mark~ tr_mark~",
-    """SELECT b.session_date, b.code, a.spot_0935, b.etf_mark, b.etf_mark * d.adj_factor AS tr_mark FROM last_bar b JOIN v_bar_daily d USING (session_date, code)
-       JOIN (SELECT code, session_date, max(close) FILTER (WHERE clock LIKE '09:3%') AS spot_0935 FROM v_bars GROUP BY 1, 2) a USING (session_date, code)""",
+    """SELECT b.session_date, b.code, a.spot_0935, b.etf_mark, b.etf_mark * d.adj_factor AS tr_mark FROM mark_bar b JOIN v_bar_daily d USING (session_date, code)
+       JOIN (SELECT code, session_date, max(close) FILTER (WHERE clock = '09:35:00') AS spot_0935 FROM v_bars GROUP BY 1, 2) a USING (session_date, code)""",
 )
 def _(spark, folder):
     bars = view(spark, folder, "bars")
-    anchors = Sc.opening_anchors(bars, anchor="09:3")
+    anchors = Sc.opening_anchors(bars)
     marks = Sc.underlying_marks(bars, view(spark, folder, "bar_daily"))
     key = ["session_date", "code"]
     return Q.require_unique(anchors, key).join(Q.require_unique(marks, key), key)

@@ -115,14 +115,14 @@ def option_observations(
     return rows.drop("_dv", "_da", "_doi", "_minute_oi", "list_date", "delist_date", "symbol")
 
 
-def underlying_marks(bars: DataFrame, daily: DataFrame) -> DataFrame:
-    """Last bar of each session times the day's adjustment factor."""
-    last = bars.groupBy("session_date", "code").agg(F.expr("max_by(close, bar_time) AS etf_mark"))
-    joined = last.join(daily.select("session_date", "code", "adj_factor"), ["session_date", "code"])
+def underlying_marks(bars: DataFrame, daily: DataFrame, *, clock: str = "14:56:00") -> DataFrame:
+    """The bar at the decision time (later ones are not known then) times the day's adjustment factor."""
+    at = bars.filter(F.col("clock") == clock).groupBy("session_date", "code").agg(F.expr("max_by(close, bar_time) AS etf_mark"))
+    joined = at.join(daily.select("session_date", "code", "adj_factor"), ["session_date", "code"])
     return add(joined, {"tr_mark": "etf_mark * adj_factor"})
 
 
-def opening_anchors(bars: DataFrame, *, anchor: str = "09:35", window: tuple[str, str] = ("09:36:00", "09:45:59")) -> DataFrame:
+def opening_anchors(bars: DataFrame, *, anchor: str = "09:35:00", window: tuple[str, str] = ("09:36:00", "09:45:00")) -> DataFrame:
     """Close at the anchor minute, and VWAP / high / low of the window, per code and day.
 
     All are conditional sums and extremes: one partial-aggregated shuffle.
@@ -130,7 +130,7 @@ def opening_anchors(bars: DataFrame, *, anchor: str = "09:35", window: tuple[str
     inside = f"clock BETWEEN '{window[0]}' AND '{window[1]}'"
     traded = ratio(f"sum(CASE WHEN {inside} THEN amount END)", f"nullif(sum(CASE WHEN {inside} THEN vol END), 0)")
     return bars.groupBy("code", "session_date").agg(
-        F.expr(f"max(CASE WHEN clock LIKE '{anchor}%' THEN close END) AS spot_0935"),
+        F.expr(f"max(CASE WHEN clock = '{anchor}' THEN close END) AS spot_0935"),
         F.expr(f"{traded} AS entry_vwap"),
         F.expr(f"max(CASE WHEN {inside} THEN high END) AS entry_high"),
         F.expr(f"min(CASE WHEN {inside} THEN low END) AS entry_low"),

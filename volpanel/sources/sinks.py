@@ -73,11 +73,12 @@ def attach_contract(
 def fingerprint(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Order-free content hash of a table with its row count.
 
-    Rows hash one by one; the hashes are added up in chunks, so duplicates count
+    A cell is its length and text, and a null a sign of its own, so neither the
+    borders of cells nor nulls can be mistaken. Rows hash one by one; the hashes are added up in chunks, so duplicates count
     and the reduction is a map-side-combined sum rather than a sorted list.
     """
     names = list(columns or df.columns)
-    text = "concat_ws('|', " + ", ".join(f"coalesce(string(`{c}`), '~')" for c in names) + ")"
+    text = "concat(" + ", ".join(f"coalesce(concat(length(string(`{c}`)), ':', string(`{c}`)), '~')" for c in names) + ")"
     rows = df.selectExpr(f"sha2({text}, 256) AS h")
     chunks = [f"sum(CAST(conv(substring(h, {1 + 15 * i}, 15), 16, 10) AS DECIMAL(38, 0))) AS c{i}" for i in range(4)]
     sums = rows.agg(F.expr("count(1) AS rows"), *[F.expr(c) for c in chunks])

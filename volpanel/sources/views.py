@@ -44,6 +44,10 @@ class Dialect:
     def clock(self, ts: str) -> str:
         return f"date_format({ts}, 'HH:mm:ss')" if self.spark else f"strftime({ts}, '%H:%M:%S')"
 
+    def moment(self, date: str, clock: str) -> str:
+        kind = "TIMESTAMP_NTZ" if self.spark else "TIMESTAMP"
+        return f"CAST(concat(CAST({date} AS STRING), ' ', {clock}) AS {kind})"
+
     def compact(self, date: str) -> str:
         return f"date_format({date}, 'yyyyMMdd')" if self.spark else f"strftime({date}, '%Y%m%d')"
 
@@ -56,7 +60,6 @@ class Dialect:
         return f"explode(array({values}))" if self.spark else f"unnest([{values}])"
 
 
-
 SPARK = Dialect(True)
 DUCK = Dialect(False)
 
@@ -90,7 +93,7 @@ def _panel(d: Dialect) -> str:
                     + (abs(dayofyear(session_date) % 120 - 60) - 30) / 10e0 AS common
           FROM (SELECT CAST(l_shipdate AS DATE) AS session_date,
                        CASE concat(l_returnflag, l_linestatus) WHEN 'AF' THEN 'SSE50' WHEN 'NF' THEN 'CSI300'
-                            WHEN 'NO' THEN 'CSI500' ELSE 'STAR50' END AS economic_index_id,
+                            WHEN 'NO' THEN 'CSI500' WHEN 'AO' THEN 'CSI500' ELSE 'STAR50' END AS economic_index_id,
                        count(*) AS n,
                        sum(CAST(l_quantity AS BIGINT)) AS qty,
                        sum(CAST(round(l_extendedprice * 100e0) AS BIGINT)) AS cents,
@@ -98,7 +101,6 @@ def _panel(d: Dialect) -> str:
                        sum(CAST(round(l_tax * 100e0) AS BIGINT)) AS tax,
                        sum(CAST(l_linenumber AS BIGINT)) AS ln
                 FROM {lineitem}
-                WHERE concat(l_returnflag, l_linestatus) IN ('AF', 'NF', 'NO', 'RF')
                 GROUP BY 1, 2) cells) waved
     """
 
@@ -141,11 +143,10 @@ def _chain(d: Dialect) -> str:
                                    CAST(l_orderkey % 1000 AS BIGINT) AS open_interest
                             FROM (SELECT *, CASE concat(l_returnflag, l_linestatus) WHEN 'AF' THEN 'SSE50_510050'
                                          WHEN 'NF' THEN 'CSI300_510300' WHEN 'NO' THEN 'CSI500_510500'
-                                         ELSE 'STAR50_588000' END AS carrier_code,
+                                         WHEN 'AO' THEN 'CSI500_510500' ELSE 'STAR50_588000' END AS carrier_code,
                                          CASE concat(l_returnflag, l_linestatus) WHEN 'AF' THEN 'SSE50'
-                                         WHEN 'NF' THEN 'CSI300' WHEN 'NO' THEN 'CSI500' ELSE 'STAR50' END AS index_code
-                                  FROM {{lineitem}}
-                                  WHERE concat(l_returnflag, l_linestatus) IN ('AF', 'NF', 'NO', 'RF')) tagged
+                                         WHEN 'NF' THEN 'CSI300' WHEN 'NO' THEN 'CSI500' WHEN 'AO' THEN 'CSI500' ELSE 'STAR50' END AS index_code
+                                  FROM {{lineitem}}) tagged
                            ) base) priced) forwarded) quoted
     """
 
@@ -186,24 +187,36 @@ def _option_minutes(d: Dialect) -> str:
 
 
 def _option_daily(d: Dialect) -> str:
+    """One record per contract, on its first day: minutes of its later days have none."""
+    first = "CAST(min(l_shipdate) AS DATE)"
     return f"""
-    SELECT l_orderkey AS code, {d.compact("l_shipdate")} AS date, CAST(l_shipdate AS DATE) AS session_date,
+    SELECT l_orderkey AS code, {d.compact("min(l_shipdate)")} AS date, {first} AS session_date,
            CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS vol,
            CAST(sum(CAST(round(l_extendedprice) AS BIGINT)) AS BIGINT) AS amount,
            CAST(CASE WHEN min(l_suppkey) % 4 = 0 THEN NULL ELSE sum(l_suppkey) END AS BIGINT) AS oi,
            CASE WHEN min(l_linenumber) = 2 THEN NULL ELSE (round((min(l_extendedprice / l_quantity) / 10000e0) * 1e6) / 1e6) END AS settle,
            CASE WHEN max(l_linenumber) = 2 THEN NULL ELSE (round((max(l_extendedprice / l_quantity) / 10000e0) * 1e6) / 1e6) END AS close
-    FROM {{lineitem}} WHERE l_suppkey % 3 <> 0 GROUP BY 1, 2, 3
+    FROM {{lineitem}} GROUP BY 1
     """
 
 
+BAR_MINUTES = (
+    "09:35:00 09:36:00 09:40:00 09:45:00 09:46:00 10:30:00 13:31:00 13:40:00 14:46:00 14:55:00 14:56:00 15:00:00"
+).split()
+
+
 def _bars(d: Dialect) -> str:
+    """Minute bars: every event belongs to one of the minutes of its day."""
+    minute = " ".join(f"WHEN {k} THEN '{m}'" for k, m in enumerate(BAR_MINUTES))
     return f"""
-    SELECT event_type AS code, CAST(ts AS DATE) AS session_date, ts AS bar_time, {d.clock("ts")} AS clock,
-           value AS close, (round((value * 1.01e0) * 1e4) / 1e4) AS high, (round((value * 0.99e0) * 1e4) / 1e4) AS low,
-           CAST(event_id % 50 AS BIGINT) AS vol,
-           CAST(round(value * 100e0) AS BIGINT) * CAST(event_id % 50 AS BIGINT) AS amount
-    FROM {{events}}
+    SELECT code, session_date, {d.moment("session_date", "clock")} AS bar_time, clock, close,
+           (round((high * 1.01e0) * 1e4) / 1e4) AS high, (round((low * 0.99e0) * 1e4) / 1e4) AS low, vol, amount
+    FROM (SELECT event_type AS code, CAST(ts AS DATE) AS session_date,
+                 CASE event_id % {len(BAR_MINUTES)} {minute} END AS clock,
+                 max_by(value, event_id) AS close, max(value) AS high, min(value) AS low,
+                 CAST(sum(CAST(event_id % 50 AS BIGINT)) AS BIGINT) AS vol,
+                 CAST(sum(CAST(round(value * 100e0) AS BIGINT) * CAST(event_id % 50 AS BIGINT)) AS BIGINT) AS amount
+          FROM {{events}} GROUP BY 1, 2, 3) minutes
     """
 
 
