@@ -164,7 +164,7 @@ def similarity(a: np.ndarray, b: np.ndarray, share: float = SIMILARITY) -> tuple
 
 
 def stored_kmers(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """(node, kmers) of the texts of (node, id)."""
+    """(node, kmers, is_hub) of the texts of (node, id, is_hub); k-mers as 32 bits each, which halves what is moved."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -175,27 +175,28 @@ def stored_kmers(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
                 own = [d == n for d, n in zip(digests(hashes, first), block.column("node").to_pylist())]
                 rows = {
                     "node": block.column("node"),
-                    "kmers": pa.array([values[i:j].tobytes() for i, j in zip(at[:-1], at[1:])], pa.binary()),
+                    "kmers": pa.array([(values[i:j] >> np.uint64(32)).astype(np.uint32).tobytes() for i, j in zip(at[:-1], at[1:])], pa.binary()),
+                    "is_hub": block.column("is_hub"),
                 }
                 yield pa.RecordBatch.from_pydict(rows).filter(pa.array(own, pa.bool_()))
 
     path = scratch_path(docs.sparkSession, "kmers")
-    texts = docs.join(wanted, "id").select("node", "text")
-    texts.mapInArrow(run, "node binary, kmers binary").write.parquet(path)
+    texts = docs.join(wanted, "id").select("node", "is_hub", "text")
+    texts.mapInArrow(run, "node binary, kmers binary, is_hub boolean").write.parquet(path)
     return docs.sparkSession.read.parquet(path)
 
 
-def compare(pairs: DataFrame, stored: DataFrame, share: float) -> DataFrame:
-    """(a, b, jaccard, linked) of node pairs."""
+def compare(pairs: DataFrame, stored: DataFrame, share: float, hubs: bool = False) -> DataFrame:
+    """(a, b, jaccard, linked) of node pairs; ``hubs``: b is always a hub."""
     left = stored.select(F.col("node").alias("a"), F.col("kmers").alias("ka"))
-    right = stored.select(F.col("node").alias("b"), F.col("kmers").alias("kb"))
+    right = (stored.where("is_hub") if hubs else stored).select(F.col("node").alias("b"), F.col("kmers").alias("kb"))
     # the side where one node meets very many comes first, while the rows are still narrow
     rows = pairs.select("a", "b").join(right, "b").join(left, "a")
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [
-                similarity(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), share)
+                similarity(np.frombuffer(x.as_buffer(), np.uint32).astype(np.uint64), np.frombuffer(y.as_buffer(), np.uint32).astype(np.uint64), share)
                 for x, y in zip(batch.column("ka"), batch.column("kb"))
             ]
             yield pa.RecordBatch.from_pydict(
@@ -243,38 +244,49 @@ def near_duplicates(
     path = scratch_path(spark, "bands")
     banded.join(hubs, "band").write.parquet(path)
     shared = spark.read.parquet(path)
-    stored = stored_kmers(source, shared.select("node", F.col("first_id").alias("id")).distinct(), k)
+    wanted = shared.groupBy("node").agg(F.any_value("first_id").alias("id"), F.expr("bool_or(node = hub)").alias("is_hub"))
+    stored = stored_kmers(source, wanted, k)
 
     stars = shared.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
-    near = compare(stars, stored, share)
-    links = near.where("linked").select("a", "b")
-    roots = components(links)
-    known = near.select(F.col("a").alias("node"), F.col("b").alias("hub"), "jaccard")
+    near = compare(stars, stored, share, hubs=True)
+    found = components(near.where("linked").select("a", "b"))
+    roots = durable(wanted.select("node").join(found, "node", "left").select("node", F.coalesce("root", "node").alias("root")))
+
+    def merged(links: DataFrame) -> DataFrame:
+        """Roots after these links; only the components that they join are touched."""
+        ends = links.join(roots.withColumnsRenamed({"node": "a", "root": "ra"}), "a").join(roots.withColumnsRenamed({"node": "b", "root": "rb"}), "b")
+        moved = components(ends.selectExpr("ra AS a", "rb AS b").where("a <> b").distinct()).selectExpr("node AS root", "root AS to")
+        return durable(roots.join(moved, "root", "left").select("node", F.coalesce("to", "root").alias("root")))
+
+    # bands whose nodes are not of one component yet
+    rooted = shared.join(roots, "node")
+    sizes = rooted.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size")).where("low <> high")
+    path = scratch_path(spark, "open")
+    rooted.join(sizes.select("band", "size"), "band").join(
+        near.select(F.col("a").alias("node"), F.col("b").alias("hub"), "jaccard"), ["node", "hub"], "left"
+    ).select("band", "node", "hub", "root", "jaccard", "size").write.parquet(path)
+    open_ = spark.read.parquet(path)
+    few = open_.where(f"size <= {SMALL} AND node <> hub")
+    one = few.selectExpr("band", "node AS a", "root AS ra", "jaccard AS ja")
+    two = few.selectExpr("band", "node AS b", "root AS rb", "jaccard AS jb")
+    pairs = one.join(two, "band").where(f"a > b AND ra <> rb AND abs(ja - jb) <= {1 - share} + 1e-9").select("a", "b").distinct()
+    roots = merged(compare(pairs, stored, share).where("linked").select("a", "b"))
+
+    large = durable(open_.where(f"size > {SMALL}").select("band", "node"))
+    held = durable(stored.join(large.select("node").distinct(), "node", "left_semi"))
     turn = 0
     while True:
-        # nodes of the bands that are not of one component yet
-        rooted = shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        rooted = large.join(roots, "node")
         drawn = [F.expr(f"min_by(struct(node, root), xxhash64(node, {turn}, {i}))").alias(f"p{i}") for i in range(PIVOTS)]
-        open_ = rooted.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size"), *drawn)
-        open_ = open_.where(f"low <> high AND ({turn} = 0 OR size > {SMALL})").drop("low", "high")
-        rest = rooted.select("band", "node", "hub", "root").join(open_, "band")
-        large = rest.where(f"size > {SMALL}").select("node", "root", F.explode(F.array_distinct(F.array(*(f"p{i}" for i in range(PIVOTS))))).alias("p"))
-        pairs = large.where("root <> p.root").selectExpr("greatest(node, p.node) AS a", "least(node, p.node) AS b")
-        if not turn:
-            few = rest.where(f"size <= {SMALL} AND node <> hub").join(known, ["node", "hub"]).select("band", "node", "root", "jaccard")
-            path = scratch_path(spark, "open")
-            few.write.parquet(path)
-            few = spark.read.parquet(path)
-            one = few.selectExpr("band", "node AS a", "root AS ra", "jaccard AS ja")
-            two = few.selectExpr("band", "node AS b", "root AS rb", "jaccard AS jb")
-            near = one.join(two, "band").where(f"a > b AND ra <> rb AND abs(ja - jb) <= {1 - share} + 1e-9")
-            pairs = pairs.union(near.select("a", "b"))
-        found = compare(pairs.distinct(), stored, share).where("linked").select("a", "b")
-        turn += 1
-        if found.isEmpty():
+        bands_ = rooted.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), *drawn).where("low <> high").drop("low", "high")
+        pivots = F.explode(F.array_distinct(F.array(*(f"p{i}" for i in range(PIVOTS)))))
+        pairs = rooted.join(bands_, "band").select("node", "root", pivots.alias("p")).where("root <> p.root")
+        pairs = pairs.selectExpr("greatest(node, p.node) AS a", "least(node, p.node) AS b").distinct()
+        links = compare(pairs, held, share).where("linked").select("a", "b")
+        if links.isEmpty():
             break
-        links = durable(links.union(found))
-        roots = components(links)
+        roots = merged(links)
+        turn += 1
     placed = groups.select("node", "first_id", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     classes = placed.groupBy("root").agg(F.min("first_id").alias("class_id"), F.sum("n").alias("class_size")).where("class_size > 1")
     known = placed.join(classes, "root").select("node", "class_id", "class_size")
