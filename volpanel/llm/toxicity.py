@@ -281,7 +281,10 @@ def score_toxicity(
     many = known.count()
     chosen = known.where(f"pmod(xxhash64(id), {max(1, -(-many // train_rows))}) = 0").dropDuplicates(["id", "toxic"])
     train = source.join(F.broadcast(chosen), "id").select("text", "toxic")
-    base, strength = fit([tuple(r) for r in feature_counts(signed(train), log_p).where("bucket < 0 OR 2 * toxic > other").collect()])
+    # with fewer texts than this, no share has a lower bound of one half
+    least = math.ceil(CONFIDENCE**2)
+    counts = feature_counts(signed(train), log_p).where(f"bucket < 0 OR (toxic >= {least} AND toxic > other)").toArrow()
+    base, strength = fit(list(zip(*(counts.column(c).to_pylist() for c in ("bucket", "toxic", "other")))))
     used = np.flatnonzero(strength)
     shared = spark.sparkContext.broadcast((log_p, base, used, strength[used]))
 
