@@ -5,7 +5,8 @@ that it is written for, for nothing (a separator) or for fewer repeats. Viterbi
 character trigram model of the corpus finds most likely. The model counts all documents.
 
 Words, their beginnings, and the restored words are hashed features. Features that stand for the label in labelled
-documents - a lower confidence bound of the share of labelled-toxic texts of one half or more - are combined by a noisy-or.
+documents - nine tenths of their texts are labelled toxic, at least half by a lower confidence bound - are combined by a
+noisy-or.
 """
 
 from __future__ import annotations
@@ -25,7 +26,8 @@ from volpanel.llm.words import BASE, LOWER, WEIGHT, blocks, mix, powers, text_by
 BUCKETS = 1 << 20
 TRAIN_ROWS = 50_000
 BEGINNINGS = (4, 5, 6)
-CONFIDENCE = 2.5
+CONFIDENCE = 3.0
+SHARE = 0.9
 CODES = 32
 
 # Letters that a character may be written for, and the cost of each reading.
@@ -253,7 +255,7 @@ def fit(counts: list[tuple[int, int, int]], confidence: float = CONFIDENCE) -> t
         z2 = confidence**2
         share = toxic / n
         low = (share + z2 / (2 * n) - confidence * math.sqrt(share * (1 - share) / n + z2 / (4 * n * n))) / (1 + z2 / n)
-        if low >= 0.5:
+        if low >= 0.5 and share >= SHARE:
             strength[bucket] = low
     return min(base, 0.25), strength
 
@@ -283,7 +285,7 @@ def score_toxicity(
     train = source.join(F.broadcast(chosen), "id").select("text", "toxic")
     # with fewer texts than this, no share has a lower bound of one half
     least = math.ceil(CONFIDENCE**2)
-    counts = feature_counts(signed(train), log_p).where(f"bucket < 0 OR (toxic >= {least} AND toxic > other)").toArrow()
+    counts = feature_counts(signed(train), log_p).where(f"bucket < 0 OR (toxic >= {least} AND toxic >= {SHARE} * (toxic + other))").toArrow()
     base, strength = fit(list(zip(*(counts.column(c).to_pylist() for c in ("bucket", "toxic", "other")))))
     used = np.flatnonzero(strength)
     shared = spark.sparkContext.broadcast((log_p, base, used, strength[used]))
