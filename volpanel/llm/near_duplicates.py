@@ -191,7 +191,7 @@ def compare(pairs: DataFrame, stored: DataFrame, share: float, hubs: bool = Fals
     left = stored.select(F.col("node").alias("a"), F.col("kmers").alias("ka"))
     right = (stored.where("is_hub") if hubs else stored).select(F.col("node").alias("b"), F.col("kmers").alias("kb"))
     # the side where one node meets very many comes first, while the rows are still narrow
-    rows = pairs.select("a", "b").join(right, "b").join(left, "a")
+    rows = pairs.select("a", "b").hint("merge").join(right, "b").join(left.hint("merge"), "a")
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -254,9 +254,10 @@ def near_duplicates(
 
     def merged(links: DataFrame) -> DataFrame:
         """Roots after these links; only the components that they join are touched."""
-        ends = links.join(roots.withColumnsRenamed({"node": "a", "root": "ra"}), "a").join(roots.withColumnsRenamed({"node": "b", "root": "rb"}), "b")
+        one, two = (roots.selectExpr(f"node AS {c}", f"root AS r{c}").hint("merge") for c in "ab")
+        ends = links.join(one, "a").join(two, "b")
         moved = components(ends.selectExpr("ra AS a", "rb AS b").where("a <> b").distinct()).selectExpr("node AS root", "root AS to")
-        return durable(roots.join(moved, "root", "left").select("node", F.coalesce("to", "root").alias("root")))
+        return durable(roots.join(moved.hint("merge"), "root", "left").select("node", F.coalesce("to", "root").alias("root")))
 
     # bands whose nodes are not of one component yet
     rooted = shared.join(roots, "node")
@@ -276,11 +277,11 @@ def near_duplicates(
     held = durable(stored.join(large.select("node").distinct(), "node", "left_semi"))
     turn = 0
     while True:
-        rooted = large.join(roots, "node")
+        rooted = large.join(roots.hint("merge"), "node")
         drawn = [F.expr(f"min_by(struct(node, root), xxhash64(node, {turn}, {i}))").alias(f"p{i}") for i in range(PIVOTS)]
         bands_ = rooted.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), *drawn).where("low <> high").drop("low", "high")
         pivots = F.explode(F.array_distinct(F.array(*(f"p{i}" for i in range(PIVOTS)))))
-        pairs = rooted.join(bands_, "band").select("node", "root", pivots.alias("p")).where("root <> p.root")
+        pairs = rooted.join(bands_.hint("merge"), "band").select("node", "root", pivots.alias("p")).where("root <> p.root")
         pairs = pairs.selectExpr("greatest(node, p.node) AS a", "least(node, p.node) AS b").distinct()
         links = compare(pairs, held, share).where("linked").select("a", "b")
         if links.isEmpty():
