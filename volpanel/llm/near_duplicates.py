@@ -10,12 +10,15 @@ hub) instead of with all others. Only bands whose nodes are not of one component
 of different components are compared unless their distances to the hub rule a link out (Jaccard distance is a metric).
 In a large one all nodes are compared with a few more nodes of other components, drawn anew in each round, until a
 round over all large bands finds no link. The work of a round is in proportion to the nodes, however large a group is.
+Rounds lower each node's label to the smallest one within two links, which is enough to stop comparing what is known
+to be linked; the components of all links found are taken once, at the end.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -163,6 +166,13 @@ def similarity(a: np.ndarray, b: np.ndarray, share: float = SIMILARITY) -> tuple
     return aligned / (len(a) + len(b) - aligned), jaccard
 
 
+def written(rows: DataFrame, name: str) -> DataFrame:
+    """The rows, read back from a table in the shared folder."""
+    path = scratch_path(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.parquet(path)
+
+
 def stored_kmers(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     """(node, kmers, is_hub) of the texts of (node, id, is_hub); k-mers as 32 bits each, which halves what is moved."""
 
@@ -180,18 +190,17 @@ def stored_kmers(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
                 }
                 yield pa.RecordBatch.from_pydict(rows).filter(pa.array(own, pa.bool_()))
 
-    path = scratch_path(docs.sparkSession, "kmers")
     texts = docs.join(wanted, "id").select("node", "is_hub", "text")
-    texts.mapInArrow(run, "node binary, kmers binary, is_hub boolean").write.parquet(path)
-    return docs.sparkSession.read.parquet(path)
+    return written(texts.mapInArrow(run, "node binary, kmers binary, is_hub boolean"), "kmers")
 
 
 def compare(pairs: DataFrame, stored: DataFrame, share: float, hubs: bool = False) -> DataFrame:
-    """(a, b, jaccard, linked) of node pairs; ``hubs``: b is always a hub."""
+    """(a, b, jaccard, linked) of node pairs and their other columns; ``hubs``: b is always a hub."""
     left = stored.select(F.col("node").alias("a"), F.col("kmers").alias("ka"))
     right = (stored.where("is_hub") if hubs else stored).select(F.col("node").alias("b"), F.col("kmers").alias("kb"))
     # the side where one node meets very many comes first, while the rows are still narrow
-    rows = pairs.select("a", "b").hint("merge").join(right, "b").join(left.hint("merge"), "a")
+    rows = pairs.hint("merge").join(right, "b").join(left.hint("merge"), "a")
+    others = [c for c in pairs.columns if c not in ("a", "b")]
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -206,11 +215,24 @@ def compare(pairs: DataFrame, stored: DataFrame, share: float, hubs: bool = Fals
                     "jaccard": pa.array([f[1] for f in found], pa.float64()),
                     "linked": pa.array([max(f) >= share for f in found], pa.bool_()),
                 }
+                | {c: batch.column(c) for c in others}
             )
 
-    path = scratch_path(stored.sparkSession, "compared")
-    rows.mapInArrow(align, "a binary, b binary, jaccard double, linked boolean").write.parquet(path)
-    return stored.sparkSession.read.parquet(path)
+    kinds = "".join(f", {c} {pairs.schema[c].dataType.simpleString()}" for c in others)
+    return written(rows.mapInArrow(align, "a binary, b binary, jaccard double, linked boolean" + kinds), "compared")
+
+
+def lowered(links: DataFrame) -> DataFrame:
+    """(root, to) of every root of (ra, rb): the smallest root within two links of it."""
+    both = links.selectExpr("ra AS a", "rb AS b").union(links.selectExpr("rb AS a", "ra AS b")).distinct()
+    least = both.groupBy("a").agg(F.min("b").alias("m")).selectExpr("a AS b", "m")
+    return both.join(least.hint("merge"), "b").groupBy("a").agg(F.min(F.expr("least(b, m)")).alias("to")).withColumnRenamed("a", "root")
+
+
+def moved(rows: DataFrame, to: DataFrame) -> DataFrame:
+    """The rows with ``root`` replaced where (root, to) has another one."""
+    named = F.coalesce("to", "root").alias("root")
+    return rows.join(to.hint("merge"), "root", "left").select(*(named if c == "root" else c for c in rows.columns))
 
 
 def near_duplicates(
@@ -229,21 +251,16 @@ def near_duplicates(
     that Jaccard similarity. Texts with equal words are always of one class. A text without words (null, empty, marks
     only) is a class of its own; a text of at most k words has only its equals.
     """
-    spark = docs.sparkSession
     source = docs.select(F.col(id).alias("id"), F.col(text).cast("string").alias("text"))
-    path = scratch_path(spark, "sketches")
-    sketches(source, k, keep, rows, number).write.parquet(path)
-    sketched = spark.read.parquet(path)
+    sketched = written(sketches(source, k, keep, rows, number), "sketches")
     named = sketched.where("node IS NOT NULL")
-    path = scratch_path(spark, "nodes")
-    named.groupBy("node").agg(F.min("id").alias("first_id"), F.count("*").alias("n"), F.any_value("bands").alias("bands")).write.parquet(path)
-    groups = spark.read.parquet(path)
+    groups = written(
+        named.groupBy("node").agg(F.min("id").alias("first_id"), F.count("*").alias("n"), F.any_value("bands").alias("bands")), "nodes"
+    )
 
     banded = groups.select("node", "first_id", F.explode("bands").alias("band"))
     hubs = banded.groupBy("band").agg(F.min("node").alias("hub"), F.count("*").alias("size")).where("size > 1").drop("size")
-    path = scratch_path(spark, "bands")
-    banded.join(hubs, "band").write.parquet(path)
-    shared = spark.read.parquet(path)
+    shared = written(banded.join(hubs, "band"), "bands")
     wanted = shared.groupBy("node").agg(F.any_value("first_id").alias("id"), F.expr("bool_or(node = hub)").alias("is_hub"))
     stored = stored_kmers(source, wanted, k)
 
@@ -252,42 +269,39 @@ def near_duplicates(
     found = components(near.where("linked").select("a", "b"))
     roots = durable(wanted.select("node").join(found, "node", "left").select("node", F.coalesce("root", "node").alias("root")))
 
-    def merged(links: DataFrame) -> DataFrame:
-        """Roots after these links; only the components that they join are touched."""
-        one, two = (roots.selectExpr(f"node AS {c}", f"root AS r{c}").hint("merge") for c in "ab")
-        ends = links.join(one, "a").join(two, "b")
-        moved = components(ends.selectExpr("ra AS a", "rb AS b").where("a <> b").distinct()).selectExpr("node AS root", "root AS to")
-        return durable(roots.join(moved.hint("merge"), "root", "left").select("node", F.coalesce("to", "root").alias("root")))
-
     # bands whose nodes are not of one component yet
     rooted = shared.join(roots, "node")
     sizes = rooted.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size")).where("low <> high")
-    path = scratch_path(spark, "open")
-    rooted.join(sizes.select("band", "size"), "band").join(
-        near.select(F.col("a").alias("node"), F.col("b").alias("hub"), "jaccard"), ["node", "hub"], "left"
-    ).select("band", "node", "hub", "root", "jaccard", "size").write.parquet(path)
-    open_ = spark.read.parquet(path)
+    hub_distance = near.select(F.col("a").alias("node"), F.col("b").alias("hub"), "jaccard")
+    open_ = written(
+        rooted.join(sizes.select("band", "size"), "band")
+        .join(hub_distance, ["node", "hub"], "left")
+        .select("band", "node", "hub", "root", "jaccard", "size"),
+        "open",
+    )
     few = open_.where(f"size <= {SMALL} AND node <> hub")
     one = few.selectExpr("band", "node AS a", "root AS ra", "jaccard AS ja")
     two = few.selectExpr("band", "node AS b", "root AS rb", "jaccard AS jb")
-    pairs = one.join(two, "band").where(f"a > b AND ra <> rb AND abs(ja - jb) <= {1 - share} + 1e-9").select("a", "b").distinct()
-    roots = merged(compare(pairs, stored, share).where("linked").select("a", "b"))
+    pairs = one.join(two, "band").where(f"a > b AND ra <> rb AND abs(ja - jb) <= {1 - share} + 1e-9").select("a", "b", "ra", "rb").distinct()
+    links = [compare(pairs, stored, share).where("linked").select("ra", "rb")]
 
-    large = durable(open_.where(f"size > {SMALL}").select("band", "node"))
-    held = durable(stored.join(large.select("node").distinct(), "node", "left_semi"))
+    large = open_.where(f"size > {SMALL}").select("band", "node", "root")
+    held = written(stored.join(large.select("node").distinct(), "node", "left_semi"), "held")
     turn = 0
     while True:
-        rooted = large.join(roots.hint("merge"), "node")
+        large = written(moved(large, lowered(links[-1])), "large")
         drawn = [F.expr(f"min_by(struct(node, root), xxhash64(node, {turn}, {i}))").alias(f"p{i}") for i in range(PIVOTS)]
-        bands_ = rooted.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), *drawn).where("low <> high").drop("low", "high")
+        bands_ = large.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), *drawn).where("low <> high").drop("low", "high")
         pivots = F.explode(F.array_distinct(F.array(*(f"p{i}" for i in range(PIVOTS)))))
-        pairs = rooted.join(bands_.hint("merge"), "band").select("node", "root", pivots.alias("p")).where("root <> p.root")
-        pairs = pairs.selectExpr("greatest(node, p.node) AS a", "least(node, p.node) AS b").distinct()
-        links = compare(pairs, held, share).where("linked").select("a", "b")
-        if links.isEmpty():
+        pairs = large.join(bands_.hint("merge"), "band").select(F.struct("node", "root").alias("q"), pivots.alias("p")).where("q.root <> p.root")
+        pairs = pairs.selectExpr("greatest(q, p) AS q", "least(q, p) AS p").selectExpr("q.node AS a", "p.node AS b", "q.root AS ra", "p.root AS rb")
+        new = compare(pairs.distinct(), held, share).where("linked").select("ra", "rb")
+        if new.isEmpty():
             break
-        roots = merged(links)
+        links.append(new)
         turn += 1
+    joined = components(reduce(DataFrame.union, links).selectExpr("ra AS a", "rb AS b"))
+    roots = moved(roots, joined.selectExpr("node AS root", "root AS to"))
     placed = groups.select("node", "first_id", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     classes = placed.groupBy("root").agg(F.min("first_id").alias("class_id"), F.sum("n").alias("class_size")).where("class_size > 1")
     known = placed.join(classes, "root").select("node", "class_id", "class_size")
