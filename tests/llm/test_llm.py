@@ -18,7 +18,7 @@ from volpanel.llm.conversations import collapse_snapshots
 from volpanel.llm.decontamination import decontaminate
 from volpanel.llm.licences import scan_licences
 from volpanel.llm.main_text import extract_text, main_text, minimum_cut
-from volpanel.llm.near_duplicates import near_duplicates
+from volpanel.llm.near_duplicates import near_duplicates, similarity, sketches
 from volpanel.llm.packing import closest, pack, plan_windows
 from volpanel.llm.personal_data import BASE, find_personal_data, redacted
 from volpanel.llm.quality import log_tail, quality_rules
@@ -298,6 +298,45 @@ def test_near_duplicates_against_all_pairs(spark):
     assert got == {i: find(i) for i in range(len(rows))}
 
 
+def linked_in_bands(spark, texts, **bands):
+    """Class of each row, from all pairs of rows that share a band."""
+    docs = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    members = collections.defaultdict(list)
+    for r in sketches(docs, 5, **bands).collect():
+        for band in r.bands:
+            members[band].append(r.id)
+    grams = [np.array([zlib.crc32(" ".join(w[i : i + 5]).encode()) for i in range(len(w) - 4)], np.uint64) for w in map(words, texts)]
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, j in {(i, j) for m in members.values() for i in m for j in m if i < j}:
+        if max(similarity(grams[i], grams[j])) >= 0.8:
+            a, b = sorted((find(i), find(j)))
+            root[b] = a
+    return {i: find(i) for i in range(len(texts))}, max(map(len, members.values()))
+
+
+def test_every_link_of_a_large_band_is_found(spark):
+    rng = random.Random(3)
+    fresh = lambda n: [f"w{rng.randint(0, 10**9)}" for _ in range(n)]
+    common = fresh(300)
+    rows = []
+    for _ in range(60):  # pairs of twins that share a passage with all others
+        own = fresh(100)
+        rows += [" ".join(common + own), " ".join(common + own[:-10] + fresh(10))]
+    copy = fresh(100)
+    rows += [" ".join(common + copy[:i] + fresh(1) + copy[i + 1 :]) for i in range(90)]
+    bands = {"keep": 1, "rows": 1, "number": 1}
+    expected, largest = linked_in_bands(spark, rows, **bands)
+    assert largest > 150 and len(set(expected.values())) > 40
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id int, text string")
+    assert {r.doc_id: r.class_id for r in near_duplicates(docs, **bands).collect()} == expected
+
+
 def expected_spans(text):
     out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
     for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text):

@@ -10,6 +10,8 @@ hub) instead of with all others. Only bands whose nodes are not of one component
 of different components are compared unless their distances to the hub rule a link out (Jaccard distance is a metric).
 In a large one all nodes are compared with a few more nodes of other components, drawn anew in each round, until a
 round over all large bands finds no link. The work of a round is in proportion to the nodes, however large a group is.
+What is not of one component after that is joined on prefixes: of each node's k-mers, rarest first, only so many are
+joined that no pair of the wanted similarity can be missed, whether or not a round has drawn one of its nodes.
 Rounds lower each node's label to the smallest one within two links, which is enough to stop comparing what is known
 to be linked; the components of all links found are taken once, at the end.
 """
@@ -146,6 +148,11 @@ def increasing(values: np.ndarray) -> int:
     return len(tails)
 
 
+def labelled(values: np.ndarray) -> np.ndarray:
+    """The k-mers of one text, told apart by their occurrence number."""
+    return mix(values + occurrences(values, np.array([0, len(values)])) * STEP)
+
+
 def similarity(a: np.ndarray, b: np.ndarray, share: float = SIMILARITY) -> tuple[float, float]:
     """Of two k-mer sequences: share of aligned k-mers among all (banded, in order), and the Jaccard similarity.
 
@@ -157,8 +164,7 @@ def similarity(a: np.ndarray, b: np.ndarray, share: float = SIMILARITY) -> tuple
     jaccard = common / max(len(one) + len(two) - common, 1)
     if min(len(a), len(b)) < share * max(len(a), len(b)) or jaccard == 0:
         return 0.0, jaccard
-    label = lambda x: mix(x + occurrences(x, np.array([0, len(x)])) * STEP)
-    _, i, j = np.intersect1d(label(a), label(b), assume_unique=True, return_indices=True)
+    _, i, j = np.intersect1d(labelled(a), labelled(b), assume_unique=True, return_indices=True)
     width = int((1 - share) * max(len(a), len(b))) + 1
     inside = np.abs(i - j) <= width
     i, j = i[inside], j[inside]
@@ -235,6 +241,54 @@ def moved(rows: DataFrame, to: DataFrame) -> DataFrame:
     return rows.join(to.hint("merge"), "root", "left").select(*(named if c == "root" else c for c in rows.columns))
 
 
+def prefix_pairs(stored: DataFrame, share: float) -> DataFrame:
+    """(a, b, ra, rb): of (node, root, kmers), every pair of different roots that can be linked.
+
+    An alignment of ``share`` needs that Jaccard similarity of the labelled k-mers (kind 0); the other way to a link is
+    that of the k-mer sets (kind 1). K-mers are ordered by the number of nodes that hold them. Two sets of the wanted
+    similarity have their first common k-mer at places which leave enough k-mers behind it in both of them.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.frombuffer(x.as_buffer(), np.uint32).astype(np.uint64) for x in batch.column("kmers")]
+            total = np.cumsum([0] + [len(x) for x in found])
+            cuts = np.searchsorted(total, np.arange(0, total[-1], BLOCK_BYTES >> 3))
+            for i, j in zip(cuts, [*cuts[1:], len(found)]):
+                if i == j:
+                    continue
+                part = found[i:j]
+                first = [mix(x) for x in part]
+                tokens = [labelled(x) for x in part]
+                first = [t == f for t, f in zip(tokens, first)]
+                sizes = np.array([len(x) for x in part])
+                owner = pa.array(np.repeat(np.arange(i, j), sizes))
+                rows = {c: batch.column(c).take(owner) for c in ("node", "root")}
+                rows["m"] = pa.array(np.repeat(sizes, sizes))
+                rows["m0"] = pa.array(np.repeat([int(f.sum()) for f in first], sizes))
+                rows["token"] = pa.array(np.concatenate(tokens).view(np.int64))
+                rows["first"] = pa.array(np.concatenate(first))
+                yield pa.RecordBatch.from_pydict(rows)
+
+    kinds = "node binary, root binary, m bigint, m0 bigint, token bigint, first boolean"
+    tokens = written(stored.select("node", "root", "kmers").mapInArrow(run, kinds), "tokens")
+    # k-mers of one node only stand before all others and join nothing
+    shared = tokens.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
+    lists = tokens.join(shared.hint("merge"), "token").groupBy("node", "root", "m", "m0")
+    lists = lists.agg(F.sort_array(F.collect_list(F.struct("n", "token", "first"))).alias("list"))
+    both = "inline(array(struct(0 AS kind, m AS size, list), struct(1 AS kind, m0 AS size, filter(list, x -> x.first) AS list)))"
+    placed = lists.selectExpr("node", "root", both).selectExpr("node", "root", "kind", "size", "size - size(list) AS alone", "posexplode(list) AS (at, x)")
+    placed = placed.selectExpr("node", "root", "kind", "size", "x.token AS token", "size - alone - at AS left")
+    prefixes = written(placed.where(f"left >= {share} * size - 1e-9"), "prefixes")
+    one = prefixes.selectExpr("kind", "token", "node AS a", "root AS ra", "size AS sa", "left AS la")
+    two = prefixes.where(f"left >= {2 * share / (1 + share)} * size - 1e-9").selectExpr("kind", "token", "node AS b", "root AS rb", "size AS sb", "left AS lb")
+    pairs = one.hint("merge").join(two, ["kind", "token"]).where(
+        f"a <> b AND ra <> rb AND sb <= sa AND sb >= {share} * sa - 1e-9 AND least(la, lb) >= {share / (1 + share)} * (sa + sb) - 1e-9"
+    )
+    pairs = pairs.selectExpr("struct(a AS node, ra AS root) AS p", "struct(b AS node, rb AS root) AS q").selectExpr("greatest(p, q) AS q", "least(p, q) AS p")
+    return pairs.selectExpr("q.node AS a", "p.node AS b", "q.root AS ra", "p.root AS rb").distinct()
+
+
 def near_duplicates(
     docs: DataFrame,
     id: str = "doc_id",
@@ -300,6 +354,8 @@ def near_duplicates(
             break
         links.append(new)
         turn += 1
+    apart = large.join(bands_.select("band").hint("merge"), "band").select("node", "root").distinct()
+    links.append(compare(prefix_pairs(held.join(apart.hint("merge"), "node"), share), held, share).where("linked").select("ra", "rb"))
     joined = components(reduce(DataFrame.union, links).selectExpr("ra AS a", "rb AS b"))
     roots = moved(roots, joined.selectExpr("node AS root", "root AS to"))
     placed = groups.select("node", "first_id", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
