@@ -2,12 +2,15 @@
 
 Texts become words, words become k-mers (five words), and equal k-mers of a text are told apart by their occurrence
 number. One sketch takes the ``keep`` smallest labelled k-mers under a random hash and lists them in the order of the
-text, so two texts share it only if they share these k-mers in the same order: it follows edit similarity. Sketches
-are joined to bands; texts that share a band are candidates, and a banded alignment of their k-mers decides.
+text, so two texts share it only if they share these k-mers in the same order: it follows edit similarity. A second
+sketch takes the smallest k-mers of the set, without occurrence numbers and in no order: it follows the Jaccard
+similarity, whatever is moved or repeated. Sketches of a kind are joined to bands; texts that share a band are
+candidates, and a banded alignment of their k-mers or the Jaccard similarity decides.
 
 Texts with the same words are one node from the start. In a band every node is compared with the smallest one (its
 hub) instead of with all others. Only bands whose nodes are not of one component by then go on. In a small one, nodes
-of different components are compared unless their distances to the hub rule a link out (Jaccard distance is a metric).
+of different components are compared unless their distances to the hub rule a link out: both that of the k-mer sets
+and that of the labelled k-mers, which bounds the alignment (Jaccard distances are metrics).
 In a large one all nodes are compared with a few more nodes of other components, drawn anew in each round, until a
 round over all large bands finds no link. The work of a round is in proportion to the nodes, however large a group is.
 What is not of one component after that is joined on prefixes: of each node's k-mers, rarest first, only so many are
@@ -83,29 +86,41 @@ def digests(hashes: np.ndarray, first: np.ndarray) -> list[bytes]:
 
 
 def bands(values: np.ndarray, at: np.ndarray, keep: int = KEEP, rows: int = ROWS, number: int = BANDS, seed: int = 11) -> np.ndarray:
-    """Order MinHash bands of all texts that have k-mers (a row each)."""
+    """Bands of all texts that have k-mers (a row each): ``number`` by order MinHash, then as many by plain MinHash."""
     full = np.flatnonzero(np.diff(at) > 0)
-    labelled = mix(values + occurrences(values, at) * np.uint64(0xE7037ED1A0B428DB))
+    numbers = occurrences(values, at)
+    labelled = mix(values + numbers * np.uint64(0xE7037ED1A0B428DB))
+    first = np.flatnonzero(numbers == 0)
+    firsts = np.searchsorted(first, at[:-1][full])
     rng = np.random.default_rng(seed)
     place = np.arange(len(values), dtype=np.uint64)
-    out = np.zeros((len(full), number), np.uint64)
+    out = np.zeros((len(full), 2 * number), np.uint64)
     starts = at[:-1][full]
-    for i in range(rows * number):
-        a, b = rng.integers(1, 2**63, 2, dtype=np.uint64)
-        v = (labelled ^ a) * (b | np.uint64(1))
-        v = (v ^ (v >> np.uint64(31))) * STEP
-        v = (v & ~PLACE) | place
+
+    def smallest(v: np.ndarray, starts: np.ndarray, where: np.ndarray | None = None) -> list[np.ndarray]:
         spots = []
         for _ in range(keep):
             low = np.minimum.reduceat(v, starts)
             spot = (low & PLACE).astype(np.int64)
             spot = np.where(low == np.uint64(2**64 - 1), spots[-1] if spots else spot, spot)
-            v[spot] = np.uint64(2**64 - 1)
+            v[spot if where is None else where[spot]] = np.uint64(2**64 - 1)
             spots.append(spot)
-        sketch = np.zeros(len(full), np.uint64)
-        for spot in np.sort(np.column_stack(spots), axis=1).T:
-            sketch = mix(sketch * STEP + values[spot])
-        out[:, i // rows] = mix(out[:, i // rows] * STEP + sketch + np.uint64(i // rows + 1))
+        return spots
+
+    for i in range(rows * number):
+        a, b = rng.integers(1, 2**63, 2, dtype=np.uint64)
+        v = (labelled ^ a) * (b | np.uint64(1))
+        v = (v ^ (v >> np.uint64(31))) * STEP
+        v = (v & ~PLACE) | place
+        plain = None if len(first) == len(v) else v[first]
+        ordered = smallest(v, starts)
+        # without repeats both sketches have the same k-mers
+        plain = ordered if plain is None else smallest(plain, firsts, np.cumsum(numbers == 0) - 1)
+        for column, spots in ((i // rows, np.sort(np.column_stack(ordered), axis=1).T), (number + i // rows, plain)):
+            sketch = np.zeros(len(full), np.uint64)
+            for spot in spots:
+                sketch = mix(sketch * STEP + values[spot])
+            out[:, column] = mix(out[:, column] * STEP + sketch + np.uint64(column + 1))
     return out
 
 
@@ -121,7 +136,7 @@ def sketches(docs: DataFrame, k: int, keep: int, rows: int, number: int) -> Data
                 full = np.diff(at) > 0
                 nodes = digests(hashes, first)
                 table = bands(values, at, keep, rows, number).view(np.int64)
-                many = np.where(np.diff(first) > k, number, 0)  # shorter ones can only have equal words
+                many = np.where(np.diff(first) > k, 2 * number, 0)  # shorter ones can only have equal words
                 table = table[(many > 0)[full]]
                 lists = pa.ListArray.from_arrays(
                     pa.array(np.concatenate([[0], np.cumsum(many)]).astype(np.int32)), pa.array(table.reshape(-1))
@@ -153,8 +168,9 @@ def labelled(values: np.ndarray) -> np.ndarray:
     return mix(values + occurrences(values, np.array([0, len(values)])) * STEP)
 
 
-def similarity(a: np.ndarray, b: np.ndarray, share: float = SIMILARITY) -> tuple[float, float]:
-    """Of two k-mer sequences: share of aligned k-mers among all (banded, in order), and the Jaccard similarity.
+def similarity(a: np.ndarray, b: np.ndarray, share: float = SIMILARITY) -> tuple[float, float, float]:
+    """Of two k-mer sequences: share of aligned k-mers among all (banded, in order), and the Jaccard similarities of
+    the k-mer sets and of the labelled k-mers; the last is never below the first.
 
     Occurrence-labelled k-mers match at one place at most, so the longest common subsequence inside the band is the
     longest increasing run of match positions. An alignment of the wanted similarity never leaves the band.
@@ -162,14 +178,17 @@ def similarity(a: np.ndarray, b: np.ndarray, share: float = SIMILARITY) -> tuple
     one, two = np.unique(a), np.unique(b)
     common = len(np.intersect1d(one, two, assume_unique=True))
     jaccard = common / max(len(one) + len(two) - common, 1)
-    if min(len(a), len(b)) < share * max(len(a), len(b)) or jaccard == 0:
-        return 0.0, jaccard
+    if jaccard == 0:
+        return 0.0, 0.0, 0.0
     _, i, j = np.intersect1d(labelled(a), labelled(b), assume_unique=True, return_indices=True)
+    bound = len(i) / (len(a) + len(b) - len(i))
+    if min(len(a), len(b)) < share * max(len(a), len(b)):
+        return 0.0, jaccard, bound
     width = int((1 - share) * max(len(a), len(b))) + 1
     inside = np.abs(i - j) <= width
     i, j = i[inside], j[inside]
     aligned = increasing(j[np.argsort(i)])
-    return aligned / (len(a) + len(b) - aligned), jaccard
+    return aligned / (len(a) + len(b) - aligned), jaccard, bound
 
 
 def written(rows: DataFrame, name: str) -> DataFrame:
@@ -201,7 +220,7 @@ def stored_kmers(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
 
 
 def compare(pairs: DataFrame, stored: DataFrame, share: float, hubs: bool = False) -> DataFrame:
-    """(a, b, jaccard, linked) of node pairs and their other columns; ``hubs``: b is always a hub."""
+    """(a, b, jaccard, bound, linked) of node pairs and their other columns; ``hubs``: b is always a hub."""
     left = stored.select(F.col("node").alias("a"), F.col("kmers").alias("ka"))
     right = (stored.where("is_hub") if hubs else stored).select(F.col("node").alias("b"), F.col("kmers").alias("kb"))
     # the side where one node meets very many comes first, while the rows are still narrow
@@ -219,13 +238,14 @@ def compare(pairs: DataFrame, stored: DataFrame, share: float, hubs: bool = Fals
                     "a": batch.column("a"),
                     "b": batch.column("b"),
                     "jaccard": pa.array([f[1] for f in found], pa.float64()),
-                    "linked": pa.array([max(f) >= share for f in found], pa.bool_()),
+                    "bound": pa.array([f[2] for f in found], pa.float64()),
+                    "linked": pa.array([max(f[:2]) >= share for f in found], pa.bool_()),
                 }
                 | {c: batch.column(c) for c in others}
             )
 
     kinds = "".join(f", {c} {pairs.schema[c].dataType.simpleString()}" for c in others)
-    return written(rows.mapInArrow(align, "a binary, b binary, jaccard double, linked boolean" + kinds), "compared")
+    return written(rows.mapInArrow(align, "a binary, b binary, jaccard double, bound double, linked boolean" + kinds), "compared")
 
 
 def lowered(links: DataFrame) -> DataFrame:
@@ -326,17 +346,18 @@ def near_duplicates(
     # bands whose nodes are not of one component yet
     rooted = shared.join(roots, "node")
     sizes = rooted.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size")).where("low <> high")
-    hub_distance = near.select(F.col("a").alias("node"), F.col("b").alias("hub"), "jaccard")
+    hub_distance = near.select(F.col("a").alias("node"), F.col("b").alias("hub"), "jaccard", "bound")
     open_ = written(
         rooted.join(sizes.select("band", "size"), "band")
         .join(hub_distance, ["node", "hub"], "left")
-        .select("band", "node", "hub", "root", "jaccard", "size"),
+        .select("band", "node", "hub", "root", "jaccard", "bound", "size"),
         "open",
     )
     few = open_.where(f"size <= {SMALL} AND node <> hub")
-    one = few.selectExpr("band", "node AS a", "root AS ra", "jaccard AS ja")
-    two = few.selectExpr("band", "node AS b", "root AS rb", "jaccard AS jb")
-    pairs = one.join(two, "band").where(f"a > b AND ra <> rb AND abs(ja - jb) <= {1 - share} + 1e-9").select("a", "b", "ra", "rb").distinct()
+    one = few.selectExpr("band", "node AS a", "root AS ra", "jaccard AS ja", "bound AS la")
+    two = few.selectExpr("band", "node AS b", "root AS rb", "jaccard AS jb", "bound AS lb")
+    pairs = one.join(two, "band").where(f"a > b AND ra <> rb AND least(abs(ja - jb), abs(la - lb)) <= {1 - share} + 1e-9")
+    pairs = pairs.select("a", "b", "ra", "rb").distinct()
     links = [compare(pairs, stored, share).where("linked").select("ra", "rb")]
 
     large = open_.where(f"size > {SMALL}").select("band", "node", "root")
