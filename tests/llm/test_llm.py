@@ -199,6 +199,18 @@ def test_disguised_words_are_restored_and_scored(spark, real):
     assert all(p == y for p, y in held)
 
 
+def test_long_clean_texts_of_new_words_are_not_toxic(spark):
+    rng = random.Random(12)
+    marks = [f"bad{i}word" for i in range(40)]
+    fresh = lambda n: [f"{rng.choice('abcdefgh')}{rng.randint(0, 10**12)}" for _ in range(n)]
+    docs = [(i, " ".join(fresh(10) + (rng.sample(marks, 20) if i % 2 else []))) for i in range(400)]
+    docs += [(i, " ".join(fresh(60_000))) for i in range(400, 412)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(400)], "doc_id long, toxic int")
+    got = by_id(score_toxicity(spark.createDataFrame(docs, "doc_id long, text string"), labels))
+    assert len({got[i].score for i in range(400, 412)}) == 1 and not any(got[i].predicted for i in range(400, 412))
+    assert all(got[i].predicted == i % 2 for i in range(400))
+
+
 def test_archives_round_trip(spark):
     rows = [(1, "http://a.b/x", "a" * 120), (2, "http://a.b/y", "a" * 120), (2, "http://a.b/y", "a" * 120), (3, None, None), (4, "http://c", "z\r\n\r\nWARC/1.1\r\nq")]
     rows += [(5, "u\r\nX: y", "\r\n\r\n" * 3 + "é" * 100), (6, "http://a.b/z", "b" * 99), (7, "http://a.b/z", "b" * 99)]

@@ -4,7 +4,8 @@ A disguised word (``1d10t``, ``i d i o t``, ``idiooot``) is a lattice: every cha
 that it is written for, for nothing (a separator) or for fewer repeats. Viterbi decoding takes the path that a
 character trigram model of the corpus finds most likely. The model counts all documents.
 
-Words, their beginnings, and the restored words are hashed features. Features that stand for the label in labelled
+Words, their beginnings, and the restored words are features, told apart by their full 64-bit hashes: a feature that no
+training text holds is never taken for another one. Features that stand for the label in labelled
 documents - nine tenths of their texts are labelled toxic, at least half by a lower confidence bound - are combined by a
 noisy-or.
 """
@@ -23,7 +24,6 @@ from pyspark.sql import functions as F
 
 from volpanel.llm.words import BASE, LOWER, WEIGHT, blocks, mix, powers, text_bytes, words_of
 
-BUCKETS = 1 << 20
 TRAIN_ROWS = 50_000
 BEGINNINGS = (4, 5, 6)
 CONFIDENCE = 3.0
@@ -164,7 +164,7 @@ def suspicious(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def hashed(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Text number and bucket of every word and of the beginnings of longer words."""
+    """Text number and hash of every word and of the beginnings of longer words."""
     data, starts, ends, hashes, first = words_of(column)
     owner = np.repeat(np.arange(len(first) - 1), np.diff(first))
     up = powers(BASE, max(BEGINNINGS))
@@ -176,24 +176,24 @@ def hashed(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
             value += WEIGHT[data[starts[long] + j]] * up[j]
         owners.append(owner[long])
         found.append(mix(value + np.uint64(size)))
-    return np.concatenate(owners), (np.concatenate(found) >> np.uint64(44)).astype(np.int64)
+    return np.concatenate(owners), np.concatenate(found).view(np.int64)
 
 
 def features(block: pa.RecordBatch, decoder: Decoder) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (text number, bucket) of words as they stand and as they were restored."""
+    """(text number, feature) of words as they stand and as they were restored, with repeats."""
     column = block.column("text")
-    owner, bucket = hashed(column)
+    owner, feature = hashed(column)
     flagged = np.flatnonzero(suspicious(*text_bytes(column)))
     if len(flagged):
         words = [" ".join(decoder.restored(t or "")) for t in column.take(pa.array(flagged)).to_pylist()]
         more, extra = hashed(pa.array(words, pa.string()))
-        owner, bucket = np.concatenate([owner, flagged[more]]), np.concatenate([bucket, extra])
-    key = np.unique(owner * BUCKETS + bucket)
-    return key // BUCKETS, key % BUCKETS
+        owner, feature = np.concatenate([owner, flagged[more]]), np.concatenate([feature, extra])
+    return owner, feature
 
 
 def feature_counts(rows: DataFrame, log_p: np.ndarray) -> DataFrame:
-    """(bucket, toxic, other) of (text, toxic): texts that hold the feature, summed over tasks.
+    """(feature, toxic, other) of (text, toxic): texts that hold the feature, counted in blocks and summed; the row
+    without a feature counts all texts.
 
     Of texts with the same smallest beginning of five words only one counts, so a group of copies is one example.
     """
@@ -201,25 +201,25 @@ def feature_counts(rows: DataFrame, log_p: np.ndarray) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = Decoder(shared.value)
-        counts = np.zeros((2, BUCKETS), np.int32)
-        texts = np.zeros(2, np.int64)
         for batch in batches:
             for block in blocks(batch, "text"):
                 toxic = block.column("toxic").to_numpy(zero_copy_only=False).astype(np.int64)
-                owner, bucket = features(block, decoder)
-                for y in (0, 1):
-                    counts[y] += np.bincount(bucket[toxic[owner] == y], minlength=BUCKETS).astype(np.int32)
-                    texts[y] += (toxic == y).sum()
-        seen = np.flatnonzero(counts[1])
-        yield pa.RecordBatch.from_pydict(
-            {
-                "bucket": pa.array(np.append(seen, -1)),
-                "toxic": pa.array(np.append(counts[1][seen], texts[1]).astype(np.int64)),
-                "other": pa.array(np.append(counts[0][seen], texts[0]).astype(np.int64)),
-            }
-        )
-
-    return rows.mapInArrow(run, "bucket bigint, toxic bigint, other bigint").groupBy("bucket").agg(
+                owner, feature = features(block, decoder)
+                order = np.lexsort((owner, feature))
+                owner, feature = owner[order], feature[order]
+                new = np.ones(len(owner), bool)
+                new[1:] = (owner[1:] != owner[:-1]) | (feature[1:] != feature[:-1])
+                seen, at = np.unique(feature[new], return_inverse=True)
+                of = [np.bincount(at, weights=toxic[owner[new]] == y, minlength=len(seen)).astype(np.int64) for y in (1, 0)]
+                yield pa.RecordBatch.from_pydict(
+                    {
+                        "feature": pa.concat_arrays([pa.array(seen, pa.int64()), pa.nulls(1, pa.int64())]),
+                        "toxic": pa.array(np.append(of[0], (toxic == 1).sum())),
+                        "other": pa.array(np.append(of[1], (toxic == 0).sum())),
+                    }
+                )
+
+    return rows.mapInArrow(run, "feature bigint, toxic bigint, other bigint").groupBy("feature").agg(
         F.sum("toxic").alias("toxic"), F.sum("other").alias("other")
     )
 
@@ -243,21 +243,22 @@ def signed(rows: DataFrame) -> DataFrame:
     return marked.groupBy("sign", "toxic").agg(F.min("text").alias("text")).select("text", "toxic")
 
 
-def fit(counts: list[tuple[int, int, int]], confidence: float = CONFIDENCE) -> tuple[float, np.ndarray]:
-    """Share of toxic texts without any feature, and the strength of each feature (0: not used)."""
-    total = next(((t, o) for b, t, o in counts if b < 0), (0, 0))
+def fit(counts: list[tuple[int | None, int, int]], confidence: float = CONFIDENCE) -> tuple[float, np.ndarray, np.ndarray]:
+    """Share of toxic texts without any feature, and the features in use, in order, with their strengths."""
+    total = next(((t, o) for f, t, o in counts if f is None), (0, 0))
     base = total[0] / max(sum(total), 1)
-    strength = np.zeros(BUCKETS, np.float64)
-    for bucket, toxic, other in counts:
-        if bucket < 0:
+    strength = {}
+    for feature, toxic, other in counts:
+        if feature is None:
             continue
         n = toxic + other
         z2 = confidence**2
         share = toxic / n
         low = (share + z2 / (2 * n) - confidence * math.sqrt(share * (1 - share) / n + z2 / (4 * n * n))) / (1 + z2 / n)
         if low >= 0.5 and share >= SHARE:
-            strength[bucket] = low
-    return min(base, 0.25), strength
+            strength[feature] = low
+    used = np.array(sorted(strength), np.int64)
+    return min(base, 0.25), used, np.array([strength[f] for f in used.tolist()], np.float64)
 
 
 def score_toxicity(
@@ -285,20 +286,22 @@ def score_toxicity(
     train = source.join(F.broadcast(chosen), "id").select("text", "toxic")
     # with fewer texts than this, no share has a lower bound of one half
     least = math.ceil(CONFIDENCE**2)
-    counts = feature_counts(signed(train), log_p).where(f"bucket < 0 OR (toxic >= {least} AND toxic >= {SHARE} * (toxic + other))").toArrow()
-    base, strength = fit(list(zip(*(counts.column(c).to_pylist() for c in ("bucket", "toxic", "other")))))
-    used = np.flatnonzero(strength)
-    shared = spark.sparkContext.broadcast((log_p, base, used, strength[used]))
+    counts = feature_counts(signed(train), log_p).where(f"feature IS NULL OR (toxic >= {least} AND toxic >= {SHARE} * (toxic + other))").toArrow()
+    base, used, strength = fit(list(zip(*(counts.column(c).to_pylist() for c in ("feature", "toxic", "other")))))
+    shared = spark.sparkContext.broadcast((log_p, base, used, strength))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        log_p, base, used, own = shared.value
+        log_p, base, used, strength = shared.value
         decoder = Decoder(log_p)
-        loss = np.zeros(BUCKETS)
-        loss[used] = np.log1p(-np.minimum(own, 0.999))
+        loss = np.log1p(-np.minimum(strength, 0.999))
         for batch in batches:
             for block in blocks(batch, "text"):
-                owner, bucket = features(block, decoder)
-                clean = np.bincount(owner, weights=loss[bucket], minlength=block.num_rows)
+                owner, feature = features(block, decoder)
+                at = np.searchsorted(used, feature)
+                there = np.flatnonzero(at < len(used))
+                there = there[used[at[there]] == feature[there]]
+                key = np.unique(owner[there] * max(len(used), 1) + at[there])
+                clean = np.bincount(key // max(len(used), 1), weights=loss[key % max(len(used), 1)], minlength=block.num_rows)
                 score = 1 - (1 - base) * np.exp(clean)
                 yield pa.RecordBatch.from_pydict({"id": block.column("id"), "score": pa.array(score)})
 
