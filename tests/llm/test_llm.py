@@ -155,6 +155,14 @@ def test_licences_exact_and_with_edits(spark, real):
     assert got[2].n_base == 2 and got[1].matches[0].edits == 2 and got[4].score == 0
 
 
+def test_clipped_notice_is_found_in_any_text_of_a_block(spark):
+    notice = "permission is hereby granted free of charge to any person obtaining a copy"
+    texts = ["some other text", notice[2:], "one more", notice[6:] + " of it", "ends with " + notice[:-5], notice]
+    got = by_id(scan_licences(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").coalesce(1)))
+    assert [got[i].labels for i in range(6)] == ["", "mit", "", "mit", "mit", "mit"]
+    assert [m.edits for i in (1, 3, 4, 5) for m in got[i].matches] == [2, 6, 4, 0]
+
+
 def test_quality_counts_and_binomial_tail(spark, real):
     for i, r in by_id(Q.op5_quality(spark, FOLDER)).items():
         text = real.text[i]

@@ -80,20 +80,26 @@ class Scanner:
 
     def fuzzy(self, text: str) -> Iterator[tuple[int, int, str, int, int]]:
         """Start, end, label, edits and length of the notice of every match, each place of a notice once."""
-        tried: dict[int, list[int]] = {}
+        tried: dict[int, list[tuple[int, int]]] = {}
         for end, (size, owners) in self.automaton.iter(text):
             for number, offset in owners:
-                tried.setdefault(number, []).append(end - size + 1 - offset)
+                tried.setdefault(number, []).append((end - size + 1 - offset, end))
         for number, starts in tried.items():
             notice, label, edits, pattern = self.notices[number]
             done = -1
-            for start in sorted(set(starts)):
+            last = None
+            for start, seed in sorted(starts):
                 low, high = max(start - edits, 0, done), start + len(notice) + edits
                 if start + len(notice) <= done:
                     continue
-                low = max(low, text.rfind("\n", low, max(start, low)) + 1)
-                stop = text.find("\n", max(low, start), high)
-                found = pattern.search(text, low, stop if stop >= 0 else high)
+                # the text of the seed: a clipped notice would begin in the text before or end in the next one
+                low = max(low, text.rfind("\n", low, max(seed, low)) + 1)
+                stop = text.find("\n", max(seed, low), high)
+                window = low, stop if stop >= 0 else high
+                if window == last:
+                    continue
+                last = window
+                found = pattern.search(text, *window)
                 if found and found.end() > found.start():
                     done = found.end()
                     yield found.start(), found.end(), label, sum(found.fuzzy_counts), len(notice)
