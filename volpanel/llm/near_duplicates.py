@@ -11,9 +11,9 @@ Texts with the same words are one node from the start. In a band every node is c
 hub) instead of with all others. Only bands whose nodes are not of one component by then go on. In a small one, nodes
 of different components are compared unless their distances to the hub rule a link out: both that of the k-mer sets
 and that of the labelled k-mers, which bounds the alignment (Jaccard distances are metrics).
-In a large one all nodes are compared with a few more nodes of other components, drawn anew in each round, until a
-round over all large bands finds no link. The work of a round is in proportion to the nodes, however large a group is.
-What is not of one component after that is joined on prefixes: of each node's k-mers, rarest first, only so many are
+In a few rounds the nodes of large ones are compared with nodes of other components, drawn anew in each round from the
+largest band of each node; that only saves work. The work of a round is in proportion to the nodes, however large a
+group is. What is not of one component after that is joined on prefixes: of each node's k-mers, rarest first, only so many are
 joined that no pair of the wanted similarity can be missed, whether or not a round has drawn one of its nodes.
 Rounds lower each node's label to the smallest one within two links, which is enough to stop comparing what is known
 to be linked; the components of all links found are taken once, at the end.
@@ -41,6 +41,7 @@ BANDS = 20
 ROWS = 3
 SMALL = 24
 PIVOTS = 3
+ROUNDS = 3
 PLACE = np.uint64((1 << 28) - 1)
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -360,22 +361,24 @@ def near_duplicates(
     pairs = pairs.select("a", "b", "ra", "rb").distinct()
     links = [compare(pairs, stored, share).where("linked").select("ra", "rb")]
 
-    large = open_.where(f"size > {SMALL}").select("band", "node", "root")
-    held = written(stored.join(large.select("node").distinct(), "node", "left_semi"), "held")
-    turn = 0
-    while True:
-        large = written(moved(large, lowered(links[-1])), "large")
+    large = open_.where(f"size > {SMALL}").select("band", "node", "root", "size")
+    now = large.groupBy("node", "root").agg(F.max(F.struct("size", "band"))["band"].alias("band"))
+    held = written(stored.join(now.select("node"), "node", "left_semi"), "held")
+    for turn in range(ROUNDS):
+        now = written(moved(now, lowered(links[-1])), "large")
         drawn = [F.expr(f"min_by(struct(node, root), xxhash64(node, {turn}, {i}))").alias(f"p{i}") for i in range(PIVOTS)]
-        bands_ = large.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), *drawn).where("low <> high").drop("low", "high")
+        bands_ = now.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), *drawn).where("low <> high").drop("low", "high")
         pivots = F.explode(F.array_distinct(F.array(*(f"p{i}" for i in range(PIVOTS)))))
-        pairs = large.join(bands_.hint("merge"), "band").select(F.struct("node", "root").alias("q"), pivots.alias("p")).where("q.root <> p.root")
+        pairs = now.join(bands_.hint("merge"), "band").select(F.struct("node", "root").alias("q"), pivots.alias("p")).where("q.root <> p.root")
         pairs = pairs.selectExpr("greatest(q, p) AS q", "least(q, p) AS p").selectExpr("q.node AS a", "p.node AS b", "q.root AS ra", "p.root AS rb")
         new = compare(pairs.distinct(), held, share).where("linked").select("ra", "rb")
         if new.isEmpty():
             break
         links.append(new)
-        turn += 1
-    apart = large.join(bands_.select("band").hint("merge"), "band").select("node", "root").distinct()
+    now = written(moved(now, lowered(links[-1])), "large").select("node", "root")
+    placed = large.select("band", "node").join(now.hint("merge"), "node")
+    split = placed.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("band")
+    apart = placed.join(split.hint("merge"), "band").select("node", "root").distinct()
     links.append(compare(prefix_pairs(held.join(apart.hint("merge"), "node"), share), held, share).where("linked").select("ra", "rb"))
     joined = components(reduce(DataFrame.union, links).selectExpr("ra AS a", "rb AS b"))
     roots = moved(roots, joined.selectExpr("node AS root", "root AS to"))
