@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from volpanel import params as P
 from volpanel.functions.black import with_forward_delta
 from volpanel.functions.num import add
+from volpanel.operators import blocks as B
 from volpanel.operators import state as St
 
 DTE_LOW, DTE_HIGH, DTE_TARGET = 25, 45, 35
@@ -55,9 +56,7 @@ def risk_unit(local_label: str = "CSI300") -> str:
 def with_risk_units(df: DataFrame, order: str = "session_date", keys: tuple[str, ...] = ()) -> DataFrame:
     df = add(df, {"_u": risk_unit()})
     df = add(df, {"raw_dynamic_unit": "_u.unit", "risk_reason": "_u.reason", "static_unit": "0.5D"}).drop("_u")
-    grouped = add(df, {"_all": "1"}) if not keys else df
-    out = St.confirm_increases(grouped, "raw_dynamic_unit", "dynamic_unit", keys=list(keys) or ["_all"], order=order)
-    return out.drop("_all")
+    return St.confirm_increases(df, "raw_dynamic_unit", "dynamic_unit", keys=list(keys), order=order)
 
 
 def _per_decision_date(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -140,8 +139,10 @@ def active_counts(contracts: DataFrame, sessions: DataFrame) -> DataFrame:
         .withColumn("session_date", F.expr("CAST(NULL AS DATE)"))
         .unionByName(sessions.selectExpr("session_date AS day", "0L AS move", "session_date"))
     )
-    live = "sum(move) OVER (ORDER BY day RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
-    return add(moves, {"active": live}).filter("session_date IS NOT NULL").select("session_date", "active")
+    # openings and closings of a day come before its session row
+    days = moves.groupBy("day").agg(F.expr("sum(move) AS move"), F.expr("any_value(session_date, true) AS session_date"))
+    live = B.running_sums(add(days, {"_block": B.block_of(days, "day")}), [], "day", {"active": "move"})
+    return live.filter("session_date IS NOT NULL").select("session_date", "active")
 
 
 def lagged_vol(surface: DataFrame) -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from volpanel import params as P
 from volpanel.functions.num import add, known, log_ratio
+from volpanel.operators import blocks as B
 
 
 def by(keys: Sequence[str], order: str | Sequence[str]) -> str:
@@ -164,6 +165,59 @@ def vol_of_vol(
 # ---- exponentially weighted variance -----------------------------------------
 
 
+class Ewma:
+    """The variance recursion over blocks: an unbroken run of returns is the map level -> a * level + b."""
+
+    def __init__(self, returns: str, out: str, decay: float, warmup: int):
+        self.returns, self.out, self.decay, self.warmup = returns, out, decay, warmup
+
+    def affine(self, x: np.ndarray) -> tuple[float, float]:
+        """(a, b) of the returns, in their order."""
+        weights = self.decay ** np.arange(len(x) - 1, -1, -1, dtype=float)
+        return float(self.decay ** len(x)), float((1.0 - self.decay) * (weights * x * x).sum())
+
+    def follow(self, state: dict, size: int, b: float, head: np.ndarray) -> dict:
+        """The state after ``size`` more returns, of which ``head`` are the first (``warmup`` of them, if there are)."""
+        if "level" in state:
+            return {"level": self.decay**size * state["level"] + b}
+        seen = state["values"]
+        missing = self.warmup - len(seen)
+        if size < missing:
+            return {"values": [*seen, *head[:size].tolist()]}
+        seed = float(np.var([*seen, *head[:missing]], ddof=1))
+        # what the returns up to the seed have added to b decays by those behind it
+        rest = self.decay ** (size - missing)
+        return {"level": rest * seed + b - rest * self.affine(head[:missing])[1]}
+
+    def table(self, pdf: pd.DataFrame) -> dict:
+        x = pdf[self.returns].to_numpy(dtype=float, na_value=np.nan)
+        breaks = np.flatnonzero(~np.isfinite(x))
+        first = x[: breaks[0]] if len(breaks) else x
+        out = {"size": len(first), "b": self.affine(first)[1], "head": first[: self.warmup].tolist()}
+        if len(breaks):
+            last = x[breaks[-1] + 1 :]
+            out["anew"] = self.follow({"values": []}, len(last), self.affine(last)[1], last[: self.warmup])
+        return out
+
+    def enter(self, state: dict, table: dict) -> dict:
+        return table["anew"] if "anew" in table else self.follow(state, table["size"], table["b"], np.array(table["head"]))
+
+    def fill(self, pdf: pd.DataFrame, state: dict) -> pd.DataFrame:
+        x = pdf[self.returns].to_numpy(dtype=float, na_value=np.nan)
+        level, seen, result = state.get("level"), list(state.get("values", [])), []
+        for value in x:
+            if not np.isfinite(value):
+                level, seen = None, []
+            elif level is not None:
+                level = self.decay * level + (1.0 - self.decay) * value * value
+            else:
+                seen.append(value)
+                if len(seen) == self.warmup:
+                    level = float(np.var(seen, ddof=1))
+            result.append(level)
+        return pd.DataFrame({self.out: pd.Series(result, dtype=object)})
+
+
 def ewma_variance(
     df: DataFrame,
     returns: str,
@@ -173,28 +227,12 @@ def ewma_variance(
     order: str,
     decay: float = P.EWMA_DECAY,
     warmup: int = P.EWMA_WARMUP,
+    span: int = B.SPAN,
 ) -> DataFrame:
-    """Variance recursion seeded by the sample variance of ``warmup`` unbroken
-    returns; a missing return clears it and the warm-up starts again."""
-    schema = T.StructType(list(df.schema.fields) + [T.StructField(out, T.DoubleType())])
-    names = list(schema.names)
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        x = pdf[returns].to_numpy(dtype=float, na_value=np.nan)
-        result = np.full(len(x), np.nan)
-        breaks = np.flatnonzero(~np.isfinite(x))
-        starts = np.concatenate([[0], breaks + 1])
-        ends = np.concatenate([breaks, [len(x)]])
-        for start, end in zip(starts, ends):
-            if end - start < warmup:
-                continue
-            level = float(np.var(x[start : start + warmup], ddof=1))
-            result[start + warmup - 1] = level
-            for i in range(start + warmup, end):
-                level = decay * level + (1.0 - decay) * x[i] * x[i]
-                result[i] = level
-        pdf[out] = pd.Series(result, index=pdf.index).astype(object).where(~np.isnan(result), None)
-        return pdf[names]
-
-    return df.groupBy(*keys).applyInPandas(fold, schema)
+    """Variance recursion seeded by the sample variance of ``warmup`` unbroken returns; a missing return clears it
+    and the warm-up starts again. Blocks of a series are worked on at the same time."""
+    run = Ewma(returns, out, decay, warmup)
+    schema = T.StructType([T.StructField(out, T.DoubleType())])
+    return B.fold(
+        df, [returns], schema, keys=keys, order=order, start={"values": []}, table=run.table, enter=run.enter, fill=run.fill, span=span
+    )

@@ -7,13 +7,16 @@ import json
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from volpanel import params as P
 from volpanel.functions import tri
 from volpanel.functions.num import add
+from volpanel.operators import blocks as B
 from volpanel.operators import series as S
 from volpanel.operators.market import UNIVERSE
+from volpanel.session import durable
 
 ANSWERS = ("level", "shock", "tail", "term", "breadth", "repair")
 
@@ -221,76 +224,136 @@ def _advance(raw: str, status: str, acute: bool | None, shock: float | None, pub
     return (raw, None, 0) if streak >= 2 else (published, raw, streak)
 
 
+PUBLISHED = T.StructType(
+    [
+        T.StructField("primary_phase", T.StringType()),
+        T.StructField("candidate_phase", T.StringType()),
+        T.StructField("candidate_streak", T.IntegerType()),
+    ]
+)
+#: Stands for a published phase that a block of sessions never names; the block keeps it or replaces it.
+KEPT = "\0kept"
+
+
+def _days(pdf: pd.DataFrame) -> list[tuple]:
+    none = lambda x: None if x is None or pd.isna(x) else x
+    return [
+        (raw, status, None if none(acute) is None else bool(acute), None if none(shock) is None else float(shock))
+        for raw, status, acute, shock in zip(pdf["raw_phase"], pdf["data_status"], pdf["hard_acute"], pdf["shock"])
+    ]
+
+
+def phase_table(pdf: pd.DataFrame) -> list[list]:
+    """Of a block of sessions: (published, candidate) at its start -> (published, candidate, streak) at its end.
+
+    Phases that the block does not name all act alike, so they are one row (``KEPT``); so do candidates that it does
+    not name, which are as good as none. Paths that have met go on as one.
+    """
+    days = _days(pdf)
+    named = sorted({raw for raw, *_ in days if raw is not None})
+    published = dict.fromkeys([tri.UNKNOWN, KEPT, *P.ACUTE_PHASES, *named])
+    now = {(p, c): (p, c, 0 if c is None else 1) for p in published for c in (None, *named)}
+    for day in days:
+        step = {state: _advance(*day, *state) for state in set(now.values())}
+        now = {begin: step[state] for begin, state in now.items()}
+    return [[*begin, *end] for begin, end in now.items()]
+
+
+def enter_phase(state: list, table: list[list]) -> list:
+    """(published, candidate, streak) after a block with this table."""
+    published, candidate, _ = state
+    ends = {(p, c): end for p, c, *end in table}
+    known = published or tri.UNKNOWN
+    p = known if (known, None) in ends else KEPT
+    c = candidate if (p, candidate) in ends else None
+    after, candidate, streak = ends[p, c]
+    return [known if after == KEPT else after, candidate, streak]
+
+
+def _published(pdf: pd.DataFrame, state: list) -> pd.DataFrame:
+    rows = []
+    for day in _days(pdf):
+        state = _advance(*day, *state)
+        rows.append(state)
+    return pd.DataFrame(rows, columns=PUBLISHED.names, dtype=object)
+
+
 def checkpoint_hash(payload: dict) -> str:
     text = json.dumps(payload, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
     return "sha256:" + hashlib.sha256(text.encode("utf-8")).hexdigest()
 
 
-def apply_phase_hysteresis(history: DataFrame, *, config_hash: str) -> DataFrame:
-    """Published phase with a two-session confirmation, and a hash chain over it.
+def checkpoint_chain(states: DataFrame, *, config_hash: str) -> DataFrame:
+    """(universe, session, previous hash, hash): a hash over each session's published state and the hash before it.
 
-    A fold with three values of state per universe; universes run in parallel.
+    A chain of hashes can only be followed from its beginning, so a universe is one task; no more than the date and
+    three values of a session go there.
     """
-    added = T.StructType(
-        [
-            T.StructField("primary_phase", T.StringType()),
-            T.StructField("candidate_phase", T.StringType()),
-            T.StructField("candidate_streak", T.IntegerType()),
-            T.StructField("previous_checkpoint_hash", T.StringType()),
-            T.StructField("checkpoint_hash", T.StringType()),
-        ]
-    )
-    schema = T.StructType(list(history.schema.fields) + list(added.fields))
-    names = list(schema.names)
+    states = states.select(UNIVERSE, "session_date", *PUBLISHED.names)
+    hashes = [T.StructField(c, T.StringType()) for c in ("previous_checkpoint_hash", "checkpoint_hash")]
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("session_date", kind="stable")
-        published: str | None = None
-        candidate: str | None = None
-        streak = 0
-        previous: str | None = None
-        rows = []
-        for day, raw, status, acute, shock in zip(
-            pdf["session_date"], pdf["raw_phase"], pdf["data_status"], pdf["hard_acute"], pdf["shock"]
-        ):
-            acute = None if acute is None or pd.isna(acute) else bool(acute)
-            shock = None if shock is None or pd.isna(shock) else float(shock)
-            published, candidate, streak = _advance(raw, status, acute, shock, published, candidate, streak)
-            current = checkpoint_hash(
-                {
-                    "session_date": pd.Timestamp(day).date().isoformat(),
-                    "published_phase": published,
-                    "candidate_phase": candidate,
-                    "candidate_streak": streak,
-                    "state_version": P.STATE_VERSION,
-                    "config_hash": config_hash,
-                    "previous_checkpoint_hash": previous,
-                }
+        links: list[str | None] = [None]
+        for day, published, candidate, streak in zip(*(pdf[c] for c in ("session_date", *PUBLISHED.names))):
+            links.append(
+                checkpoint_hash(
+                    {
+                        "session_date": pd.Timestamp(day).date().isoformat(),
+                        "published_phase": published,
+                        "candidate_phase": candidate,
+                        "candidate_streak": int(streak),
+                        "state_version": P.STATE_VERSION,
+                        "config_hash": config_hash,
+                        "previous_checkpoint_hash": links[-1],
+                    }
+                )
             )
-            rows.append((published, candidate, streak, previous, current))
-            previous = current
-        for i, name in enumerate(added.names):
-            pdf[name] = pd.Series([r[i] for r in rows], index=pdf.index, dtype=object)
-        return pdf[names]
-
-    return history.groupBy(UNIVERSE).applyInPandas(fold, schema)
-
-
-def confirm_increases(df: DataFrame, raw: str, out: str, *, keys: list[str], order: str) -> DataFrame:
-    """Cuts apply at once; a raise needs two consecutive sessions at or above it."""
-    schema = T.StructType(list(df.schema.fields) + [T.StructField(out, T.DoubleType())])
-    names = list(schema.names)
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        level = before = 0.0
-        path = []
-        for unit in pdf[raw].astype(float).fillna(0.0):
-            if unit <= level or before >= unit:
-                level = unit
-            path.append(level)
-            before = unit
-        pdf[out] = path
-        return pdf[names]
-
-    return df.groupBy(*keys).applyInPandas(fold, schema)
+        out = pdf[[UNIVERSE, "session_date"]]
+        return out.assign(previous_checkpoint_hash=links[:-1], checkpoint_hash=links[1:])
+
+    schema = T.StructType([states.schema[UNIVERSE], states.schema["session_date"], *hashes])
+    return states.groupBy(UNIVERSE).applyInPandas(chain, schema)
+
+
+def publish_phases(history: DataFrame, *, span: int = B.SPAN) -> DataFrame:
+    """(universe, session, published phase, candidate, streak): a finite-state machine whose blocks of sessions run at
+    the same time."""
+    return B.fold_rows(
+        history, ["raw_phase", "data_status", "hard_acute", "shock"], PUBLISHED, keys=[UNIVERSE], order="session_date",
+        start=[None, None, 0], table=phase_table, enter=enter_phase, fill=_published, span=span,
+    )
+
+
+def apply_phase_hysteresis(history: DataFrame, *, config_hash: str, span: int = B.SPAN) -> DataFrame:
+    """Published phase with a two-session confirmation, and a hash chain over it."""
+    states = durable(publish_phases(history, span=span))
+    both = B.joined(states, checkpoint_chain(states, config_hash=config_hash), [UNIVERSE, "session_date"])
+    return B.joined(history, both, [UNIVERSE, "session_date"])
+
+
+def confirm_increases(df: DataFrame, raw: str, out: str, *, keys: list[str], order: str, span: int = B.SPAN) -> DataFrame:
+    """Cuts apply at once; a raise needs two consecutive sessions at or above it.
+
+    A unit that is not above the one before it holds whatever the level was (a reset); any other one lowers the level
+    to itself at most. So the level is the least unit since the last reset, inside a block and across blocks alike.
+    Null units count as 0. Windows hold one block, or one row for each block.
+    """
+    by = ", ".join(keys)
+    own = f"{by + ', ' if by else ''}_block"
+    series = f"PARTITION BY {by} " if by else ""
+    unit = f"CASE WHEN isnan(double({raw})) THEN 0D ELSE coalesce(double({raw}), 0D) END"
+    rows = add(df.select(*keys, order, raw), {"_block": B.block_of(df, order, span), "_u": unit})
+    rows = add(rows, {"_again": f"int(coalesce(lag(_u) OVER (PARTITION BY {own} ORDER BY {order}) >= _u, false))"})
+    rows = add(rows, {"_reset": f"sum(_again) OVER (PARTITION BY {own} ORDER BY {order} ROWS UNBOUNDED PRECEDING)"})
+    rows = add(rows, {"_low": f"min(_u) OVER (PARTITION BY {own}, _reset ORDER BY {order} ROWS UNBOUNDED PRECEDING)"})
+    last = "max_by(struct(_u AS u, _low AS low, _reset > 0 AS fixed), " + order + ")"
+    ends = rows.groupBy(*keys, "_block").agg(F.expr(f"{last} AS _e"), F.expr(f"min_by(_u, {order}) AS _first"))
+    ends = add(ends, {"_from": f"coalesce(lag(_e.u) OVER ({series}ORDER BY _block), 0D) >= _first"})
+    ends = add(ends, {"_g": f"sum(int(_e.fixed OR _from)) OVER ({series}ORDER BY _block ROWS UNBOUNDED PRECEDING)"})
+    low = f"min(_e.low) OVER (PARTITION BY {by + ', ' if by else ''}_g ORDER BY _block ROWS UNBOUNDED PRECEDING)"
+    ends = add(ends, {"_after": f"CASE WHEN _g = 0 THEN least(0D, {low}) ELSE {low} END"})
+    ends = add(ends, {"_level": f"coalesce(lag(_after) OVER ({series}ORDER BY _block), 0D)"})
+    met = B.joined(rows, ends.select(*keys, "_block", "_from", "_level"), [*keys, "_block"])
+    level = "CASE WHEN _reset > 0 OR _from THEN _low ELSE least(_level, _low) END"
+    return B.joined(df, add(met, {out: level}).select(*keys, order, out), [*keys, order])

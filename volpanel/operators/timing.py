@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from volpanel import params as P
 from volpanel.functions.num import add
+from volpanel.operators import blocks as B
 from volpanel.operators import calendar as C
 from volpanel.operators import condor as Co
 
@@ -375,18 +376,11 @@ def cluster_bootstrap(panel: DataFrame, *, draws: int = 2000, seed: int = 202608
 def spearman(df: DataFrame, keys: list[str], x: str, y: str, out: str = "rho") -> DataFrame:
     """Rank correlation with average ranks; NULL under 3 rows or without variation.
 
-    Values are first reduced to counts per distinct value, so ties cost one row
-    and the running sums give every value its average rank.
+    Values are first reduced to counts per distinct value, so ties cost one row;
+    running sums over ranges of values give each its average rank.
     """
     rows = df.filter(f"{x} IS NOT NULL AND {y} IS NOT NULL").selectExpr(*keys, f"double({x}) AS x", f"double({y}) AS y")
-
-    def ranks(value: str) -> DataFrame:
-        sizes = rows.groupBy(*keys, value).agg(F.expr("count(1) AS _c"))
-        listed = ", ".join(keys)
-        before = f"coalesce(sum(_c) OVER (PARTITION BY {listed} ORDER BY {value} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)"
-        return add(sizes, {f"_rank_{value}": f"{before} + (_c + 1) / 2D"}).drop("_c")
-
-    ranked = rows.join(ranks("x"), [*keys, "x"]).join(ranks("y"), [*keys, "y"])
+    ranked = rows.join(B.value_ranks(rows, keys, "x", "_rank_x"), [*keys, "x"]).join(B.value_ranks(rows, keys, "y", "_rank_y"), [*keys, "y"])
     stats = ranked.groupBy(*keys).agg(
         F.expr("count(1) AS n"), F.expr("min(x) < max(x) AND min(y) < max(y) AS _vary"), F.expr("try_divide(covar_pop(_rank_x, _rank_y), stddev_pop(_rank_x) * stddev_pop(_rank_y)) AS _rho")
     )
