@@ -96,7 +96,7 @@ def test_index_finds_windows_and_near_windows(spark):
 @pytest.mark.parametrize("name", sorted(Q.oracle_sql()))
 def test_query_matches_its_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "conversations", "pages"):
+    for t in ("documents", "benchmark", "conversations", "pages", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{FOLDER}/{t}.parquet'")
     assert canonical(Q.queries()[name](spark, FOLDER).toPandas()) == canonical(con.execute(Q.oracle_sql()[name]).df())
 

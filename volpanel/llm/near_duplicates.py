@@ -7,14 +7,16 @@ sketch takes the smallest k-mers of the set, without occurrence numbers and in n
 similarity, whatever is moved or repeated. Sketches of a kind are joined to bands; texts that share a band are
 candidates, and a banded alignment of their k-mers or the Jaccard similarity decides.
 
-Texts with the same words are one node from the start. In a band every node is compared with the smallest one (its
-hub) instead of with all others. Only bands whose nodes are not of one component by then go on. In a small one, nodes
-of different components are compared unless their distances to the hub rule a link out: both that of the k-mer sets
-and that of the labelled k-mers, which bounds the alignment (Jaccard distances are metrics).
-In a few rounds the nodes of large ones are compared with nodes of other components, drawn anew in each round from the
-largest band of each node; that only saves work. The work of a round is in proportion to the nodes, however large a
-group is. What is not of one component after that is joined on prefixes: of each node's k-mers, rarest first, only so many are
-joined that no pair of the wanted similarity can be missed, whether or not a round has drawn one of its nodes.
+Texts with the same words are one node from the start. In a band every node is compared with its hub, the node that
+meets most others in all its bands, instead of with all others: of a text and its edited copies, that is the text. Only
+bands whose nodes are not of one component by then go on. In a small one, nodes of different components are compared
+unless their distances to the hub rule a link out (Jaccard distances are metrics). In a large one, nodes are compared
+with some nodes drawn from all but its largest component, until that finds no link. After that the band is split: its
+nodes are grouped by the k-mers that the hub lacks, which form the bands of the next level. If one of two linked nodes
+is not linked to the hub, they share such a k-mer, unless the other one is smaller than the hub and the k-mers of both
+are nearly all the hub's; those are left to the drawn nodes. So the work of a level is in proportion to the nodes and
+their k-mers, however large a group is, and levels end as every one takes the hub's k-mers away.
+
 Rounds lower each node's label to the smallest one within two links, which is enough to stop comparing what is known
 to be linked; the components of all links found are taken once, at the end.
 """
@@ -31,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from volpanel.llm.graph import components
-from volpanel.llm.words import BLOCK_BYTES, blocks, mix, words_of
+from volpanel.llm.words import blocks, mix, words_of
 from volpanel.session import durable, scratch_path
 
 K = 5
@@ -41,7 +43,6 @@ BANDS = 20
 ROWS = 3
 SMALL = 24
 PIVOTS = 3
-ROUNDS = 3
 PLACE = np.uint64((1 << 28) - 1)
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -262,52 +263,74 @@ def moved(rows: DataFrame, to: DataFrame) -> DataFrame:
     return rows.join(to.hint("merge"), "root", "left").select(*(named if c == "root" else c for c in rows.columns))
 
 
-def prefix_pairs(stored: DataFrame, share: float) -> DataFrame:
-    """(a, b, ra, rb): of (node, root, kmers), every pair of different roots that can be linked.
+def differences(rows: DataFrame, stored: DataFrame, share: float) -> DataFrame:
+    """(band, node, root) of the next level: of (hub, node, root), the nodes by k-mers that their hub lacks.
 
-    An alignment of ``share`` needs that Jaccard similarity of the labelled k-mers (kind 0); the other way to a link is
-    that of the k-mer sets (kind 1). K-mers are ordered by the number of nodes that hold them. Two sets of the wanted
-    similarity have their first common k-mer at places which leave enough k-mers behind it in both of them.
+    Two linked texts share at least ``share`` of the k-mers of either. What they do not share within the hub's k-mers is
+    among the others, so of those, in the order of their hashes, only so many are taken that a link cannot be missed.
+    That holds for the labelled k-mers (for an alignment) and for the k-mer sets (for the other way to a link).
     """
 
+    def chosen(own: np.ndarray, hub: np.ndarray) -> np.ndarray:
+        other = np.sort(np.setdiff1d(own, hub))
+        needed = int(np.ceil(share * len(own) - 1e-9)) - (len(own) - len(other))
+        return other[: len(other) - max(needed, 1) + 1]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [np.frombuffer(x.as_buffer(), np.uint32).astype(np.uint64) for x in batch.column("kmers")]
-            total = np.cumsum([0] + [len(x) for x in found])
-            cuts = np.searchsorted(total, np.arange(0, total[-1], BLOCK_BYTES >> 3))
-            for i, j in zip(cuts, [*cuts[1:], len(found)]):
-                if i == j:
-                    continue
-                part = found[i:j]
-                first = [mix(x) for x in part]
-                tokens = [labelled(x) for x in part]
-                first = [t == f for t, f in zip(tokens, first)]
-                sizes = np.array([len(x) for x in part])
-                owner = pa.array(np.repeat(np.arange(i, j), sizes))
-                rows = {c: batch.column(c).take(owner) for c in ("node", "root")}
-                rows["m"] = pa.array(np.repeat(sizes, sizes))
-                rows["m0"] = pa.array(np.repeat([int(f.sum()) for f in first], sizes))
-                rows["token"] = pa.array(np.concatenate(tokens).view(np.int64))
-                rows["first"] = pa.array(np.concatenate(first))
-                yield pa.RecordBatch.from_pydict(rows)
-
-    kinds = "node binary, root binary, m bigint, m0 bigint, token bigint, first boolean"
-    tokens = written(stored.select("node", "root", "kmers").mapInArrow(run, kinds), "tokens")
-    # k-mers of one node only stand before all others and join nothing
-    shared = tokens.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
-    lists = tokens.join(shared.hint("merge"), "token").groupBy("node", "root", "m", "m0")
-    lists = lists.agg(F.sort_array(F.collect_list(F.struct("n", "token", "first"))).alias("list"))
-    both = "inline(array(struct(0 AS kind, m AS size, list), struct(1 AS kind, m0 AS size, filter(list, x -> x.first) AS list)))"
-    placed = lists.selectExpr("node", "root", both).selectExpr("node", "root", "kind", "size", "size - size(list) AS alone", "posexplode(list) AS (at, x)")
-    placed = placed.selectExpr("node", "root", "kind", "size", "x.token AS token", "size - alone - at AS left")
-    prefixes = written(placed.where(f"left >= {share} * size - 1e-9"), "prefixes")
-    one = prefixes.selectExpr("kind", "token", "node AS a", "root AS ra", "size AS sa", "left AS la")
-    two = prefixes.where(f"left >= {2 * share / (1 + share)} * size - 1e-9").selectExpr("kind", "token", "node AS b", "root AS rb", "size AS sb", "left AS lb")
-    pairs = one.hint("merge").join(two, ["kind", "token"]).where(
-        f"a <> b AND ra <> rb AND sb <= sa AND sb >= {share} * sa - 1e-9 AND least(la, lb) >= {share / (1 + share)} * (sa + sb) - 1e-9"
+            for i in range(batch.num_rows):
+                own, hub = (np.frombuffer(batch.column(c)[i].as_buffer(), np.uint32).astype(np.uint64) for c in ("kmers", "hub_kmers"))
+                plain, of_hub = mix(np.unique(own)), mix(np.unique(hub))
+                # the first occurrence of a k-mer has the same value in both kinds
+                tokens = np.union1d(chosen(labelled(own), labelled(hub)), chosen(plain, of_hub))
+                mark = np.frombuffer(batch.column("hub")[i].as_py()[:8], np.uint64)
+                bands_ = mix(tokens * STEP + mark).view(np.int64)
+                at = pa.array(np.full(len(tokens), i))
+                yield pa.RecordBatch.from_pydict({"band": pa.array(bands_), "node": batch.column("node").take(at), "root": batch.column("root").take(at)})
+
+    hubs = stored.selectExpr("node AS hub", "kmers AS hub_kmers")
+    both = rows.hint("merge").join(hubs, "hub").join(stored.select("node", "kmers").hint("merge"), "node")
+    return both.select("hub", "node", "root", "kmers", "hub_kmers").mapInArrow(run, "band bigint, node binary, root binary")
+
+
+def with_hubs(rows: DataFrame, name: str) -> DataFrame:
+    """(band, node, root, size, hub, hub_root) of (band, node, root): bands with nodes of several roots, and their hubs."""
+    sizes = rows.groupBy("band").agg(F.count("*").alias("size"), F.min("root").alias("low"), F.max("root").alias("high"))
+    held = written(rows.join(sizes.where("low <> high").select("band", "size").hint("merge"), "band"), name)
+    mass = held.groupBy("node").agg(F.sum("size").alias("mass"))
+    best = held.join(mass.hint("merge"), "node").groupBy("band")
+    best = best.agg(F.expr("max_by(struct(node, root), struct(mass, node))").alias("h")).selectExpr("band", "h.node AS hub", "h.root AS hub_root")
+    return written(held.join(best.hint("merge"), "band"), name)
+
+
+def small_pairs(rows: DataFrame, near: DataFrame, share: float) -> DataFrame:
+    """(a, b, ra, rb): pairs of nodes of a band and of different roots, unless their distances to the hub rule a link out."""
+    distance = near.selectExpr("a AS node", "b AS hub", "jaccard AS j", "bound AS l")
+    rows = rows.where("node <> hub").join(distance.hint("merge"), ["node", "hub"], "left")
+    one = rows.selectExpr("band", "node AS a", "root AS ra", "j AS ja", "l AS la")
+    two = rows.selectExpr("band", "node AS b", "root AS rb", "j AS jb", "l AS lb")
+    close = f"coalesce(least(abs(ja - jb), abs(la - lb)) <= {1 - share} + 1e-9, true)"
+    return one.join(two.hint("merge"), "band").where(f"a > b AND ra <> rb AND {close}").select("a", "b", "ra", "rb").distinct()
+
+
+def open_bands(rows: DataFrame) -> DataFrame:
+    """The rows of bands whose nodes are of several roots."""
+    split = rows.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("band")
+    return rows.join(split.hint("merge"), "band")
+
+
+def drawn_pairs(rows: DataFrame, turn: int) -> DataFrame:
+    """(a, b, ra, rb): every node of (band, node, root) with nodes drawn from all but the largest root of its band."""
+    counts = rows.groupBy("band", "root").agg(
+        F.count("*").alias("n"), *(F.expr(f"min_by(node, xxhash64(node, {turn}, {i}))").alias(f"p{i}") for i in range(PIVOTS))
     )
-    pairs = pairs.selectExpr("struct(a AS node, ra AS root) AS p", "struct(b AS node, rb AS root) AS q").selectExpr("greatest(p, q) AS q", "least(p, q) AS p")
-    return pairs.selectExpr("q.node AS a", "p.node AS b", "q.root AS ra", "p.root AS rb").distinct()
+    picked = [F.expr(f"min_by(struct(p{i} AS node, root), struct(root = top, xxhash64(p{i}, {turn}, {i})))").alias(f"q{i}") for i in range(PIVOTS)]
+    largest = counts.groupBy("band").agg(F.expr("max_by(root, struct(n, root))").alias("top"), F.count("*").alias("roots")).where("roots > 1")
+    drawn = counts.join(largest.hint("merge"), "band").groupBy("band").agg(*picked)
+    pivots = F.explode(F.array_distinct(F.array(*(f"q{i}" for i in range(PIVOTS)))))
+    pairs = rows.join(drawn.hint("merge"), "band").select(F.struct("node", "root").alias("q"), pivots.alias("p")).where("q.root <> p.root")
+    pairs = pairs.selectExpr("greatest(q, p) AS q", "least(q, p) AS p").selectExpr("q.node AS a", "p.node AS b", "q.root AS ra", "p.root AS rb")
+    return pairs.distinct()
 
 
 def near_duplicates(
@@ -333,56 +356,45 @@ def near_duplicates(
         named.groupBy("node").agg(F.min("id").alias("first_id"), F.count("*").alias("n"), F.any_value("bands").alias("bands")), "nodes"
     )
 
-    banded = groups.select("node", "first_id", F.explode("bands").alias("band"))
-    hubs = banded.groupBy("band").agg(F.min("node").alias("hub"), F.count("*").alias("size")).where("size > 1").drop("size")
-    shared = written(banded.join(hubs, "band"), "bands")
-    wanted = shared.groupBy("node").agg(F.any_value("first_id").alias("id"), F.expr("bool_or(node = hub)").alias("is_hub"))
-    stored = stored_kmers(source, wanted, k)
-
-    stars = shared.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
-    near = compare(stars, stored, share, hubs=True)
-    found = components(near.where("linked").select("a", "b"))
-    roots = durable(wanted.select("node").join(found, "node", "left").select("node", F.coalesce("root", "node").alias("root")))
-
-    # bands whose nodes are not of one component yet
-    rooted = shared.join(roots, "node")
-    sizes = rooted.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size")).where("low <> high")
-    hub_distance = near.select(F.col("a").alias("node"), F.col("b").alias("hub"), "jaccard", "bound")
-    open_ = written(
-        rooted.join(sizes.select("band", "size"), "band")
-        .join(hub_distance, ["node", "hub"], "left")
-        .select("band", "node", "hub", "root", "jaccard", "bound", "size"),
-        "open",
-    )
-    few = open_.where(f"size <= {SMALL} AND node <> hub")
-    one = few.selectExpr("band", "node AS a", "root AS ra", "jaccard AS ja", "bound AS la")
-    two = few.selectExpr("band", "node AS b", "root AS rb", "jaccard AS jb", "bound AS lb")
-    pairs = one.join(two, "band").where(f"a > b AND ra <> rb AND least(abs(ja - jb), abs(la - lb)) <= {1 - share} + 1e-9")
-    pairs = pairs.select("a", "b", "ra", "rb").distinct()
-    links = [compare(pairs, stored, share).where("linked").select("ra", "rb")]
-
-    large = open_.where(f"size > {SMALL}").select("band", "node", "root", "size")
-    now = large.groupBy("node", "root").agg(F.max(F.struct("size", "band"))["band"].alias("band"))
-    held = written(stored.join(now.select("node"), "node", "left_semi"), "held")
-    for turn in range(ROUNDS):
-        now = written(moved(now, lowered(links[-1])), "large")
-        drawn = [F.expr(f"min_by(struct(node, root), xxhash64(node, {turn}, {i}))").alias(f"p{i}") for i in range(PIVOTS)]
-        bands_ = now.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), *drawn).where("low <> high").drop("low", "high")
-        pivots = F.explode(F.array_distinct(F.array(*(f"p{i}" for i in range(PIVOTS)))))
-        pairs = now.join(bands_.hint("merge"), "band").select(F.struct("node", "root").alias("q"), pivots.alias("p")).where("q.root <> p.root")
-        pairs = pairs.selectExpr("greatest(q, p) AS q", "least(q, p) AS p").selectExpr("q.node AS a", "p.node AS b", "q.root AS ra", "p.root AS rb")
-        new = compare(pairs.distinct(), held, share).where("linked").select("ra", "rb")
-        if new.isEmpty():
+    banded = groups.select(F.explode("bands").alias("band"), "node", F.col("node").alias("root"))
+    rows_ = with_hubs(banded, "bands")
+    hubs = rows_.select(F.col("hub").alias("node")).distinct().withColumn("is_hub", F.lit(True))
+    wanted = groups.select("node", F.col("first_id").alias("id")).join(rows_.select("node").distinct().hint("merge"), "node")
+    stored = stored_kmers(source, wanted.join(hubs.hint("merge"), "node", "left").select("node", "id", F.expr("is_hub IS NOT NULL AS is_hub")), k)
+
+    links, level = [], 0
+    while True:
+        stars = rows_.where("root <> hub_root").selectExpr("node AS a", "hub AS b", "root AS ra", "hub_root AS rb").distinct()
+        near = compare(stars, stored, share, hubs=level == 0)
+        new = near.where("linked").select("ra", "rb")
+        if level:
+            links.append(new)
+            to = lowered(new)
+        else:
+            found = components(new.selectExpr("ra AS a", "rb AS b"))
+            to = found.selectExpr("node AS root", "root AS to")
+        rows_ = written(open_bands(moved(rows_, to)), "open")
+        links.append(compare(small_pairs(rows_.where(f"size <= {SMALL}"), near, share), stored, share).where("linked").select("ra", "rb"))
+        rows_ = rows_.where(f"size > {SMALL}")
+        if rows_.isEmpty():
             break
-        links.append(new)
-    now = written(moved(now, lowered(links[-1])), "large").select("node", "root")
-    placed = large.select("band", "node").join(now.hint("merge"), "node")
-    split = placed.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("band")
-    apart = placed.join(split.hint("merge"), "band").select("node", "root").distinct()
-    links.append(compare(prefix_pairs(held.join(apart.hint("merge"), "node"), share), held, share).where("linked").select("ra", "rb"))
-    joined = components(reduce(DataFrame.union, links).selectExpr("ra AS a", "rb AS b"))
-    roots = moved(roots, joined.selectExpr("node AS root", "root AS to"))
-    placed = groups.select("node", "first_id", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        if not level:
+            stored = written(stored.join(rows_.select("node").distinct().hint("merge"), "node", "left_semi"), "held")
+        # draws compare a node in its largest band only; what they leave open is split
+        now = rows_.groupBy("node", "root").agg(F.max(F.struct("size", "band"))["band"].alias("band"))
+        new, turn = links[-1], 0
+        while not new.isEmpty() or not turn:
+            now = written(open_bands(moved(now, lowered(new))), "large")
+            new = compare(drawn_pairs(now, turn), stored, share).where("linked").select("ra", "rb")
+            links.append(new)
+            turn += 1
+        rows_ = moved(rows_, lowered(reduce(DataFrame.union, links[-turn - 1 :])))
+        apart = open_bands(rows_).select("hub", "node", "root").where("node <> hub").distinct()
+        rows_ = with_hubs(differences(apart, stored, share), "level")
+        level += 1
+    joined = components(reduce(DataFrame.union, links).selectExpr("ra AS a", "rb AS b")).selectExpr("node AS root", "root AS to")
+    placed = groups.select("node", "first_id", "n").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    placed = moved(placed, joined)
     classes = placed.groupBy("root").agg(F.min("first_id").alias("class_id"), F.sum("n").alias("class_size")).where("class_size > 1")
     known = placed.join(classes, "root").select("node", "class_id", "class_size")
     return sketched.select("id", "node").join(known, "node", "left").select(
