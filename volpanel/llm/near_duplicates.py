@@ -9,9 +9,9 @@ candidates, and a banded alignment of their k-mers or the Jaccard similarity dec
 
 Texts with the same words are one node from the start. In a band every node is compared with its hub, the node that
 meets most others in all its bands, instead of with all others: of a text and its edited copies, that is the text. Only
-bands whose nodes are not of one component by then go on. In a small one, nodes of different components are compared
-unless their distances to the hub rule a link out (Jaccard distances are metrics). In a large one, nodes are compared
-with some nodes drawn from all but its largest component, until that finds no link. After that the band is split: its
+bands whose nodes are not of one component by then go on. Where a node meets few nodes of other components in a band,
+they are compared unless their distances to the hub rule a link out (Jaccard distances are metrics). Elsewhere nodes are
+compared with some nodes drawn from all but its largest component, as long as one in ten comparisons finds a link. After that the band is split: its
 nodes are grouped by the k-mers that the hub lacks, which form the bands of the next level. If one of two linked nodes
 is not linked to the hub, they share such a k-mer, unless the other one is smaller than the hub and the k-mers of both
 are nearly all the hub's; those are left to the drawn nodes. So the work of a level is in proportion to the nodes and
@@ -43,6 +43,10 @@ BANDS = 20
 ROWS = 3
 SMALL = 24
 PIVOTS = 3
+#: Levels of bands: those of the sketches, and those of the k-mers that hubs lack.
+LEVELS = 2
+#: Nodes are drawn again as long as more than this share of the comparisons finds a link.
+WORTH = 0.1
 PLACE = np.uint64((1 << 28) - 1)
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -293,14 +297,26 @@ def differences(rows: DataFrame, stored: DataFrame, share: float) -> DataFrame:
     return both.select("hub", "node", "root", "kmers", "hub_kmers").mapInArrow(run, "band bigint, node binary, root binary")
 
 
-def with_hubs(rows: DataFrame, name: str) -> DataFrame:
-    """(band, node, root, size, hub, hub_root) of (band, node, root): bands with nodes of several roots, and their hubs."""
+def with_hubs(rows: DataFrame, name: str, mass: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(band, node, root, size, hub, hub_root) of (band, node, root): bands with nodes of several roots, and their hubs.
+
+    The hub has the largest ``mass``: the nodes that it meets in all its bands on the first level. Returns it, too. On
+    the first level a band takes the best hub of all bands that its nodes are in, so copies of one text get one hub
+    even where a band has only copies.
+    """
     sizes = rows.groupBy("band").agg(F.count("*").alias("size"), F.min("root").alias("low"), F.max("root").alias("high"))
     held = written(rows.join(sizes.where("low <> high").select("band", "size").hint("merge"), "band"), name)
-    mass = held.groupBy("node").agg(F.sum("size").alias("mass"))
+    first = mass is None
+    if first:
+        mass = written(held.groupBy("node").agg(F.sum("size").alias("mass")), "mass")
     best = held.join(mass.hint("merge"), "node").groupBy("band")
-    best = best.agg(F.expr("max_by(struct(node, root), struct(mass, node))").alias("h")).selectExpr("band", "h.node AS hub", "h.root AS hub_root")
-    return written(held.join(best.hint("merge"), "band"), name)
+    best = best.agg(F.max(F.struct("mass", "node", "root")).alias("h"))
+    if first:
+        best = written(best, "hubs")
+        seen = held.join(best.hint("merge"), "band").groupBy("node").agg(F.max("h").alias("h"))
+        best = held.join(seen.hint("merge"), "node").groupBy("band").agg(F.max("h").alias("h"))
+    best = best.selectExpr("band", "h.node AS hub", "h.root AS hub_root")
+    return written(held.join(best.hint("merge"), "band"), name), mass
 
 
 def small_pairs(rows: DataFrame, near: DataFrame, share: float) -> DataFrame:
@@ -314,9 +330,12 @@ def small_pairs(rows: DataFrame, near: DataFrame, share: float) -> DataFrame:
 
 
 def open_bands(rows: DataFrame) -> DataFrame:
-    """The rows of bands whose nodes are of several roots."""
-    split = rows.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("band")
-    return rows.join(split.hint("merge"), "band")
+    """The rows of bands whose nodes are of several roots, with ``few``: whether a node has at most ``SMALL`` others of
+    another root in the band, on average."""
+    counts = rows.groupBy("band", "root").agg(F.count("*").alias("n"))
+    split = counts.groupBy("band").agg(F.count("*").alias("roots"), F.sum("n").alias("all"), F.sum(F.expr("double(n) * n")).alias("same"))
+    split = split.where("roots > 1").selectExpr("band", f"double(all) * all - same <= {SMALL}D * all AS few")
+    return rows.drop("few").join(split.hint("merge"), "band")
 
 
 def drawn_pairs(rows: DataFrame, turn: int) -> DataFrame:
@@ -357,7 +376,7 @@ def near_duplicates(
     )
 
     banded = groups.select(F.explode("bands").alias("band"), "node", F.col("node").alias("root"))
-    rows_ = with_hubs(banded, "bands")
+    rows_, mass = with_hubs(banded, "bands")
     hubs = rows_.select(F.col("hub").alias("node")).distinct().withColumn("is_hub", F.lit(True))
     wanted = groups.select("node", F.col("first_id").alias("id")).join(rows_.select("node").distinct().hint("merge"), "node")
     stored = stored_kmers(source, wanted.join(hubs.hint("merge"), "node", "left").select("node", "id", F.expr("is_hub IS NOT NULL AS is_hub")), k)
@@ -374,23 +393,28 @@ def near_duplicates(
             found = components(new.selectExpr("ra AS a", "rb AS b"))
             to = found.selectExpr("node AS root", "root AS to")
         rows_ = written(open_bands(moved(rows_, to)), "open")
-        links.append(compare(small_pairs(rows_.where(f"size <= {SMALL}"), near, share), stored, share).where("linked").select("ra", "rb"))
-        rows_ = rows_.where(f"size > {SMALL}")
+        links.append(compare(small_pairs(rows_.where("few"), near, share), stored, share).where("linked").select("ra", "rb"))
+        rows_ = rows_.where("NOT few").drop("few")
         if rows_.isEmpty():
             break
         if not level:
             stored = written(stored.join(rows_.select("node").distinct().hint("merge"), "node", "left_semi"), "held")
         # draws compare a node in its largest band only; what they leave open is split
         now = rows_.groupBy("node", "root").agg(F.max(F.struct("size", "band"))["band"].alias("band"))
-        new, turn = links[-1], 0
-        while not new.isEmpty() or not turn:
-            now = written(open_bands(moved(now, lowered(new))), "large")
-            new = compare(drawn_pairs(now, turn), stored, share).where("linked").select("ra", "rb")
-            links.append(new)
+        turn = 0
+        while True:
+            now = written(open_bands(moved(now, lowered(links[-1]))).drop("few"), "large")
+            drawn = compare(drawn_pairs(now, turn), stored, share)
+            links.append(drawn.where("linked").select("ra", "rb"))
             turn += 1
+            linked, pairs = drawn.selectExpr("count_if(linked)", "count(*)").head()
+            if linked <= WORTH * pairs:
+                break
+        if level + 1 == LEVELS:
+            break
         rows_ = moved(rows_, lowered(reduce(DataFrame.union, links[-turn - 1 :])))
         apart = open_bands(rows_).select("hub", "node", "root").where("node <> hub").distinct()
-        rows_ = with_hubs(differences(apart, stored, share), "level")
+        rows_, _ = with_hubs(differences(apart, stored, share), "level", mass)
         level += 1
     joined = components(reduce(DataFrame.union, links).selectExpr("ra AS a", "rb AS b")).selectExpr("node AS root", "root AS to")
     placed = groups.select("node", "first_id", "n").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
