@@ -182,12 +182,16 @@ def similarity(a: np.ndarray, b: np.ndarray, share: float = SIMILARITY) -> tuple
     longest increasing run of match positions. An alignment of the wanted similarity never leaves the band.
     """
     one, two = np.unique(a), np.unique(b)
-    common = len(np.intersect1d(one, two, assume_unique=True))
-    jaccard = common / max(len(one) + len(two) - common, 1)
+    if len(one) == len(a) and len(two) == len(b):  # no repeats: labels change nothing
+        _, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
+        jaccard = bound = len(i) / max(len(a) + len(b) - len(i), 1)
+    else:
+        common = len(np.intersect1d(one, two, assume_unique=True))
+        jaccard = common / max(len(one) + len(two) - common, 1)
+        _, i, j = np.intersect1d(labelled(a), labelled(b), assume_unique=True, return_indices=True)
+        bound = len(i) / max(len(a) + len(b) - len(i), 1)
     if jaccard == 0:
         return 0.0, 0.0, 0.0
-    _, i, j = np.intersect1d(labelled(a), labelled(b), assume_unique=True, return_indices=True)
-    bound = len(i) / (len(a) + len(b) - len(i))
     if min(len(a), len(b)) < share * max(len(a), len(b)):
         return 0.0, jaccard, bound
     width = int((1 - share) * max(len(a), len(b))) + 1
@@ -280,21 +284,30 @@ def differences(rows: DataFrame, stored: DataFrame, share: float) -> DataFrame:
         needed = int(np.ceil(share * len(own) - 1e-9)) - (len(own) - len(other))
         return other[: len(other) - max(needed, 1) + 1]
 
+    def both(x: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
+        """The labelled k-mers and the set; the first occurrence of a k-mer has the same value in both."""
+        own = np.frombuffer(x.as_buffer(), np.uint32).astype(np.uint64)
+        plain = np.unique(own)
+        return (mix(plain),) * 2 if len(plain) == len(own) else (labelled(own), mix(plain))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = hub = None
         for batch in batches:
             for i in range(batch.num_rows):
-                own, hub = (np.frombuffer(batch.column(c)[i].as_buffer(), np.uint32).astype(np.uint64) for c in ("kmers", "hub_kmers"))
-                plain, of_hub = mix(np.unique(own)), mix(np.unique(hub))
-                # the first occurrence of a k-mer has the same value in both kinds
-                tokens = np.union1d(chosen(labelled(own), labelled(hub)), chosen(plain, of_hub))
+                if batch.column("hub")[i] != last:
+                    last, hub = batch.column("hub")[i], both(batch.column("hub_kmers")[i])
+                own = both(batch.column("kmers")[i])
+                tokens = chosen(own[0], hub[0])
+                if own[0] is not own[1] or hub[0] is not hub[1]:
+                    tokens = np.union1d(tokens, chosen(own[1], hub[1]))
                 mark = np.frombuffer(batch.column("hub")[i].as_py()[:8], np.uint64)
                 bands_ = mix(tokens * STEP + mark).view(np.int64)
                 at = pa.array(np.full(len(tokens), i))
                 yield pa.RecordBatch.from_pydict({"band": pa.array(bands_), "node": batch.column("node").take(at), "root": batch.column("root").take(at)})
 
     hubs = stored.selectExpr("node AS hub", "kmers AS hub_kmers")
-    both = rows.hint("merge").join(hubs, "hub").join(stored.select("node", "kmers").hint("merge"), "node")
-    return both.select("hub", "node", "root", "kmers", "hub_kmers").mapInArrow(run, "band bigint, node binary, root binary")
+    pairs = rows.hint("merge").join(hubs, "hub").join(stored.select("node", "kmers").hint("merge"), "node")
+    return pairs.select("hub", "node", "root", "kmers", "hub_kmers").mapInArrow(run, "band bigint, node binary, root binary")
 
 
 def with_hubs(rows: DataFrame, name: str, mass: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
