@@ -11,11 +11,13 @@ Texts with the same words are one node from the start. In a band every node is c
 meets most others in all its bands, instead of with all others: of a text and its edited copies, that is the text. Only
 bands whose nodes are not of one component by then go on. Where a node meets few nodes of other components in a band,
 they are compared unless their distances to the hub rule a link out (Jaccard distances are metrics). Elsewhere nodes are
-compared with some nodes drawn from all but its largest component, as long as one in ten comparisons finds a link. After that the band is split: its
-nodes are grouped by the k-mers that the hub lacks, which form the bands of the next level. If one of two linked nodes
-is not linked to the hub, they share such a k-mer, unless the other one is smaller than the hub and the k-mers of both
-are nearly all the hub's; those are left to the drawn nodes. So the work of a level is in proportion to the nodes and
-their k-mers, however large a group is, and levels end as every one takes the hub's k-mers away.
+compared with some nodes drawn from all but the largest component of the band, as long as one in ten comparisons finds
+a link. After that such bands are split: their nodes are grouped by the k-mers that the hub lacks, which are the bands
+of a second level, with hubs and comparisons of its own. If one of two linked nodes is not linked to the hub, they
+share such a k-mer, unless the other one is smaller than the hub and the k-mers of both are nearly all the hub's; those
+are left to the drawn nodes. So the work is in proportion to the nodes and their k-mers, however large a group is. The
+search is approximate: what shares no band, and what large groups of the second level still hold apart, is not
+compared.
 
 Rounds lower each node's label to the smallest one within two links, which is enough to stop comparing what is known
 to be linked; the components of all links found are taken once, at the end.
@@ -408,10 +410,9 @@ def near_duplicates(
         rows_ = written(open_bands(moved(rows_, to)), "open")
         links.append(compare(small_pairs(rows_.where("few"), near, share), stored, share).where("linked").select("ra", "rb"))
         rows_ = rows_.where("NOT few").drop("few")
-        if rows_.isEmpty():
+        if level + 1 == LEVELS or rows_.isEmpty():
             break
-        if not level:
-            stored = written(stored.join(rows_.select("node").distinct().hint("merge"), "node", "left_semi"), "held")
+        stored = written(stored.join(rows_.select("node").distinct().hint("merge"), "node", "left_semi"), "held")
         # draws compare a node in its largest band only; what they leave open is split
         now = rows_.groupBy("node", "root").agg(F.max(F.struct("size", "band"))["band"].alias("band"))
         turn = 0
@@ -423,10 +424,8 @@ def near_duplicates(
             linked, pairs = drawn.selectExpr("count_if(linked)", "count(*)").head()
             if linked <= WORTH * pairs:
                 break
-        if level + 1 == LEVELS:
-            break
         rows_ = moved(rows_, lowered(reduce(DataFrame.union, links[-turn - 1 :])))
-        apart = open_bands(rows_).select("hub", "node", "root").where("node <> hub").distinct()
+        apart = rows_.select("hub", "node", "root").where("node <> hub").distinct()
         rows_, _ = with_hubs(differences(apart, stored, share), "level", mass)
         level += 1
     joined = components(reduce(DataFrame.union, links).selectExpr("ra AS a", "rb AS b")).selectExpr("node AS root", "root AS to")
