@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from volpanel.functions.num import add
 
 
-def session_calendar(sessions: DataFrame) -> DataFrame:
-    """Distinct sessions with their ordinal and neighbours.
+def session_calendar(sessions: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Distinct sessions (of each key) with their ordinal and neighbours.
 
     One row per trading day (about 250 a year), so the ordering window over the
     whole calendar is bounded by time, not by data volume.
     """
-    days = sessions.select("session_date").distinct()
-    over = "ORDER BY session_date"
+    days = sessions.select(*keys, "session_date").distinct()
+    over = (f"PARTITION BY {', '.join(keys)} " if keys else "") + "ORDER BY session_date"
     return add(
         days,
         {
@@ -38,15 +40,15 @@ def decision_time(df: DataFrame, calendar: DataFrame, out: str = "decision_as_of
     return df.join(nxt, "session_date", "left")
 
 
-def first_session_from(calendar: DataFrame) -> DataFrame:
-    """For every calendar day, the first session on or after it.
+def first_session_from(calendar: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """For every calendar day (of each key), the first session on or after it.
 
     Each session owns the days since the previous one, so a forward as-of
     lookup becomes an equi-join on the day. Days before the calendar have no row.
     """
     start = "coalesce(date_add(previous_session, 1), session_date)"
     return calendar.selectExpr(
-        f"explode(sequence({start}, session_date)) AS day", "session_date AS first_session", "ordinal AS first_ordinal"
+        *keys, f"explode(sequence({start}, session_date)) AS day", "session_date AS first_session", "ordinal AS first_ordinal"
     )
 
 

@@ -1,4 +1,8 @@
-"""Risk-unit signals, iron-condor selection, entry gate and sizing."""
+"""Risk-unit signals, iron-condor selection, entry gate and sizing.
+
+Tables may hold several underlyings: if they have the column ``economic_index_id``, it is part of every key, and
+sessions, expiries, strikes and units of one underlying never meet those of another. Without it they hold one.
+"""
 
 from __future__ import annotations
 
@@ -9,6 +13,7 @@ from volpanel import params as P
 from volpanel.functions.black import with_forward_delta
 from volpanel.functions.num import add
 from volpanel.operators import blocks as B
+from volpanel.operators import series as S
 from volpanel.operators import state as St
 
 DTE_LOW, DTE_HIGH, DTE_TARGET = 25, 45, 35
@@ -17,11 +22,22 @@ NET_DELTA_CAP = 0.10
 DAYS_PER_YEAR = 365.2425
 
 
+UNDERLYING = "economic_index_id"
+
+
+def own(df: DataFrame) -> list[str]:
+    """The key of the underlying, if the table has one."""
+    return [UNDERLYING] if UNDERLYING in df.columns else []
+
+
 # ---- signals --------------------------------------------------------------------
 
 
-def risk_unit(local_label: str = "CSI300") -> str:
-    """struct(unit, reason): phase map, hard gates, then caps, all from prior-session state."""
+def risk_unit(local_label: str = "'CSI300'") -> str:
+    """struct(unit, reason): phase map, hard gates, then caps, all from prior-session state.
+
+    ``local_label`` is the SQL of the underlying's name in reasons.
+    """
     units = ", ".join(f"'{p}', {u!r}D" for p, u in P.PHASE_UNITS.items())
     unit = f"coalesce(map({units})[coalesce(phase, 'UNKNOWN')], 0D)"
     zero = "coalesce({0}, 0D)".format
@@ -34,7 +50,7 @@ def risk_unit(local_label: str = "CSI300") -> str:
     capped = f"least({unit}, if({normal}, 0.5D, 1D), if({market}, 0.25D, 1D), if({near}, 0.25D, 1D))"
     reasons = (
         f"concat_ws('+', 'PHASE_MAP', if({normal}, 'NORMAL_COMP_CAP', NULL), if({market}, 'GLOBAL_PRESSURE_CAP', NULL), "
-        f"if({near}, '{local_label}_PRESSURE_CAP', NULL))"
+        f"if({near}, concat({local_label}, '_PRESSURE_CAP'), NULL))"
     )
 
     def stop(reason: str) -> str:
@@ -43,7 +59,7 @@ def risk_unit(local_label: str = "CSI300") -> str:
     return (
         f"CASE WHEN coalesce(global_status, 'UNKNOWN') <> 'OK' THEN {stop(chr(39) + 'GLOBAL_NOT_OK' + chr(39))} "
         f"WHEN {unit} <= 0 THEN {stop('concat(' + chr(39) + 'PHASE_' + chr(39) + ', coalesce(phase, ' + chr(39) + 'UNKNOWN' + chr(39) + '))')} "
-        f"WHEN coalesce(local_status, 'UNKNOWN') <> 'OK' THEN struct(0D AS unit, '{local_label}_NOT_OK' AS reason) "
+        f"WHEN coalesce(local_status, 'UNKNOWN') <> 'OK' THEN {stop(f'concat({local_label}, {chr(39)}_NOT_OK{chr(39)})')} "
         "WHEN insurance_compensation IN ('THIN', 'UNKNOWN') THEN "
         "struct(0D AS unit, concat('COMPENSATION_', insurance_compensation) AS reason) "
         "WHEN NOT coalesce(vrp_ewma94 > 0, false) THEN struct(0D AS unit, 'VRP_NOT_POSITIVE' AS reason) "
@@ -53,16 +69,17 @@ def risk_unit(local_label: str = "CSI300") -> str:
     )
 
 
-def with_risk_units(df: DataFrame, order: str = "session_date", keys: tuple[str, ...] = ()) -> DataFrame:
-    df = add(df, {"_u": risk_unit()})
+def with_risk_units(df: DataFrame, order: str = "session_date", *, local_label: str = "'CSI300'") -> DataFrame:
+    df = add(df, {"_u": risk_unit(UNDERLYING if own(df) else local_label)})
     df = add(df, {"raw_dynamic_unit": "_u.unit", "risk_reason": "_u.reason", "static_unit": "0.5D"}).drop("_u")
-    return St.confirm_increases(df, "raw_dynamic_unit", "dynamic_unit", keys=list(keys), order=order)
+    return St.confirm_increases(df, "raw_dynamic_unit", "dynamic_unit", keys=own(df), order=order)
 
 
 def _per_decision_date(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Last row per decision date."""
+    """Last row per decision date (and underlying)."""
     packed = f"max_by(struct({', '.join(columns)}), session_date) AS _row"
-    return df.groupBy("decision_date").agg(F.expr(packed)).select("decision_date", "_row.*")
+    keys = [*own(df), "decision_date"]
+    return df.groupBy(*keys).agg(F.expr(packed)).select(*keys, "_row.*")
 
 
 def signal_calendar(
@@ -71,7 +88,8 @@ def signal_calendar(
     """Sessions with the state decided on the evening before, and risk units.
 
     ``states``, ``features`` and ``index_states`` carry ``decision_date``, the
-    session at whose opening they may first be used.
+    session at whose opening they may first be used. Sessions without an
+    underlying are those of ``local_index``.
     """
     st = states.selectExpr(
         "decision_date", "session_date", "session_date AS signal_session_date", "data_status AS global_status",
@@ -80,14 +98,16 @@ def signal_calendar(
     st = _per_decision_date(
         st, ["signal_session_date", "global_status", "phase", "pressure_level", "direction", "pressure_score", "hard_acute"]
     )
-    mine = f"economic_index_id = '{local_index}'"
-    ft = _per_decision_date(features.filter(mine), ["insurance_compensation", "vrp_ewma94"])
-    ix = index_states.filter(mine).withColumnRenamed("data_status", "local_status")
+    if not own(sessions):
+        mine = f"{UNDERLYING} = '{local_index}'"
+        features, index_states = (t.filter(mine).drop(UNDERLYING) for t in (features, index_states))
+    ft = _per_decision_date(features, ["insurance_compensation", "vrp_ewma94"])
+    ix = index_states.withColumnRenamed("data_status", "local_status")
     ix = _per_decision_date(ix, ["local_status", "index_pressure", "shock", "down_tail", "persistence"])
     df = add(sessions, {"decision_date": "session_date"})
     for part in (st, ft, ix):
-        df = df.join(part, "decision_date", "left")
-    df = with_risk_units(df.drop("decision_date"))
+        df = df.join(part, [*own(part), "decision_date"], "left")
+    df = with_risk_units(df.drop("decision_date"), local_label=f"'{local_index}'")
     return add(df, {c: f"coalesce({c}, 'UNKNOWN')" for c in ("phase", "global_status", "local_status")})
 
 
@@ -107,7 +127,7 @@ def timing_category() -> str:
 
 def ordered_sessions(sessions: DataFrame) -> DataFrame:
     """Sessions with their predecessor in the list (one row per trading day)."""
-    return add(sessions, {"previous": "lag(session_date) OVER (ORDER BY session_date)"})
+    return add(sessions, {"previous": f"lag(session_date) OVER ({S.by(own(sessions), 'session_date')})"})
 
 
 def in_tenor(contracts: DataFrame) -> DataFrame:
@@ -125,46 +145,48 @@ def in_tenor(contracts: DataFrame) -> DataFrame:
 
 def nearest_expiry(rows: DataFrame) -> DataFrame:
     """Keep the rows of each session's expiry nearest 35 days (shorter on a tie)."""
-    best = f"min(struct(abs(dte - {DTE_TARGET}) AS gap, dte, maturity_date)) OVER (PARTITION BY session_date)"
+    best = f"min(struct(abs(dte - {DTE_TARGET}) AS gap, dte, maturity_date)) OVER (PARTITION BY {', '.join([*own(rows), 'session_date'])})"
     return add(rows, {"_best": best}).filter("maturity_date = _best.maturity_date").drop("_best")
 
 
 def active_counts(contracts: DataFrame, sessions: DataFrame) -> DataFrame:
     """Number of listed contracts on each session, from daily openings and closings."""
     usable = contracts.filter("call_put IN ('C', 'P')")
+    keys = own(sessions)
     moves = (
-        usable.groupBy(F.expr("list_date AS day")).agg(F.expr("count(1) AS move"))
-        .unionByName(usable.groupBy(F.expr("date_add(maturity_date, 1) AS day")).agg(F.expr("-count(1) AS move")))
-        .groupBy("day").agg(F.expr("sum(move) AS move"))
+        usable.groupBy(*keys, F.expr("list_date AS day")).agg(F.expr("count(1) AS move"))
+        .unionByName(usable.groupBy(*keys, F.expr("date_add(maturity_date, 1) AS day")).agg(F.expr("-count(1) AS move")))
         .withColumn("session_date", F.expr("CAST(NULL AS DATE)"))
-        .unionByName(sessions.selectExpr("session_date AS day", "0L AS move", "session_date"))
+        .unionByName(sessions.selectExpr(*keys, "session_date AS day", "0L AS move", "session_date"))
     )
     # openings and closings of a day come before its session row
-    days = moves.groupBy("day").agg(F.expr("sum(move) AS move"), F.expr("any_value(session_date, true) AS session_date"))
-    live = B.running_sums(add(days, {"_block": B.block_of(days, "day")}), [], "day", {"active": "move"})
-    return live.filter("session_date IS NOT NULL").select("session_date", "active")
+    days = moves.groupBy(*keys, "day").agg(F.expr("sum(move) AS move"), F.expr("any_value(session_date, true) AS session_date"))
+    live = B.running_sums(add(days, {"_block": B.block_of(days, "day")}), keys, "day", {"active": "move"})
+    return live.filter("session_date IS NOT NULL").select(*keys, "session_date", "active")
 
 
 def lagged_vol(surface: DataFrame) -> DataFrame:
     """Usable at-the-money vol by the session it was observed on and expiry."""
     return surface.filter("atm_iv / 100D BETWEEN 0.01D AND 3D").selectExpr(
-        "session_date AS previous", "expiry AS maturity_date", "atm_iv / 100D AS sigma"
+        *own(surface), "session_date AS previous", "expiry AS maturity_date", "atm_iv / 100D AS sigma"
     )
 
 
 def select_condors(
     sessions: DataFrame, contracts: DataFrame, surface: DataFrame
 ) -> tuple[DataFrame, DataFrame]:
-    """One four-leg candidate per session, or the first reason there is none."""
-    days = ordered_sessions(sessions.select("session_date", "spot_0935"))
-    chain = nearest_expiry(in_tenor(contracts)).join(days, "session_date")
-    chain = chain.join(lagged_vol(surface), ["previous", "maturity_date"], "left")
+    """One four-leg candidate per session (of each underlying), or the first reason there is none."""
+    keys = own(sessions)
+    day = [*keys, "session_date"]
+    days = ordered_sessions(sessions.select(*day, "spot_0935"))
+    chain = nearest_expiry(in_tenor(contracts)).join(days, day)
+    chain = chain.join(lagged_vol(surface), [*keys, "previous", "maturity_date"], "left")
     chain = add(chain, {"_t": f"greatest(dte, 1) / {DAYS_PER_YEAR}D"})
     chain = with_forward_delta(chain, kind="call_put", forward="spot_0935", strike="exercise_price", sigma="sigma", t="_t")
     tick = "CASE WHEN coalesce(min_price_chg, 0D) = 0 THEN 0.0001D ELSE min_price_chg END"
     chain = add(chain, {"_leg": f"struct(code, exercise_price AS strike, delta, {tick} AS tick)"})
     outward = "CASE call_put WHEN 'C' THEN exercise_price ELSE -exercise_price END"
-    over = f"PARTITION BY session_date, call_put ORDER BY {outward}, code"
+    over = f"PARTITION BY {', '.join(day)}, call_put ORDER BY {outward}, code"
     chain = add(chain, {"_wing": f"lead(_leg, 2) OVER ({over})"})
 
     def short(kind: str, side: str) -> str:
@@ -174,15 +196,15 @@ def select_condors(
         pick = f"struct(abs(abs(delta) - {DELTA_TARGET}D) AS gap, exercise_price AS strike, code AS id, _leg AS leg, _wing AS wing)"
         return f"min(CASE WHEN {ok} THEN {pick} END)"
 
-    picked = chain.groupBy("session_date").agg(
+    picked = chain.groupBy(*day).agg(
         F.expr("max(maturity_date) AS expiry"),
         F.expr("max(dte) AS dte"),
         F.expr("max(sigma) AS lagged_atm_iv"),
         F.expr(f"{short('C', '>')} AS _sc"),
         F.expr(f"{short('P', '<')} AS _sp"),
     )
-    out = days.join(active_counts(contracts, sessions.select("session_date")), "session_date", "left")
-    out = out.join(picked, "session_date", "left")
+    out = days.join(active_counts(contracts, sessions.select(*day)), day, "left")
+    out = out.join(picked, day, "left")
     net = "(-_sc.leg.delta + _sc.wing.delta - _sp.leg.delta + _sp.wing.delta)"
     out = add(
         out,
@@ -198,11 +220,11 @@ def select_condors(
     )
     legs = {"short_put": "_sp.leg", "long_put": "_sp.wing", "short_call": "_sc.leg", "long_call": "_sc.wing"}
     candidates = out.filter("reason IS NULL").selectExpr(
-        "session_date", "previous AS signal_session_date", "spot_0935", "expiry", "dte", "lagged_atm_iv", "net_delta",
+        *day, "previous AS signal_session_date", "spot_0935", "expiry", "dte", "lagged_atm_iv", "net_delta",
         *[f"{source}.{f} AS {leg}_{f}" for leg, source in legs.items() for f in ("code", "strike", "delta", "tick")],
     )
     rejects = out.filter("reason IS NOT NULL").selectExpr(
-        "session_date", "'SELECTION' AS stage", "reason", "CASE WHEN reason = 'NET_DELTA_GT_0_10' THEN net_delta END AS value"
+        *day, "'SELECTION' AS stage", "reason", "CASE WHEN reason = 'NET_DELTA_GT_0_10' THEN net_delta END AS value"
     )
     return candidates, rejects
 
@@ -256,9 +278,8 @@ def leg_bars(candidates: DataFrame, windows: DataFrame, *, window: str = "OPEN_A
         f"named_struct('n', {i}, 'leg', '{leg}', 'code', {leg}_code, 'tick', {leg}_tick)" for i, leg in enumerate(P.LEGS)
     )
     strikes = [f"{leg}_strike" for leg in P.LEGS]
-    rows = candidates.selectExpr("session_date", *strikes, f"explode(array({legs})) AS l").select(
-        "session_date", *strikes, "l.*"
-    )
+    day = [*own(candidates), "session_date"]
+    rows = candidates.selectExpr(*day, *strikes, f"explode(array({legs})) AS l").select(*day, *strikes, "l.*")
     bars = windows.filter(f"fill_window = '{window}'").select(
         "session_date", "code", "positive_minutes", "volume", "vwap", "high", "low"
     )
@@ -269,7 +290,7 @@ def leg_bars(candidates: DataFrame, windows: DataFrame, *, window: str = "OPEN_A
         "WHEN NOT coalesce(vwap BETWEEN low - tick AND high + tick, false) THEN 'VWAP_RANGE' END"
     )
     rows = add(rows, {"_issue": issue})
-    return rows.groupBy("session_date").agg(
+    return rows.groupBy(*day).agg(
         F.expr(f"min(CASE WHEN _issue IS NOT NULL THEN struct(n, concat('{window}_', leg, '_', _issue) AS text) END).text AS leg_issue"),
         F.expr(f"bigint(min(floor(volume * {P.PARTICIPATION}D))) AS capacity"),
         *[F.expr(f"any_value({s}) AS {s}") for s in strikes],
@@ -283,7 +304,8 @@ def entry_sizing(
     candidates: DataFrame, windows: DataFrame, calendar: DataFrame, *, nav: float = P.INITIAL_CAPITAL
 ) -> DataFrame:
     """Pre-trade table per candidate, strategy and scenario: fills, credit, size, rejection."""
-    df = leg_bars(candidates, windows).join(calendar.select("session_date", "static_unit", "dynamic_unit"), "session_date")
+    day = [*own(candidates), "session_date"]
+    df = leg_bars(candidates, windows).join(calendar.select(*day, "static_unit", "dynamic_unit"), day)
     strategies = "array(struct('SV_STATIC' AS strategy, static_unit AS unit), struct('SV_DYNAMIC' AS strategy, dynamic_unit AS unit))"
     df = add(df, {"_s": f"explode({strategies})"})
     df = add(df, {"_x": f"explode({scenario_grid()})"}).select("*", "_s.*", "_x.*").drop("_s", "_x").filter("unit > 0")

@@ -8,13 +8,18 @@ from pyspark.sql import functions as F
 from volpanel import params as P
 from volpanel.functions.num import add
 from volpanel.operators import series as S
+from volpanel.operators.condor import own
 
-# A path is one strategy under one scenario: a row per trading day, so its
+# A path is one strategy under one scenario (and underlying, if there is one): a row per trading day, so its
 # windows are bounded by the calendar.
 PATH = ["strategy", "fill_scenario", "broker_fee_per_contract", "risk_budget"]
 
 
-def buy_and_hold(calendar: DataFrame, *, capital: float = P.INITIAL_CAPITAL, keys: tuple[str, ...] = ()) -> DataFrame:
+def paths(ledger: DataFrame) -> list[str]:
+    return [*own(ledger), *PATH]
+
+
+def buy_and_hold(calendar: DataFrame, *, capital: float = P.INITIAL_CAPITAL) -> DataFrame:
     """NAV of buying whole lots at the first valid session and holding.
 
     Lots are the largest multiple of 100 whose cost plus commission fits the
@@ -22,7 +27,7 @@ def buy_and_hold(calendar: DataFrame, *, capital: float = P.INITIAL_CAPITAL, key
     """
     valid = calendar.filter("tr_mark > 0")
     first = "struct(entry_vwap, etf_mark, tr_mark)"
-    over = (f"PARTITION BY {', '.join(keys)} " if keys else "") + "ORDER BY session_date"
+    over = S.by(own(calendar), "session_date")
     df = add(valid, {"_f": f"first_value({first}) OVER ({over})", "_n": f"row_number() OVER ({over})"})
     df = add(df, {"_p": "_f.entry_vwap + 0.002D"})
     lots = (
@@ -52,7 +57,7 @@ def buy_and_hold(calendar: DataFrame, *, capital: float = P.INITIAL_CAPITAL, key
 
 def rebase(ledger: DataFrame, start: str, *, capital: float = P.INITIAL_CAPITAL) -> DataFrame:
     """Ledger from a date on, with NAV, returns and fees restarted there."""
-    w = S.by(PATH, "session_date")
+    w = S.by(paths(ledger), "session_date")
     df = ledger.filter(f"session_date >= DATE'{start}'")
     df = add(
         df,
@@ -65,7 +70,7 @@ def rebase(ledger: DataFrame, start: str, *, capital: float = P.INITIAL_CAPITAL)
 
 
 def path_columns(ledger: DataFrame) -> DataFrame:
-    w = S.by(PATH, "session_date")
+    w = S.by(paths(ledger), "session_date")
     df = add(ledger, {"daily_return": "coalesce(daily_return, 0D)"})
     return add(df, {"drawdown": S.drawdown("nav", w), "rolling_20": S.compounded_return("daily_return", w, 20)})
 
@@ -73,8 +78,9 @@ def path_columns(ledger: DataFrame) -> DataFrame:
 def path_metrics(ledger: DataFrame, *, capital: float = P.INITIAL_CAPITAL) -> DataFrame:
     """Return, risk and drawdown statistics of every path."""
     df = path_columns(ledger)
-    cut = df.groupBy(*PATH).agg(F.expr("percentile(daily_return, 0.05) AS _cut"))
-    out = df.join(cut, PATH).groupBy(*PATH).agg(
+    path = paths(ledger)
+    cut = df.groupBy(*path).agg(F.expr("percentile(daily_return, 0.05) AS _cut"))
+    out = df.join(cut, path).groupBy(*path).agg(
         F.expr("min(session_date) AS start"),
         F.expr("max(session_date) AS end"),
         F.expr("count(1) AS sessions"),
@@ -113,7 +119,7 @@ def period_metrics(ledger: DataFrame, common_start: str = P.COMMON_START) -> Dat
 def yearly_returns(ledger: DataFrame, strategies: list[str]) -> DataFrame:
     """Compounded return per year, one column per strategy."""
     rows = add(ledger, {"year": "year(session_date)", "_g": "1D + coalesce(daily_return, 0D)"})
-    return rows.groupBy("year").pivot("strategy", strategies).agg(F.product("_g") - 1.0)
+    return rows.groupBy(*own(ledger), "year").pivot("strategy", strategies).agg(F.product("_g") - 1.0)
 
 
 def sensitivity(metrics: DataFrame, keys: list[str], strategies: dict[str, str]) -> DataFrame:
@@ -128,7 +134,7 @@ def sensitivity(metrics: DataFrame, keys: list[str], strategies: dict[str, str])
 
 def execution_diagnostics(trades: DataFrame) -> DataFrame:
     expiry = "exit_window = 'EXPIRY_INTRINSIC_SETTLEMENT'"
-    return trades.groupBy("strategy").agg(
+    return trades.groupBy(*own(trades), "strategy").agg(
         F.expr("count(1) AS exit_fill_rows"),
         F.expr("sum(quantity) AS contracts_closed"),
         F.expr(f"count_if({expiry}) AS expiry_settlement_rows"),

@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from volpanel import params as P
 from volpanel.functions.num import add
+from volpanel.operators import bootstrap as Bo
 from volpanel.operators import series as S
 from volpanel.operators.events import OBSERVED, ROW, base_rates
 from volpanel.operators.market import UNIVERSE
@@ -25,18 +26,20 @@ from volpanel.operators.market import UNIVERSE
 DEFAULT = P.ModelParams()
 SEEDS = {e.event_id: e.seed for e in P.EVENTS}
 HORIZONS = {e.event_id: e.horizon for e in P.EVENTS}
+#: A fit counts if no part of the gradient of its loss per row is larger.
+TOLERANCE = 1e-9
 
 
 def _probability(z: np.ndarray) -> np.ndarray:
     return 0.5 * (1.0 + np.tanh(0.5 * z))
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, c: float, start: np.ndarray | None = None) -> np.ndarray:
-    """L2 logistic weights, intercept last and unpenalised, by damped Newton."""
+def fit_logistic(x: np.ndarray, y: np.ndarray, c: float) -> np.ndarray | None:
+    """L2 logistic weights, intercept last and unpenalised, by damped Newton; None if the gradient does not vanish."""
     design = np.column_stack([x, np.ones(len(x))])
     ridge = np.full(design.shape[1], 1.0 / c)
     ridge[-1] = 0.0
-    beta = np.zeros(design.shape[1]) if start is None else start.copy()
+    beta = np.zeros(design.shape[1])
 
     def loss(b: np.ndarray) -> float:
         z = design @ b
@@ -55,15 +58,16 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, c: float, start: np.ndarray | Non
         value = loss(beta)
         if np.max(np.abs(scale * step)) < 1e-11:
             break
-    return beta
+    rest = design.T @ (_probability(design @ beta) - y) + ridge * beta
+    return beta if np.max(np.abs(rest)) <= TOLERANCE * max(len(y), 1) else None
 
 
 def fit_platt(scores: np.ndarray, labels: np.ndarray, ridge: float = 1e-6) -> tuple[float, float] | None:
-    """Slope (not below zero) and intercept of the calibration curve."""
+    """Slope (not below zero) and intercept of the calibration curve; None if the gradient does not vanish."""
     if not len(scores) or not np.isfinite(scores).all() or not np.isfinite(labels).all():
         return None
 
-    def solve(design: np.ndarray, beta: np.ndarray) -> np.ndarray:
+    def solve(design: np.ndarray, beta: np.ndarray) -> np.ndarray | None:
         n = len(design)
         for _ in range(200):
             p = _probability(design @ beta)
@@ -74,13 +78,15 @@ def fit_platt(scores: np.ndarray, labels: np.ndarray, ridge: float = 1e-6) -> tu
             beta = beta - (step if largest <= 5 else step * 5 / largest)
             if largest < 1e-12:
                 break
-        return beta
+        rest = design.T @ (_probability(design @ beta) - labels) / n + 2 * ridge * beta
+        return beta if np.max(np.abs(rest)) <= TOLERANCE else None
 
     ones = np.ones(len(scores))
-    a, b = solve(np.column_stack([scores, ones]), np.array([1.0, 0.0]))
-    if a < 0:
-        a, b = 0.0, float(solve(ones[:, None], np.array([0.0]))[0])
-    return float(a), float(b)
+    curve = solve(np.column_stack([scores, ones]), np.array([1.0, 0.0]))
+    if curve is not None and curve[0] < 0:
+        level = solve(ones[:, None], np.array([0.0]))
+        curve = None if level is None else np.array([0.0, level[0]])
+    return None if curve is None else (float(curve[0]), float(curve[1]))
 
 
 def _hash(payload: dict) -> str:
@@ -94,7 +100,12 @@ def _in_blocks(df: DataFrame, rank: str, reach: int, block: int) -> DataFrame:
 
 
 def out_of_fold_scores(ledger: DataFrame, params: P.ModelParams = DEFAULT) -> DataFrame:
-    """One walk-forward logistic fit per labelled row on the labels matured before it."""
+    """One walk-forward logistic fit per labelled row on the labels matured before it.
+
+    Every fit starts from zero, so it does not depend on how rows fall into blocks. Its weights and its training
+    window (ranks of labels, from and to) come along; ``logistic_certificates`` proves them. Fits that do not converge
+    have no row.
+    """
     labelled = ledger.filter(OBSERVED)
     labelled = add(labelled, {"_rank": S.position(S.by(ROW, "prediction_position"))})
     reach = params.maximum_training + max(HORIZONS.values())
@@ -104,7 +115,8 @@ def out_of_fold_scores(ledger: DataFrame, params: P.ModelParams = DEFAULT) -> Da
     schema = (
         f"{UNIVERSE} string, event_id string, prediction_date date, prediction_position long, target_end_position long, "
         "decision_score double, uncalibrated_probability double, base_rate_at_prediction double, label int, "
-        "training_sample_size int, training_positive_count int, model_artifact_id string"
+        "training_sample_size int, training_positive_count int, model_artifact_id string, training_first long, training_last long, "
+        "model_weights array<double>"
     )
 
     def fit_block(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -115,14 +127,17 @@ def out_of_fold_scores(ledger: DataFrame, params: P.ModelParams = DEFAULT) -> Da
         position = pdf["prediction_position"].to_numpy()
         first = int(np.searchsorted(pdf["_rank"].to_numpy(), block * params.block))
         horizon = int(pdf["horizon"].iloc[0])
-        out, beta = [], None
+        rank = pdf["_rank"].to_numpy()
+        out = []
         for i in range(first, len(pdf)):
             stop = int(np.searchsorted(position, position[i] - horizon, side="right"))
             start = max(0, stop - params.maximum_training)
             n, positive = stop - start, int(y[start:stop].sum())
             if n < params.minimum_training or positive < params.minimum_positive or n - positive < params.minimum_negative:
                 continue
-            beta = fit_logistic(x[start:stop], y[start:stop], params.inverse_penalty, beta)
+            beta = fit_logistic(x[start:stop], y[start:stop], params.inverse_penalty)
+            if beta is None:
+                continue
             score = float(x[i] @ beta[:-1] + beta[-1])
             recent = y[max(start, stop - params.base_rate_rows) : stop]
             row = pdf.iloc[i]
@@ -137,7 +152,7 @@ def out_of_fold_scores(ledger: DataFrame, params: P.ModelParams = DEFAULT) -> Da
                 (
                     row[UNIVERSE], row["event_id"], row["prediction_date"], int(position[i]), int(row["target_end_position"]),
                     score, float(_probability(np.array(score))), (float(recent.sum()) + 1.0) / (len(recent) + 2.0),
-                    int(y[i]), n, positive, _hash(artifact),
+                    int(y[i]), n, positive, _hash(artifact), int(rank[start]), int(rank[stop - 1]), beta.tolist(),
                 )
             )
         return pd.DataFrame(out, columns=[c.strip().split(" ")[0] for c in schema.split(",")])
@@ -157,6 +172,8 @@ def sequential_calibration(oof: DataFrame, params: P.ModelParams = DEFAULT) -> D
         T.StructField("platt_a", T.DoubleType()),
         T.StructField("platt_b", T.DoubleType()),
         T.StructField("calibrated_probability", T.DoubleType()),
+        T.StructField("calibration_first", T.LongType()),
+        T.StructField("calibration_last", T.LongType()),
     ]
     schema = T.StructType(list(oof.schema.fields) + added)
     names = list(schema.names)
@@ -165,7 +182,7 @@ def sequential_calibration(oof: DataFrame, params: P.ModelParams = DEFAULT) -> D
         pdf = pdf.sort_values("_rank", kind="stable").reset_index(drop=True)
         first = int(np.searchsorted(pdf["_rank"].to_numpy(), int(pdf["_block"].iloc[0]) * params.block))
         score, label = pdf["decision_score"].to_numpy(), pdf["label"].to_numpy(dtype=float)
-        ends, position = pdf["target_end_position"].to_numpy(), pdf["prediction_position"].to_numpy()
+        ends, position, rank = (pdf[c].to_numpy() for c in ("target_end_position", "prediction_position", "_rank"))
         rows = []
         for i in range(first, len(pdf)):
             stop = min(int(np.searchsorted(ends, position[i], side="right")), i)
@@ -174,10 +191,10 @@ def sequential_calibration(oof: DataFrame, params: P.ModelParams = DEFAULT) -> D
             enough = n == need and min(positive, n - positive) >= params.calibration_minimum_class
             curve = fit_platt(score[start:stop], label[start:stop]) if enough else None
             if curve is None:
-                rows.append((n, positive, False, None, None, None))
+                rows.append((n, positive, False, None, None, None, None, None))
             else:
                 p = float(np.clip(_probability(np.array(curve[0] * score[i] + curve[1])), 1e-6, 1 - 1e-6))
-                rows.append((n, positive, True, curve[0], curve[1], p))
+                rows.append((n, positive, True, curve[0], curve[1], p, int(rank[start]), int(rank[stop - 1])))
         out = pdf.iloc[first:].reset_index(drop=True)
         fresh = pd.DataFrame(rows, columns=[f.name for f in added], dtype=object)
         return pd.concat([out, fresh], axis=1)[names]
@@ -185,6 +202,53 @@ def sequential_calibration(oof: DataFrame, params: P.ModelParams = DEFAULT) -> D
     return spread.groupBy(*ROW, "_block").applyInPandas(fit_block, schema)
 
 
+# ---- certificates -----------------------------------------------------------------
+
+
+def _ranked(rows: DataFrame) -> DataFrame:
+    return add(rows, {"_rank": S.position(S.by(ROW, "prediction_position"))})
+
+
+def logistic_certificates(ledger: DataFrame, scores: DataFrame, params: P.ModelParams = DEFAULT) -> DataFrame:
+    """What proves each out-of-fold fit, taken from the ledger alone: the rows and positives of its training window,
+    the largest part of its gradient at the published weights, and the score that the weights give its own row.
+
+    The loss is convex, so a zero gradient is the optimum, whoever found it.
+    """
+    labelled = _ranked(ledger.filter(OBSERVED)).select(*ROW, "_rank", "prediction_position", "label", "predictors")
+    dot = "aggregate(zip_with(predictors, slice(model_weights, 1, size(predictors)), (x, w) -> x * w), element_at(model_weights, -1), (a, v) -> a + v)"
+    window = scores.selectExpr(*ROW, "prediction_position AS _at", "model_weights", "explode(sequence(training_first, training_last)) AS _rank")
+    rows = add(window.join(labelled, [*ROW, "_rank"]), {"_error": f"1D / (1D + exp(-({dot}))) - label"})
+    width = max(len(e.predictors) for e in P.EVENTS)
+    sums = rows.groupBy(*ROW, F.col("_at").alias("prediction_position")).agg(
+        F.expr("count(1) AS training_rows"), F.expr("sum(label) AS training_positive"), F.expr("any_value(model_weights) AS _w"),
+        F.expr("abs(sum(_error)) AS _g"), *[F.expr(f"sum(_error * get(predictors, {i})) AS _g{i}") for i in range(width)],
+    )
+    parts = ", ".join(f"abs(_g{i} + get(_w, {i}) / {params.inverse_penalty}D)" for i in range(width))
+    own = scores.join(labelled.select(*ROW, "prediction_position", "predictors"), [*ROW, "prediction_position"])
+    own = add(own, {"score_residual": f"decision_score - ({dot})"}).select(*ROW, "prediction_position", "score_residual")
+    out = add(sums, {"gradient": f"greatest(_g, {parts})"}).join(own, [*ROW, "prediction_position"])
+    return out.select(*ROW, "prediction_position", "training_rows", "training_positive", "gradient", "score_residual")
+
+
+def calibration_certificates(oof: DataFrame, calibrated: DataFrame, ridge: float = 1e-6) -> DataFrame:
+    """As ``logistic_certificates``, for the calibration curves: gradient by intercept and by slope.
+
+    A slope is not below zero; where it is zero, its gradient must only not be negative.
+    """
+    scored = _ranked(oof).select(*ROW, "_rank", "decision_score", "label")
+    fitted = calibrated.filter("calibration_success")
+    window = fitted.selectExpr(*ROW, "prediction_position", "platt_a", "platt_b", "explode(sequence(calibration_first, calibration_last)) AS _rank")
+    rows = add(window.join(scored, [*ROW, "_rank"]), {"_error": "1D / (1D + exp(-(platt_a * decision_score + platt_b))) - label"})
+    sums = rows.groupBy(*ROW, "prediction_position").agg(
+        F.expr("count(1) AS calibration_rows"), F.expr("sum(label) AS calibration_positive"), F.expr("any_value(platt_a) AS _a"), F.expr("any_value(platt_b) AS _b"),
+        F.expr("avg(_error) AS _gb"), F.expr("avg(_error * decision_score) AS _ga"),
+    )
+    slope = f"CASE WHEN _a > 0 THEN abs(_ga + {2 * ridge!r}D * _a) ELSE greatest(-_ga, 0D) END"
+    out = add(sums, {"intercept_gradient": f"abs(_gb + {2 * ridge!r}D * _b)", "slope_gradient": slope})
+    return out.drop("_a", "_b", "_ga", "_gb")
+
+
 # ---- acceptance -----------------------------------------------------------------
 
 
@@ -212,30 +276,28 @@ def calibration_error(df: DataFrame, p: str, bins: int = 5) -> DataFrame:
     return binned.groupBy(*ROW).agg(F.expr("sum(n * gap) / sum(n) AS ece"))
 
 
-def block_bootstrap(df: DataFrame, p: str, base: str, *, replicates: int = 5000) -> DataFrame:
+def block_bootstrap(df: DataFrame, p: str, base: str, *, replicates: int = 5000, draws: Bo.Draws = Bo.seeded) -> DataFrame:
     """Paired moving-block bootstrap of the Brier skill, seeded per event.
 
-    The input is the fixed-size evaluation window of each event, so a group has
-    a known size; the draws are vectorised and follow the seeded generator.
+    The input is the fixed-size evaluation window of each event. Its squared errors become prefix sums; a replicate
+    draws the starts of its blocks, and a block is a difference of two prefix sums. The last block is cut to the size.
     """
-    schema = f"{UNIVERSE} string, event_id string, skill_lower double, skill_upper double"
-
-    def draw(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("prediction_position", kind="stable")
-        event, n = pdf["event_id"].iloc[0], len(pdf)
-        length = HORIZONS[event]
-        y = pdf["label"].to_numpy(dtype=float)
-        model = (pdf[p].to_numpy(dtype=float) - y) ** 2
-        naive = (pdf[base].to_numpy(dtype=float) - y) ** 2
-        per_draw = -(-n // length)
-        starts = np.random.default_rng(SEEDS[event]).integers(0, n - length + 1, size=(replicates, per_draw))
-        index = (starts[:, :, None] + np.arange(length)).reshape(replicates, -1)[:, :n]
-        skill = 1.0 - model[index].mean(axis=1) / naive[index].mean(axis=1)
-        low, high = np.quantile(skill, [0.05, 0.95])
-        return pd.DataFrame([(pdf[UNIVERSE].iloc[0], event, float(low), float(high))],
-                            columns=[UNIVERSE, "event_id", "skill_lower", "skill_upper"])
-
-    return df.groupBy(*ROW).applyInPandas(draw, schema)
+    listed = "sort_array(collect_list(struct(prediction_position AS at, double({0}) AS p, double(label) AS y)))".format
+    errors = "transform({0}, e -> (e.p - e.y) * (e.p - e.y))".format
+    held = df.groupBy(*ROW).agg(
+        F.count("*").alias("rows"), *[F.expr(f"{Bo.running(errors(listed(c)))} AS {n}") for c, n in ((p, "_model"), (base, "_naive"))]
+    )
+    lengths = ", ".join(f"'{e}', {h}" for e, h in HORIZONS.items())
+    seeds = ", ".join(f"'{e}', {s}" for e, s in SEEDS.items())
+    held = add(held, {"length": f"map({lengths})[event_id]", "seed": f"map({seeds})[event_id]"})
+    held = add(held, {"slots": "bigint(ceil(rows / length))", "n": "rows - length + 1"})
+    drawn = draws(held.select(*ROW, "n", "slots", "seed"), ROW, replicates).join(held, ROW)
+    cut = "rows - (slots - 1) * length"  # rows of the last block
+    block = "{0}[int(i) + length] - {0}[int(i)]".format
+    last = "{0}[int(picks[int(slots) - 1]) + length] - {0}[int(picks[int(slots) - 1]) + int({1})]".format
+    sums = {c: f"{Bo.total(block(c))} - ({last(c, cut)})" for c in ("_model", "_naive")}
+    skill = add(drawn, {"skill": f"1D - try_divide({sums['_model']}, {sums['_naive']})"})
+    return skill.groupBy(*ROW).agg(F.expr("percentile(skill, 0.05) AS skill_lower"), F.expr("percentile(skill, 0.95) AS skill_upper"))
 
 
 def probability_scores(df: DataFrame, p: str, base: str) -> DataFrame:
@@ -318,6 +380,8 @@ def fit_current(
         if curve is None:
             return empty
         beta = fit_logistic(np.stack(rows["predictors"].to_numpy()).astype(float), y, params.inverse_penalty)
+        if beta is None:
+            return empty
         score = float(np.asarray(rows["_x"].iloc[0], dtype=float) @ beta[:-1] + beta[-1])
         p = float(np.clip(_probability(np.array(curve[0] * score + curve[1])), 1e-6, 1 - 1e-6))
         artifact = _hash(

@@ -1,17 +1,20 @@
-"""Opportunity, stress and state-exit panels and their summaries."""
+"""Opportunity, stress and state-exit panels and their summaries.
+
+Tables may hold several underlyings; see ``condor``. Summaries then have one row (or set of rows) for each.
+"""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from volpanel import params as P
 from volpanel.functions.num import add
 from volpanel.operators import blocks as B
+from volpanel.operators import bootstrap as Bo
 from volpanel.operators import calendar as C
 from volpanel.operators import condor as Co
+from volpanel.operators import series as S
 
 STATE_COLUMNS = (
     "global_status local_status phase insurance_compensation vrp_ewma94 dynamic_unit raw_dynamic_unit risk_reason "
@@ -32,29 +35,31 @@ def marked_paths(calendar: DataFrame, candidates: DataFrame, marks: DataFrame) -
     Days from entry to expiry are bounded by the 45-day tenor, so the interval
     join is an explode followed by equi-joins on the day and on (day, code).
     """
-    days = C.session_calendar(calendar)
+    keys = Co.own(candidates)
+    day_keys = [*keys, "session_date"]
+    days = C.session_calendar(calendar, keys)
     state = [c for c in STATE_COLUMNS if c in calendar.columns]
-    dims = calendar.select("session_date", *state).join(days.select("session_date", "ordinal"), "session_date")
+    dims = calendar.select(*day_keys, *state).join(days.select(*day_keys, "ordinal"), day_keys)
     dims = add(dims, {"state_category": Co.timing_category()})
     legs = [f"{leg}_{f}" for leg in P.LEGS for f in ("code", "strike")]
-    entry = candidates.select("session_date", "expiry", *legs).join(dims, "session_date")
+    entry = candidates.select(*day_keys, "expiry", *legs).join(dims, day_keys)
     entry = entry.withColumnRenamed("ordinal", "entry_ordinal").withColumnRenamed("etf_mark", "spot_entry")
     path = add(entry, {"path_date": "explode(sequence(session_date, expiry))"})
     day = dims.selectExpr(
-        "session_date AS path_date", "ordinal AS path_ordinal", "etf_mark AS path_spot", "state_category AS path_category"
+        *keys, "session_date AS path_date", "ordinal AS path_ordinal", "etf_mark AS path_spot", "state_category AS path_category"
     )
-    path = path.join(day, "path_date")
+    path = path.join(day, [*keys, "path_date"])
     codes = ", ".join(f"struct('{leg}' AS leg, {leg}_code AS code)" for leg in P.LEGS)
-    carried = [c for c in path.columns if c not in ("session_date", "path_date")]
-    rows = path.selectExpr("session_date", "path_date", f"struct({', '.join(carried)}) AS c", f"explode(array({codes})) AS l")
-    rows = rows.selectExpr("session_date", "path_date", "c", "l.leg", "l.code")
+    carried = [c for c in path.columns if c not in (*day_keys, "path_date")]
+    rows = path.selectExpr(*day_keys, "path_date", f"struct({', '.join(carried)}) AS c", f"explode(array({codes})) AS l")
+    rows = rows.selectExpr(*day_keys, "path_date", "c", "l.leg", "l.code")
     priced = rows.join(
         usable_marks(marks).withColumnRenamed("session_date", "path_date"), ["path_date", "code"], "left"
     )
-    out = priced.groupBy("session_date", "path_date").agg(
+    out = priced.groupBy(*day_keys, "path_date").agg(
         F.expr("any_value(c) AS c"), *[F.expr(f"max(CASE WHEN leg = '{leg}' THEN mark END) AS {leg}") for leg in P.LEGS]
     )
-    out = out.select("session_date", "path_date", "c.*", *P.LEGS)
+    out = out.select(*day_keys, "path_date", "c.*", *P.LEGS)
     return add(out, {"combo": f"{P.MULTIPLIER}D * (short_put + short_call - long_put - long_call)"})
 
 
@@ -67,18 +72,20 @@ def _entry_terms(df: DataFrame) -> DataFrame:
 
 def opportunity_panel(calendar: DataFrame, candidates: DataFrame, marks: DataFrame) -> DataFrame:
     """Outcome of every selectable candidate held 5 or 10 sessions, or to a week before expiry."""
-    days = C.session_calendar(calendar)
-    exits = candidates.select("session_date", "expiry").join(days.select("session_date", "ordinal"), "session_date")
-    week = C.first_session_from(days).selectExpr(
-        "day AS _week", "first_session AS _week_session", "first_ordinal AS _week_ordinal"
+    keys = Co.own(candidates)
+    day_keys = [*keys, "session_date"]
+    days = C.session_calendar(calendar, keys)
+    exits = candidates.select(*day_keys, "expiry").join(days.select(*day_keys, "ordinal"), day_keys)
+    week = C.first_session_from(days, keys).selectExpr(
+        *keys, "day AS _week", "first_session AS _week_session", "first_ordinal AS _week_ordinal"
     )
-    exits = add(exits, {"_week": "date_sub(expiry, 7)"}).join(week, "_week", "left")
+    exits = add(exits, {"_week": "date_sub(expiry, 7)"}).join(week, [*keys, "_week"], "left")
     plan = (
         "array_compact(array(struct('H5' AS horizon, ordinal + 5 AS o), struct('H10' AS horizon, ordinal + 10 AS o), "
         f"CASE WHEN _week_session <= expiry THEN struct('{P.PRIMARY_HORIZON}' AS horizon, _week_ordinal AS o) END))"
     )
-    exits = exits.selectExpr("session_date", f"{plan} AS exits")
-    path = marked_paths(calendar, candidates, marks).join(exits, "session_date")
+    exits = exits.selectExpr(*day_keys, f"{plan} AS exits")
+    path = marked_paths(calendar, candidates, marks).join(exits, day_keys)
     reach = path.withColumn("x", F.expr("explode(filter(exits, e -> path_ordinal <= e.o))")).drop("exits")
     reach = add(reach, {"horizon": "x.horizon", "_exit": "x.o"})
     packed = f"struct({', '.join(P.LEGS)}, combo, path_date, path_ordinal)"
@@ -89,7 +96,7 @@ def opportunity_panel(calendar: DataFrame, candidates: DataFrame, marks: DataFra
     ]
     base = [b for b in base if b in reach.columns]
     whole = "combo IS NOT NULL"
-    out = reach.groupBy("session_date", "horizon").agg(
+    out = reach.groupBy(*day_keys, "horizon").agg(
         *[F.expr(f"any_value({b}) AS {b}") for b in base],
         F.expr("any_value(_exit) AS _exit"),
         F.expr(f"max(CASE WHEN path_ordinal = entry_ordinal AND {whole} THEN {packed} END) AS _in"),
@@ -135,8 +142,10 @@ def opportunity_panel(calendar: DataFrame, candidates: DataFrame, marks: DataFra
 
 def stress_panel(calendar: DataFrame, contracts: DataFrame, surface: DataFrame) -> DataFrame:
     """Realised volatility and moves after each session against the lagged implied vol."""
+    keys = Co.own(calendar)
+    day_keys = [*keys, "session_date"]
     days = Co.ordered_sessions(calendar)
-    over = "ORDER BY session_date"
+    over = S.by(keys, "session_date")
     days = add(
         days,
         {
@@ -156,20 +165,16 @@ def stress_panel(calendar: DataFrame, contracts: DataFrame, surface: DataFrame)
         columns[f"_lo{h}"] = f"least(min(_l) {ahead} - _l, 0D)"
         columns[f"_end{h}"] = f"lead(session_date, {h}) OVER ({over})"
     days = add(days, columns)
-    picked = Co.nearest_expiry(Co.in_tenor(contracts)).groupBy("session_date").agg(F.expr("max(maturity_date) AS maturity_date"))
-    df = days.join(picked, "session_date").join(
-        surface.filter("atm_iv / 100D BETWEEN 0.01D AND 3D").selectExpr(
-            "session_date AS previous", "expiry AS maturity_date", "atm_iv / 100D AS lagged_atm_iv"
-        ),
-        ["previous", "maturity_date"],
-    )
+    picked = Co.nearest_expiry(Co.in_tenor(contracts)).groupBy(*day_keys).agg(F.expr("max(maturity_date) AS maturity_date"))
+    lagged = Co.lagged_vol(surface).withColumnRenamed("sigma", "lagged_atm_iv")
+    df = days.join(picked, day_keys).join(lagged, [*keys, "previous", "maturity_date"])
     rows = ", ".join(
         f"CASE WHEN _ok{h} THEN named_struct('h', {h}, 'rv', _sd{h}, 'hi', _hi{h}, 'lo', _lo{h}, 'e', _end{h}) END" for h in horizons
     )
     df = add(df, {"x": f"explode(array_compact(array({rows})))"})
     df = add(df, {"expected_move": "lagged_atm_iv * sqrt(x.h / 252D)"})
     return df.selectExpr(
-        "session_date",
+        *day_keys,
         "x.e AS future_end_date",
         "maturity_date AS expiry",
         "concat('H', x.h) AS horizon",
@@ -191,9 +196,11 @@ MODES = ("STATIC_KNOWN_UNIVERSE", "KNOWN_BLOCK_EXIT", "ALL_ZERO_EXIT")
 
 def state_exits(calendar: DataFrame, candidates: DataFrame, marks: DataFrame) -> DataFrame:
     """First marked day after entry on which a candidate's exit rule holds, per rule."""
+    keys = Co.own(candidates)
+    day_keys = [*keys, "session_date"]
     path = add(
         marked_paths(calendar, candidates, marks),
-        {"_in": "max(CASE WHEN path_ordinal = entry_ordinal THEN combo END) OVER (PARTITION BY session_date)"},
+        {"_in": f"max(CASE WHEN path_ordinal = entry_ordinal THEN combo END) OVER (PARTITION BY {', '.join(day_keys)})"},
     )
     week = "CASE WHEN datediff(expiry, path_date) <= 7 THEN 'DTE_7' END"
     block = f"CASE WHEN path_category = 'KNOWN_BLOCK' THEN 'STATE_KNOWN_BLOCK' ELSE {week} END"
@@ -205,7 +212,7 @@ def state_exits(calendar: DataFrame, candidates: DataFrame, marks: DataFrame) ->
     )
     later = path.filter("path_ordinal > entry_ordinal AND combo IS NOT NULL AND _in IS NOT NULL")
     later = add(later, {"m": f"explode({modes})"}).filter("m.enter AND m.exit_reason IS NOT NULL")
-    first = later.groupBy("session_date", F.expr("m.mode AS mode")).agg(
+    first = later.groupBy(*day_keys, F.expr("m.mode AS mode")).agg(
         F.expr("min(struct(path_ordinal, path_date, combo, m.exit_reason AS exit_reason, path_category)) AS x"),
         *[
             F.expr(f"any_value({c}) AS {c}")
@@ -215,6 +222,7 @@ def state_exits(calendar: DataFrame, candidates: DataFrame, marks: DataFrame) ->
     )
     out = _entry_terms(first)
     return out.selectExpr(
+        *keys,
         "mode",
         "session_date AS entry_date",
         "x.path_date AS exit_date",
@@ -266,22 +274,23 @@ def group_statistics(panel: DataFrame) -> DataFrame:
         ("phase", "phase", panel.filter(KNOWN)),
     ):
         labelled = add(rows, {"group_kind": f"'{kind}'", "group_value": column})
-        parts.append(grouped(labelled, ["horizon", "group_kind", "group_value"], GROUP_STATS))
+        parts.append(grouped(labelled, [*Co.own(panel), "horizon", "group_kind", "group_value"], GROUP_STATS))
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 def _tail(panel: DataFrame, value: str, quantile: float, worse: str) -> DataFrame:
     """Known rows beyond a quantile of their horizon, flagged."""
     known = panel.filter(KNOWN)
-    cut = known.groupBy("horizon").agg(F.expr(f"percentile({value}, {quantile}) AS threshold"))
-    return add(known.join(cut, "horizon"), {"bad": f"{value} {worse} threshold"})
+    keys = [*Co.own(panel), "horizon"]
+    cut = known.groupBy(*keys).agg(F.expr(f"percentile({value}, {quantile}) AS threshold"))
+    return add(known.join(cut, keys), {"bad": f"{value} {worse} threshold"})
 
 
 def tail_capture(panel: DataFrame) -> DataFrame:
     """How many of the worst tenth of outcomes the blocking state caught."""
     df = _tail(panel, "return_on_max_loss", 0.10, "<=")
     block, allow = "state_category = 'KNOWN_BLOCK'", "state_category = 'ALLOW'"
-    out = df.groupBy("horizon").agg(
+    out = df.groupBy(*Co.own(panel), "horizon").agg(
         F.expr("any_value(threshold) AS threshold"),
         F.expr("count_if(bad) AS bad_opportunity_days"),
         F.expr(f"count_if(bad AND {block}) AS blocked_bad_opportunity_days"),
@@ -307,9 +316,10 @@ def count_maps(panel: DataFrame) -> DataFrame:
     """Counts of the bad tail by loss side, phase and expiry."""
     bad = _tail(panel, "return_on_max_loss", 0.10, "<=").filter("bad")
     pairs = "explode(array(struct('loss_side' AS kind, loss_side AS value), struct('phase' AS kind, phase AS value), struct('expiry' AS kind, string(expiry) AS value))) AS p"
-    counts = bad.selectExpr("horizon", pairs).groupBy("horizon", F.expr("p.kind AS kind"), F.expr("p.value AS value")).count()
+    keys = [*Co.own(panel), "horizon"]
+    counts = bad.selectExpr(*keys, pairs).groupBy(*keys, F.expr("p.kind AS kind"), F.expr("p.value AS value")).count()
     # One entry per distinct label: sides, phases and expiries are short lists.
-    return counts.groupBy("horizon", "kind").agg(
+    return counts.groupBy(*keys, "kind").agg(
         F.expr("map_from_entries(array_sort(collect_list(struct(value, count)))) AS counts")
     )
 
@@ -317,7 +327,8 @@ def count_maps(panel: DataFrame) -> DataFrame:
 def mean_differences(panel: DataFrame) -> DataFrame:
     """ALLOW minus KNOWN_BLOCK: plain, expiry-balanced, and without the worst ALLOW expiry."""
     known = panel.filter(KNOWN)
-    per = known.groupBy("horizon", "expiry").agg(
+    keys = [*Co.own(panel), "horizon"]
+    per = known.groupBy(*keys, "expiry").agg(
         *[
             F.expr(f"{f}(CASE WHEN state_category = '{c}' THEN return_on_max_loss END) AS {f}_{n}")
             for c, n in (("ALLOW", "a"), ("KNOWN_BLOCK", "b"))
@@ -326,14 +337,14 @@ def mean_differences(panel: DataFrame) -> DataFrame:
     )
     per = add(per, {"_ma": "CASE WHEN count_a > 0 THEN sum_a / count_a END", "_mb": "CASE WHEN count_b > 0 THEN sum_b / count_b END"})
     worst = "min(CASE WHEN _ma IS NOT NULL THEN struct(_ma, expiry, sum_a AS s, count_a AS c, sum_b AS sb, count_b AS cb) END)"
-    out = per.groupBy("horizon").agg(
+    out = per.groupBy(*keys).agg(
         F.expr("sum(sum_a) AS sa"), F.expr("sum(count_a) AS ca"), F.expr("sum(sum_b) AS sb"), F.expr("sum(count_b) AS cb"),
         F.expr("avg(_ma) - avg(_mb) AS expiry_balanced_allow_minus_block_mean"), F.expr(f"{worst} AS w"),
     )
     rest_a = "try_divide(sa - coalesce(w.s, 0D), double(ca - w.c))"
     rest_b = "try_divide(coalesce(sb, 0D) - coalesce(w.sb, 0D), double(cb - w.cb))"
     return out.selectExpr(
-        "horizon",
+        *keys,
         "try_divide(sa, double(ca)) - try_divide(sb, double(cb)) AS allow_minus_block_mean",
         "expiry_balanced_allow_minus_block_mean",
         "w.expiry AS worst_allowed_expiry",
@@ -341,36 +352,34 @@ def mean_differences(panel: DataFrame) -> DataFrame:
     )
 
 
-def cluster_bootstrap(panel: DataFrame, *, draws: int = 2000, seed: int = 20260821) -> DataFrame:
+def cluster_bootstrap(panel: DataFrame, *, draws: int = 2000, seed: int = 20260821, table: Bo.Draws = Bo.seeded) -> DataFrame:
     """Expiry-cluster bootstrap of ALLOW minus KNOWN_BLOCK, seeded.
 
-    Clusters are reduced to sums and counts first, so a task holds one row per
-    expiry (a dozen a year) and a draw is an index into those rows.
+    Clusters are reduced to sums and counts first, so a horizon is one row with an entry per expiry (a dozen a year),
+    and a replicate adds up the entries it has drawn.
     """
-    per = panel.filter(KNOWN).groupBy("horizon", "expiry").agg(
+    keys = [*Co.own(panel), "horizon"]
+    per = panel.filter(KNOWN).groupBy(*keys, "expiry").agg(
         *[
-            F.expr(f"coalesce({f}(CASE WHEN state_category = '{c}' THEN return_on_max_loss END), 0) AS {f}_{n}")
+            F.expr(f"double(coalesce({f}(CASE WHEN state_category = '{c}' THEN return_on_max_loss END), 0)) AS {f}_{n}")
             for c, n in (("ALLOW", "a"), ("KNOWN_BLOCK", "b"))
             for f in ("sum", "count")
         ]
     )
-    schema = "horizon string, clusters int, draws int, ci_lower double, ci_upper double, probability_allow_better double"
-
-    def draw(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("expiry", kind="stable")
-        n = len(pdf)
-        row = [pdf["horizon"].iloc[0], n, 0, None, None, None]
-        if n >= 2 and pdf["count_a"].sum() > 0 and pdf["count_b"].sum() > 0:
-            index = np.random.default_rng(seed).integers(0, n, size=(draws, n))
-            total = {c: pdf[c].to_numpy(dtype=float)[index].sum(axis=1) for c in ("sum_a", "count_a", "sum_b", "count_b")}
-            usable = (total["count_a"] > 0) & (total["count_b"] > 0)
-            delta = total["sum_a"][usable] / total["count_a"][usable] - total["sum_b"][usable] / total["count_b"][usable]
-            if len(delta):
-                low, high = np.quantile(delta, [0.025, 0.975])
-                row[2:] = [len(delta), float(low), float(high), float((delta > 0).mean())]
-        return pd.DataFrame([row], columns=["horizon", "clusters", "draws", "ci_lower", "ci_upper", "probability_allow_better"])
-
-    return per.groupBy("horizon").applyInPandas(draw, schema)
+    held = per.groupBy(*keys).agg(
+        F.expr("count(1) AS n"), F.expr("sort_array(collect_list(struct(expiry, sum_a, count_a, sum_b, count_b))) AS c"),
+        F.expr("sum(count_a) > 0 AND sum(count_b) > 0 AND count(1) >= 2 AS _both"),
+    )
+    held = add(held, {"slots": "n", "seed": f"{seed}L"})
+    drawn = table(held.filter("_both").select(*keys, "n", "slots", "seed"), keys, draws).join(held.select(*keys, "c"), keys)
+    drawn = add(drawn, {f"_{v}": Bo.total(f"c[int(i)].{v}") for v in ("sum_a", "count_a", "sum_b", "count_b")})
+    drawn = add(drawn.filter("_count_a > 0 AND _count_b > 0"), {"delta": "_sum_a / _count_a - _sum_b / _count_b"})
+    found = drawn.groupBy(*keys).agg(
+        F.expr("int(count(1)) AS draws"), F.expr("percentile(delta, 0.025) AS ci_lower"), F.expr("percentile(delta, 0.975) AS ci_upper"),
+        F.expr("avg(int(delta > 0)) AS probability_allow_better"),
+    )
+    out = held.selectExpr(*keys, "int(n) AS clusters").join(found, keys, "left")
+    return add(out, {"draws": "coalesce(draws, 0)"})
 
 
 def spearman(df: DataFrame, keys: list[str], x: str, y: str, out: str = "rho") -> DataFrame:
@@ -388,7 +397,7 @@ def spearman(df: DataFrame, keys: list[str], x: str, y: str, out: str = "rho") -
 
 
 def conclusion(panel: DataFrame) -> DataFrame:
-    df = mean_differences(panel).join(tail_capture(panel), "horizon").filter(f"horizon = '{P.PRIMARY_HORIZON}'")
+    df = mean_differences(panel).join(tail_capture(panel), [*Co.own(panel), "horizon"]).filter(f"horizon = '{P.PRIMARY_HORIZON}'")
     d, lift = "allow_minus_block_mean", "capture_lift"
     return add(
         df,
@@ -401,13 +410,14 @@ def conclusion(panel: DataFrame) -> DataFrame:
 
 def worst_opportunities(panel: DataFrame, rows: int = 20) -> DataFrame:
     known = panel.filter(f"horizon = '{P.PRIMARY_HORIZON}' AND {KNOWN}")
-    return known.orderBy("return_on_max_loss", "session_date").limit(rows)
+    return known.orderBy("return_on_max_loss", "session_date", *Co.own(panel)).limit(rows)
 
 
 def stress_summary(panel: DataFrame) -> DataFrame:
     """Category statistics, tail capture and the ALLOW minus KNOWN_BLOCK ratio per horizon."""
-    cats = grouped(panel, ["horizon", "state_category"], STRESS_STATS)
-    tail = _tail(panel, "realized_to_implied", 0.90, ">=").groupBy("horizon").agg(
+    keys = [*Co.own(panel), "horizon"]
+    cats = grouped(panel, [*keys, "state_category"], STRESS_STATS)
+    tail = _tail(panel, "realized_to_implied", 0.90, ">=").groupBy(*keys).agg(
         F.expr("any_value(threshold) AS threshold"),
         F.expr("count(1) AS known_days"),
         F.expr("count_if(bad) AS tail_days"),
@@ -420,11 +430,11 @@ def stress_summary(panel: DataFrame) -> DataFrame:
     )
     tail = add(tail, {"block_capture_rate": "blocked_tail_days / tail_days"})
     tail = add(tail, {"capture_lift": "try_divide(block_capture_rate, baseline_block_rate)"})
-    return cats.join(tail, "horizon", "left")
+    return cats.join(tail, keys, "left")
 
 
 def state_path_summary(ledger: DataFrame) -> DataFrame:
-    out = ledger.groupBy("mode").agg(
+    out = ledger.groupBy(*Co.own(ledger), "mode").agg(
         F.expr("count(1) AS closed_cycles"),
         F.expr("sum(pnl_per_combo) AS total_pnl"),
         F.expr("sum(defined_max_loss) AS sum_defined_max_loss"),
@@ -439,10 +449,11 @@ def state_path_summary(ledger: DataFrame) -> DataFrame:
 
 def matched_exits(ledger: DataFrame, panel: DataFrame) -> DataFrame:
     """State exit against the fixed exit of the same entry."""
+    keys = Co.own(ledger)
     fixed = panel.filter(f"horizon = '{P.PRIMARY_HORIZON}'").selectExpr(
-        "session_date AS entry_date", "pnl_per_combo AS fixed_pnl", "return_on_max_loss AS fixed_return"
+        *keys, "session_date AS entry_date", "pnl_per_combo AS fixed_pnl", "return_on_max_loss AS fixed_return"
     )
-    out = ledger.filter(f"mode <> '{MODES[0]}'").join(fixed, "entry_date").groupBy("mode").agg(
+    out = ledger.filter(f"mode <> '{MODES[0]}'").join(fixed, [*keys, "entry_date"]).groupBy(*keys, "mode").agg(
         F.expr("count(1) AS matched_cycles"),
         F.expr("sum(pnl_per_combo) AS state_exit_total_pnl"),
         F.expr("sum(fixed_pnl) AS fixed_to_7dte_total_pnl"),

@@ -10,6 +10,7 @@ from volpanel.functions.num import add, sigmoid
 from volpanel.operators import calendar as C
 from volpanel.operators import events as E
 from volpanel.operators import models as Mo
+from volpanel.operators.bootstrap import counted, pick
 from volpanel.operators import series as S
 from volpanel.registry.base import register, shared, step
 from volpanel.registry.q_state import k_window, state
@@ -242,6 +243,40 @@ def _(spark, folder):
     return oof.direct(spark, folder)
 
 
+# labels by rank, the training window of each, and which of them have a fit
+step("labelled_x", "SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY prediction_position) AS rk FROM ledger WHERE label IS NOT NULL")
+step(
+    "fit_windows",
+    f"""SELECT l.event_id, l.prediction_position, l.target_end_position, l.label, count(*) AS training_rows, sum(r.label) AS training_positive
+       FROM (SELECT l.*, (SELECT count(*) FROM labelled_x m WHERE m.event_id = l.event_id AND m.target_end_position <= l.prediction_position) AS stop FROM labelled_x l) l
+       JOIN labelled_x r ON r.event_id = l.event_id AND r.rk <= l.stop AND r.rk > l.stop - {SMALL.maximum_training}
+       GROUP BY ALL HAVING count(*) >= {SMALL.minimum_training} AND sum(r.label) >= {SMALL.minimum_positive} AND count(*) - sum(r.label) >= {SMALL.minimum_negative}""",
+)
+step("oof_x", "SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY prediction_position) AS rk FROM fit_windows")
+
+
+@register(
+    "x13_fit_certificates",
+    "event_id prediction_position# training_rows# training_positive# gradient~ score_residual~",
+    "SELECT *, 0e0 AS gradient, 0e0 AS score_residual FROM fit_windows",
+)
+def _(spark, folder):
+    return Mo.logistic_certificates(ledger(spark, folder), oof(spark, folder), SMALL)
+
+
+@register(
+    "x14_calibration_certificates",
+    "event_id prediction_position# calibration_rows# calibration_positive# intercept_gradient~ slope_gradient~",
+    f"""SELECT *, 0e0 AS intercept_gradient, 0e0 AS slope_gradient FROM (
+       SELECT l.event_id, l.prediction_position, count(*) AS calibration_rows, sum(r.label) AS calibration_positive
+       FROM (SELECT l.*, (SELECT count(*) FROM oof_x m WHERE m.event_id = l.event_id AND m.target_end_position <= l.prediction_position AND m.rk < l.rk) AS stop FROM oof_x l) l
+       JOIN oof_x r ON r.event_id = l.event_id AND r.rk <= l.stop AND r.rk > l.stop - {SMALL.calibration_rows}
+       GROUP BY 1, 2 HAVING count(*) = {SMALL.calibration_rows} AND least(sum(r.label), count(*) - sum(r.label)) >= {SMALL.calibration_minimum_class}) q""",
+)
+def _(spark, folder):
+    return Mo.calibration_certificates(oof(spark, folder), calibrated(spark, folder))
+
+
 @register(
     "x14_sequential_calibration",
     "event_id prediction_position# decision_score~ calibration_sample_size# calibration_positive_count# calibration_success platt_a~ platt_b~ calibrated_probability~",
@@ -260,8 +295,7 @@ def _(spark, folder):
 
 @register("x16_current_probability", "event_id probability~ training_sample_size# training_positive_count# brier_skill~ ece~")
 def _(spark, folder):
-    # Every event is fitted here so the job has work whatever the gate says.
-    metrics = add(Mo.acceptance_metrics(calibrated(spark, folder), SMALL), {"accepted": "true"})
+    metrics = Mo.acceptance_metrics(calibrated(spark, folder), SMALL)
     return Mo.fit_current(ledger(spark, folder), oof(spark, folder), metrics, SMALL)
 
 
@@ -285,9 +319,23 @@ def _(spark, folder):
     return Mo.calibration_error(Mo.latest_rows(rated(spark, folder)), "p")
 
 
-@register("a27_block_bootstrap", "event_id skill_lower~ skill_upper~")
+_seeds = " ".join(f"WHEN '{e.event_id}' THEN {e.seed}" for e in P.EVENTS)
+_lengths = " ".join(f"WHEN '{e.event_id}' THEN {e.horizon}" for e in P.EVENTS)
+_start = pick("seed", "d", "j", "(n - length + 1)", xor="xor({0}, {1})")
+
+
+@register(
+    "a27_block_bootstrap",
+    "event_id skill_lower~ skill_upper~",
+    f"""WITH s AS (SELECT event_id, row_number() OVER (PARTITION BY event_id ORDER BY prediction_position) - 1 AS i, pow(p - label, 2) AS m, pow(base_rate - label, 2) AS b FROM rated252),
+       e AS (SELECT event_id, count(*) AS n, CAST(CASE event_id {_lengths} END AS BIGINT) AS length, CAST(CASE event_id {_seeds} END AS BIGINT) AS seed FROM s GROUP BY 1),
+       d AS (SELECT *, {_start} AS start FROM (SELECT *, unnest(range(CAST(ceil(n / length) AS BIGINT))) AS j FROM (SELECT *, unnest(range(5000)) AS d FROM e) x) y),
+       k AS (SELECT event_id, d, start + o AS i FROM (SELECT *, unnest(range(length)) AS o FROM d) z WHERE j * length + o < n),
+       r AS (SELECT event_id, d, 1e0 - sum(m) / nullif(sum(b), 0) AS skill FROM k JOIN s USING (event_id, i) GROUP BY 1, 2)
+       SELECT event_id, quantile_cont(skill, 0.05) AS skill_lower, quantile_cont(skill, 0.95) AS skill_upper FROM r GROUP BY 1""",
+)
 def _(spark, folder):
-    return Mo.block_bootstrap(Mo.latest_rows(rated(spark, folder)), "p", "base_rate")
+    return Mo.block_bootstrap(Mo.latest_rows(rated(spark, folder)), "p", "base_rate", draws=counted)
 
 
 @register(

@@ -21,12 +21,12 @@ _scenarios = (
 # A ledger in the shape the metrics read: one NAV path per strategy and scenario.
 step(
     "nav_ledger",
-    f"""SELECT session_date, strategy, fill_scenario, broker_fee_per_contract, risk_budget, 1e6 * exp(sum(ln(1e0 + r)) OVER w) AS nav, r AS daily_return,
+    f"""SELECT economic_index_id, session_date, strategy, fill_scenario, broker_fee_per_contract, risk_budget, 1e6 * exp(sum(ln(1e0 + r)) OVER w) AS nav, r AS daily_return,
          CASE WHEN n % 4 = 0 THEN 0e0 ELSE 0.5e0 END AS risk_unit, CAST(n % 4 AS DOUBLE) AS position_quantity, 1e0 * count(*) OVER w AS fees_cumulative
-       FROM (SELECT p.session_date, p.n, s.*, s.k * ({_RET}) AS r FROM v_panel p, (VALUES {_scenarios}) s(strategy, fill_scenario, broker_fee_per_contract, risk_budget, k) WHERE economic_index_id = 'CSI300') q
-       WINDOW w AS (PARTITION BY strategy, fill_scenario, broker_fee_per_contract, risk_budget ORDER BY session_date)""",
+       FROM (SELECT p.economic_index_id, p.session_date, p.n, s.*, s.k * ({_RET}) AS r FROM v_panel p, (VALUES {_scenarios}) s(strategy, fill_scenario, broker_fee_per_contract, risk_budget, k)) q
+       WINDOW w AS (PARTITION BY economic_index_id, strategy, fill_scenario, broker_fee_per_contract, risk_budget ORDER BY session_date)""",
 )
-_path = "strategy, fill_scenario, broker_fee_per_contract, risk_budget"
+_path = "economic_index_id, strategy, fill_scenario, broker_fee_per_contract, risk_budget"
 step(
     "rebased",
     f"""SELECT *, coalesce(nav / lag(nav) OVER w - 1e0, 0e0) AS daily_return FROM (
@@ -66,12 +66,12 @@ def ledger(spark: SparkSession, folder: str) -> DataFrame:
         structs.append(
             f"named_struct('strategy', {s}, 'fill_scenario', {f}, 'broker_fee_per_contract', double({b}), 'risk_budget', double({r}), 'k', double({k}))"
         )
-    p = view(spark, folder, "panel").filter("economic_index_id = 'CSI300'")
-    df = p.selectExpr("session_date", "n", "iv30_mf", f"explode(array({', '.join(structs)})) AS s").select(
-        "session_date", "n", "iv30_mf", "s.*"
+    p = view(spark, folder, "panel")
+    df = p.selectExpr("economic_index_id", "session_date", "n", "iv30_mf", f"explode(array({', '.join(structs)})) AS s").select(
+        "economic_index_id", "session_date", "n", "iv30_mf", "s.*"
     )
     df = add(df, {"daily_return": f"k * ({_RET})"})
-    w = S.by(Me.PATH, "session_date")
+    w = S.by(["economic_index_id", *Me.PATH], "session_date")
     return add(
         df,
         {
@@ -83,7 +83,7 @@ def ledger(spark: SparkSession, folder: str) -> DataFrame:
     ).drop("n", "iv30_mf", "k")
 
 
-_p = "strategy fill_scenario broker_fee_per_contract~ risk_budget~"
+_p = "economic_index_id strategy fill_scenario broker_fee_per_contract~ risk_budget~"
 
 
 @register("w08_drawdown", f"session_date {_p} drawdown~", "SELECT * FROM path_full")
@@ -122,9 +122,9 @@ def _(spark, folder):
 
 @register(
     "a21_yearly_returns",
-    "year# SV_STATIC~ SV_DYNAMIC~",
-    """SELECT year, max(r) FILTER (WHERE strategy = 'SV_STATIC') AS SV_STATIC, max(r) FILTER (WHERE strategy = 'SV_DYNAMIC') AS SV_DYNAMIC FROM (
-       SELECT year(session_date) AS year, strategy, product(1e0 + daily_return) - 1e0 AS r FROM nav_ledger WHERE fill_scenario = 'VWAP_2TICK' AND risk_budget = 0.08e0 GROUP BY 1, 2) q GROUP BY 1""",
+    "economic_index_id year# SV_STATIC~ SV_DYNAMIC~",
+    """SELECT economic_index_id, year, max(r) FILTER (WHERE strategy = 'SV_STATIC') AS SV_STATIC, max(r) FILTER (WHERE strategy = 'SV_DYNAMIC') AS SV_DYNAMIC FROM (
+       SELECT economic_index_id, year(session_date) AS year, strategy, product(1e0 + daily_return) - 1e0 AS r FROM nav_ledger WHERE fill_scenario = 'VWAP_2TICK' AND risk_budget = 0.08e0 GROUP BY 1, 2, 3) q GROUP BY 1, 2""",
 )
 def _(spark, folder):
     primary = ledger(spark, folder).filter("fill_scenario = 'VWAP_2TICK' AND risk_budget = 0.08D")
@@ -141,13 +141,13 @@ _side_cols = " ".join(f"{p}_{m}~3" for p in ("static", "dynamic") for m in ("end
 
 @register(
     "a22_sensitivity",
-    f"fill_scenario broker_fee_per_contract~ risk_budget~ {_side_cols}",
-    f"SELECT fill_scenario, broker_fee_per_contract, risk_budget, {_sides} FROM metrics_full GROUP BY 1, 2, 3",
+    f"economic_index_id fill_scenario broker_fee_per_contract~ risk_budget~ {_side_cols}",
+    f"SELECT economic_index_id, fill_scenario, broker_fee_per_contract, risk_budget, {_sides} FROM metrics_full GROUP BY 1, 2, 3, 4",
 )
 def _(spark, folder):
     m = Me.path_metrics(ledger(spark, folder))
     return Me.sensitivity(
-        m, ["fill_scenario", "broker_fee_per_contract", "risk_budget"], {"SV_STATIC": "static", "SV_DYNAMIC": "dynamic"}
+        m, ["economic_index_id", "fill_scenario", "broker_fee_per_contract", "risk_budget"], {"SV_STATIC": "static", "SV_DYNAMIC": "dynamic"}
     )
 
 
@@ -156,14 +156,14 @@ _window = "CASE exit_reason WHEN 'DTE_7' THEN 'EXPIRY_INTRINSIC_SETTLEMENT' ELSE
 
 @register(
     "a23_execution_diagnostics",
-    "strategy exit_fill_rows# contracts_closed# expiry_settlement_rows# expiry_settlement_contracts# realized_pnl~3 fees~3",
-    f"""SELECT mode AS strategy, count(*) AS exit_fill_rows, sum(holding_calendar_days) AS contracts_closed, count(*) FILTER (WHERE exit_reason = 'DTE_7') AS expiry_settlement_rows,
+    "economic_index_id strategy exit_fill_rows# contracts_closed# expiry_settlement_rows# expiry_settlement_contracts# realized_pnl~3 fees~3",
+    f"""SELECT economic_index_id, mode AS strategy, count(*) AS exit_fill_rows, sum(holding_calendar_days) AS contracts_closed, count(*) FILTER (WHERE exit_reason = 'DTE_7') AS expiry_settlement_rows,
         coalesce(sum(holding_calendar_days) FILTER (WHERE exit_reason = 'DTE_7'), 0) AS expiry_settlement_contracts, sum(pnl_per_combo) AS realized_pnl, sum(holding_calendar_days * 3.2e0) AS fees
-        FROM state_exit_ledger GROUP BY 1""",
+        FROM state_exit_ledger GROUP BY 1, 2""",
 )
 def _(spark, folder):
     trades = exits(spark, folder).selectExpr(
-        "mode AS strategy", "holding_calendar_days AS quantity", f"{_window} AS exit_window", "pnl_per_combo AS realized_pnl",
+        "economic_index_id", "mode AS strategy", "holding_calendar_days AS quantity", f"{_window} AS exit_window", "pnl_per_combo AS realized_pnl",
         "holding_calendar_days * 3.2D AS fees",
     )
     return Me.execution_diagnostics(trades)
@@ -171,15 +171,15 @@ def _(spark, folder):
 
 step(
     "benchmark",
-    """SELECT *, coalesce(nav / lag(nav) OVER (ORDER BY session_date) - 1e0, nav / 1e6 - 1e0) AS daily_return FROM (
-       SELECT s.session_date, 1e6 - f.shares * f.p - greatest(5e0, f.shares * f.p * 0.0003e0) + f.shares * f.p * s.tr_mark / (f.p * f.tr / f.em) AS nav, f.shares AS position_quantity, greatest(5e0, f.shares * f.p * 0.0003e0) AS fees_cumulative
-       FROM v_spot s, (SELECT max(k) * 100 AS shares, any_value(p) AS p, any_value(tr_mark) AS tr, any_value(etf_mark) AS em FROM (
-         SELECT *, entry_vwap + 0.002e0 AS p, unnest(range(0, CAST(floor(1e6 / (entry_vwap + 0.002e0) / 100) AS BIGINT) + 1)) AS k FROM (SELECT * FROM v_spot WHERE tr_mark > 0 ORDER BY session_date LIMIT 1) a) b
-         WHERE k * 100 * p + greatest(5e0, k * 100 * p * 0.0003e0) <= 1e6) f WHERE s.tr_mark > 0) q""",
+    """SELECT *, coalesce(nav / lag(nav) OVER (PARTITION BY economic_index_id ORDER BY session_date) - 1e0, nav / 1e6 - 1e0) AS daily_return FROM (
+       SELECT s.economic_index_id, s.session_date, 1e6 - f.shares * f.p - greatest(5e0, f.shares * f.p * 0.0003e0) + f.shares * f.p * s.tr_mark / (f.p * f.tr / f.em) AS nav, f.shares AS position_quantity, greatest(5e0, f.shares * f.p * 0.0003e0) AS fees_cumulative
+       FROM v_spot s JOIN (SELECT economic_index_id, max(k) * 100 AS shares, any_value(p) AS p, any_value(tr_mark) AS tr, any_value(etf_mark) AS em FROM (
+         SELECT *, entry_vwap + 0.002e0 AS p, unnest(range(0, CAST(floor(1e6 / (entry_vwap + 0.002e0) / 100) AS BIGINT) + 1)) AS k FROM (SELECT * FROM v_spot WHERE tr_mark > 0 QUALIFY row_number() OVER (PARTITION BY economic_index_id ORDER BY session_date) = 1) a) b
+         WHERE k * 100 * p + greatest(5e0, k * 100 * p * 0.0003e0) <= 1e6 GROUP BY 1) f USING (economic_index_id) WHERE s.tr_mark > 0) q""",
 )
 
 
-@register("x21_buy_and_hold", "session_date nav~3 daily_return~ position_quantity~ fees_cumulative~", "SELECT * FROM benchmark")
+@register("x21_buy_and_hold", "economic_index_id session_date nav~3 daily_return~ position_quantity~ fees_cumulative~", "SELECT * FROM benchmark")
 def _(spark, folder):
     return Me.buy_and_hold(view(spark, folder, "spot"))
 

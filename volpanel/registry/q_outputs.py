@@ -152,11 +152,11 @@ def _(spark, folder):
     return Sc.scan(spark, path, ["session_date", "economic_index_id", "iv30_mf", "insurance_compensation", "session_year"]).filter("session_year = 1998")
 
 
-@register("k02_csv_ledger", "session_date horizon pnl_per_combo~", "SELECT session_date, horizon, pnl_per_combo FROM opps")
+@register("k02_csv_ledger", "economic_index_id session_date horizon pnl_per_combo~", "SELECT economic_index_id, session_date, horizon, pnl_per_combo FROM opps")
 def _(spark, folder):
     path = scratch_path(spark, "opportunity")
-    K.write_csv(opportunities(spark, folder).select("session_date", "horizon", "pnl_per_combo"), path, order=["session_date", "horizon"])
-    return spark.read.option("header", True).schema("session_date date, horizon string, pnl_per_combo double").csv(path)
+    K.write_csv(opportunities(spark, folder).select("economic_index_id", "session_date", "horizon", "pnl_per_combo"), path, order=["economic_index_id", "session_date", "horizon"])
+    return spark.read.option("header", True).schema("economic_index_id string, session_date date, horizon string, pnl_per_combo double").csv(path)
 
 
 @register("k03_daily_documents", "session_date primary_phase pressure_score~", "SELECT session_date, primary_phase, pressure_score FROM state")

@@ -205,13 +205,15 @@ def _(spark, folder):
 
 @register(
     "j04_common_sessions",
-    "session_date rows#",
-    "SELECT session_date, count(*) AS rows FROM observations WHERE session_date IN (SELECT session_date FROM v_spot) GROUP BY 1",
+    "source session_date rows#",
+    """SELECT 'OPTION' AS source, session_date, count(*) AS rows FROM observations WHERE session_date IN (SELECT session_date FROM v_spot) GROUP BY 2
+       UNION ALL SELECT 'UNDERLYING', session_date, count(*) FROM v_spot WHERE session_date IN (SELECT session_date FROM observations) GROUP BY 2""",
 )
 def _(spark, folder):
-    obs = observations(spark, folder)
-    common = Sc.common_sessions(obs, view(spark, folder, "spot"))
-    return Sc.restrict(obs, common).groupBy("session_date").agg(F.expr("count(1) AS rows"))
+    obs, spot = observations(spark, folder), view(spark, folder, "spot")
+    common = Sc.common_sessions(obs, spot)
+    rows = lambda df, name: Sc.restrict(df, common).groupBy("session_date").agg(F.expr("count(1) AS rows"), F.expr(f"'{name}' AS source"))
+    return rows(obs, "OPTION").unionByName(rows(spot, "UNDERLYING"))
 
 
 @register(
@@ -247,27 +249,28 @@ def _(spark, folder):
 
 @register(
     "u01_union_ledgers",
-    "source session_date reason horizon return_on_max_loss~ realized_to_implied~",
-    """SELECT 'REJECT' AS source, session_date, reason, CAST(NULL AS VARCHAR) AS horizon, CAST(NULL AS DOUBLE) AS return_on_max_loss, CAST(NULL AS DOUBLE) AS realized_to_implied FROM selection WHERE reason IS NOT NULL
-       UNION ALL SELECT 'OPPORTUNITY', session_date, NULL, horizon, return_on_max_loss, NULL FROM opps
-       UNION ALL SELECT 'STRESS', session_date, NULL, horizon, NULL, realized_to_implied FROM stress""",
+    "source economic_index_id session_date reason horizon return_on_max_loss~ realized_to_implied~",
+    """SELECT 'REJECT' AS source, economic_index_id, session_date, reason, CAST(NULL AS VARCHAR) AS horizon, CAST(NULL AS DOUBLE) AS return_on_max_loss, CAST(NULL AS DOUBLE) AS realized_to_implied FROM selection WHERE reason IS NOT NULL
+       UNION ALL SELECT 'OPPORTUNITY', economic_index_id, session_date, NULL, horizon, return_on_max_loss, NULL FROM opps
+       UNION ALL SELECT 'STRESS', economic_index_id, session_date, NULL, horizon, NULL, realized_to_implied FROM stress""",
 )
 def _(spark, folder):
-    rejects = add(selection(spark, folder)[1].select("session_date", "reason"), {"source": "'REJECT'"})
-    wins = add(opportunities(spark, folder).select("session_date", "horizon", "return_on_max_loss"), {"source": "'OPPORTUNITY'"})
-    moves = add(stress(spark, folder).select("session_date", "horizon", "realized_to_implied"), {"source": "'STRESS'"})
+    rejects = add(selection(spark, folder)[1].select("economic_index_id", "session_date", "reason"), {"source": "'REJECT'"})
+    wins = add(opportunities(spark, folder).select("economic_index_id", "session_date", "horizon", "return_on_max_loss"), {"source": "'OPPORTUNITY'"})
+    moves = add(stress(spark, folder).select("economic_index_id", "session_date", "horizon", "realized_to_implied"), {"source": "'STRESS'"})
     return rejects.unionByName(wins, allowMissingColumns=True).unionByName(moves, allowMissingColumns=True)
 
 
 @register(
     "j05_marks_one_to_one",
     "session_date carrier_id iv30_mf~ etf_mark~",
-    "SELECT p.session_date, p.carrier_id, p.iv30_mf, s.etf_mark FROM v_panel p LEFT JOIN v_spot s ON s.session_date = p.session_date AND p.carrier_id = 'CSI300_510300'",
+    "SELECT p.session_date, p.carrier_id, p.iv30_mf, s.etf_mark FROM v_panel p LEFT JOIN v_spot s ON s.session_date = p.session_date AND s.economic_index_id = p.economic_index_id",
 )
 def _(spark, folder):
     from volpanel.operators.features import attach_marks
 
-    marks = add(view(spark, folder, "spot"), {"carrier_id": "'CSI300_510300'"})
+    carriers = ", ".join(f"'{m.index}', '{m.carrier}'" for m in U.members)
+    marks = add(view(spark, folder, "spot"), {"carrier_id": f"map({carriers})[economic_index_id]"}).drop("economic_index_id")
     return attach_marks(view(spark, folder, "panel"), marks)
 
 

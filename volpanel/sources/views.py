@@ -228,24 +228,25 @@ def _bar_daily(d: Dialect) -> str:
 
 
 def _listed(d: Dialect) -> str:
-    """Standard contracts on a month-end grid, one row per (expiry, kind, strike)."""
+    """Standard contracts on a month-end grid, one row per (underlying, expiry, kind, strike)."""
     expiry = d.add_days(d.add_months(d.month_start("CAST(o_orderdate AS DATE)"), "2 + o_orderkey % 2"), "22")
     return f"""
-    SELECT concat(call_put, '-', {d.compact("maturity_date")}, '-', CAST(step AS STRING)) AS code, call_put,
+    SELECT concat(economic_index_id, '-', call_put, '-', {d.compact("maturity_date")}, '-', CAST(step AS STRING)) AS code, economic_index_id, call_put,
            (round((2e0 + 0.05e0 * step) * 1e2) / 1e2) AS exercise_price, list_date, maturity_date, 0.0001e0 AS min_price_chg, step
-    FROM (SELECT CASE WHEN o_orderkey % 2 = 0 THEN 'C' ELSE 'P' END AS call_put, CAST(o_custkey % 41 AS BIGINT) AS step,
+    FROM (SELECT CASE o_custkey % 4 WHEN 0 THEN 'SSE50' WHEN 1 THEN 'CSI300' WHEN 2 THEN 'CSI500' ELSE 'STAR50' END AS economic_index_id,
+                 CASE WHEN o_orderkey % 2 = 0 THEN 'C' ELSE 'P' END AS call_put, CAST(o_custkey % 41 AS BIGINT) AS step,
                  {expiry} AS maturity_date, min(CAST(o_orderdate AS DATE)) AS list_date
-          FROM {{orders}} GROUP BY 1, 2, 3) grid
+          FROM {{orders}} GROUP BY 1, 2, 3, 4) grid
     """
 
 
 def _spot(d: Dialect) -> str:
-    """One underlying: marks and opening anchors per session."""
+    """Marks and opening anchors of every underlying per session."""
     return f"""
-    SELECT session_date, etf_mark, tr_mark,
+    SELECT economic_index_id, session_date, etf_mark, tr_mark,
            CASE WHEN n % 9 = 0 THEN NULL ELSE (round((etf_mark * 1.001e0) * 1e6) / 1e6) END AS spot_0935,
            (round((etf_mark * 1.002e0) * 1e6) / 1e6) AS entry_vwap
-    FROM ({_panel(d)}) p WHERE economic_index_id = 'CSI300'
+    FROM ({_panel(d)}) p
     """
 
 
@@ -253,15 +254,15 @@ def _expiry_iv(d: Dialect) -> str:
     """At-the-money vol (percent) per session for the next four listed expiries."""
     expiry = d.add_days(d.add_months(d.month_start("session_date"), "ahead"), "22")
     return f"""
-    SELECT session_date, 'CSI300' AS economic_index_id, {expiry} AS expiry,
+    SELECT session_date, economic_index_id, {expiry} AS expiry,
            CASE WHEN (n + ahead) % 17 = 0 THEN NULL ELSE iv30_mf + ahead END AS atm_iv
-    FROM (SELECT session_date, n, iv30_mf, {d.each_of("0, 1, 2, 3")} AS ahead
-          FROM ({_panel(d)}) p WHERE economic_index_id = 'CSI300') grid
+    FROM (SELECT session_date, economic_index_id, n, iv30_mf, {d.each_of("0, 1, 2, 3")} AS ahead
+          FROM ({_panel(d)}) p) grid
     """
 
 
 def _marks(d: Dialect) -> str:
-    """Daily settlement and close of every listed contract on every session of its life."""
+    """Daily settlement and close of every listed contract on every session of its underlying in its life."""
     gap = d.days_between("maturity_date", "m.session_date")
     return f"""
     SELECT session_date, code, mark,
@@ -274,7 +275,7 @@ def _marks(d: Dialect) -> str:
                          * exp(-3e0 * abs(exercise_price - s.etf_mark))) * 1e6) / 1e6) AS mark,
                  CAST({gap} * 13 + step * 7 + CASE WHEN call_put = 'C' THEN 3 ELSE 0 END AS BIGINT) AS pick
           FROM (SELECT *, {d.each_day("list_date", "maturity_date")} AS session_date FROM ({_listed(d)}) l) m
-          JOIN ({_spot(d)}) s ON s.session_date = m.session_date) marked
+          JOIN ({_spot(d)}) s ON s.session_date = m.session_date AND s.economic_index_id = m.economic_index_id) marked
     """
 
 
