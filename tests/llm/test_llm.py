@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -16,11 +17,11 @@ from volpanel.llm import queries as Q
 from volpanel.llm.archives import LoserTree, archive
 from volpanel.llm.conversations import collapse_snapshots
 from volpanel.llm.decontamination import decontaminate
-from volpanel.llm.licences import scan_licences
+from volpanel.llm.licences import NOTICES, scan_licences, telling
 from volpanel.llm.main_text import extract_text, main_text, minimum_cut
 from volpanel.llm.near_duplicates import near_duplicates, similarity, sketches
 from volpanel.llm.packing import closest, pack, plan_windows
-from volpanel.llm.personal_data import BASE, find_personal_data, redacted
+from volpanel.llm.personal_data import BASE, SEED, find_personal_data, redacted, reliabilities
 from volpanel.llm.quality import log_tail, quality_rules
 from volpanel.llm.tokens import Encoder
 from volpanel.llm.toxicity import Decoder, log_probabilities, score_toxicity, trigram_counts
@@ -173,7 +174,7 @@ def test_quality_counts_and_binomial_tail(spark, real):
         expected = (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(again))
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == expected
         assert r.base_failed == (len(w) < 50 or 100 * len(again) > 50 * len(w)) and not (r.base_failed and r.kept)
-    tails = spark.sql(f"SELECT n, k, exp({log_tail('n', 'k', '0.05')}) AS p FROM VALUES (100L, 2L), (100L, 0L), (60L, 1L) AS t(n, k)").collect()
+    tails = spark.sql(f"SELECT n, k, exp({log_tail('n', 'k', '0.05')}) AS p FROM VALUES (100L, 2L), (100L, 0L), (60L, 1L), (2L, 0L), (900L, 44L) AS t(n, k)").collect()
     for r in tails:
         exact = sum(np.prod([(r.n - i) / (i + 1) for i in range(j)]) * 0.05**j * 0.95 ** (r.n - j) for j in range(r.k + 1))
         assert r.p == pytest.approx(exact)
@@ -190,6 +191,71 @@ def test_cutoffs_spare_good_texts(spark):
     assert 1 - sum(good) / len(good) <= 0.05 and not any(got[i].kept for i in range(0, 2500, 5))
 
 
+def test_edits_never_turn_one_licence_into_another(spark):
+    texts = ["licensed under cc by nd", "licensed under cc by 4 0", "licensed under the gnu general public license version 1",
+             "released under the bsd license", "released under the isc license", "relesed undr the mit license", "licensed under cc by sa",
+             "licensd under the gnu general public licence version 3", "permission is herby granted free of charge to any persn obtaining a copy"]
+    got = by_id(scan_licences(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")))
+    assert [got[i].labels for i in range(9)] == ["", "", "", "", "", "mit", "cc-by-sa", "gpl-3", "mit"]
+
+
+def edit_distance_inside(notice, text):
+    """Least edits of the notice against any part of the text."""
+    row = [0] * (len(text) + 1)
+    for i, c in enumerate(notice, 1):
+        before, row = row, [i] + [0] * len(text)
+        for j, d in enumerate(text, 1):
+            row[j] = min(before[j - 1] + (c != d), before[j] + 1, row[j - 1] + 1)
+    return min(row)
+
+
+def test_bounded_errors_against_all_alignments(spark):
+    rng = random.Random(8)
+    notices = {n: label for n, label in NOTICES.items() if not telling(n)}
+    texts = []
+    for notice in notices:
+        for edits in range(0, len(notice) // 10 + 3):
+            t = list(notice)
+            for _ in range(edits):
+                i = rng.randrange(len(t))
+                t[i : i + 1] = rng.choice([[], [t[i], rng.choice("jkq")], [rng.choice("xyz")]])
+            texts.append("one two " + "".join(t) + " three four")
+    texts = [t for t in texts if not telling(t)]  # an edit may make such a word by chance
+    got = by_id(scan_licences(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"), base={}, notices=notices))
+    for i, t in enumerate(texts):
+        expected = {label for n, label in notices.items() if edit_distance_inside(n, f" {t} ") <= len(n) // 10}
+        assert set(filter(None, got[i].labels.split(","))) == expected, t
+
+
+def test_kept_follows_a_plain_sequence_of_exact_tests(spark):
+    rng = random.Random(11)
+    text = lambda s: " ".join(f"{rng.choice('abcdefgh')}{rng.randint(0, 999)}{'#' * rng.randint(1, 9) if rng.random() < s else ''}" for _ in range(60))
+    strata = ["en", "de", None, ""]
+    rows = [(i, text(rng.choice([0, 0.05, 0.5]) if i % 3 else 0.02), strata[(i // 3) % 4]) for i in range(9000)]
+    labels = [(i, int(i % 3 == 0 or i % 10 == 1)) for i in range(9000)]
+    got = by_id(quality_rules(spark.createDataFrame(rows, "doc_id int, text string, lang string"), spark.createDataFrame(labels, "doc_id int, quality int")))
+
+    def rates(r):
+        return (r.n_symbols / max(r.word_chars, 1), r.n_repeat_words / max(r.n_words, 1), 0.0, r.word_chars / max(r.n_words, 1))
+
+    tops, good, steps = (1.0, 1.0, 1.0, 40.0), dict(labels), {}
+    for stratum in strata:
+        own = [rates(got[i]) for i, _, s in rows if s == stratum and good[i] and not got[i].base_failed]
+        for rule in range(4):
+            limit = None
+            for step in range(39, -1, -1):
+                k = sum(min(40, math.ceil(v[rule] * 40 / tops[rule])) > step for v in own)
+                tail = sum(math.comb(len(own), j) * 0.0125**j * 0.9875 ** (len(own) - j) for j in range(k + 1))
+                if k >= len(own) * 0.0125 or tail > 0.05 / 16:
+                    break
+                limit = step * tops[rule] / 40
+            steps[stratum, rule] = limit
+    assert any(v is not None and v < 1 for v in steps.values())
+    for i, _, stratum in rows:
+        over = any(steps[stratum, q] is not None and v > steps[stratum, q] for q, v in enumerate(rates(got[i])))
+        assert got[i].kept == (not got[i].base_failed and not over), i
+
+
 def test_disguised_words_are_restored_and_scored(spark, real):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
     decoder = Decoder(log_probabilities([tuple(r) for r in trigram_counts(docs.select("text")).collect()]))
@@ -408,6 +474,43 @@ def test_base_spans_against_plain_patterns(spark):
         assert list(dict.fromkeys(s.kind for s in got[i].base)) == [k for k in BASE if any(s.kind == k for s in got[i].base)]
 
 
+def test_reliabilities_equal_a_plain_recursion():
+    rng = random.Random(6)
+    patterns = [(k, *(rng.choice([-1, 0, 1]) for _ in range(4)), rng.randint(1, 40)) for k in ("card", "iban", "secret") for _ in range(8)]
+    prior, shares = {k: 0.5 for k in ("card", "iban", "secret")}, [{t: dict(SEED[t]) for t in (0, 1)} for _ in range(4)]
+    for _ in range(50):
+        post = []
+        for k, *votes, _ in patterns:
+            yes, no = prior[k], 1 - prior[k]
+            for j, v in enumerate(votes):
+                yes, no = yes * shares[j][1][v], no * shares[j][0][v]
+            post.append(1.0 if k == "card" and votes[0] == 1 else yes / (yes + no))
+        for k in prior:
+            own = [(q, p[-1]) for p, q in zip(patterns, post) if p[0] == k]
+            prior[k] = 0.25 + 0.5 * sum(q * n for q, n in own) / sum(n for _, n in own)
+        for j in range(4):
+            for t in (0, 1):
+                weight = [(q if t else 1 - q) * p[-1] for p, q in zip(patterns, post)]
+                for v in (-1, 0, 1):
+                    shares[j][t][v] = 0.5 * SEED[t][v] + 0.5 * sum(w for p, w in zip(patterns, weight) if p[1 + j] == v) / sum(weight)
+    assert reliabilities(patterns) == pytest.approx(post)
+    # ten times the spans give the same answer
+    assert reliabilities([(*p[:-1], 10 * p[-1]) for p in patterns]) == pytest.approx(post)
+
+
+def test_added_spans_do_not_depend_on_the_size_of_the_corpus(spark):
+    planted = ["token = 3f786850e387550fdab836ed7e6dc881", "my ssn: 123-45-6789", "version 000-12-0000", "password: ghp_ABCDEFGHIJKLMNOPQRSTUVWX"]
+    found = []
+    for folder in (FOLDER, "/root/testdata/sf0.01"):
+        texts = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")
+        own = spark.createDataFrame([(-1 - i, t) for i, t in enumerate(planted)], "doc_id long, text string")
+        rows = find_personal_data(texts.union(own)).where("doc_id < 0").collect()
+        found.append({r.doc_id: {(s.kind, s.start, s.stop) for s in r.spans} for r in rows})
+    assert found[0] == found[1]
+    assert found[0][-1] == {("secret", 8, 40)} and found[0][-2] == {("national_id", 8, 19)}
+    assert found[0][-3] == set() and found[0][-4] == {("secret", 10, 38)}
+
+
 def test_redaction_covers_overlapping_spans(spark):
     spans = "array(named_struct('kind', 'b', 'start', 4, 'stop', 9), named_struct('kind', 'a', 'start', 2, 'stop', 6), named_struct('kind', 'c', 'start', 11, 'stop', 12))"
     assert spark.sql(f"SELECT {redacted('t', spans)} AS r FROM VALUES ('abcdefghijklmn') AS v(t)").head()[0] == "ab<a><b>jk<c>mn"

@@ -3,7 +3,8 @@
 Texts are reduced to lower-case words with single blanks between them. A notice of n characters may have ``n // 10``
 edits; cut into one piece more than that, at least one piece stands unchanged in every match (pigeonhole). An
 automaton over all pieces finds these seeds in one pass; only the surroundings of a seed are given to the ``regex``
-library, whose bounded-error matching accepts or rejects them and reports where the match stands.
+library, whose bounded-error matching accepts or rejects them and reports where the match stands. The words that tell
+licences apart must stand unchanged in a match: an edit there would turn one licence into another.
 """
 
 from __future__ import annotations
@@ -42,15 +43,30 @@ NOTICES = {
     "this is free and unencumbered software released into the public domain": "unlicense",
     "all rights reserved": "all-rights-reserved",
 }
+# Words that tell one licence from another; versions (digits but 0) do, too. Edits never fall on them.
+TELLING = set("mit apache gnu lesser affero mozilla bsd isc creative commons attribution cc by nc sa nd unencumbered".split())
 CHARACTERS_PER_EDIT = 10
 
 
+def telling(words: str) -> list[str]:
+    return [w for w in words.split() if w in TELLING or w.isdigit() and w != "0"]
+
+
 def seeds_of(notice: str, edits: int) -> list[tuple[int, str]]:
     """``edits + 1`` pieces of about equal length, with their offsets."""
     cuts = [round(i * len(notice) / (edits + 1)) for i in range(edits + 2)]
     return [(a, notice[a:b]) for a, b in zip(cuts, cuts[1:])]
 
 
+def whole_words(text: str, start: int, end: int) -> str:
+    """The words that text[start:end] touches; words never go on behind a blank or a line feed."""
+    while start and not text[start - 1].isspace() and not text[start].isspace():
+        start -= 1
+    while end < len(text) and not text[end].isspace() and not text[end - 1].isspace():
+        end += 1
+    return text[start:end]
+
+
 class Scanner:
     def __init__(self, base: dict[str, str], notices: dict[str, str], per_edit: int):
         import ahocorasick
@@ -100,7 +116,7 @@ class Scanner:
                     continue
                 last = window
                 found = pattern.search(text, *window)
-                if found and found.end() > found.start():
+                if found and found.end() > found.start() and telling(whole_words(text, found.start(), found.end())) == telling(notice):
                     done = found.end()
                     yield found.start(), found.end(), label, sum(found.fuzzy_counts), len(notice)
 

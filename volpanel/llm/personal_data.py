@@ -3,8 +3,10 @@
 Further candidates (secrets, national ids, local phone numbers, IBANs) and the fixed ones are judged by four labelers
 that vote yes (1), no (-1) or nothing (0): a strict pattern, a gazetteer of prefixes and domains, words in front of the
 span, and its edges. Expectation-maximisation on the table of vote patterns - its size is bounded by the kinds and
-votes - estimates how often each labeler is right and how likely each pattern is personal data; a logistic span
-classifier is trained on these and decides which candidates become spans. Spans of the fixed patterns always stay.
+votes - estimates how often each labeler is right and how likely each pattern is personal data. It is anchored: known
+true spans stay true, and seed reliabilities keep their share of every estimate. A logistic span classifier is trained
+on the result, with the votes, the length and digits of a span and the character before it as its features, and
+decides which candidates become spans. Spans of the fixed patterns always stay.
 
 Everything that touches texts is a DataFrame expression. Matches keep their places because a replacement puts a mark
 around each of them, and a split at the marks leaves lengths to be added up.
@@ -15,6 +17,7 @@ from __future__ import annotations
 import math
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -115,7 +118,9 @@ def votes() -> str:
         f"named_struct('kind', e.kind, 'start', e.start, 'stop', e.stop, 'strict', {vote(case(STRICT, 0), case(STRICT, 1))}, "
         f"'gazetteer', {vote(case(GAZETTEER), 'false')}, "
         f"'context', {vote(f'b rlike {quoted(CONTEXT)}', f'b rlike {quoted(AGAINST)}')}, "
-        "'edges', CASE WHEN b rlike '[A-Za-z0-9_]$' OR n rlike '^[A-Za-z0-9_@]' THEN -1 ELSE 1 END)"
+        "'edges', CASE WHEN b rlike '[A-Za-z0-9_]$' OR n rlike '^[A-Za-z0-9_@]' THEN -1 ELSE 1 END, "
+        "'size', int(floor(log2(length(x)))), 'digits', int(4 * (length(x) - length(translate(x, '0123456789', ''))) / length(x)), "
+        "'before', CASE WHEN b = '' THEN 0 WHEN b rlike '[\\\\p{L}\\\\p{N}]$' THEN 1 WHEN b rlike '[ \\\\t\\\\n]$' THEN 2 ELSE 3 END)"
     )
     inner = f"transform(array(e.x), x -> {inner})[0]"
     inner = f"transform(array(substr(text, e.stop + 1, 1)), n -> {inner})[0]"
@@ -123,53 +128,64 @@ def votes() -> str:
 
 
 LABELERS = ("strict", "gazetteer", "context", "edges")
+#: What the classifier reads of a span and of the character before it.
+FEATURES = ("size", "digits", "before")
+# How a labeler votes (no, nothing, yes) on false and on true spans before anything is estimated, and the
+# share that this keeps in every estimate. The share does not shrink with the number of spans, so truth and falsehood
+# cannot change places, and the same text has the same spans in a small and in a large corpus of its kind.
+SEED = {0: {-1: 0.45, 0: 0.45, 1: 0.10}, 1: {-1: 0.05, 0: 0.35, 1: 0.60}}
+SEED_PRIOR, SEED_SHARE = 0.5, 0.5
 
 
-def reliabilities(patterns: list[tuple], rounds: int = 50) -> list[float]:
+def reliabilities(patterns: list[tuple], anchors: tuple[str, ...] = ("card", "email"), rounds: int = 50) -> list[float]:
     """Probability of each vote pattern (kind, votes..., n) to be personal data, by expectation-maximisation.
 
-    A labeler has, for either truth, its own shares of the votes (-1, 0, 1); kinds have their own share of true spans.
-    Starts from the majority of the votes.
+    A labeler has, for either truth, its own shares of the votes; kinds have their own share of true spans. Spans of an
+    anchor kind that its strict pattern confirms are known to be true: they have passed checks that chance does not.
     """
-    kinds = sorted({p[0] for p in patterns})
-    post = [min(max(0.5 + 0.15 * sum(p[1:-1]), 0.05), 0.95) for p in patterns]
+    kinds = np.array([p[0] for p in patterns])
+    cast = np.array([p[1:-1] for p in patterns], int).reshape(len(patterns), len(LABELERS))
+    n = np.array([p[-1] for p in patterns], float)
+    known = np.isin(kinds, anchors) & (cast[:, 0] == 1)
+    prior = dict.fromkeys(kinds.tolist(), SEED_PRIOR)
+    shares = [{t: dict(SEED[t]) for t in SEED} for _ in LABELERS]
+    post = np.zeros(len(patterns))
     for _ in range(rounds):
-        weight = [(q * p[-1], (1 - q) * p[-1]) for p, q in zip(patterns, post)]
-        prior = {k: (sum(w[0] for p, w in zip(patterns, weight) if p[0] == k) + 2) / (sum(p[-1] for p in patterns if p[0] == k) + 3) for k in kinds}
-        shares = []
-        for j in range(len(LABELERS)):
-            table = {}
-            for truth in (0, 1):
-                total = sum(w[truth] for w in weight) + 3
+        odds = np.array([math.log(prior[k] / (1 - prior[k])) for k in kinds.tolist()])
+        for j, table in enumerate(shares):
+            odds += np.array([math.log(table[1][v] / table[0][v]) for v in cast[:, j].tolist()])
+        post = np.where(known, 1.0, 1 / (1 + np.exp(-np.clip(odds, -30, 30))))
+        for k in prior:
+            own = kinds == k
+            prior[k] = SEED_SHARE * SEED_PRIOR + (1 - SEED_SHARE) * float((post * n)[own].sum() / n[own].sum())
+        for j, table in enumerate(shares):
+            for truth, weight in ((1, post * n), (0, (1 - post) * n)):
                 for vote in (-1, 0, 1):
-                    # a labeler is more often right than wrong: counts of one span in either direction
-                    extra = 1.5 if (vote == 1) == (truth == 0) and vote else 0.5 if vote else 1.0
-                    table[vote, truth] = (sum(w[truth] for p, w in zip(patterns, weight) if p[1 + j] == vote) + extra) / total
-            shares.append(table)
-        post = []
-        for p in patterns:
-            odds = math.log(prior[p[0]] / (1 - prior[p[0]])) + sum(math.log(shares[j][v, 0] / shares[j][v, 1]) for j, v in enumerate(p[1:-1]))
-            post.append(1 / (1 + math.exp(-max(-30.0, min(30.0, odds)))))
-    return post
-
-
-def classifier(patterns: list[tuple], post: list[float], steps: int = 300, rate: float = 0.5) -> tuple[float, dict[tuple[str, object], float]]:
-    """Logistic weights of (labeler, vote) and (kind, name), fitted to the probabilities of the patterns."""
-    names = sorted({(name, v) for p in patterns for name, v in zip(("kind", *LABELERS), p[:-1])}, key=str)
-    weights, bias = dict.fromkeys(names, 0.0), 0.0
-    total = sum(p[-1] for p in patterns) or 1
+                    seen = float(weight[cast[:, j] == vote].sum() / weight.sum()) if weight.sum() > 0 else SEED[truth][vote]
+                    table[truth][vote] = SEED_SHARE * SEED[truth][vote] + (1 - SEED_SHARE) * seen
+    return post.tolist()
+
+
+def classifier(rows: list[tuple], post: list[float], steps: int = 400, rate: float = 1.0) -> tuple[float, dict[tuple[str, object], float]]:
+    """Logistic weights of (name, value) for kind, votes and features, fitted to the probabilities of the rows.
+
+    Rows end with their number. Every kind of span weighs as much as any other one, so frequent kinds do not drown rare
+    ones.
+    """
+    columns = ("kind", *LABELERS, *FEATURES)
+    names = sorted({(name, v) for r in rows for name, v in zip(columns, r[:-1])}, key=str)
+    place = {name: i for i, name in enumerate(names)}
+    spots = np.array([[place[name, v] for name, v in zip(columns, r[:-1])] for r in rows], int).reshape(len(rows), len(columns))
+    n, kinds, q = np.array([r[-1] for r in rows], float), np.array([r[0] for r in rows]), np.array(post)
+    for k in set(kinds.tolist()):
+        n[kinds == k] /= n[kinds == k].sum() * len(set(kinds.tolist()))
+    weights, bias = np.zeros(len(names)), 0.0
     for _ in range(steps):
-        step, shift = dict.fromkeys(names, 0.0), 0.0
-        for p, q in zip(patterns, post):
-            own = list(zip(("kind", *LABELERS), p[:-1]))
-            error = (q - 1 / (1 + math.exp(-max(-30.0, min(30.0, bias + sum(weights[n] for n in own)))))) * p[-1] / total
-            shift += error
-            for n in own:
-                step[n] += error
-        bias += rate * shift
-        for n in names:
-            weights[n] += rate * (step[n] - 1e-4 * weights[n])
-    return bias, weights
+        error = (q - 1 / (1 + np.exp(-np.clip(bias + weights[spots].sum(axis=1), -30, 30)))) * n
+        step = np.bincount(spots.reshape(-1), np.repeat(error, len(columns)), len(names)) if len(rows) else weights
+        bias += rate * float(error.sum())
+        weights += rate * (step - 1e-4 * weights)
+    return bias, dict(zip(names, weights.tolist()))
 
 
 def find_personal_data(docs: DataFrame, id: str = "doc_id", text: str = "text", threshold: float = 0.5, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -187,11 +203,17 @@ def find_personal_data(docs: DataFrame, id: str = "doc_id", text: str = "text",
     path = scratch_path(spark, "candidates")
     judged.write.parquet(path)
     stored = spark.read.parquet(path)
-    counted = stored.select(F.inline("spans")).groupBy("kind", *LABELERS).agg(F.count("*").alias("n"))
-    patterns = sorted(tuple(r) for r in counted.collect())
-    bias, weights = classifier(patterns, reliabilities(patterns))
+    # bounded by kinds, votes and values of the features
+    counted = stored.select(F.inline("spans")).groupBy("kind", *LABELERS, *FEATURES).agg(F.count("*").alias("n"))
+    rows = sorted(tuple(r) for r in counted.collect())
+    votes_of = {}
+    for r in rows:
+        votes_of[r[: 1 + len(LABELERS)]] = votes_of.get(r[: 1 + len(LABELERS)], 0) + r[-1]
+    patterns = sorted((*p, n) for p, n in votes_of.items())
+    truth = {p[:-1]: q for p, q in zip(patterns, reliabilities(patterns))}
+    bias, weights = classifier(rows, [truth[r[: 1 + len(LABELERS)]] for r in rows])
     terms = []
-    for name in ("kind", *LABELERS):
+    for name in ("kind", *LABELERS, *FEATURES):
         values = [(v, w) for (n, v), w in weights.items() if n == name]
         if values:
             literal = lambda v: f"'{v}'" if isinstance(v, str) else str(v)

@@ -1,9 +1,11 @@
 """Quality rules whose cutoffs keep a promise on labelled texts.
 
 Some rules are fixed. For the others - a rate above a cutoff rejects a text - the cutoffs are chosen on labelled good
-texts, stratum by stratum: the strictest cutoff of a grid whose false rejections k of n pass the exact binomial test
-``P(Bin(n, risk) <= k) <= delta``. ``risk`` and ``delta`` are shared out over the rules and over all tests made
-(Bonferroni), so with probability 1 - delta no stratum loses more than the wanted share of its good texts.
+texts, stratum by stratum, with the exact binomial test ``P(Bin(n, risk) <= k) <= delta`` of k false rejections of n. The
+cutoffs of a rule are tested in a fixed order, from the mildest one on, and the first failure ends the sequence, which
+needs no correction for its length. ``risk`` is shared out over the rules, ``delta`` over rules and strata (Bonferroni),
+so with probability 1 - delta no stratum loses more than the wanted share of its good texts. A stratum needs
+ln(delta / (rules x strata)) / ln(1 - risk / rules) good texts to get a cutoff at all: 459 with four strata.
 
 Everything is DataFrame expressions; texts are never exploded, and only counts by grid step are shuffled.
 """
@@ -18,7 +20,6 @@ from volpanel.session import scratch_path
 RISK = 0.05
 DELTA = 0.05
 LEAST_WORDS = 50
-EXACT_TERMS = 100_000
 RULES = {
     "symbol_rate": "n_symbols / greatest(word_chars, 1)",
     "repeat_rate": "n_repeat_words / greatest(n_words, 1)",
@@ -68,7 +69,7 @@ def measure(docs: DataFrame, id: str, text: str, stratum: str) -> DataFrame:
     )
     counted = source.selectExpr(
         "id",
-        "coalesce(stratum, '') AS stratum",
+        "stratum",
         f"{by_word} AS word",
         f"{by_line} AS line",
         f"bigint(char_length(translate(text, {WHITE}, ''))) AS word_chars",
@@ -79,35 +80,44 @@ def measure(docs: DataFrame, id: str, text: str, stratum: str) -> DataFrame:
     ).selectExpr("*", f"n_words < {LEAST_WORDS} OR 100 * n_repeat_words > 50 * n_words AS base_failed")
 
 
+def log_factorial(x: str) -> str:
+    """ln(x!) by Stirling's series, taken ten places further on, where it is exact to the last digits."""
+    z = f"({x} + 10D)"
+    series = f"({z} + 0.5D) * ln({z}) - {z} + 0.5D * ln(2D * pi()) + 1D / (12D * {z}) - 1D / (360D * pow({z}, 3))"
+    return f"({series} - {' - '.join(f'ln({x} + {i}D)' for i in range(1, 11))})"
+
+
 def log_tail(n: str, k: str, risk: str) -> str:
-    """Logarithm of P(Bin(n, risk) <= k) for k < n * risk; of its Chernoff bound where k is very large."""
-    terms = (
-        f"aggregate(sequence(1, {k}), named_struct('t', {n} * ln(1 - {risk}), 's', 1D), (a, i) -> named_struct("
-        f"'t', a.t + ln(({n} - i + 1) / i * {risk} / (1 - {risk})), 's', a.s / (({n} - i + 1) / i * {risk} / (1 - {risk})) + 1D), a -> a.t + ln(a.s))"
+    """Logarithm of P(Bin(n, risk) <= k) for k < n * risk.
+
+    The terms from k down are summed as shares of the term of k. They fall faster than those of a normal density whose
+    deviation is the root of k, so what lies beyond 40 deviations is below the precision of a double.
+    """
+    top = f"{log_factorial(n)} - {log_factorial(k)} - {log_factorial(f'({n} - {k})')} + {k} * ln({risk}) + ({n} - {k}) * ln(1 - {risk})"
+    shares = (
+        f"aggregate(sequence(0L, least(bigint({k}), 100L + bigint(40 * sqrt({k})))), named_struct('t', 1D, 's', 0D), (a, j) -> named_struct("
+        f"'t', a.t * ({k} - j) * (1 - {risk}) / (({n} - {k} + j + 1) * {risk}), 's', a.s + a.t), a -> ln(a.s))"
     )
-    share = f"({k} / {n})"
-    chernoff = f"-{n} * ({share} * ln({share} / {risk}) + (1 - {share}) * ln((1 - {share}) / (1 - {risk})))"
-    return f"CASE WHEN {k} = 0 THEN {n} * ln(1 - {risk}) WHEN {k} > {EXACT_TERMS} THEN {chernoff} ELSE {terms} END"
+    return f"({top} + {shares})"
 
 
 def cutoffs(good: DataFrame, risk: float, delta: float) -> DataFrame:
-    """(stratum, rule, cutoff): the strictest cutoff that passes; no row where none does."""
+    """(stratum, rule, cutoff): the last cutoff before the first that fails; no row where the mildest one does."""
     steps = "stack({}, {}) AS (rule, step)".format(
         len(RULES), ", ".join(f"'{r}', int(least({STEPS}, ceil(({e}) * {STEPS} / {TOP[r]})))" for r, e in RULES.items())
     )
     counts = good.selectExpr("stratum", steps).groupBy("stratum", "rule", "step").agg(F.count("*").alias("n"))
     tables = counts.groupBy("stratum", "rule").agg(F.map_from_entries(F.collect_list(F.struct("step", "n"))).alias("by_step"), F.sum("n").alias("n"))
-    strata = good.select("stratum").distinct().agg(F.count("*").alias("strata"))
+    strata = max(good.select("stratum").distinct().count(), 1)
     # a text is rejected by step c if its own step is larger
     tests = tables.selectExpr("stratum", "rule", "n", "by_step", f"explode(sequence(0, {STEPS - 1})) AS step").selectExpr(
         "stratum", "rule", "n", "step", "aggregate(map_entries(by_step), 0L, (a, e) -> a + CASE WHEN e.key > step THEN e.value ELSE 0L END) AS k"
     )
     own = f"({risk} / {len(RULES)})"
-    judged = tests.join(strata).where(f"k < n * {own}").selectExpr(
-        "stratum", "rule", "step", f"{log_tail('n', 'k', own)} <= ln({delta} / ({len(RULES) * STEPS} * strata)) AS passes"
-    )
+    passes = f"CASE WHEN k < n * {own} THEN {log_tail('n', 'k', own)} <= ln({delta} / {len(RULES) * strata}) ELSE false END"
+    last = tests.groupBy("stratum", "rule").agg(F.expr(f"coalesce(max(CASE WHEN NOT {passes} THEN step END) + 1, 0) AS step"))
     tops = "CASE rule " + " ".join(f"WHEN '{r}' THEN {t}D" for r, t in TOP.items()) + " END"
-    return judged.where("passes").groupBy("stratum", "rule").agg(F.min("step").alias("step")).selectExpr(
+    return last.where(f"step < {STEPS}").selectExpr(
         "stratum", "rule", f"step * {tops} / {STEPS} AS cutoff"
     )
 
@@ -139,7 +149,7 @@ def quality_rules(
     ).write.parquet(path)
     cuts = spark.read.parquet(path).withColumnRenamed("stratum", "of")
     over = " OR ".join(f"coalesce({e} > cuts['{r}'], false)" for r, e in RULES.items())
-    joined = measured.join(cuts, F.col("stratum") == F.col("of"), "left")
+    joined = measured.join(cuts, F.col("stratum").eqNullSafe(F.col("of")), "left")
     return joined.selectExpr(
         "id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", f"NOT base_failed AND NOT ({over}) AS kept"
     ).withColumnRenamed("id", id)
