@@ -1,7 +1,7 @@
 """A corpus pipeline: stages applied one after the other, each written to the shared folder and reread.
 
 toxicity: documents that the classifier calls toxic go. near_duplicates: of each class the document with the smallest
-id stays. decontamination: documents of which a twentieth or more stands in benchmark passages go. personal_data: every
+id stays (rows are told apart even where they repeat an id or have none). decontamination: documents of which a twentieth or more stands in benchmark passages go. personal_data: every
 span is replaced by its kind. packing: what is left is cut and packed into token windows, one row per piece.
 """
 
@@ -19,22 +19,37 @@ from volpanel.llm.toxicity import score_toxicity
 from volpanel.session import scratch_path
 
 
+ROW = "row_of_stage"
+
+
 def without(docs: DataFrame, bad: DataFrame) -> DataFrame:
     """Documents whose id is not in ``bad``, with their columns in order; documents without an id stay."""
     return docs.join(bad.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Labels belong to ids, so rows of one id are judged alike: all go if one of their texts is toxic."""
     return without(docs, score_toxicity(docs, table(spark, folder, "labels")).where("predicted = 1"))
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """The rows with a number that tells rows of equal or no id apart; the same whenever the stage's input is read."""
+    return docs.withColumn(ROW, F.monotonically_increasing_id())
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Rows that repeat an id keep it only once for equal texts of one class."""
-    return without(docs, find_near_duplicates(docs).where("class_id <> doc_id"))
+    """Of each class one row stays: that with the smallest id, of equal or missing ids the first one. A row whose text
+    has no words is a class of its own."""
+    rows = numbered(docs)
+    classes = find_near_duplicates(rows, id=ROW).select(ROW, "class_id")
+    first = rows.select(ROW, "doc_id").join(classes, ROW).groupBy("class_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", ROW))[ROW].alias(ROW))
+    return rows.join(first, ROW, "left_semi").select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    return without(docs, decontaminate(docs, table(spark, folder, "benchmark")).where("contaminated"))
+    rows = numbered(docs)
+    bad = decontaminate(rows, table(spark, folder, "benchmark"), id=ROW).where("contaminated").select(ROW)
+    return rows.join(bad, ROW, "left_anti").select(*docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:

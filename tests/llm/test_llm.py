@@ -538,3 +538,23 @@ def test_pipeline_on_planted_documents(spark, tmp_path):
     kept = {r.doc_id: r.text for r in current.collect()}
     assert set(kept) == set(range(60)) | {103} and kept[103].startswith("write to <email> now ")
     assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == set(kept)
+
+
+def test_pipeline_stages_tell_rows_of_one_id_apart(spark, tmp_path):
+    rng = random.Random(10)
+    text = lambda: " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=7)) for _ in range(90))
+    a, b, c, passage = text(), text(), text(), " ".join(f"q{i}" for i in range(40))
+    rows = [(1, a), (1, a), (1, b), (None, a), (None, c), (None, c), (2, passage), (2, text()), (3, None), (3, ""), (4, "one")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents")
+    docs = spark.read.parquet(f"{tmp_path}/documents")
+    spark.createDataFrame([(1, passage)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    kept = corpus_pipeline.near_duplicates(spark, docs, str(tmp_path))
+    assert kept.columns == docs.columns
+    assert collections.Counter((r.doc_id, r.text) for r in kept.collect()) == collections.Counter(
+        [(1, a), (1, b), (None, c), (2, passage), (2, rows[7][1]), (3, None), (3, ""), (4, "one")]
+    )
+    clean = corpus_pipeline.decontamination(spark, docs, str(tmp_path))
+    assert collections.Counter((r.doc_id, r.text) for r in clean.collect()) == collections.Counter(r for r in rows if r[1] != passage)
+    for stage in (corpus_pipeline.near_duplicates, corpus_pipeline.decontamination, corpus_pipeline.personal_data):
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
