@@ -105,8 +105,15 @@ def reconcile(
 
 
 def checks(named: dict[str, tuple[DataFrame, str]]) -> DataFrame:
-    """(check, passed) rows; each check is one aggregate over its table."""
-    parts = [df.agg(F.expr(f"coalesce({rule}, false) AS passed")).selectExpr(f"'{name}' AS check", "passed") for name, (df, rule) in named.items()]
+    """(check, passed) rows; all checks of a table are taken in one pass over it."""
+    tables: dict[int, tuple[DataFrame, dict[str, str]]] = {}
+    for name, (df, rule) in named.items():
+        tables.setdefault(id(df), (df, {}))[1][name] = rule
+    parts = []
+    for df, rules in tables.values():
+        one = df.agg(*[F.expr(f"coalesce({rule}, false) AS `{name}`") for name, rule in rules.items()])
+        listed = ", ".join(f"'{name}', `{name}`" for name in rules)
+        parts.append(one.selectExpr(f"stack({len(rules)}, {listed}) AS (check, passed)"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

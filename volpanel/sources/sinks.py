@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from volpanel.functions.num import add
@@ -25,6 +25,29 @@ def write_table(df: DataFrame, path: str, *, date: str = "session_date") -> None
     rows.write.mode("overwrite").option("compression", "zstd").partitionBy("session_year").parquet(path)
 
 
+def write_ordered(df: DataFrame, path: str, order: Sequence[str]) -> None:
+    """Parquet files that follow each other in the given order, each sorted; rows are dealt out by ranges."""
+    df.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").option("compression", "zstd").parquet(path)
+
+
+def stored_order(spark: SparkSession, path: str, out: str = "position") -> DataFrame:
+    """The rows of a table with their place from 1 over all its files, as they lie there."""
+    rows = spark.read.parquet(path).selectExpr("*", "_metadata.file_name AS _file", "_metadata.row_index AS _row")
+    sizes = rows.groupBy("_file").agg(F.count("*").alias("_n"))
+    before = add(sizes, {"_before": "coalesce(sum(_n) OVER (ORDER BY _file ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)"})
+    return add(rows.join(before.drop("_n"), "_file"), {out: "_before + _row + 1"}).drop("_file", "_row", "_before")
+
+
+def write_bucketed(df: DataFrame, table: str, path: str, keys: Sequence[str], *, buckets: int = 200) -> DataFrame:
+    """A table dealt into buckets of its keys and sorted by them; returns it as the catalog reads it.
+
+    Two tables with equal keys and buckets are joined, and one is grouped by its keys, without an exchange.
+    """
+    dealt = df.repartition(buckets, *keys)
+    dealt.write.mode("overwrite").option("path", path).bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(table)
+    return df.sparkSession.table(table)
+
+
 def write_csv(df: DataFrame, path: str, *, order: Sequence[str] = ()) -> None:
     rows = df.sortWithinPartitions(*order) if order else df
     rows.write.mode("overwrite").option("header", True).option("dateFormat", "yyyy-MM-dd").csv(path)
