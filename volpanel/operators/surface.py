@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from volpanel import params as P
 from volpanel.functions.black import implied_volatility, with_forward_delta
 from volpanel.functions.num import add, forward_variance, forward_variance_issue, ratio, year_fraction
+from volpanel.functions.slopes import median_slope
 
 CARRIER = ["session_date", "carrier_id"]
 EXPIRY = [*CARRIER, "expiry"]
@@ -57,11 +58,9 @@ def theil_sen(strikes: pd.Series, values: pd.Series) -> pd.DataFrame:
     """Median of the pairwise slopes of each row's strike curve (distinct strikes)."""
     slopes, counts = [], []
     for x, y in zip(strikes, values):
-        x, y = np.asarray(x, dtype=float), np.asarray(y, dtype=float)
-        i, j = np.triu_indices(len(x), 1)
-        rise = (y[j] - y[i]) / (x[j] - x[i]) if len(i) else np.array([])
-        slopes.append(float(np.median(rise)) if len(rise) else None)
-        counts.append(len(rise))
+        slope, pairs = median_slope(np.asarray(x, dtype=float), np.asarray(y, dtype=float))
+        slopes.append(slope)
+        counts.append(pairs)
     return pd.DataFrame({"slope": pd.Series(slopes, dtype=object), "pairs": counts})
 
 
