@@ -266,16 +266,15 @@ def grouped(df: DataFrame, keys: list[str], stats: tuple[str, ...]) -> DataFrame
 
 
 def group_statistics(panel: DataFrame) -> DataFrame:
-    """Outcome statistics by category, risk unit and phase, in one long table."""
-    parts = []
-    for kind, column, rows in (
-        ("category", "state_category", panel),
-        ("risk_unit", "string(risk_unit)", panel.filter(KNOWN)),
-        ("phase", "phase", panel.filter(KNOWN)),
-    ):
-        labelled = add(rows, {"group_kind": f"'{kind}'", "group_value": column})
-        parts.append(grouped(labelled, [*Co.own(panel), "horizon", "group_kind", "group_value"], GROUP_STATS))
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    """Outcome statistics by category, risk unit and phase, in one long table and one pass over the panel."""
+    groups = (
+        "array_compact(array(struct('category' AS group_kind, state_category AS group_value), "
+        f"CASE WHEN {KNOWN} THEN struct('risk_unit' AS group_kind, string(risk_unit) AS group_value) END, "
+        f"CASE WHEN {KNOWN} THEN struct('phase' AS group_kind, phase AS group_value) END))"
+    )
+    rows = add(panel, {"_g": f"explode({groups})"})
+    rows = add(rows, {"group_kind": "_g.group_kind", "group_value": "_g.group_value"})
+    return grouped(rows, [*Co.own(panel), "horizon", "group_kind", "group_value"], GROUP_STATS)
 
 
 def _tail(panel: DataFrame, value: str, quantile: float, worse: str) -> DataFrame:
@@ -396,11 +395,23 @@ def spearman(df: DataFrame, keys: list[str], x: str, y: str, out: str = "rho") -
     return stats.selectExpr(*keys, "n", f"CASE WHEN n >= 3 AND _vary THEN _rho END AS {out}")
 
 
-def conclusion(panel: DataFrame) -> DataFrame:
-    df = mean_differences(panel).join(tail_capture(panel), [*Co.own(panel), "horizon"]).filter(f"horizon = '{P.PRIMARY_HORIZON}'")
+def timing_summary(panel: DataFrame) -> DataFrame:
+    """The whole summary, one row per horizon: counts, mean differences, tail capture, rank correlation, conclusion."""
+    keys = [*Co.own(panel), "horizon"]
+    counts = panel.groupBy(*keys).agg(
+        F.expr("count(1) AS opportunities"),
+        F.expr(f"count_if({KNOWN}) AS known_opportunities"),
+        F.expr("count_if(state_category = 'ALLOW') AS allowed_opportunities"),
+        F.expr("count_if(state_category = 'KNOWN_BLOCK') AS blocked_opportunities"),
+        F.expr(f"count(DISTINCT CASE WHEN {KNOWN} THEN expiry END) AS expiry_clusters"),
+    )
+    rho = spearman(panel.filter(KNOWN), keys, "risk_unit", "return_on_max_loss", "risk_unit_rank_correlation").drop("n")
+    out = counts
+    for part in (mean_differences(panel), tail_capture(panel), rho):
+        out = out.join(part, keys, "left")
     d, lift = "allow_minus_block_mean", "capture_lift"
     return add(
-        df,
+        out,
         {
             "conclusion": f"CASE WHEN {d} < 0 AND {lift} < 1 THEN 'IN_SAMPLE_TIMING_NOT_SUPPORTED' "
             f"WHEN {d} > 0 AND {lift} > 1 THEN 'IN_SAMPLE_TIMING_SUPPORTED' ELSE 'IN_SAMPLE_TIMING_INCONCLUSIVE' END"
@@ -408,6 +419,11 @@ def conclusion(panel: DataFrame) -> DataFrame:
     )
 
 
+def conclusion(panel: DataFrame) -> DataFrame:
+    """The summary of the primary horizon."""
+    return timing_summary(panel.filter(f"horizon = '{P.PRIMARY_HORIZON}'"))
+
+
 def worst_opportunities(panel: DataFrame, rows: int = 20) -> DataFrame:
     known = panel.filter(f"horizon = '{P.PRIMARY_HORIZON}' AND {KNOWN}")
     return known.orderBy("return_on_max_loss", "session_date", *Co.own(panel)).limit(rows)

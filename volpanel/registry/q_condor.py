@@ -587,13 +587,19 @@ def _(spark, folder):
     return Ti.cluster_bootstrap(opportunities(spark, folder), table=counted)
 
 
-@register(
-    "a29_spearman",
-    "economic_index_id horizon n# rho~",
+step(
+    "rho_x",
     """SELECT economic_index_id, horizon, count(*) AS n, CASE WHEN count(*) >= 3 AND count(DISTINCT x) > 1 AND count(DISTINCT y) > 1 THEN corr(rx, ry) END AS rho FROM (
        SELECT economic_index_id, horizon, risk_unit AS x, return_on_max_loss AS y, rank() OVER (PARTITION BY economic_index_id, horizon ORDER BY risk_unit) + (count(*) OVER (PARTITION BY economic_index_id, horizon, risk_unit) - 1) / 2 AS rx,
               rank() OVER (PARTITION BY economic_index_id, horizon ORDER BY return_on_max_loss) + (count(*) OVER (PARTITION BY economic_index_id, horizon, return_on_max_loss) - 1) / 2 AS ry FROM known_opps) q GROUP BY 1, 2""",
 )
+
+
+@register(
+    "a29_spearman",
+    "economic_index_id horizon n# rho~",
+    "SELECT * FROM rho_x",
+)
 def _(spark, folder):
     return Ti.spearman(opportunities(spark, folder).filter(Ti.KNOWN), [Co.UNDERLYING, "horizon"], "risk_unit", "return_on_max_loss")
 
@@ -609,12 +615,19 @@ def _(spark, folder):
 
 @register(
     "x26_timing_summary",
-    "economic_index_id horizon allow_minus_block_mean~ capture_lift~ conclusion",
+    "economic_index_id horizon opportunities# known_opportunities# allowed_opportunities# blocked_opportunities# expiry_clusters# allow_minus_block_mean~ "
+    "expiry_balanced_allow_minus_block_mean~ worst_allowed_expiry allow_minus_block_without_worst_expiry~ threshold~ bad_opportunity_days# "
+    "block_capture_rate~ baseline_block_rate~ capture_lift~ bad_expiry_clusters# risk_unit_rank_correlation~ conclusion",
     """SELECT *, CASE WHEN allow_minus_block_mean < 0 AND capture_lift < 1 THEN 'IN_SAMPLE_TIMING_NOT_SUPPORTED' WHEN allow_minus_block_mean > 0 AND capture_lift > 1 THEN 'IN_SAMPLE_TIMING_SUPPORTED'
-       ELSE 'IN_SAMPLE_TIMING_INCONCLUSIVE' END AS conclusion FROM differences_x JOIN tail_x USING (economic_index_id, horizon) WHERE horizon = 'TO_7DTE'""",
+       ELSE 'IN_SAMPLE_TIMING_INCONCLUSIVE' END AS conclusion FROM (
+       SELECT economic_index_id, horizon, count(*) AS opportunities, count(*) FILTER (WHERE state_category <> 'ABSTAIN_DATA') AS known_opportunities, count(*) FILTER (WHERE state_category = 'ALLOW') AS allowed_opportunities,
+         count(*) FILTER (WHERE state_category = 'KNOWN_BLOCK') AS blocked_opportunities, count(DISTINCT expiry) FILTER (WHERE state_category <> 'ABSTAIN_DATA') AS expiry_clusters FROM opps GROUP BY 1, 2) c
+       LEFT JOIN differences_x USING (economic_index_id, horizon) LEFT JOIN tail_x USING (economic_index_id, horizon)
+       LEFT JOIN (SELECT economic_index_id, horizon, rho AS risk_unit_rank_correlation FROM rho_x) r USING (economic_index_id, horizon)""",
 )
 def _(spark, folder):
-    return Ti.conclusion(opportunities(spark, folder))
+    return Ti.timing_summary(opportunities(spark, folder))
+
 
 
 step("known_stress", "SELECT s.*, t.threshold, s.realized_to_implied >= t.threshold AS bad FROM stress s JOIN (SELECT economic_index_id, horizon, quantile_cont(realized_to_implied, 0.9) AS threshold FROM stress WHERE state_category <> 'ABSTAIN_DATA' GROUP BY 1, 2) t USING (economic_index_id, horizon) WHERE state_category <> 'ABSTAIN_DATA'")
