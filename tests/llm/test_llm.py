@@ -423,6 +423,27 @@ def test_every_link_of_a_large_band_is_found(spark):
     assert {r.doc_id: r.class_id for r in near_duplicates(docs, **bands).collect()} == expected
 
 
+def excerpts(seed):
+    """Edited copies of a long text, and pairs of excerpts of it that share only k-mers of the long text."""
+    rng = random.Random(seed)
+    fresh = lambda n: [f"w{rng.randint(0, 10**9)}" for _ in range(n)]
+    middle, parts = fresh(40), [fresh(20) for _ in range(40)]
+    whole = middle + [w for part in parts for w in part]
+    rows = [whole[:i] + fresh(1) + whole[i + 1 :] for i in range(60, 800, 20)]
+    for part in parts:
+        rows += [middle + part, middle + part[3:]]
+    return [" ".join(r) for r in rows]
+
+
+def test_excerpts_of_the_hub_are_linked(spark):
+    rows = excerpts(58)
+    bands = {"keep": 1, "rows": 1, "number": 1}
+    expected, largest = linked_in_bands(spark, rows, **bands)
+    assert largest > 100 and len(set(expected.values())) > 40
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id int, text string")
+    assert {r.doc_id: r.class_id for r in near_duplicates(docs, **bands).collect()} == expected
+
+
 def test_moved_and_repeated_sections_are_linked(spark):
     rng = random.Random(8)
     fresh = lambda n: [f"w{rng.randint(0, 10**9)}" for _ in range(n)]

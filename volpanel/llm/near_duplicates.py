@@ -12,12 +12,10 @@ meets most others in all its bands, instead of with all others: of a text and it
 bands whose nodes are not of one component by then go on. Where a node meets few nodes of other components in a band,
 they are compared unless their distances to the hub rule a link out (Jaccard distances are metrics). Elsewhere nodes are
 compared with some nodes drawn from all but the largest component of the band, as long as one in ten comparisons finds
-a link. After that such bands are split: their nodes are grouped by the k-mers that the hub lacks, which are the bands
-of a second level, with hubs and comparisons of its own. If one of two linked nodes is not linked to the hub, they
-share such a k-mer, unless the other one is smaller than the hub and the k-mers of both are nearly all the hub's; those
-are left to the drawn nodes. So the work is in proportion to the nodes and their k-mers, however large a group is. The
-search is approximate: what shares no band, and what large groups of the second level still hold apart, is not
-compared.
+a link. What such bands then still hold apart goes to an exact join: two linked texts share one of the first k-mers of
+either in any order that is the same for all (prefix filter), so each node is listed under its rarest ones, and nodes of
+different components that meet there are compared unless sizes and places rule a link out. No pair of a band is left
+out; approximate is only which texts share a band.
 
 Rounds lower each node's label to the smallest one within two links, which is enough to stop comparing what is known
 to be linked; the components of all links found are taken once, at the end.
@@ -45,10 +43,11 @@ BANDS = 20
 ROWS = 3
 SMALL = 24
 PIVOTS = 3
-#: Levels of bands: those of the sketches, and those of the k-mers that hubs lack.
-LEVELS = 2
 #: Nodes are drawn again as long as more than this share of the comparisons finds a link.
 WORTH = 0.1
+#: k-mers are counted in so many slots, in blocks of ``BLOCK``, to put rare ones first; any count gives the same links.
+SLOTS = 1 << 22
+BLOCK = 1 << 16
 PLACE = np.uint64((1 << 28) - 1)
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -273,65 +272,132 @@ def moved(rows: DataFrame, to: DataFrame) -> DataFrame:
     return rows.join(to.hint("merge"), "root", "left").select(*(named if c == "root" else c for c in rows.columns))
 
 
-def differences(rows: DataFrame, stored: DataFrame, share: float) -> DataFrame:
-    """(band, node, root) of the next level: of (hub, node, root), the nodes by k-mers that their hub lacks.
+def both(kmers: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
+    """The labelled k-mers and the set; the first occurrence of a k-mer has the same value in both."""
+    own = np.frombuffer(kmers.as_buffer(), np.uint32).astype(np.uint64)
+    plain = np.unique(own)
+    return (mix(plain),) * 2 if len(plain) == len(own) else (labelled(own), mix(plain))
+
+
+def slot(tokens: np.ndarray) -> np.ndarray:
+    return (tokens >> np.uint64(20)).astype(np.int64) & (SLOTS - 1)
 
-    Two linked texts share at least ``share`` of the k-mers of either. What they do not share within the hub's k-mers is
-    among the others, so of those, in the order of their hashes, only so many are taken that a link cannot be missed.
-    That holds for the labelled k-mers (for an alignment) and for the k-mer sets (for the other way to a link).
-    """
 
-    def chosen(own: np.ndarray, hub: np.ndarray) -> np.ndarray:
-        other = np.sort(np.setdiff1d(own, hub))
-        needed = int(np.ceil(share * len(own) - 1e-9)) - (len(own) - len(other))
-        return other[: len(other) - max(needed, 1) + 1]
+def counted(stored: DataFrame) -> np.ndarray:
+    """In how many nodes the k-mers of each slot occur, 255 at most."""
 
-    def both(x: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
-        """The labelled k-mers and the set; the first occurrence of a k-mer has the same value in both."""
-        own = np.frombuffer(x.as_buffer(), np.uint32).astype(np.uint64)
-        plain = np.unique(own)
-        return (mix(plain),) * 2 if len(plain) == len(own) else (labelled(own), mix(plain))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            slots = [slot(np.union1d(*both(x))) for x in batch.column("kmers")]
+            at, n = np.unique(np.concatenate([np.zeros(0, np.int64), *slots]), return_counts=True)
+            n = np.minimum(n, 255).astype(np.uint8)
+            cut = np.flatnonzero(np.diff(at // BLOCK, prepend=-1))
+            low = (at % BLOCK).astype(np.uint16)
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "block": pa.array((at // BLOCK)[cut]),
+                    "low": pa.array([x.tobytes() for x in np.split(low, cut[1:])][: len(cut)], pa.binary()),
+                    "n": pa.array([x.tobytes() for x in np.split(n, cut[1:])][: len(cut)], pa.binary()),
+                }
+            )
+
+    def add(groups: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in groups:
+            for block, low, n in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                total = held.setdefault(block, np.zeros(BLOCK, np.uint8))
+                at = np.frombuffer(low, np.uint16)
+                total[at] = np.minimum(total[at].astype(np.uint16) + np.frombuffer(n, np.uint8), 255)
+        blocks_ = sorted(held)
+        yield pa.RecordBatch.from_pydict(
+            {"block": pa.array(blocks_, pa.int64()), "n": pa.array([held[b].tobytes() for b in blocks_], pa.binary())}
+        )
+
+    parts = stored.select("kmers").mapInArrow(run, "block bigint, low binary, n binary")
+    total = np.zeros(SLOTS, np.uint8)
+    for row in parts.repartition("block").mapInArrow(add, "block bigint, n binary").collect():
+        total[row.block * BLOCK : (row.block + 1) * BLOCK] = np.frombuffer(row.n, np.uint8)
+    return total
+
+
+def prefixes(rows: DataFrame, stored: DataFrame, share: float) -> DataFrame:
+    """(token, node, root, n, i, m, j): every node of (node, root) by the rarest of its labelled k-mers (the ``i``-th of
+    ``n``) and of its k-mer set (the ``j``-th of ``m``); a place is null where the k-mer is not among them.
+
+    Two linked texts share at least ``share`` of the k-mers of either, labelled ones or set, so in any order of all
+    k-mers they share one of the first n - ceil(share * n) + 1 of both. K-mers that only one node has meet nothing and
+    are not listed.
+    """
+    counts = rows.sparkSession.sparkContext.broadcast(counted(stored))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = hub = None
+        number = counts.value
+
+        def first(tokens: np.ndarray) -> np.ndarray:
+            order = np.lexsort((tokens, number[slot(tokens)]))
+            return tokens[order[: len(tokens) - int(np.ceil(share * len(tokens) - 1e-9)) + 1]]
+
         for batch in batches:
-            for i in range(batch.num_rows):
-                if batch.column("hub")[i] != last:
-                    last, hub = batch.column("hub")[i], both(batch.column("hub_kmers")[i])
-                own = both(batch.column("kmers")[i])
-                tokens = chosen(own[0], hub[0])
-                if own[0] is not own[1] or hub[0] is not hub[1]:
-                    tokens = np.union1d(tokens, chosen(own[1], hub[1]))
-                mark = np.frombuffer(batch.column("hub")[i].as_py()[:8], np.uint64)
-                bands_ = mix(tokens * STEP + mark).view(np.int64)
-                at = pa.array(np.full(len(tokens), i))
-                yield pa.RecordBatch.from_pydict({"band": pa.array(bands_), "node": batch.column("node").take(at), "root": batch.column("root").take(at)})
-
-    hubs = stored.selectExpr("node AS hub", "kmers AS hub_kmers")
-    pairs = rows.hint("merge").join(hubs, "hub").join(stored.select("node", "kmers").hint("merge"), "node")
-    return pairs.select("hub", "node", "root", "kmers", "hub_kmers").mapInArrow(run, "band bigint, node binary, root binary")
-
-
-def with_hubs(rows: DataFrame, name: str, mass: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(band, node, root, size, hub, hub_root) of (band, node, root): bands with nodes of several roots, and their hubs.
-
-    The hub has the largest ``mass``: the nodes that it meets in all its bands on the first level. Returns it, too. On
-    the first level a band takes the best hub of all bands that its nodes are in, so copies of one text get one hub
-    even where a band has only copies.
+            for x in range(batch.num_rows):
+                many, plain = both(batch.column("kmers")[x])
+                listed = {}
+                for kind, tokens in enumerate((many, plain)):
+                    for place, token in enumerate(first(tokens).tolist()):
+                        listed.setdefault(token, [None, None])[kind] = place
+                tokens = np.array(list(listed), np.uint64)
+                keep = number[slot(tokens)] > 1
+                tokens, places = tokens[keep], [p for p, k in zip(listed.values(), keep) if k]
+                at = pa.array(np.full(len(tokens), x))
+                yield pa.RecordBatch.from_pydict(
+                    {
+                        "token": pa.array(tokens.view(np.int64)),
+                        "node": batch.column("node").take(at),
+                        "root": batch.column("root").take(at),
+                        "n": pa.array(np.full(len(tokens), len(many), np.int32)),
+                        "i": pa.array([p[0] for p in places], pa.int32()),
+                        "m": pa.array(np.full(len(tokens), len(plain), np.int32)),
+                        "j": pa.array([p[1] for p in places], pa.int32()),
+                    }
+                )
+
+    held = rows.join(stored.select("node", "kmers").hint("merge"), "node")
+    return written(held.mapInArrow(run, "token bigint, node binary, root binary, n int, i int, m int, j int"), "prefixes")
+
+
+def prefix_pairs(listed: DataFrame, share: float) -> DataFrame:
+    """(a, b, ra, rb): nodes of different roots that meet in ``prefixes``, unless sizes and places rule a link out.
+
+    The first k-mer that two nodes share stands before all others that they share, so they share no more than one and
+    what is behind it in the shorter rest.
+    """
+    counts = listed.groupBy("token", "root").agg(F.count("*").alias("c"))
+    mixed = counts.groupBy("token").agg(F.expr("max_by(root, struct(c, root))").alias("top"), F.count("*").alias("roots")).where("roots > 1")
+    held = listed.join(mixed.drop("roots").hint("merge"), "token")
+    # nodes of the largest root of a k-mer need not meet one another
+    one = held.where("root <> top").selectExpr("token", "node AS a", "root AS ra", "n AS na", "i AS ia", "m AS ma", "j AS ja")
+    two = held.selectExpr("token", "node AS b", "root AS rb", "n AS nb", "i AS ib", "m AS mb", "j AS jb", "root = top AS of_top")
+    needed = lambda x, y: f"{share / (1 + share)} * ({x} + {y}) - 1e-6"
+    close = f"coalesce(least(na - ia, nb - ib) >= {needed('na', 'nb')}, false) OR coalesce(least(ma - ja, mb - jb) >= {needed('ma', 'mb')}, false)"
+    met = one.join(two.hint("merge"), "token").where(f"ra <> rb AND (of_top OR a > b) AND ({close})")
+    met = met.selectExpr("greatest(a, b) AS a", "least(a, b) AS b", "if(a > b, ra, rb) AS ra", "if(a > b, rb, ra) AS rb")
+    return met.distinct()
+
+
+def with_hubs(rows: DataFrame) -> DataFrame:
+    """(band, node, root, hub, hub_root) of (band, node, root): bands with nodes of several roots, and their hubs.
+
+    The hub has the largest ``mass``: the nodes that it meets in all its bands. A band takes the best hub of all bands
+    that its nodes are in, so copies of one text get one hub even where a band has only copies.
     """
     sizes = rows.groupBy("band").agg(F.count("*").alias("size"), F.min("root").alias("low"), F.max("root").alias("high"))
-    held = written(rows.join(sizes.where("low <> high").select("band", "size").hint("merge"), "band"), name)
-    first = mass is None
-    if first:
-        mass = written(held.groupBy("node").agg(F.sum("size").alias("mass")), "mass")
-    best = held.join(mass.hint("merge"), "node").groupBy("band")
-    best = best.agg(F.max(F.struct("mass", "node", "root")).alias("h"))
-    if first:
-        best = written(best, "hubs")
-        seen = held.join(best.hint("merge"), "band").groupBy("node").agg(F.max("h").alias("h"))
-        best = held.join(seen.hint("merge"), "node").groupBy("band").agg(F.max("h").alias("h"))
+    held = written(rows.join(sizes.where("low <> high").select("band", "size").hint("merge"), "band"), "bands")
+    mass = written(held.groupBy("node").agg(F.sum("size").alias("mass")), "mass")
+    best = held.join(mass.hint("merge"), "node").groupBy("band").agg(F.max(F.struct("mass", "node", "root")).alias("h"))
+    best = written(best, "hubs")
+    seen = held.join(best.hint("merge"), "band").groupBy("node").agg(F.max("h").alias("h"))
+    best = held.join(seen.hint("merge"), "node").groupBy("band").agg(F.max("h").alias("h"))
     best = best.selectExpr("band", "h.node AS hub", "h.root AS hub_root")
-    return written(held.join(best.hint("merge"), "band"), name), mass
+    return written(held.join(best.hint("merge"), "band"), "bands")
 
 
 def small_pairs(rows: DataFrame, near: DataFrame, share: float) -> DataFrame:
@@ -391,43 +457,31 @@ def near_duplicates(
     )
 
     banded = groups.select(F.explode("bands").alias("band"), "node", F.col("node").alias("root"))
-    rows_, mass = with_hubs(banded, "bands")
+    rows_ = with_hubs(banded)
     hubs = rows_.select(F.col("hub").alias("node")).distinct().withColumn("is_hub", F.lit(True))
     wanted = groups.select("node", F.col("first_id").alias("id")).join(rows_.select("node").distinct().hint("merge"), "node")
     stored = stored_kmers(source, wanted.join(hubs.hint("merge"), "node", "left").select("node", "id", F.expr("is_hub IS NOT NULL AS is_hub")), k)
 
-    links, level = [], 0
-    while True:
-        stars = rows_.where("root <> hub_root").selectExpr("node AS a", "hub AS b", "root AS ra", "hub_root AS rb").distinct()
-        near = compare(stars, stored, share, hubs=level == 0)
-        new = near.where("linked").select("ra", "rb")
-        if level:
-            links.append(new)
-            to = lowered(new)
-        else:
-            found = components(new.selectExpr("ra AS a", "rb AS b"))
-            to = found.selectExpr("node AS root", "root AS to")
-        rows_ = written(open_bands(moved(rows_, to)), "open")
-        links.append(compare(small_pairs(rows_.where("few"), near, share), stored, share).where("linked").select("ra", "rb"))
-        rows_ = rows_.where("NOT few").drop("few")
-        if level + 1 == LEVELS or rows_.isEmpty():
-            break
+    stars = rows_.where("root <> hub_root").selectExpr("node AS a", "hub AS b", "root AS ra", "hub_root AS rb").distinct()
+    near = compare(stars, stored, share, hubs=True)
+    found = components(near.where("linked").selectExpr("ra AS a", "rb AS b"))
+    rows_ = written(open_bands(moved(rows_, found.selectExpr("node AS root", "root AS to"))), "open")
+    links = [compare(small_pairs(rows_.where("few"), near, share), stored, share).where("linked").select("ra", "rb")]
+    rows_ = rows_.where("NOT few").drop("few")
+    if not rows_.isEmpty():
         stored = written(stored.join(rows_.select("node").distinct().hint("merge"), "node", "left_semi"), "held")
-        # draws compare a node in its largest band only; what they leave open is split
+        # draws compare a node in its largest band only; the prefix join finds what they leave open
         now = rows_.groupBy("node", "root").agg(F.max(F.struct("size", "band"))["band"].alias("band"))
-        turn = 0
         while True:
             now = written(open_bands(moved(now, lowered(links[-1]))).drop("few"), "large")
-            drawn = compare(drawn_pairs(now, turn), stored, share)
+            drawn = compare(drawn_pairs(now, len(links)), stored, share)
             links.append(drawn.where("linked").select("ra", "rb"))
-            turn += 1
             linked, pairs = drawn.selectExpr("count_if(linked)", "count(*)").head()
             if linked <= WORTH * pairs:
                 break
-        rows_ = moved(rows_, lowered(reduce(DataFrame.union, links[-turn - 1 :])))
-        apart = rows_.select("hub", "node", "root").where("node <> hub").distinct()
-        rows_, _ = with_hubs(differences(apart, stored, share), "level", mass)
-        level += 1
+        rows_ = moved(rows_.select("node", "root").distinct(), lowered(reduce(DataFrame.union, links)))
+        pairs = prefix_pairs(prefixes(rows_, stored, share), share)
+        links.append(compare(pairs, stored, share).where("linked").select("ra", "rb"))
     joined = components(reduce(DataFrame.union, links).selectExpr("ra AS a", "rb AS b")).selectExpr("node AS root", "root AS to")
     placed = groups.select("node", "first_id", "n").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     placed = moved(placed, joined)
