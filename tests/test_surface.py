@@ -99,3 +99,25 @@ def test_too_few_pairs(spark):
 
 def test_params_are_defaults():
     assert P.SurfaceParams().minimum_total_strikes == 9
+
+
+def test_strikes_and_totals_do_not_sort_all_quotes(spark):
+    day = "date'2024-01-02', 'c', 'i', date'2024-02-01'"
+    rows = [
+        (2.0, "C", 5, 1, "b", 0.5), (2.0, "C", 5, 1, "a", 0.4), (2.0, "C", 5, 0, "0", 0.3), (2.0, "C", 9, 9, "x", 0.0),
+        (2.0, "P", None, 3, "p", 0.2), (2.0, "P", 0, 2, "o", 0.1), (2.5, "C", 1, 1, "y", 0.0), (2.5, "P", 1, 1, "z", None),
+    ]
+    quotes = spark.createDataFrame(rows, "strike double, option_type string, open_interest long, daily_volume long, contract_id string, price double")
+    chain = quotes.selectExpr(
+        "*", *[f"{v} AS {n}" for v, n in zip(day.split(", "), ("session_date", "carrier_id", "economic_index_id", "expiry"))],
+        "3D AS spot", "10000 AS contract_unit", "true AS is_standard", "1L AS daily_amount",
+    )
+    pairs = Sf.paired_strikes(chain, keep=("economic_index_id", "spot"))
+    got = {r.strike: (r.call_price, r.put_price, r.economic_index_id, r.spot) for r in pairs.collect()}
+    assert got == {2.0: (0.4, 0.2, "i", 3.0), 2.5: (None, None, "i", 3.0)}
+    total = Sf.chain_totals(chain).collect()[0]
+    assert (total.input_contracts, total.economic_index_id, total.pcr_volume) == (8, "i", 6 / 12)
+    # only the most held contracts reach the aggregate that sorts, and the totals of raw rows are hashed
+    plans = [df._jdf.queryExecution().executedPlan().toString() for df in (pairs, Sf.chain_totals(chain))]
+    assert "Join" in plans[0]
+    assert [x for x in plans[1].splitlines() if "Aggregate" in x][-1].strip(" +-:").startswith("HashAggregate")

@@ -1,7 +1,8 @@
 """Option chain to implied-volatility surfaces.
 
-Shuffles: one on (session, carrier, expiry, strike) that removes duplicate
-contracts with a map-side-combined ``min_by``, one on (session, carrier,
+Shuffles: two on (session, carrier, expiry, strike) that remove duplicate
+contracts (the highest open interest by a hash aggregate, then ``min_by`` over
+the contracts that have it, so no task sorts all rows it reads), one on (session, carrier,
 expiry), one on (session, carrier). After the first, a group holds one row per
 listed strike, so later groups are bounded by the strike grid, not by the rows
 quoted at a strike.
@@ -9,6 +10,9 @@ quoted at a strike.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -19,6 +23,7 @@ from volpanel import params as P
 from volpanel.functions.black import implied_volatility, with_forward_delta
 from volpanel.functions.num import add, forward_variance, forward_variance_issue, ratio, year_fraction
 from volpanel.functions.slopes import median_slope
+from volpanel.session import stored
 
 CARRIER = ["session_date", "carrier_id"]
 EXPIRY = [*CARRIER, "expiry"]
@@ -35,17 +40,26 @@ def paired_strikes(chain: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per strike with its call and put price.
 
     Of several contracts on one strike and side the most held wins, then the
-    most traded, then the lowest id.
+    most traded, then the lowest id. A ``min_by`` with an id sorts its input, so
+    it only gets the most held contracts (or all of a strike without prices).
     """
     rank = "struct(-coalesce(open_interest, 0), -coalesce(daily_volume, 0), contract_id)"
     usable = "price > 0 AND price < double('Infinity')"
-    return chain.groupBy(*EXPIRY, "strike").agg(
+    strike = [*EXPIRY, "strike"]
+    sides = (("C", "call_price"), ("P", "put_price"))
+    held = "coalesce(open_interest, 0)"
+    top = chain.groupBy(*strike).agg(*[F.expr(f"max(CASE WHEN option_type = '{k}' AND {usable} THEN {held} END) AS _top_{k}") for k, _ in sides])
+    top = stored(top, "top").selectExpr(*[f"{c} AS _{c}" for c in strike], "_top_C", "_top_P")
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in strike])
+    leads = " OR ".join(f"(option_type = '{k}' AND {usable} AND {held} = _top_{k})" for k, _ in sides)
+    chain = chain.join(top, same).filter(f"coalesce({leads}, false) OR (_top_C IS NULL AND _top_P IS NULL)")
+    return chain.groupBy(*strike).agg(
         *[
             F.expr(
                 f"min_by(CASE WHEN option_type = '{k}' AND {usable} THEN price END, "
                 f"CASE WHEN option_type = '{k}' AND {usable} THEN {rank} END) AS {n}"
             )
-            for k, n in (("C", "call_price"), ("P", "put_price"))
+            for k, n in sides
         ],
         *[F.expr(f"any_value({c}) AS {c}") for c in keep],
     )
@@ -337,13 +351,17 @@ def chain_totals(chain: DataFrame, params: P.SurfaceParams = DEFAULT) -> DataFra
         for n, c in (("volume", "daily_volume"), ("oi", "open_interest"), ("premium", "daily_amount"))
         for k in "PC"
     ]
-    totals = chain.groupBy(*CARRIER).agg(
-        F.expr("any_value(economic_index_id) AS economic_index_id"),
-        F.expr("count(1) AS input_contracts"),
-        F.expr("count_if(is_standard) AS standard_contracts"),
-        F.expr(f"count_if({usable}) AS eligible_contracts"),
-        F.expr(f"count_if(({usable}) AND NOT coalesce(is_standard, false)) AS adjusted_contracts"),
-        *[F.expr(s) for s in sums],
+    counts = {
+        "input_contracts": "count(1)",
+        "standard_contracts": "count_if(is_standard)",
+        "eligible_contracts": f"count_if({usable})",
+        "adjusted_contracts": f"count_if(({usable}) AND NOT coalesce(is_standard, false))",
+    }
+    # the index is a key first: an aggregate that keeps a text sorts its input
+    totals = chain.groupBy(*CARRIER, "economic_index_id").agg(*[F.expr(f"{x} AS {n}") for n, x in counts.items()], *[F.expr(s) for s in sums])
+    added = [c for c in totals.columns if c not in (*CARRIER, "economic_index_id")]
+    totals = totals.groupBy(*CARRIER).agg(
+        F.expr("any_value(economic_index_id) AS economic_index_id"), *[F.expr(f"sum({c}) AS {c}") for c in added]
     )
     return totals.selectExpr(
         *CARRIER,
