@@ -6,6 +6,7 @@ import pytest
 
 from volpanel.operators import quality as Q
 from volpanel.sources import scans, sinks
+from volpanel.sources.views import SPARK, VIEWS, view
 
 DAY = dt.date(2024, 3, 5)
 
@@ -39,3 +40,14 @@ def test_universe_guard_raises(spark):
     for broken in (("a", "b", "x"), ("a",)):
         with pytest.raises(Exception, match="universe broken"):
             Q.require_members(frame(*broken), "code", ["a", "b"], ["x"]).collect()
+
+
+def test_views_of_days_and_listings_read_the_raw_tables_once(spark):
+    folder = "/root/testdata/sf0.001"
+    for name in ("spot", "expiry_iv", "marks", "calendar"):
+        made = view(spark, folder, name)
+        assert not [f for f in made.inputFiles() if "lineitem" in f or "orders" in f], name
+        text = VIEWS[name](SPARK)
+        tables = {t: spark.read.parquet(f"{folder}/{t}.parquet") for t in ("lineitem", "orders") if "{" + t + "}" in text}
+        direct = spark.sql(text, **tables)
+        assert direct.exceptAll(made).isEmpty() and made.exceptAll(direct).isEmpty(), name

@@ -17,6 +17,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from volpanel.session import stored
+
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings "
     "pages benchmark labels conversations"
@@ -105,10 +107,13 @@ def _panel(d: Dialect) -> str:
     """
 
 
+DAYS = "SELECT DISTINCT CAST(l_shipdate AS DATE) AS session_date FROM {lineitem}"
+
+
 def _calendar(d: Dialect) -> str:
-    return """
+    return f"""
     SELECT session_date, CAST(row_number() OVER (ORDER BY session_date) - 1 AS BIGINT) AS ordinal
-    FROM (SELECT DISTINCT CAST(l_shipdate AS DATE) AS session_date FROM {lineitem}) days
+    FROM ({DAYS}) days
     """
 
 
@@ -306,7 +311,23 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+#: Views of which others are made, as small as days or listings: raw rows are reduced to them once per session and folder.
+SHARED = ("panel", "listed")
+_STORED: dict[tuple[str, str, str], DataFrame] = {}
+
+
 def view(spark: SparkSession, folder: str, name: str) -> DataFrame:
     text = VIEWS[name](SPARK)
-    used = {t: table(spark, folder, t) for t in TABLES if "{" + t + "}" in text}
-    return spark.sql(text, **used)
+    if name not in SHARED:
+        for part in SHARED:
+            text = text.replace(VIEWS[part](SPARK), f"SELECT * FROM {{{part}}}")
+        text = text.replace(DAYS, "SELECT DISTINCT session_date FROM {panel}")
+    key = (spark.sparkContext.applicationId, folder, name)
+    if key not in _STORED:
+        used = {t: table(spark, folder, t) for t in TABLES if "{" + t + "}" in text}
+        used |= {part: view(spark, folder, part) for part in SHARED if "{" + part + "}" in text}
+        found = spark.sql(text, **used)
+        if name not in SHARED:
+            return found
+        _STORED[key] = stored(found, name)
+    return _STORED[key]
