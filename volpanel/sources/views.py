@@ -329,5 +329,6 @@ def view(spark: SparkSession, folder: str, name: str) -> DataFrame:
         found = spark.sql(text, **used)
         if name not in SHARED:
             return found
-        _STORED[key] = stored(found, name)
+        # small files share a split, but what is unfolded from these rows is large
+        _STORED[key] = stored(found, name).repartition(spark.sparkContext.defaultParallelism)
     return _STORED[key]
