@@ -16,7 +16,7 @@ from volpanel.llm.packing import pack
 from volpanel.llm.personal_data import find_personal_data, redacted
 from volpanel.llm.queries import table, tokenizer_path
 from volpanel.llm.toxicity import score_toxicity
-from volpanel.session import scratch_path
+from volpanel.session import scratch_path, small_batches
 
 
 ROW = "row_of_stage"
@@ -29,6 +29,7 @@ def without(docs: DataFrame, bad: DataFrame) -> DataFrame:
 
 def toxicity(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Labels belong to ids, so rows of one id are judged alike: all go if one of their texts is toxic."""
+    small_batches(spark)
     return without(docs, score_toxicity(docs, table(spark, folder, "labels")).where("predicted = 1"))
 
 
@@ -40,6 +41,7 @@ def numbered(docs: DataFrame) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Of each class one row stays: that with the smallest id, of equal or missing ids the first one. A row whose text
     has no words is a class of its own."""
+    small_batches(spark)
     rows = numbered(docs)
     classes = find_near_duplicates(rows, id=ROW).select(ROW, "class_id")
     first = rows.select(ROW, "doc_id").join(classes, ROW).groupBy("class_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", ROW))[ROW].alias(ROW))
@@ -47,12 +49,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, folder: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    small_batches(spark)
     rows = numbered(docs)
     bad = decontaminate(rows, table(spark, folder, "benchmark"), id=ROW).where("contaminated").select(ROW)
     return rows.join(bad, ROW, "left_anti").select(*docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    small_batches(spark)
     found = find_personal_data(docs, keep=tuple(docs.columns))
     masked = found.select("row.*", "spans").withColumn("text", F.expr(redacted("text", "spans")))
     if "n_chars" in docs.columns:
@@ -61,6 +65,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, folder: str) -> DataFram
 
 
 def packing(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    small_batches(spark)
     return pack(docs, tokenizer_path())
 
 

@@ -9,6 +9,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from check_oracle import canonical
 
@@ -579,3 +580,24 @@ def test_pipeline_stages_tell_rows_of_one_id_apart(spark, tmp_path):
     assert collections.Counter((r.doc_id, r.text) for r in clean.collect()) == collections.Counter(r for r in rows if r[1] != passage)
     for stage in (corpus_pipeline.near_duplicates, corpus_pipeline.decontamination, corpus_pipeline.personal_data):
         assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
+def test_stages_send_texts_to_python_in_small_batches(spark, tmp_path):
+    rows = spark.range(0, 3000, 1, 1).selectExpr("id AS doc_id", "repeat(concat('w', id, ' '), 1000) AS text")
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"size": pa.array([batch.nbytes])})
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    try:
+        for stage in (corpus_pipeline.near_duplicates, corpus_pipeline.personal_data, corpus_pipeline.packing):
+            spark.conf.set(name, "64m")
+            stage(spark, rows.limit(0), str(tmp_path))
+            assert max(r.size for r in rows.mapInArrow(sizes, "size bigint").collect()) < 5 << 20
+        spark.conf.set(name, "1m")  # a lower limit stays
+        corpus_pipeline.personal_data(spark, rows.limit(0), str(tmp_path))
+        assert spark.conf.get(name) == "1m"
+    finally:
+        spark.conf.set(name, before)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -57,3 +58,19 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+#: Bytes of a batch of rows on its way to Python; a batch ends with the row that reaches them.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Rows go to Python in batches of about ``BATCH_BYTES``, unless the session has a lower limit.
+
+    Ten thousand texts a batch (Spark's default, whatever their bytes) are held several times at once: as Arrow vectors
+    and as a stream beside the heap of the executor, as a batch and its copies in each of its Python workers.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    number, unit = re.fullmatch(r"(-?\d+)([kmgtp]?)b?", spark.conf.get(name).strip().lower()).groups()
+    if not 0 < int(number) << 10 * " kmgtp".index(unit or " ") <= BATCH_BYTES:
+        spark.conf.set(name, BATCH_BYTES)
