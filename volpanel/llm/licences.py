@@ -2,9 +2,10 @@
 
 Texts are reduced to lower-case words with single blanks between them. A notice of n characters may have ``n // 10``
 edits; cut into one piece more than that, at least one piece stands unchanged in every match (pigeonhole). An
-automaton over all pieces finds these seeds in one pass; only the surroundings of a seed are given to the ``regex``
-library, whose bounded-error matching accepts or rejects them and reports where the match stands. The words that tell
-licences apart must stand unchanged in a match: an edit there would turn one licence into another.
+automaton over all pieces finds these seeds in one pass. The surroundings of a seed must hold enough short pieces of the
+notice (an edit changes at most ``GRAM`` of them) and the words that tell licences apart, which must stand unchanged in a
+match: an edit there would turn one licence into another. Only such surroundings are given to the ``regex`` library,
+whose bounded-error matching accepts or rejects them and reports where the match stands.
 """
 
 from __future__ import annotations
@@ -46,6 +47,8 @@ NOTICES = {
 # Words that tell one licence from another; versions (digits but 0) do, too. Edits never fall on them.
 TELLING = set("mit apache gnu lesser affero mozilla bsd isc creative commons attribution cc by nc sa nd unencumbered".split())
 CHARACTERS_PER_EDIT = 10
+#: Characters of the short pieces of a notice that are looked for around a seed.
+GRAM = 4
 
 
 def telling(words: str) -> list[str]:
@@ -58,6 +61,10 @@ def seeds_of(notice: str, edits: int) -> list[tuple[int, str]]:
     return [(a, notice[a:b]) for a, b in zip(cuts, cuts[1:])]
 
 
+def grams(text: str) -> list[str]:
+    return [text[i : i + GRAM] for i in range(len(text) - GRAM + 1)]
+
+
 def whole_words(text: str, start: int, end: int) -> str:
     """The words that text[start:end] touches; words never go on behind a blank or a line feed."""
     while start and not text[start - 1].isspace() and not text[start].isspace():
@@ -67,19 +74,34 @@ def whole_words(text: str, start: int, end: int) -> str:
     return text[start:end]
 
 
+class Notice:
+    """A notice, and what a text must hold to match it with at most ``edits`` edits."""
+
+    def __init__(self, words: str, label: str, per_edit: int):
+        import regex
+
+        self.words, self.label, self.edits = words, label, len(words) // per_edit
+        self.pattern = regex.compile(f"(?b)(?:{regex.escape(words, literal_spaces=True)}){{e<={self.edits}}}")
+        self.telling, self.grams = telling(words), grams(words)
+        self.least = len(self.grams) - GRAM * self.edits
+
+    def possible(self, text: str, start: int, end: int) -> bool:
+        """False only if no match inside text[start:end] could count."""
+        there = set(grams(text[start:end]))
+        if sum(gram in there for gram in self.grams) < self.least:
+            return False
+        return set(self.telling).issubset(whole_words(text, start, end).split())
+
+
 class Scanner:
     def __init__(self, base: dict[str, str], notices: dict[str, str], per_edit: int):
         import ahocorasick
-        import regex
 
         self.base = base
-        self.notices = []
+        self.notices = [Notice(words, label, per_edit) for words, label in notices.items()]
         seeds: dict[str, list[tuple[int, int]]] = {}
-        for number, (notice, label) in enumerate(notices.items()):
-            edits = len(notice) // per_edit
-            pattern = regex.compile(f"(?b)(?:{regex.escape(notice, literal_spaces=True)}){{e<={edits}}}")
-            self.notices.append((notice, label, edits, pattern))
-            for offset, piece in seeds_of(notice, edits):
+        for number, notice in enumerate(self.notices):
+            for offset, piece in seeds_of(notice.words, notice.edits):
                 seeds.setdefault(piece, []).append((number, offset))
         self.automaton = ahocorasick.Automaton()
         for piece, owners in seeds.items():
@@ -101,12 +123,13 @@ class Scanner:
             for number, offset in owners:
                 tried.setdefault(number, []).append((end - size + 1 - offset, end))
         for number, starts in tried.items():
-            notice, label, edits, pattern = self.notices[number]
+            notice = self.notices[number]
+            edits, size = notice.edits, len(notice.words)
             done = -1
             last = None
             for start, seed in sorted(starts):
-                low, high = max(start - edits, 0, done), start + len(notice) + edits
-                if start + len(notice) <= done:
+                low, high = max(start - edits, 0, done), start + size + edits
+                if start + size <= done:
                     continue
                 # the text of the seed: a clipped notice would begin in the text before or end in the next one
                 low = max(low, text.rfind("\n", low, max(seed, low)) + 1)
@@ -115,10 +138,12 @@ class Scanner:
                 if window == last:
                     continue
                 last = window
-                found = pattern.search(text, *window)
-                if found and found.end() > found.start() and telling(whole_words(text, found.start(), found.end())) == telling(notice):
+                if not notice.possible(text, *window):
+                    continue
+                found = notice.pattern.search(text, *window)
+                if found and found.end() > found.start() and telling(whole_words(text, found.start(), found.end())) == notice.telling:
                     done = found.end()
-                    yield found.start(), found.end(), label, sum(found.fuzzy_counts), len(notice)
+                    yield found.start(), found.end(), notice.label, sum(found.fuzzy_counts), size
 
 
 def plain_text(column: pa.Array) -> tuple[str, np.ndarray, np.ndarray]:
