@@ -4,7 +4,8 @@ A node of a tree keeps a vantage point and, for either half of its rows, the lea
 point. By the triangle inequality no row of a half is nearer to the query than the gap between the query's own
 distance and that range. A half is left out if its gap exceeds ``factor`` times the distance of the worst neighbour
 held so far: with a factor of 1 the search is exact, smaller ones leave out more halves and lose some neighbours.
-A block of queries goes down the tree together; each query enters its nearer half first.
+Each query first goes down to the leaf of its nearer halves, which gives it neighbours to begin with. Then the block of
+queries goes through the tree together, once: a leaf is compared with all queries that are still open for it.
 """
 
 from __future__ import annotations
@@ -75,42 +76,62 @@ class Search:
         self.vectors, self.ids, self.nodes, self.queries, self.own = vectors, ids, nodes, queries, own
         self.number, self.factor, self.compared = number, factor, 0
         self.squares, self.lengths = (vectors**2).sum(axis=1), (queries**2).sum(axis=1)
+        self.home = np.full(len(queries), -1)
         self.found = np.full((len(queries), number), np.inf)
         self.who = np.full((len(queries), number), LAST)
 
     def run(self) -> tuple[np.ndarray, np.ndarray]:
-        self.visit(0, np.arange(len(self.queries)))
+        everyone = np.arange(len(self.queries))
+        self.enter(0, everyone)
+        self.visit(0, everyone)
         return self.found, self.who
 
+    def gaps(self, at: int, active: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What the queries are off the ranges of the left and of the right child; not positive inside."""
+        point, (low, high, low2, high2) = int(self.nodes[at, 2]), self.nodes[at, 5:]
+        off = self.queries[active] - self.vectors[point]
+        d = np.sqrt(np.einsum("ij,ij->i", off, off))
+        return np.maximum(low - d, d - high), np.maximum(low2 - d, d - high2)
+
     def open(self, gap: np.ndarray, active: np.ndarray) -> np.ndarray:
         worst = self.found[active, -1]
         return gap <= self.factor * worst + SLACK * (1 + np.where(np.isinf(worst), 0, worst))
 
-    def visit(self, at: int, active: np.ndarray) -> None:
+    def enter(self, at: int, active: np.ndarray) -> None:
+        """Down to one leaf, the ``home`` of a query."""
         if not len(active):
             return
         begin, end, point, left, right = self.nodes[at, :5].astype(int)
         if point < 0:
+            self.home[active] = at
             return self.scan(begin, end, active)
-        low, high, low2, high2 = self.nodes[at, 5:]
-        d = distances(self.queries[active], self.vectors[point])
-        gap = np.maximum(np.maximum(low - d, d - high), 0)
-        gap2 = np.maximum(np.maximum(low2 - d, d - high2), 0)
-        first = gap <= gap2
-        for child, other, mine, theirs, g, h in ((left, right, first, ~first, gap, gap2), (right, left, ~first, first, gap2, gap)):
-            self.visit(child, active[mine][self.open(g[mine], active[mine])])
-        for child, mine, g in ((right, first, gap2), (left, ~first, gap)):
-            self.visit(child, active[mine][self.open(g[mine], active[mine])])
+        gap, gap2 = self.gaps(at, active)
+        first = np.maximum(gap, 0) <= np.maximum(gap2, 0)
+        self.enter(left, active[first])
+        self.enter(right, active[~first])
+
+    def visit(self, at: int, active: np.ndarray) -> None:
+        """All leaves but the home that are open when their turn comes."""
+        if not len(active):
+            return
+        begin, end, point, left, right = self.nodes[at, :5].astype(int)
+        if point < 0:
+            return self.scan(begin, end, active[self.home[active] != at])
+        gap, gap2 = self.gaps(at, active)
+        self.visit(left, active[self.open(gap, active)])
+        self.visit(right, active[self.open(gap2, active)])
 
     def scan(self, begin: int, end: int, active: np.ndarray) -> None:
         rows, ids = self.vectors[begin:end], self.ids[begin:end]
         self.compared += len(active) * len(rows)
-        rough = self.lengths[active][:, None] + self.squares[begin:end] - 2 * (self.queries[active] @ rows.T)
-        worst = self.found[active, -1][:, None]
-        # the rough squares only tell who cannot come in; the rest is taken exactly
-        near = rough <= worst**2 + SLACK * (1 + self.lengths[active][:, None] + self.squares[begin:end])
-        near &= ids != self.own[active][:, None]
+        worst = self.found[active, -1]
+        # squares without those of the queries; they only tell who cannot come in, the rest is taken exactly
+        rough = self.squares[begin:end] * (1 - SLACK) - 2 * (self.queries[active] @ rows.T)
+        near = rough <= (worst**2 - self.lengths[active] + SLACK * (1 + self.lengths[active]))[:, None]
         q, r = np.nonzero(near)
+        other = ids[r] != self.own[active[q]]
+        near[q[~other], r[~other]] = False
+        q, r = q[other], r[other]
         if not len(q):
             return
         d = np.full(near.shape, np.inf)

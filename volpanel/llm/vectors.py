@@ -1,8 +1,9 @@
 """Vectors in blocks, and the meeting of blocks of queries with all blocks of a table.
 
-A block is a row that holds some rows as Arrow bytes. Every block of queries is copied once for each block of the
-table and meets it in a task of its own, so memory is bounded by two blocks and what is moved by rows of the table /
-``size`` x rows of the queries.
+A block is a row that holds some rows as Arrow bytes. Blocks of queries are dealt to groups of about ``TOGETHER``. Every
+group meets every block of the table, so a block of the table is copied once for each group and a block of queries once
+for each block of the table: what is moved grows with rows of the table x rows of the queries / the size of a block, and
+memory is bounded by a few blocks of the table and one group.
 """
 
 from __future__ import annotations
@@ -19,11 +20,13 @@ from volpanel.session import scratch_path
 
 SHARD = 4096
 QUERIES = 256
+#: Blocks of queries that meet a block of the table at once.
+TOGETHER = 16
 
 
 def finite(vector: str) -> str:
-    """SQL: the array is not null or empty, and each component is a finite number."""
-    return f"coalesce(size({vector}) > 0 AND forall({vector}, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('Infinity')), false)"
+    """SQL: the array is not null or empty, and each component is a finite number (not a number counts as above infinity)."""
+    return f"coalesce(size({vector}) > 0 AND forall({vector}, x -> abs(x) < double('Infinity')), false)"
 
 
 def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -88,15 +91,20 @@ def in_blocks(rows: DataFrame, size: int, name: str, vector: str = "vector", bui
 
 
 def meet(shards: DataFrame, queries: DataFrame, search: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
-    """The rows of ``search(shard, queries)`` for every block of queries and every block of the table."""
-    number = max(shards.count(), 1)
-    left = shards.selectExpr("block AS shard", "dims", "data AS rows", f"pmod(xxhash64(block), {number}L) AS spot")
-    right = queries.selectExpr("block", "dims", "data AS asked", f"explode(sequence(0L, {number - 1}L)) AS spot")
-
-    def run(pair: pa.Table) -> pa.Table:
-        return search(from_bytes(pair.column("rows")[0]), from_bytes(pair.column("asked")[0]))
-
-    return left.join(right.hint("merge"), ["spot", "dims"]).groupBy("spot", "dims", "shard", "block").applyInArrow(run, schema)
+    """The rows of ``search(shard, queries)`` for every group of blocks of queries and every block of the table."""
+    number, groups = max(shards.count(), 1), max(-(-queries.count() // TOGETHER), 1)
+    spot, group = f"pmod(xxhash64(block), {number}L) AS spot", f"pmod(xxhash64(block), {groups}L) AS part"
+    left = shards.selectExpr("dims", "data", spot, f"explode(sequence(0L, {groups - 1}L)) AS part")
+    right = queries.selectExpr("dims", "data", group, f"explode(sequence(0L, {number - 1}L)) AS spot")
+
+    def run(blocks: pa.Table, asked: pa.Table) -> pa.Table:
+        if not blocks.num_rows or not asked.num_rows:
+            return pa.table({})
+        together = pa.concat_tables([from_bytes(data) for data in asked.column("data")])
+        return pa.concat_tables([search(from_bytes(data), together) for data in blocks.column("data")])
+
+    keys = ["spot", "part", "dims"]
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, schema)
 
 
 def best(rows: DataFrame, keys: list[str], order: str, number: int) -> DataFrame:
